@@ -231,11 +231,9 @@ def date_prefixed_name(ts, name, fmt: str = "yyyyMMdd") -> Column:
 
 
 def array_literal(arr) -> Column:
-    """SCL-17: ARRAY<STRING> -> PostgreSQL array literal text '{"a","b"}'."""
-    quoted = F.transform(
-        _c(arr),
-        lambda x: F.concat(F.lit('"'), F.replace(F.replace(x, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"')),
-    )
+    """SCL-17: ARRAY<STRING> -> PostgreSQL array literal text '{"a","b"}'
+    (an embedded '"' is doubled)."""
+    quoted = F.transform(_c(arr), lambda x: F.concat(F.lit('"'), F.replace(x, F.lit('"'), F.lit('""')), F.lit('"')))
     return F.concat(F.lit("{"), F.array_join(quoted, ","), F.lit("}"))
 
 
