@@ -14,12 +14,12 @@ import os
 import re
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Observation, SparkSession
-from pyspark.sql import Window as W
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kiln.operators.schema import infer_types, sanitize_name, spark_type
+from kiln.operators.windows import row_number
 
 AUDIT_FIELDS = [
     T.StructField("created_date", T.TimestampNTZType(), True),
@@ -192,24 +192,27 @@ def export_csv(df: DataFrame, base: str, name: str, ts: str) -> str:
 
 
 # ---------------------------------------------------------------- SNK-09
-def archive_names(files: DataFrame, name_col: str, archived: DataFrame | None = None) -> DataFrame:
+def archive_names(files: DataFrame, name_col: str, order: list[str], chunk: Column,
+                  archived: DataFrame | None = None) -> DataFrame:
     """SNK-09: archive file names; a name already taken (in the archive or
-    earlier in this batch) gets ``_1``, ``_2``... before its extension.
+    earlier in this batch, by ``order``) gets ``_1``, ``_2``... before its
+    extension.
 
-    Numbering runs per (stem, extension): the window only ever holds the
-    files sharing one name, which is what a collision is.
+    The per-name numbering is a chunked row number (see ``windows``), so a
+    name shared by a huge number of files is still spread over many tasks.
     """
     stem = F.regexp_replace(F.col(name_col), r"\.[^.]*$", "")
     ext = F.regexp_extract(F.col(name_col), r"(\.[^.]*)$", 1)
     f = files.withColumns({"_stem": stem, "_ext": ext})
-    taken = f.groupBy("_stem", "_ext").agg(F.lit(0).alias("_taken"))
+    f = row_number(f, ["_stem", "_ext"], order, chunk, "_n")
     if archived is not None:
         a = archived.select(F.regexp_replace(F.col(name_col), r"\.[^.]*$", "").alias("_stem"),
                             F.regexp_extract(F.col(name_col), r"(\.[^.]*)$", 1).alias("_ext"))
         taken = a.groupBy("_stem", "_ext").agg(F.count(F.lit(1)).alias("_taken"))
-    w = W.partitionBy("_stem", "_ext").orderBy(name_col, *[c for c in files.columns if c != name_col])
-    f = f.withColumn("_n", F.row_number().over(w) - 1).join(taken, ["_stem", "_ext"], "left")
-    n = F.col("_n") + F.coalesce(F.col("_taken"), F.lit(0))
+        f = f.join(taken, ["_stem", "_ext"], "left")
+    else:
+        f = f.withColumn("_taken", F.lit(0))
+    n = F.col("_n") - 1 + F.coalesce(F.col("_taken"), F.lit(0))
     return f.select(
         *files.columns,
         F.when(n == 0, F.col(name_col)).otherwise(F.concat(F.col("_stem"), F.lit("_"), n.cast("string"), F.col("_ext")))

@@ -50,3 +50,21 @@ def next_match(df: DataFrame, keys: list[str], seq: str, is_match: Column, value
         .withColumn(out, F.coalesce("_in", "_carry"))
         .drop("_chunk", "_m", "_in", "_carry")
     )
+
+
+def row_number(df: DataFrame, keys: list[str], order: list[str], chunk: Column, out: str) -> DataFrame:
+    """``row_number() OVER (PARTITION BY keys ORDER BY order)`` where rows of
+    a key are split into ordered chunks (``chunk`` must be non-decreasing in
+    ``order``): numbering inside (keys, chunk) plus the row count of the
+    key's earlier chunks."""
+    d = df.withColumn("_chunk", chunk)
+    w_in = W.partitionBy(*keys, "_chunk").orderBy(*order)
+    within = d.withColumn("_rn", F.row_number().over(w_in))
+    per_chunk = d.groupBy(*keys, "_chunk").agg(F.count(F.lit(1)).alias("_n"))
+    w_c = W.partitionBy(*keys).orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)
+    carry = per_chunk.select(*keys, "_chunk", F.coalesce(F.sum("_n").over(w_c), F.lit(0)).alias("_carry"))
+    return (
+        within.join(carry, [*keys, "_chunk"], "left")
+        .withColumn(out, F.col("_rn") + F.col("_carry"))
+        .drop("_chunk", "_rn", "_carry")
+    )
