@@ -138,19 +138,12 @@ def _explode_matches(facts: DataFrame, conds: list[tuple[object, Column]], id_co
     return facts.select(id_col, *keep, F.explode(hits).alias(rule_id))
 
 
-def regex_rule_join(
-    facts: DataFrame, rules: list[dict], fields: dict[str, str], id_col: str, rule_id: str = "rule_id",
-    keep: Sequence[str] = (),
-) -> DataFrame:
-    """JOIN-07: (fact, rule) pairs where every non-NULL pattern of the rule
-    matches its field case-insensitively (search, not full match).
-
-    ``rules`` is the small rule list, validated on the driver: a rule with an
-    invalid pattern is skipped (as the reference does) instead of failing the
-    job at run time.  ``fields`` maps a rule field to the fact column it
-    tests.  All rules are evaluated in one pass over the facts, which is what
-    a broadcast nested-loop join against the rule list would do, but inside
-    one codegen stage.
+def regex_rule_hits(rules: list[dict], fields: dict[str, str], rule_id: str = "rule_id") -> Column:
+    """ARRAY of the ids of the rules (in rule order) whose every non-NULL
+    pattern matches its field case-insensitively (search, not full match).
+
+    Rules are validated on the driver: a rule with an invalid pattern is
+    skipped (as the reference does) instead of failing the job at run time.
     """
     conds = []
     for r in rules:
@@ -167,8 +160,19 @@ def regex_rule_join(
             cond = F.lit(True)
             for p in preds:
                 cond = cond & p
-            conds.append((r[rule_id], cond))
-    return _explode_matches(facts, conds, id_col, rule_id, keep)
+            conds.append(F.when(cond, F.lit(r[rule_id])))
+    return F.array_compact(F.array(*conds)) if conds else F.array().cast("array<int>")
+
+
+def regex_rule_join(
+    facts: DataFrame, rules: list[dict], fields: dict[str, str], id_col: str, rule_id: str = "rule_id",
+    keep: Sequence[str] = (),
+) -> DataFrame:
+    """JOIN-07: (fact, rule) pairs for every matching rule (see
+    ``regex_rule_hits``).  All rules are evaluated in one pass over the
+    facts, which is what a broadcast nested-loop join against the tiny rule
+    list would do, but inside one codegen stage."""
+    return facts.select(id_col, *keep, F.explode(regex_rule_hits(rules, fields, rule_id)).alias(rule_id))
 
 
 def glob_rule_join(facts: DataFrame, rules: list[dict], name_col: str, id_col: str, rule_id: str = "rule_id",
