@@ -38,6 +38,7 @@ def scan_csv(spark: SparkSession, path: str, pattern: str | None = None, schema:
     """SRC-01: comma-separated, header row, BOM stripped, every column text.
     Unquoted empty fields and missing trailing fields are NULL."""
     r = spark.read.option("header", True).option("multiLine", True).option("inferSchema", False)
+    r = r.option("recursiveFileLookup", True)
     r = r.option("encoding", "UTF-8").option("mode", "PERMISSIVE")
     if schema is not None:
         r = r.schema(schema)
@@ -47,7 +48,7 @@ def scan_csv(spark: SparkSession, path: str, pattern: str | None = None, schema:
 def scan_json_records(spark: SparkSession, path: str, pattern: str | None = None,
                       schema: T.StructType | None = None) -> DataFrame:
     """SRC-02: each file holds a JSON array; one row per element."""
-    r = spark.read.option("multiLine", True)
+    r = spark.read.option("multiLine", True).option("recursiveFileLookup", True)
     if schema is not None:
         r = r.schema(schema)
     return _with_lineage(r.json(path), pattern)
@@ -70,7 +71,7 @@ def scan_xml_records(spark: SparkSession, path: str, row_tag: str, pattern: str
                      schema: T.StructType | None = None) -> DataFrame:
     """SRC-04: children of the root are rows, their children are text
     columns; attributes ignored; rows whose fields are all empty dropped."""
-    r = spark.read.format("xml").option("rowTag", row_tag).option("inferSchema", False)
+    r = spark.read.format("xml").option("rowTag", row_tag).option("inferSchema", False).option("recursiveFileLookup", True)
     r = r.option("attributePrefix", "_attr_").option("excludeAttribute", True)
     if schema is not None:
         r = r.schema(schema)
