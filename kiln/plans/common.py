@@ -22,6 +22,11 @@ def T(spark: SparkSession, sf_dir: str) -> Tables:
     return Tables(spark, sf_dir)
 
 
+def TW(spark: SparkSession, sf_dir: str) -> Tables:
+    """Tables whose scans feed every core (CPU-heavy row-local queries)."""
+    return Tables(spark, sf_dir, wide=True)
+
+
 # ------------------------------------------------------------------ logs
 def logs(t: Tables) -> DataFrame:
     """Log entries: one per event."""

@@ -62,7 +62,7 @@ def _manifests(t):
 
 
 def _parsed(spark, d):
-    return A.parse_manifests(_manifests(C.T(spark, d)), "manifest", ["p_partkey"])
+    return A.parse_manifests(_manifests(C.TW(spark, d)), "manifest", ["p_partkey"])
 
 
 @query(
@@ -169,7 +169,7 @@ SELECT l_orderkey, l_linenumber, 2, 'Dealer ' || l_suppkey, 'To ' || year(l_ship
 FROM lineitem""",
 )
 def art_provenance(spark, d):
-    docs = _provenance_docs(C.T(spark, d))
+    docs = _provenance_docs(C.TW(spark, d))
     return A.provenance_chain(docs, "manifest", ["l_orderkey", "l_linenumber"])
 
 
@@ -201,7 +201,7 @@ UNION ALL
 SELECT o_orderkey, 2, '', NULL, NULL, NULL FROM orders""",
 )
 def art_ownership(spark, d):
-    return A.ownership(_linked_art(C.T(spark, d)), "linked_art", ["o_orderkey"])
+    return A.ownership(_linked_art(C.TW(spark, d)), "linked_art", ["o_orderkey"])
 
 
 @query(
@@ -223,7 +223,7 @@ WHERE NOT EXISTS (SELECT 1 FROM lineitem x WHERE x.l_orderkey = r.artwork_id AND
                   AND x.l_returnflag = 'R')""",
 )
 def art_load(spark, d):
-    t = C.T(spark, d)
+    t = C.TW(spark, d)
     li = t.lineitem
     prov = li.select(
         F.concat(F.lit("M"), F.col("l_orderkey").cast("string")).alias("manifest_id"),

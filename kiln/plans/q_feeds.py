@@ -46,7 +46,7 @@ SELECT event_type AS rate_type, CAST(ts AS DATE) AS effective_date,
 FROM events WHERE event_id % 11 <> 0""",
 )
 def feed_reference_rates(spark, d):
-    e = C.T(spark, d).events
+    e = C.TW(spark, d).events
     v = F.col("value")
     view = F.col("event_type") == "view"
     payload = _doc(
@@ -75,7 +75,7 @@ SELECT CAST(l_shipdate AS DATE) AS as_of_date, l_returnflag AS security_type, lp
 FROM lineitem""",
 )
 def feed_soma(spark, d):
-    li = C.T(spark, d).lineitem
+    li = C.TW(spark, d).lineitem
     payload = _doc(
         "soma.holdings",
         _d("l_shipdate").alias("asOfDate"),
@@ -101,7 +101,7 @@ SELECT CAST(o_orderdate AS DATE) AS operation_date,
 FROM orders""",
 )
 def feed_repo(spark, d):
-    o = C.T(spark, d).orders
+    o = C.TW(spark, d).orders
     payload = _doc(
         "repo.operations",
         F.when(F.col("o_orderstatus") == "O", F.lit("Reverse Repo"))
@@ -133,7 +133,7 @@ SELECT CAST(l_shipdate AS DATE) AS operation_date, CASE WHEN l_returnflag = 'R'
 FROM lineitem JOIN part ON l_partkey = p_partkey""",
 )
 def feed_mbs(spark, d):
-    j = _lines_parts(C.T(spark, d))
+    j = _lines_parts(C.TW(spark, d))
     payload = _doc(
         "ambs.auctions",
         _d("l_shipdate").alias("operationDate"),
@@ -162,7 +162,7 @@ SELECT CAST(l_shipdate AS DATE) AS operation_date, 'Outright ' || l_linestatus A
 FROM lineitem JOIN part ON l_partkey = p_partkey""",
 )
 def feed_treasury(spark, d):
-    j = _lines_parts(C.T(spark, d))
+    j = _lines_parts(C.TW(spark, d))
     payload = _doc(
         "treasury.auctions",
         _d("l_shipdate").alias("operationDate"),
@@ -201,7 +201,7 @@ SELECT COALESCE(CASE WHEN o_orderstatus = 'P' THEN NULL ELSE CAST(o_orderdate AS
 FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey""",
 )
 def feed_fx_swaps(spark, d):
-    t = C.T(spark, d)
+    t = C.TW(spark, d)
     dims = t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "c_name", "n_name")
     j = _order_lines(t).join(bounded_broadcast(dims, 1_000_000), F.col("o_custkey") == F.col("c_custkey"))
     partial = F.col("o_orderstatus") == "P"
@@ -233,7 +233,7 @@ SELECT CAST(o_orderdate AS DATE) AS operation_date, 'Lending' AS operation_type,
 FROM lineitem JOIN orders ON l_orderkey = o_orderkey""",
 )
 def feed_sec_lending(spark, d):
-    j = _order_lines(C.T(spark, d))
+    j = _order_lines(C.TW(spark, d))
     payload = _doc(
         "seclending.operations",
         _d("o_orderdate").alias("operationDate"),
@@ -263,7 +263,7 @@ FROM lineitem JOIN orders ON l_orderkey = o_orderkey,
 WHERE o_orderstatus <> 'P'""",
 )
 def feed_guide_sheets(spark, d):
-    j = _order_lines(C.T(spark, d))
+    j = _order_lines(C.TW(spark, d))
 
     def detail(sec, suffix):
         return F.struct(
@@ -297,7 +297,7 @@ SELECT name AS counterparty_name, 'Central Bank' AS counterparty_type, TRUE AS i
 FROM (SELECT unnest([c_name, '', c_mktsegment]) AS name FROM customer) WHERE name <> ''""",
 )
 def feed_counterparties(spark, d):
-    c = C.T(spark, d).customer
+    c = C.TW(spark, d).customer
     payload = F.to_json(F.struct(F.array("c_name", F.lit(""), "c_mktsegment").alias("counterparties")))
     return FD.counterparties(_records(c.select(payload.alias("payload")), "counterparties"))
 
@@ -310,7 +310,7 @@ SELECT CAST(ts AS DATE) AS effective_date, CAST(CAST(round(value / 10, 4) AS VAR
 FROM events WHERE event_id % 13 <> 0""",
 )
 def feed_sonia(spark, d):
-    e = C.T(spark, d).events
+    e = C.TW(spark, d).events
     rate = F.when(F.col("event_id") % 13 == 0, F.lit("n/a")).otherwise(F.round(F.col("value") / 10, 4).cast("string"))
     rec = F.to_json(F.struct(F.date_format("ts", "dd MMM yyyy").alias("date"), rate.alias("rate")))
     recs = e.select(rec.alias("payload"))
@@ -339,7 +339,7 @@ FROM ticks WHERE symbol IS NOT NULL""",
     ),
 )
 def feed_crypto(spark, d):
-    k = _ticks(C.T(spark, d))
+    k = _ticks(C.TW(spark, d))
     v = F.col("value")
     rec = F.to_json(F.struct(
         "symbol", F.concat(F.lit("coin-"), "user_id").alias("coin_id"), _d("ts").alias("price_date"),
@@ -359,7 +359,7 @@ FROM ticks WHERE symbol IS NOT NULL""",
     ),
 )
 def feed_prices(spark, d):
-    k = _ticks(C.T(spark, d))
+    k = _ticks(C.TW(spark, d))
     v = F.col("value")
     rec = F.to_json(F.struct(
         "symbol", F.concat(F.lit("tk"), "user_id").alias("ticker"), F.col("event_type").alias("category"),
@@ -380,7 +380,7 @@ FROM logs WHERE stepruntime IS NOT NULL GROUP BY run_uuid""",
     ),
 )
 def mkt_latest(spark, d):
-    lg = C.logs(C.T(spark, d)).select("run_uuid", "logentryid", "timestamp", "stepruntime")
+    lg = C.logs(C.TW(spark, d)).select("run_uuid", "logentryid", "timestamp", "stepruntime")
     return FD.latest_non_null(lg, "run_uuid", ["timestamp", "logentryid"], "stepruntime")
 
 
@@ -392,7 +392,7 @@ FROM events e JOIN customer c ON e.user_id = c.c_custkey JOIN nation n ON c.c_na
 WHERE c.c_mktsegment = 'BUILDING'""",
 )
 def mkt_enrich(spark, d):
-    t = C.T(spark, d)
+    t = C.TW(spark, d)
     dim = t.customer.filter(F.col("c_mktsegment") == "BUILDING").join(
         t.nation, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", F.col("c_name").alias("symbol_name"),
                                                                        F.col("n_name").alias("region"))
@@ -408,7 +408,7 @@ FROM events GROUP BY {keys}"""
 
 @query("mkt_ohlc", OHLC_SQL.format(keys="user_id"))
 def mkt_ohlc(spark, d):
-    e = C.T(spark, d).events
+    e = C.TW(spark, d).events
     v = F.col("value")
     return FD.ohlc(e, ["user_id"], "ts", "event_id", v, v * 1.1, v * 0.9, v)
 
@@ -416,7 +416,7 @@ def mkt_ohlc(spark, d):
 @query("mkt_ohlc_daily", OHLC_SQL.replace("SELECT {keys}", "SELECT user_id, CAST(ts AS DATE) AS day").format(
     keys="user_id, CAST(ts AS DATE)"))
 def mkt_ohlc_daily(spark, d):
-    e = C.T(spark, d).events.withColumn("day", F.to_date("ts"))
+    e = C.TW(spark, d).events.withColumn("day", F.to_date("ts"))
     v = F.col("value")
     return FD.ohlc(e, ["user_id", "day"], "ts", "event_id", v, v * 1.1, v * 0.9, v)
 
@@ -424,7 +424,7 @@ def mkt_ohlc_daily(spark, d):
 # ------------------------------------------------------------------ SRC-08..15
 @query("src_json_path", "SELECT event_id AS id, CAST(json_extract(props, '$.k') AS BIGINT) AS value FROM events")
 def src_json_path(spark, d):
-    e = C.T(spark, d).events
+    e = C.TW(spark, d).events
     payload = F.to_json(F.struct(F.struct(F.struct(F.array(F.struct(
         F.col("event_id").alias("id"), F.get_json_object("props", "$.k").cast("bigint").alias("value"))).alias("items"))
         .alias("results")).alias("data")))
@@ -438,7 +438,7 @@ def src_json_path(spark, d):
 FROM events""",
 )
 def src_suppressed(spark, d):
-    e = C.T(spark, d).events
+    e = C.TW(spark, d).events
     txt = F.when(F.col("event_type") == "error", F.regexp_replace("props", r":\s*[0-9]+", ": *")).otherwise(F.col("props"))
     clean = PL.null_suppressed(txt)
     return e.select("event_id", F.try_variant_get(F.try_parse_json(clean), "$.k", "bigint").alias("k"))
@@ -453,7 +453,7 @@ FROM events e LEFT JOIN stops s USING (user_id)
 WHERE e.event_type <> 'error' AND (s.stop IS NULL OR (e.ts, e.event_id) < s.stop)""",
 )
 def src_pages(spark, d):
-    e = C.T(spark, d).events
+    e = C.TW(spark, d).events
     rec = F.array(F.struct(F.col("event_id").alias("id"), F.col("value").alias("value")))
     empty = F.array().cast("array<struct<id:bigint,value:double>>")
     et = F.col("event_type")
@@ -473,7 +473,7 @@ def src_pages(spark, d):
 FROM events""",
 )
 def src_melt(spark, d):
-    e = C.T(spark, d).events
+    e = C.TW(spark, d).events
     # a wide price panel: one row per tick, columns <field>|<ticker> for every
     # ticker (the distinct tickers are a handful of values)
     tickers = sorted(r[0] for r in e.select("event_type").distinct().collect())
@@ -503,7 +503,7 @@ SELECT page_id, CAST(position AS INTEGER) AS position,
 FROM b WHERE NULLIF(trim(regexp_extract(block, '(?is)<a\b[^>]*\bhref\s*=\s*"([^"]*)"', 1)), '') IS NOT NULL""",
 )
 def src_html_cards(spark, d):
-    p = C.T(spark, d).pages
+    p = C.TW(spark, d).pages
     return PL.extract_cards(
         p, "page_id", "html",
         card=r"(?is)<li\b[^>]*>.*?</li>|<p\b[^>]*>.*?</p>",
@@ -523,7 +523,7 @@ SELECT 'ids-' || p_partkey AS manifest_id, p_name AS title, COALESCE(p_type, '')
 FROM part""",
 )
 def src_search(spark, d):
-    p = C.T(spark, d).part
+    p = C.TW(spark, d).part
     n = F.col("p_size") % 3
     media = F.filter(
         F.array(F.struct(F.concat(F.lit("ids-"), "p_partkey").alias("id")),
@@ -546,5 +546,5 @@ SELECT id, arg_min(title, page_id) AS title FROM (
 GROUP BY id""",
 )
 def src_bindings(spark, d):
-    p = C.T(spark, d).pages.select("page_id", "url", F.left("url", F.lit(20)).alias("title"))
+    p = C.TW(spark, d).pages.select("page_id", "url", F.left("url", F.lit(20)).alias("title"))
     return PL.flatten_bindings(p, "url", "title", "page_id")

@@ -138,7 +138,7 @@ WHERE (rule_id = 1 AND regexp_matches(text, '(?i)license'))
    OR (rule_id = 5 AND regexp_matches(text, '(?i)^(the|and|der|die|das) '))""",
 )
 def join_regex(spark, d):
-    docs = C.T(spark, d).documents
+    docs = C.TW(spark, d).documents
     return J.regex_rule_join(docs, MAIL_RULES, {"subject": "text", "sender": "source"}, "doc_id")
 
 

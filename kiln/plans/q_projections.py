@@ -57,7 +57,7 @@ FROM names n LEFT JOIN a USING (column_name)"""
 
 @query("prj_infer_types", INFER_SQL)
 def prj_infer_types(spark, d):
-    li = C.T(spark, d).lineitem
+    li = C.TW(spark, d).lineitem
     s = li.select(
         F.col("l_orderkey").cast("string").alias("l_orderkey"),
         F.col("l_quantity").cast("string").alias("l_quantity"),

@@ -23,11 +23,10 @@ def path_to_jsonpath(path: str) -> str:
     return "$" + "".join(f".{p}" for p in path.split(".") if p)
 
 
-def records_at(doc: Column, path: str) -> Column:
-    """ARRAY<VARIANT> of the records found at ``path`` in a parsed document:
+def records_at(node: Column) -> Column:
+    """ARRAY<VARIANT> of the records at an already-extracted path node:
     missing key / non-object on the way -> empty; list -> its elements;
     object or scalar -> a one-element list."""
-    node = F.try_variant_get(doc, path_to_jsonpath(path), "variant")
     as_list = F.try_variant_get(node, "$", "array<variant>")
     empty = F.array().cast("array<variant>")
     return F.when(node.isNull() | F.is_variant_null(node), empty).when(as_list.isNotNull(), as_list).otherwise(F.array(node))
@@ -35,9 +34,15 @@ def records_at(doc: Column, path: str) -> Column:
 
 def extract_path(df: DataFrame, json_col: str, path: str, keep: list[str] | None = None) -> DataFrame:
     """SRC-08: one row per record found at the dotted ``path``; the record is
-    a VARIANT column named ``record``.  Unparseable documents yield no rows."""
-    doc = F.try_parse_json(F.col(json_col))
-    return df.select(*(keep or []), F.explode(records_at(doc, path)).alias(RECORD))
+    a VARIANT column named ``record``.  Unparseable documents yield no rows.
+
+    Parsing, the path walk and the record list are separate projections so
+    each document is parsed exactly once (the optimizer does not duplicate
+    non-trivial expressions across projections)."""
+    keep = keep or []
+    doc = df.select(*keep, F.try_parse_json(F.col(json_col)).alias("_doc"))
+    node = doc.select(*keep, F.try_variant_get("_doc", path_to_jsonpath(path), "variant").alias("_node"))
+    return node.select(*keep, F.explode(records_at(F.col("_node"))).alias(RECORD))
 
 
 def field(name: str, dtype: str = "string", rec: str = RECORD) -> Column:
