@@ -80,7 +80,7 @@ class GenericImport:
             cols = sorted({r[0] for r in df.select(F.explode(F.map_keys("record"))).distinct().collect()})
             df = FS.widen(df, cols).withColumnsRenamed({"file_name": "_file", "row_number": "_pos"})
         elif s.file_type.endswith("_blob"):
-            df = df.withColumns({"_file": F.col("source_file"), "_pos": F.lit(0).cast("long")})
+            df = df.withColumnRenamed("source_file", "_file").withColumn("_pos", F.lit(0).cast("long"))
         return df
 
     # ---- transform: lineage, names, nested -> JSON, audit, strategy

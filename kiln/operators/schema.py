@@ -52,16 +52,18 @@ def infer_types(df: DataFrame, columns: Sequence[str] | None = None) -> DataFram
     pass over all rows (the reference samples the first records; sampling a
     distributed frame is order-dependent, so we look at everything).
 
-    Ladder per column (values are trimmed text; NULL and '' are ignored):
-    only boolean tokens -> BOOLEAN; any non-integral number -> NUMERIC(12,2);
-    any number -> INTEGER, or BIGINT when a plain integer exceeds the INT
-    range; otherwise VARCHAR(50/100/255) or TEXT by the longest value.
+    Ladder per column (NULL and '' are ignored, the rest is trimmed): no
+    values -> TEXT; only boolean tokens -> BOOLEAN; any non-integral number
+    -> NUMERIC(12,2); any number -> INTEGER, or BIGINT when a plain integer
+    exceeds the INT range; otherwise VARCHAR(50/100/255) or TEXT by the
+    longest value.
     """
     cols = list(columns or df.columns)
     aggs = []
     for i, c in enumerate(cols):
-        s = F.trim(F.col(c).cast("string"))
-        present = s.isNotNull() & (s != "")
+        raw = F.col(c).cast("string")
+        s = F.trim(raw)
+        present = raw.isNotNull() & (raw != "")
         is_bool = present & F.lower(s).isin(*BOOL_TOKENS)
         num = F.when(present & ~is_bool, s.try_cast("double"))
         finite = num.isNotNull() & ~F.isnan(num) & (F.abs(num) != F.lit(float("inf")))
@@ -74,6 +76,7 @@ def infer_types(df: DataFrame, columns: Sequence[str] | None = None) -> DataFram
             F.bool_or(is_float).alias(f"f{i}"),
             F.max(plain).alias(f"m{i}"),
             F.max(F.when(present, F.length(s))).alias(f"l{i}"),
+            F.count_if(present).alias(f"n{i}"),
         ]
     stats = df.agg(*aggs)
     rows = []
@@ -81,7 +84,8 @@ def infer_types(df: DataFrame, columns: Sequence[str] | None = None) -> DataFram
         b, n_i, n_f = (F.coalesce(F.col(f"{k}{i}"), F.lit(False)) for k in "bif")
         ln = F.coalesce(F.col(f"l{i}"), F.lit(0))
         typ = (
-            F.when(b & ~n_i & ~n_f, "BOOLEAN")
+            F.when(F.col(f"n{i}") == 0, "TEXT")
+            .when(b & ~n_i & ~n_f, "BOOLEAN")
             .when(n_f, "NUMERIC(12,2)")
             .when(n_i, F.when(F.coalesce(F.col(f"m{i}"), F.lit(0)) > INT_MAX, "BIGINT").otherwise("INTEGER"))
             .when(ln <= 50, "VARCHAR(50)")

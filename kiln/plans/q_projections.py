@@ -29,10 +29,11 @@ WITH s AS (
          CAST(l_extendedprice AS VARCHAR) AS l_extendedprice, l_returnflag,
          CASE WHEN l_returnflag = 'R' THEN 'true' WHEN l_returnflag = 'N' THEN 'f' ELSE '' END AS l_flag,
          CAST(l_shipdate AS VARCHAR) AS l_shipdate, CAST(l_orderkey * 1000000 AS VARCHAR) AS big_key,
-         repeat('x', CAST(l_linenumber * 20 AS INTEGER)) AS l_comment
+         repeat('x', CAST(l_linenumber * 20 AS INTEGER)) AS l_comment,
+         CASE WHEN l_linenumber = 1 THEN '  ' ELSE '' END AS l_blank, '' AS l_empty
   FROM lineitem),
 u AS (UNPIVOT s ON COLUMNS(*) INTO NAME column_name VALUE v),
-t AS (SELECT column_name, trim(v) AS v FROM u WHERE v IS NOT NULL AND trim(v) <> ''),
+t AS (SELECT column_name, trim(v) AS v FROM u WHERE v IS NOT NULL AND v <> ''),
 c AS (SELECT column_name, v,
              lower(v) IN ('true','false','t','f') AS is_bool,
              CASE WHEN lower(v) IN ('true','false','t','f') THEN NULL ELSE TRY_CAST(v AS DOUBLE) END AS num FROM t),
@@ -43,9 +44,11 @@ a AS (SELECT column_name,
              max(CASE WHEN regexp_full_match(v, '-?[0-9]+') THEN abs(CAST(v AS DECIMAL(38,0))) END) AS m,
              max(length(v)) AS l
       FROM c GROUP BY column_name),
-names AS (SELECT unnest(['l_orderkey','l_quantity','l_extendedprice','l_returnflag','l_flag','l_shipdate','big_key','l_comment']) AS column_name)
+names AS (SELECT unnest(['l_orderkey','l_quantity','l_extendedprice','l_returnflag','l_flag','l_shipdate','big_key',
+                         'l_comment','l_blank','l_empty']) AS column_name)
 SELECT n.column_name,
-  CASE WHEN COALESCE(b, FALSE) AND NOT COALESCE(i, FALSE) AND NOT COALESCE(f, FALSE) THEN 'BOOLEAN'
+  CASE WHEN a.column_name IS NULL THEN 'TEXT'
+       WHEN COALESCE(b, FALSE) AND NOT COALESCE(i, FALSE) AND NOT COALESCE(f, FALSE) THEN 'BOOLEAN'
        WHEN COALESCE(f, FALSE) THEN 'NUMERIC(12,2)'
        WHEN COALESCE(i, FALSE) THEN CASE WHEN COALESCE(m, 0) > 2147483647 THEN 'BIGINT' ELSE 'INTEGER' END
        WHEN COALESCE(l, 0) <= 50 THEN 'VARCHAR(50)'
@@ -67,6 +70,8 @@ def prj_infer_types(spark, d):
         F.col("l_shipdate").cast("string").alias("l_shipdate"),
         (F.col("l_orderkey") * 1000000).cast("string").alias("big_key"),
         F.repeat(F.lit("x"), F.col("l_linenumber") * 20).alias("l_comment"),
+        F.when(F.col("l_linenumber") == 1, "  ").otherwise("").alias("l_blank"),
+        F.lit("").alias("l_empty"),
     )
     return P.infer_types(s)
 
