@@ -187,7 +187,7 @@ def export_csv(df: DataFrame, base: str, name: str, ts: str) -> str:
     """SNK-08: one directory per result set, header + rows."""
     path = os.path.join(base, export_name(name, ts))
     (df.write.mode("errorifexists").option("header", True).option("escape", '"')
-     .option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss").csv(path))
+     .option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss").option("timestampFormat", "yyyy-MM-dd HH:mm:ss").csv(path))
     return path
 
 

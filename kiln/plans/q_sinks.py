@@ -151,3 +151,33 @@ def snk_purge_preview(spark, d):
 def snk_purge_kept(spark, d):
     kept, _ = K.purge_split(C.T(spark, d).events, "ts", 20, EA)
     return kept
+
+
+@query(
+    "snk_export_csv",
+    C.with_ctes(
+        C.LOGS_SQL,
+        body="""SELECT CAST(logentryid AS VARCHAR) AS logentryid, strftime("timestamp", '%Y-%m-%d %H:%M:%S') AS "timestamp",
+       processtype, message FROM logs""",
+    ),
+)
+def snk_export_csv(spark, d):
+    lg = C.logs(C.T(spark, d)).select("logentryid", F.date_trunc("second", "timestamp").cast("timestamp_ntz").alias("timestamp"),
+                                      "processtype", "message")
+    base = staging_dir(spark, "export")
+    path = K.export_csv(lg, base, "Log Export: events/all", "20260101_120000")
+    if not path.endswith("Log_Export__events_all_20260101_120000"):
+        raise RuntimeError(f"unexpected export name {path}")
+    return spark.read.option("header", True).option("escape", '"').option("multiLine", True).csv(path)
+
+
+@query(
+    "snk_unprocessed",
+    """SELECT 'order_' || o_orderkey || '.csv' AS file_name FROM orders WHERE o_orderstatus <> 'F'""",
+)
+def snk_unprocessed(spark, d):
+    o = C.T(spark, d).orders
+    landed = o.select(F.concat(F.lit("order_"), "o_orderkey", F.lit(".csv")).alias("file_name"))
+    ledger = o.filter(F.col("o_orderstatus") == "F").select(
+        F.concat(F.lit("order_"), "o_orderkey", F.lit(".csv")).alias("file_name"))
+    return K.unprocessed(landed, ledger)

@@ -14,7 +14,7 @@ import os
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -28,16 +28,20 @@ BINARY_FILE_SCHEMA = "path string, modificationTime timestamp, length long, cont
 
 # ---------------------------------------------------------------- plumbing
 def run_available(df: DataFrame, out_path: str, checkpoint: str, mode: str = "append",
-                  on_batch: Callable[[DataFrame, int], None] | None = None) -> None:
+                  on_batch: Callable[[DataFrame, int, int], None] | None = None) -> None:
     """Run a streaming frame over everything available now, then stop.
 
-    Each micro-batch is written idempotently to ``out_path/batch_id=<n>``.
+    Each micro-batch is written idempotently to ``out_path/batch_id=<n>``;
+    ``on_batch(batch, batch_id, rows)`` gets the row count observed by that
+    same write (no second pass over the batch).
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(os.path.join(out_path, f"batch_id={batch_id}"))
+        obs = Observation(f"batch_{batch_id}")
+        batch.observe(obs, F.count(F.lit(1)).alias("rows")).write.mode("overwrite").parquet(
+            os.path.join(out_path, f"batch_id={batch_id}"))
         if on_batch is not None:
-            on_batch(batch, batch_id)
+            on_batch(batch, batch_id, int(obs.get["rows"]))
 
     q = (df.writeStream.outputMode(mode).option("checkpointLocation", checkpoint)
          .foreachBatch(write).trigger(availableNow=True).start())
@@ -95,10 +99,9 @@ def incremental_import(spark: SparkSession, source: str, schema: T.StructType, f
         r = r.option(k, v)
     stream = transform(r.load(source).withColumn("_source_file", F.col("_metadata.file_name")))
 
-    def after(batch: DataFrame, batch_id: int) -> None:
+    def after(batch: DataFrame, batch_id: int, n: int) -> None:
         if events is None:
             return
-        n = batch.count()
         ev = spark.createDataFrame(
             [(f"{run_id}:{batch_id}", "import_complete", run_id, batch_id, n)],
             "event_key string, event_type string, run_id string, batch_id long, records long",
