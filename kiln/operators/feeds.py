@@ -160,11 +160,14 @@ def guide_sheets(payloads: DataFrame, json_col: str, path: str = "guidesheet.si"
     """FEED-08: only the FIRST object at ``path`` of each document is used;
     its header fields repeat on every element of its ``details``; a document
     whose first object has no publication date yields nothing."""
-    doc = F.try_parse_json(F.col(json_col))
-    node = F.try_variant_get(doc, "$." + path, "variant")
-    first = F.coalesce(F.try_variant_get(node, "$[0]", "variant"), node)
+    # staged projections: each document is parsed once, its first object
+    # extracted once, then its fields read
+    docs = payloads.select(F.try_variant_get(F.try_parse_json(F.col(json_col)), "$." + path, "variant").alias("_node"))
+    node = F.col("_node")
+    firsts = docs.select(F.coalesce(F.try_variant_get(node, "$[0]", "variant"), node).alias("_first"))
+    first = F.col("_first")
     pub_txt = F.try_variant_get(first, "$.reportWeeksFromDate", "string")
-    head = payloads.select(
+    head = firsts.select(
         pub_txt.alias("_pub"),
         F.coalesce(F.try_variant_get(first, "$.title", "string"), F.lit("SI")).alias("guide_type"),
         F.coalesce(F.try_variant_get(first, "$.details", "array<variant>"), F.array().cast("array<variant>")).alias("_d"),

@@ -184,7 +184,9 @@ def feed_treasury(spark, d):
 
 
 def _order_lines(t):
-    return t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    # the fact side is widened for the per-row JSON work; the order side is
+    # read as is (it is joined, not processed row by row)
+    return t.lineitem.join(C.T(t.spark, t.sf_dir).orders, F.col("l_orderkey") == F.col("o_orderkey"))
 
 
 # ------------------------------------------------------------------ FEED-05
