@@ -78,7 +78,7 @@ class GenericImport:
         df = FS.read(spark or self.spark, s.file_type, s.source_directory, **kw)
         if s.file_type == "xlsx":
             cols = sorted({r[0] for r in df.select(F.explode(F.map_keys("record"))).distinct().collect()})
-            df = FS.widen(df, cols).withColumnsRenamed({"file_name": "_file", "row_number": "_pos"})
+            df = FS.widen(df, cols).withColumnsRenamed({"file_name": "_file", "file_path": "_path", "row_number": "_pos"})
         elif s.file_type.endswith("_blob"):
             df = df.withColumnRenamed("source_file", "_file").withColumn("_pos", F.lit(0).cast("long"))
         return df
@@ -87,21 +87,24 @@ class GenericImport:
     def transform(self, df: DataFrame) -> DataFrame:
         s = self.spec
         df = self._label_and_date(df)
-        keep = [c for c in df.columns if c not in ("_file", "_pos", "_label", "_date")]
+        keep = [c for c in df.columns if c not in ("_file", "_path", "_pos", "_label", "_date")]
         names = P.sanitize_columns(df.select(*keep)).columns  # metadata only; raises on collisions
         df = df.select(
             *[F.col(f"`{c}`").alias(n) for c, n in zip(keep, names)],
             F.col("_label").alias("dataset_label"), F.col("_date").alias("file_date"), F.col("_file").alias("source_file"),
+            F.col("_path").alias("_path"),
         )
         df = P.nested_to_json(df)
         df = P.add_audit(df, s.user, s.run_ts)
         if s.target_schema is not None:
+            body = df.drop("_path")
             if s.strategy == 1:
-                df, _ = P.align_auto_add(df, s.target_schema)
+                body, _ = P.align_auto_add(body, s.target_schema)
             elif s.strategy == 2:
-                df = P.align_ignore_extra(df, s.target_schema)
+                body = P.align_ignore_extra(body, s.target_schema)
             else:
-                df = P.align_strict(df, s.target_schema)
+                body = P.align_strict(body, s.target_schema)
+            df = body.withColumn("_path", F.lit(None).cast("string")) if "_path" not in body.columns else body
         return df
 
     def _label_and_date(self, df: DataFrame) -> DataFrame:
@@ -128,8 +131,9 @@ class GenericImport:
         s = self.spec
         # the transform never drops records, so extracted == loaded; files
         # are counted from the lineage column, all in the write's own pass
+        ident = F.coalesce(F.col("_path"), F.col("source_file")) if "source_file" in df.columns else F.col("_path")
         out = stamp_dataset(df, s.dataset_id).observe(
-            self.obs_load, F.count(F.lit(1)).alias("loaded"), F.size(F.collect_set("source_file")).alias("files"))
+            self.obs_load, F.count(F.lit(1)).alias("loaded"), F.size(F.collect_set(ident)).alias("files")).drop("_path")
         if dry_run:
             out.write.format("noop").mode("overwrite").save()
         else:

@@ -97,10 +97,26 @@ def runtime_stats(logs: DataFrame, as_of: str, days: int, ts: str = "timestamp")
 
 
 # ---------------------------------------------------------------- AGG-05/06
-def system_metrics(logs: DataFrame, datasets: DataFrame, configs: DataFrame, as_of: str) -> DataFrame:
+def combine_single_rows(frames: list[DataFrame]) -> DataFrame:
+    """Put single-row aggregates side by side without a join: union them
+    with NULLs for the other frames' columns and take ``max`` per column
+    (each column is non-NULL in exactly one frame)."""
+    types = {}
+    for f in frames:
+        for fld in f.schema.fields:
+            types[fld.name] = fld.dataType
+    parts = [f.select(*[F.col(c) if c in f.columns else F.lit(None).cast(t).alias(c) for c, t in types.items()])
+             for f in frames]
+    u = parts[0]
+    for p in parts[1:]:
+        u = u.unionByName(p)
+    return u.agg(*[F.max(c).alias(c) for c in types])
+
+
+def system_metrics(logs: DataFrame, datasets: DataFrame, configs: DataFrame, as_of: str,
+                   datasets_as_of: str | None = None) -> DataFrame:
     """Six scalars over three tables in one pass per table (plus the count of
-    distinct runs in the last 24 h); the single-row results are cross-joined
-    (1 x 1 x 1 rows, no data multiplication)."""
+    distinct runs in the last 24 h), combined into one row."""
     last24 = F.col("timestamp") >= _since_hours(as_of, 24)
     lg = logs.agg(
         F.count_if(last24).alias("total_logs_24h"),
@@ -112,11 +128,11 @@ def system_metrics(logs: DataFrame, datasets: DataFrame, configs: DataFrame, as_
         F.count_distinct(F.when(last24, F.col("run_uuid"))).alias("runs_24h"),
     )
     ds = datasets.agg(
-        F.count_if(F.col("createddate") >= _since_days(as_of, 30)).alias("total_datasets_30d"),
+        F.count_if(F.col("createddate") >= _since_days(datasets_as_of or as_of, 30)).alias("total_datasets_30d"),
         F.count_if(F.col("isactive")).alias("total_active_datasets"),
     )
     cf = configs.agg(F.count_if(F.col("is_active")).alias("total_active_configs"))
-    return lg.crossJoin(ds).crossJoin(cf)
+    return combine_single_rows([lg, ds, cf])
 
 
 def log_stats(logs: DataFrame, as_of: str, ts: str = "timestamp") -> DataFrame:

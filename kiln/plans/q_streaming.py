@@ -19,16 +19,24 @@ from kiln.sources import files as FS
 from kiln.streaming import streams as S
 
 
-def _land_waves(df: DataFrame, path: str, wave: str, fmt: str = "parquet", **opts) -> list:
-    """Write ``df`` as one folder per value of ``wave``, in ascending order
-    and in separate jobs, so a file stream sees them as successive arrivals."""
+def _land_waves(df: DataFrame, path: str, wave: str, fmt: str = "parquet", ordered: bool = False, **opts) -> None:
+    """Land ``df`` as one folder per value of ``wave`` (a file stream then
+    sees several files and runs several micro-batches).  With ``ordered``
+    the waves are written in ascending order by separate jobs, so their
+    arrival (modification) order is the wave order; otherwise one
+    partitioned write lands them all in a single pass."""
+    if not ordered:
+        w = df.write.mode("overwrite").partitionBy(wave)
+        for k, o in opts.items():
+            w = w.option(k, o)
+        w.format(fmt).save(path)
+        return
     values = sorted(r[0] for r in df.select(wave).distinct().collect())
     for v in values:
         w = df.filter(F.col(wave) == F.lit(v)).drop(wave).write.mode("overwrite")
         for k, o in opts.items():
             w = w.option(k, o)
-        w.format(fmt).save(os.path.join(path, f"wave={v}"))
-    return values
+        w.format(fmt).save(os.path.join(path, f"{wave}={v}"))
 
 
 def _events_stream(spark, d, name, per_trigger=2):
@@ -60,7 +68,8 @@ def _transitions(e):
 def _lifecycle_output(spark, d):
     src = staging_dir(spark, "transitions")
     tr = _transitions(C.T(spark, d).events)
-    _land_waves(tr.withColumn("_wave", F.col("seq")), src, "_wave")
+    # transitions of one event must arrive in order: seq 1 files first
+    _land_waves(tr.withColumn("_wave", F.col("seq")), src, "_wave", ordered=True)
     stream = spark.readStream.schema(tr.schema).option("recursiveFileLookup", True).parquet(src)
     out, ckpt = staging_dir(spark, "lifecycle_out"), staging_dir(spark, "lifecycle_ckpt")
     S.run_available(S.event_lifecycle(stream), out, ckpt, mode="update")

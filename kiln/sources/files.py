@@ -28,7 +28,8 @@ def _anchored(pattern: str | None) -> str | None:
 
 def _with_lineage(df: DataFrame, pattern: str | None) -> DataFrame:
     out = df.withColumns(
-        {"_file": F.col("_metadata.file_name"), "_pos": F.monotonically_increasing_id()}
+        {"_file": F.col("_metadata.file_name"), "_path": F.col("_metadata.file_path"),
+         "_pos": F.monotonically_increasing_id()}
     )
     p = _anchored(pattern)
     return out.filter(F.col("_file").rlike(p)) if p else out
@@ -58,7 +59,7 @@ def scan_blob(spark: SparkSession, path: str, pattern: str | None = None) -> Dat
     """SRC-03/SRC-05: one row per file: (raw_data, source_file)."""
     df = spark.read.text(path, wholetext=True)
     df = _with_lineage(df, pattern)
-    return df.select(F.col("value").alias("raw_data"), F.col("_file").alias("source_file"))
+    return df.select(F.col("value").alias("raw_data"), F.col("_file").alias("source_file"), "_path")
 
 
 def scan_json_blob(spark: SparkSession, path: str, pattern: str | None = None) -> DataFrame:
@@ -76,11 +77,11 @@ def scan_xml_records(spark: SparkSession, path: str, row_tag: str, pattern: str
     if schema is not None:
         r = r.schema(schema)
     df = _with_lineage(r.load(path), pattern)
-    data_cols = [c for c in df.columns if c not in ("_file", "_pos") and not c.startswith("_attr_")]
+    data_cols = [c for c in df.columns if c not in ("_file", "_path", "_pos") and not c.startswith("_attr_")]
     any_value = F.lit(False)
     for c in data_cols:
         any_value = any_value | (F.coalesce(F.trim(F.col(c).cast("string")), F.lit("")) != "")
-    return df.select(*data_cols, "_file", "_pos").filter(any_value)
+    return df.select(*data_cols, "_file", "_path", "_pos").filter(any_value)
 
 
 def scan_xml_blob(spark: SparkSession, path: str, row_tag: str | None = None, pattern: str | None = None) -> DataFrame:
@@ -142,7 +143,7 @@ def scan_json_logs(spark: SparkSession, path: str) -> DataFrame:
 
 
 # ---------------------------------------------------------------- SRC-06
-XLSX_SCHEMA = "file_name string, row_number long, record map<string,string>"
+XLSX_SCHEMA = "file_path string, row_number long, record map<string,string>"
 _NS = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 _REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
 
@@ -214,10 +215,10 @@ def _xlsx_records(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 rec = {header[i]: (r[i] if i < len(r) else None) for i in range(len(header))}
                 if all(v in (None, "") for v in rec.values()):
                     continue
-                out_f.append(path.rsplit("/", 1)[-1])
+                out_f.append(path)
                 out_n.append(n)
                 out_r.append(rec)
-        yield pd.DataFrame({"file_name": out_f, "row_number": out_n, "record": out_r})
+        yield pd.DataFrame({"file_path": out_f, "row_number": out_n, "record": out_r})
 
 
 def scan_xlsx(spark: SparkSession, path: str, pattern: str | None = None) -> DataFrame:
@@ -229,7 +230,8 @@ def scan_xlsx(spark: SparkSession, path: str, pattern: str | None = None) -> Dat
     p = _anchored(pattern)
     if p:
         files = files.filter(F.regexp_extract("path", r"([^/]*)$", 1).rlike(p))
-    return files.select("path", "content").mapInPandas(_xlsx_records, XLSX_SCHEMA)
+    recs = files.select("path", "content").mapInPandas(_xlsx_records, XLSX_SCHEMA)
+    return recs.withColumn("file_name", F.regexp_extract("file_path", r"([^/]*)$", 1))
 
 
 def widen(records: DataFrame, columns: list[str], map_col: str = "record") -> DataFrame:
@@ -262,9 +264,10 @@ def read(spark: SparkSession, file_type: str, path: str, **kw) -> DataFrame:
     return reader(spark, path, **kw)
 
 
-def with_first_record_value(df: DataFrame, column: str, out: str, file_col: str = "_file", pos_col: str = "_pos") -> DataFrame:
+def with_first_record_value(df: DataFrame, column: str, out: str, file_col: str = "_path", pos_col: str = "_pos") -> DataFrame:
     """PRJ-09/10 "file content" mode: every row gets ``column`` of the first
-    record of its file.  The first record is a per-file ``min_by`` over the
+    record of its file (files are told apart by full path: partitioned
+    writers reuse one file name in every folder).  The first record is a per-file ``min_by`` over the
     record position (partial aggregation, one row per file), joined back."""
     firsts = df.groupBy(file_col).agg(F.min_by(F.col(column), F.col(pos_col)).alias(out))
     return df.join(firsts, file_col, "left")
