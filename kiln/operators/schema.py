@@ -59,35 +59,43 @@ def infer_types(df: DataFrame, columns: Sequence[str] | None = None) -> DataFram
     longest value.
     """
     cols = list(columns or df.columns)
+    # stage 1: trimmed text and presence; stage 2: the per-value tests;
+    # then one aggregate of plain boolean / numeric columns (each value is
+    # parsed once, and no test is re-derived inside the aggregate)
+    st1 = df.select(*[x for i, c in enumerate(cols) for x in (
+        F.trim(F.col(c).cast("string")).alias(f"s{i}"),
+        (F.col(c).isNotNull() & (F.col(c).cast("string") != "")).alias(f"p{i}"))])
+    st2 = st1.select(*[x for i in range(len(cols)) for x in (
+        F.col(f"p{i}").alias(f"p{i}"),
+        (F.col(f"p{i}") & F.lower(f"s{i}").isin(*BOOL_TOKENS)).alias(f"b{i}"),
+        F.when(F.col(f"p{i}"), F.length(f"s{i}")).alias(f"l{i}"),
+        (F.col(f"p{i}") & F.col(f"s{i}").rlike(r"^-?[0-9]+$")).alias(f"d{i}"),
+        F.when(F.col(f"p{i}") & ~F.lower(f"s{i}").isin(*BOOL_TOKENS), F.col(f"s{i}").try_cast("double")).alias(f"v{i}"))])
     aggs = []
-    for i, c in enumerate(cols):
-        raw = F.col(c).cast("string")
-        s = F.trim(raw)
-        present = raw.isNotNull() & (raw != "")
-        is_bool = present & F.lower(s).isin(*BOOL_TOKENS)
-        num = F.when(present & ~is_bool, s.try_cast("double"))
+    for i in range(len(cols)):
+        num = F.col(f"v{i}")
         finite = num.isNotNull() & ~F.isnan(num) & (F.abs(num) != F.lit(float("inf")))
         is_int = finite & (num == F.floor(num))
-        is_float = (num.isNotNull() & ~is_int)
-        plain = F.when(s.rlike(r"^-?[0-9]+$"), F.abs(s.try_cast("decimal(38,0)")))
         aggs += [
-            F.bool_or(is_bool).alias(f"b{i}"),
+            F.bool_or(F.col(f"b{i}")).alias(f"b{i}"),
             F.bool_or(is_int).alias(f"i{i}"),
-            F.bool_or(is_float).alias(f"f{i}"),
-            F.max(plain).alias(f"m{i}"),
-            F.max(F.when(present, F.length(s))).alias(f"l{i}"),
-            F.count_if(present).alias(f"n{i}"),
+            F.bool_or(num.isNotNull() & ~is_int).alias(f"f{i}"),
+            # a plain integer beyond the INT range (the double is exact up to
+            # 2^53 and certainly larger than INT_MAX beyond it)
+            F.bool_or(F.col(f"d{i}") & (F.abs(num) > INT_MAX)).alias(f"m{i}"),
+            F.max(f"l{i}").alias(f"l{i}"),
+            F.count_if(F.col(f"p{i}")).alias(f"n{i}"),
         ]
-    stats = df.agg(*aggs)
+    stats = st2.agg(*aggs)
     rows = []
     for i, c in enumerate(cols):
-        b, n_i, n_f = (F.coalesce(F.col(f"{k}{i}"), F.lit(False)) for k in "bif")
+        b, n_i, n_f, big = (F.coalesce(F.col(f"{k}{i}"), F.lit(False)) for k in "bifm")
         ln = F.coalesce(F.col(f"l{i}"), F.lit(0))
         typ = (
             F.when(F.col(f"n{i}") == 0, "TEXT")
             .when(b & ~n_i & ~n_f, "BOOLEAN")
             .when(n_f, "NUMERIC(12,2)")
-            .when(n_i, F.when(F.coalesce(F.col(f"m{i}"), F.lit(0)) > INT_MAX, "BIGINT").otherwise("INTEGER"))
+            .when(n_i, F.when(big, "BIGINT").otherwise("INTEGER"))
             .when(ln <= 50, "VARCHAR(50)")
             .when(ln <= 100, "VARCHAR(100)")
             .when(ln <= 255, "VARCHAR(255)")
