@@ -51,7 +51,7 @@ def win_active_dataset(spark, d):
         body="""
 SELECT *, CASE WHEN effthru > TIMESTAMP '1998-06-01' THEN 'Current' ELSE 'Expired' END AS validity,
        CASE WHEN isactive THEN 'Yes' ELSE 'No' END AS active_text,
-       date_diff('day', datasetdate, DATE '1998-06-01') AS age_days
+       CAST(date_diff('day', datasetdate, DATE '1998-06-01') AS INTEGER) AS age_days
 FROM resolved WHERE efffrom <= TIMESTAMP '1998-06-01' AND TIMESTAMP '1998-06-01' <= effthru""",
     ),
 )
@@ -77,7 +77,7 @@ j AS (SELECT d.datasetid, d.label, d.datasettype, d.datasource, oc.outcome,
 SELECT *, CASE WHEN error IS NOT NULL THEN 'Error' WHEN outcome IS NULL THEN 'New'
                WHEN outcome = 'failed' THEN 'Failed' ELSE 'Active' END AS status
 FROM j""",
-    ).replace("FROM lineitem)\n\n,", "FROM lineitem),"),
+    ),
 )
 def win_lifecycle(spark, d):
     t = C.T(spark, d)

@@ -196,8 +196,8 @@ def _order_lines(t):
 SELECT COALESCE(CASE WHEN o_orderstatus = 'P' THEN NULL ELSE CAST(o_orderdate AS DATE) END,
                 CAST(o_orderdate + INTERVAL 1 DAY AS DATE)) AS swap_date,
        c_name AS counterparty, upper(left(n_name, 3)) AS currency_code, CAST(l_shipdate AS DATE) AS maturity_date,
-       date_diff('day', COALESCE(CASE WHEN o_orderstatus = 'P' THEN NULL ELSE CAST(o_orderdate AS DATE) END,
-                                 CAST(o_orderdate + INTERVAL 1 DAY AS DATE)), CAST(l_shipdate AS DATE)) AS term_days,
+       CAST(date_diff('day', COALESCE(CASE WHEN o_orderstatus = 'P' THEN NULL ELSE CAST(o_orderdate AS DATE) END,
+                                 CAST(o_orderdate + INTERVAL 1 DAY AS DATE)), CAST(l_shipdate AS DATE)) AS INTEGER) AS term_days,
        CAST(l_extendedprice AS DECIMAL(20,2)) AS usd_amount, CAST(l_extendedprice + 1000 AS DECIMAL(20,2)) AS foreign_currency_amount,
        CAST(1 + l_discount AS DECIMAL(15,6)) AS exchange_rate
 FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey""",
@@ -229,7 +229,7 @@ def feed_fx_swaps(spark, d):
     """
 SELECT CAST(o_orderdate AS DATE) AS operation_date, 'Lending' AS operation_type, lpad(CAST(l_partkey AS VARCHAR), 9, '0') AS cusip,
        'part ' || l_partkey AS security_description, CAST(o_orderdate AS DATE) AS loan_date, CAST(l_shipdate AS DATE) AS return_date,
-       date_diff('day', CAST(o_orderdate AS DATE), CAST(l_shipdate AS DATE)) AS term_days,
+       CAST(date_diff('day', CAST(o_orderdate AS DATE), CAST(l_shipdate AS DATE)) AS INTEGER) AS term_days,
        CAST(CASE WHEN l_returnflag = 'A' THEN l_extendedprice - l_quantity ELSE l_extendedprice END AS DECIMAL(20,2)) AS par_amount,
        CAST(l_tax AS DECIMAL(10,4)) AS fee_rate, o_orderstatus AS operation_status
 FROM lineitem JOIN orders ON l_orderkey = o_orderkey""",

@@ -62,7 +62,7 @@ def scl_safe_num(spark, d):
 @query(
     "scl_term_days",
     """
-SELECT l_orderkey, l_linenumber, date_diff('day', CAST(o_orderdate AS DATE), CAST(l_shipdate AS DATE)) AS term_days
+SELECT l_orderkey, l_linenumber, CAST(date_diff('day', CAST(o_orderdate AS DATE), CAST(l_shipdate AS DATE)) AS INTEGER) AS term_days
 FROM lineitem JOIN orders ON l_orderkey = o_orderkey""",
 )
 def scl_term_days(spark, d):

@@ -102,7 +102,11 @@ def main():
             continue
         if sr == dr:
             ok += 1
-            print(f"OK   {k}: {len(sr)} rows ({ts:.1f}s)")
+            st_types = {f.name: str(f.type) for f in st.schema}
+            du_types = {f.name: str(f.type) for f in dtab.schema}
+            tdiff = {c: (st_types[c], du_types[c]) for c in st_types if st_types[c] != du_types.get(c)}
+            note = f" TYPES {tdiff}" if tdiff else ""
+            print(f"OK   {k}: {len(sr)} rows ({ts:.1f}s){note}")
             continue
         _, sa = rows_of(st, True)
         _, da = rows_of(dtab, True)
