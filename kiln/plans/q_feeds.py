@@ -195,7 +195,7 @@ def _order_lines(t):
     """
 SELECT COALESCE(CASE WHEN o_orderstatus = 'P' THEN NULL ELSE CAST(o_orderdate AS DATE) END,
                 CAST(o_orderdate + INTERVAL 1 DAY AS DATE)) AS swap_date,
-       c_name AS counterparty, upper(left(n_name, 3)) AS currency_code, CAST(l_shipdate AS DATE) AS maturity_date,
+       c_name AS counterparty, 'C' || lpad(CAST(n_nationkey AS VARCHAR), 2, '0') AS currency_code, CAST(l_shipdate AS DATE) AS maturity_date,
        CAST(date_diff('day', COALESCE(CASE WHEN o_orderstatus = 'P' THEN NULL ELSE CAST(o_orderdate AS DATE) END,
                                  CAST(o_orderdate + INTERVAL 1 DAY AS DATE)), CAST(l_shipdate AS DATE)) AS INTEGER) AS term_days,
        CAST(l_extendedprice AS DECIMAL(20,2)) AS usd_amount, CAST(l_extendedprice + 1000 AS DECIMAL(20,2)) AS foreign_currency_amount,
@@ -204,10 +204,10 @@ FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey
 )
 def feed_fx_swaps(spark, d):
     t = C.TW(spark, d)
-    dims = t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "c_name", "n_name")
+    dims = t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "c_name", "n_nationkey")
     j = _order_lines(t).join(bounded_broadcast(dims, 1_000_000), F.col("o_custkey") == F.col("c_custkey"))
     partial = F.col("o_orderstatus") == "P"
-    ccy = F.upper(F.left("n_name", F.lit(3)))
+    ccy = F.concat(F.lit("C"), F.lpad(F.col("n_nationkey").cast("string"), 2, "0"))
     payload = _doc(
         "fxSwaps.operations",
         F.when(partial, F.lit("")).otherwise(_d("o_orderdate")).alias("swapDate"),
@@ -544,9 +544,10 @@ def src_search(spark, d):
     "src_bindings",
     """
 SELECT id, arg_min(title, page_id) AS title FROM (
-  SELECT page_id, regexp_extract(rtrim(url, '/'), '[^/]*$') AS id, left(url, 20) AS title FROM pages)
+  SELECT page_id, regexp_extract(rtrim(url, '/'), '[^/]*$') AS id,
+         regexp_extract(html, '(?s)<title>(.*?)</title>', 1) AS title FROM pages)
 GROUP BY id""",
 )
 def src_bindings(spark, d):
-    p = C.TW(spark, d).pages.select("page_id", "url", F.left("url", F.lit(20)).alias("title"))
+    p = C.TW(spark, d).pages.select("page_id", "url", F.regexp_extract("html", r"(?s)<title>(.*?)</title>", 1).alias("title"))
     return PL.flatten_bindings(p, "url", "title", "page_id")

@@ -211,12 +211,12 @@ def _messages(t):
     c = t.conversations
     return c.select(
         (F.col("conv_id") * 1000 + F.col("turn")).alias("message_id"),
-        F.left("text", F.lit(60)).alias("subject"),
+        F.col("text").alias("subject"),
         F.col("role").alias("sender"),
     )
 
 
-MESSAGES_SQL = """messages AS (SELECT conv_id * 1000 + turn AS message_id, left(text, 60) AS subject, role AS sender
+MESSAGES_SQL = """messages AS (SELECT conv_id * 1000 + turn AS message_id, text AS subject, role AS sender
                     FROM conversations)"""
 
 # fixed values: rules routing conversation messages

@@ -95,13 +95,13 @@ def prj_blob_type(spark, d):
 
 
 def _strategy_source(t):
-    return t.customer.select("c_custkey", "c_name", "c_mktsegment", F.upper(F.left("c_mktsegment", F.lit(3))).alias("segment_code"))
+    return t.customer.select("c_custkey", "c_name", "c_mktsegment", F.lower("c_mktsegment").alias("segment_code"))
 
 
 @query(
     "prj_strategy1",
     """SELECT c_custkey, c_name, CAST(NULL AS INTEGER) AS c_nationkey, CAST(NULL AS DOUBLE) AS c_acctbal, c_mktsegment,
-              upper(left(c_mktsegment, 3)) AS segment_code FROM customer""",
+              lower(c_mktsegment) AS segment_code FROM customer""",
 )
 def prj_strategy1(spark, d):
     t = C.T(spark, d)
@@ -250,16 +250,16 @@ def prj_optional_filters(spark, d):
 SELECT c.c_custkey, COALESCE(ch.c_name, c.c_name) AS c_name, c.c_nationkey,
        COALESCE(ch.c_acctbal, c.c_acctbal) AS c_acctbal, c.c_mktsegment
 FROM customer c LEFT JOIN (
-  SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN upper(c_name) END AS c_name,
-         CASE WHEN c_custkey % 3 = 0 THEN c_acctbal + 100 END AS c_acctbal FROM customer WHERE c_custkey % 5 <> 4) ch
+  SELECT c_custkey, CASE WHEN c_acctbal > 5000 THEN upper(c_name) END AS c_name,
+         CASE WHEN c_nationkey < 10 THEN c_acctbal + 100 END AS c_acctbal FROM customer WHERE c_mktsegment <> 'AUTOMOBILE') ch
 ON ch.c_custkey = c.c_custkey""",
 )
 def prj_patch(spark, d):
     c = C.T(spark, d).customer
-    changes = c.filter(F.col("c_custkey") % 5 != 4).select(
+    changes = c.filter(F.col("c_mktsegment") != "AUTOMOBILE").select(
         "c_custkey",
-        F.when(F.col("c_custkey") % 2 == 0, F.upper("c_name")).alias("c_name"),
-        F.when(F.col("c_custkey") % 3 == 0, F.col("c_acctbal") + 100).alias("c_acctbal"),
+        F.when(F.col("c_acctbal") > 5000, F.upper("c_name")).alias("c_name"),
+        F.when(F.col("c_nationkey") < 10, F.col("c_acctbal") + 100).alias("c_acctbal"),
     )
     return P.patch(c, changes, "c_custkey")
 

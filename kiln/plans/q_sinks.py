@@ -29,9 +29,9 @@ def snk_append(spark, d):
 UPSERT_SQL = """
 WITH src AS (
   SELECT c_custkey, c_name, c_nationkey, c_acctbal + 1 AS c_acctbal, upper(c_mktsegment) AS c_mktsegment
-  FROM customer WHERE c_custkey % 2 = 0
+  FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY')
   UNION ALL
-  SELECT c_custkey + 1000000, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer WHERE c_custkey % 3 = 0)
+  SELECT c_custkey + 1000000, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer WHERE c_acctbal < 0)
 SELECT COALESCE(t.c_custkey, s.c_custkey) AS c_custkey,
        CASE WHEN s.c_custkey IS NOT NULL THEN s.c_name ELSE t.c_name END AS c_name,
        COALESCE(t.c_nationkey, s.c_nationkey) AS c_nationkey,
@@ -41,10 +41,10 @@ FROM customer t FULL OUTER JOIN src s ON t.c_custkey = s.c_custkey"""
 
 
 def _upsert_source(c):
-    changed = c.filter(F.col("c_custkey") % 2 == 0).select(
+    changed = c.filter(F.col("c_mktsegment").isin("BUILDING", "MACHINERY")).select(
         "c_custkey", "c_name", "c_nationkey", (F.col("c_acctbal") + 1).alias("c_acctbal"),
         F.upper("c_mktsegment").alias("c_mktsegment"))
-    new = c.filter(F.col("c_custkey") % 3 == 0).select(
+    new = c.filter(F.col("c_acctbal") < 0).select(
         (F.col("c_custkey") + 1000000).alias("c_custkey"), "c_name", "c_nationkey", "c_acctbal", "c_mktsegment")
     return changed.unionByName(new)
 
@@ -62,9 +62,9 @@ def snk_upsert(spark, d):
     """
 SELECT s.* FROM (
   SELECT c_custkey, c_name, c_nationkey, c_acctbal + 1 AS c_acctbal, upper(c_mktsegment) AS c_mktsegment
-  FROM customer WHERE c_custkey % 2 = 0
+  FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY')
   UNION ALL
-  SELECT c_custkey + 1000000, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer WHERE c_custkey % 3 = 0) s
+  SELECT c_custkey + 1000000, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer WHERE c_acctbal < 0) s
 WHERE s.c_custkey NOT IN (SELECT c_custkey FROM customer)""",
 )
 def snk_insert_ignore(spark, d):

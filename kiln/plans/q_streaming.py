@@ -286,7 +286,7 @@ INBOX_RULES = [
 @query(
     "str_inbox",
     """
-WITH m AS (SELECT conv_id * 1000 + turn AS message_id, left(text, 60) AS subject, role AS sender FROM conversations),
+WITH m AS (SELECT conv_id * 1000 + turn AS message_id, text AS subject, role AS sender FROM conversations),
 h AS (SELECT message_id,
         list_filter([CASE WHEN regexp_matches(subject, '(?i)^(the|and|le|la|et) ') THEN 1 END,
                      CASE WHEN regexp_matches(sender, '(?i)^(system|assistant)$') THEN 2 END,
@@ -299,7 +299,7 @@ def str_inbox(spark, d):
     c = C.T(spark, d).conversations
     msgs = c.select(
         (F.col("conv_id") * 1000 + F.col("turn")).alias("message_id"),
-        F.left("text", F.lit(60)).alias("subject"),
+        F.col("text").alias("subject"),
         F.col("role").alias("sender"),
         (F.col("conv_id") % 4).alias("_wave"),
     )
