@@ -32,10 +32,12 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     shuffle is added.  Reading the partition count plans the scan only; no
     job runs.
     """
-    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < target:
-        return df.repartition(target)
-    return df
+    try:
+        target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+        current = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - e.g. a Spark Connect session has no RDD view; leave the scan as is
+        return df
+    return df.repartition(target) if current < target else df
 
 
 def register_views(spark: SparkSession, sf_dir: str) -> None:
