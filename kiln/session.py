@@ -20,7 +20,7 @@ _DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
-    "spark.sql.shuffle.partitions": "8",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
@@ -29,11 +29,20 @@ _DEFAULTS = {
 
 
 def get_session(master: str | None = None, app: str = "kiln", **conf: str) -> SparkSession:
-    """Return (or build) a session with UTC time, ANSI mode and AQE on."""
+    """Return (or build) a session with UTC time, ANSI mode and AQE on.
+
+    Shuffle width is left to the cluster's configuration (AQE coalesces
+    small partitions and splits skewed ones at run time); only a local
+    master gets one shuffle partition per core.
+    """
     builder = SparkSession.builder.appName(app)
+    settings = dict(_DEFAULTS)
     if master:
         builder = builder.master(master)
-    for k, v in {**_DEFAULTS, **conf}.items():
+        if master.startswith("local"):
+            cores = master[master.find("[") + 1:-1] if "[" in master else "1"
+            settings["spark.sql.shuffle.partitions"] = str(os.cpu_count() if cores == "*" else cores)
+    for k, v in {**settings, **conf}.items():
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")

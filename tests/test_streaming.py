@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import os
 
-
 from pyspark.sql import functions as F
 
 from kiln.session import staging_dir
