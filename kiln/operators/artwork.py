@@ -237,9 +237,12 @@ def provenance_chain(df: DataFrame, json_col: str, keep: list[str]) -> DataFrame
     One output row per pair, exploded from the row's own array."""
     meta = F.from_json(F.col(json_col), "struct<metadata: array<struct<label: string, value: variant>>>")
     staged = df.select(*keep, meta.alias("_doc"))
-    staged = staged.select(*keep, metadata_items(F.col("_doc.metadata")).alias("_items"))
+    # only the 'Provenance' items are normalised (a manifest has many others)
+    prov = F.filter(F.coalesce(F.col("_doc.metadata"), F.array().cast("array<struct<label: string, value: variant>>")),
+                    lambda x: F.trim(F.coalesce(x["label"], F.lit(""))) == "Provenance")
+    staged = staged.select(*keep, metadata_items(prov).alias("_items"))
     staged = staged.select(*keep, F.transform(
-        F.filter("_items", lambda x: (x["label"] == "Provenance") & x["value"].isNotNull()), lambda x: x["value"]
+        F.filter("_items", lambda x: x["value"].isNotNull()), lambda x: x["value"]
     ).alias("_entries"))
     df = staged
     entries = F.col("_entries")
