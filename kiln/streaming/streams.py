@@ -147,43 +147,65 @@ TRANSITIONS = {
 }
 
 
-def _fold(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Apply one key's new transitions (ordered by seq) to its state."""
-    rows = pd.concat(list(pdfs)).sort_values("seq")
-    if state.exists:
-        status, retries, processed, completed, version = state.get
-    else:
-        first = rows["retry_count"].iloc[0]
-        status, retries, processed, completed, version = "pending", 0 if pd.isna(first) else int(first), None, None, 0
-    out = []
-    for action, ts in zip(rows["action"], rows["ts"]):
-        allowed, new = TRANSITIONS.get(action, (set(), None))
-        ts = None if pd.isna(ts) else ts.to_pydatetime() if hasattr(ts, "to_pydatetime") else ts
-        if status not in allowed:
-            out.append((key[0], status, retries, processed, completed, version, action))
-            continue
-        if new == "processing" and processed is None:
-            processed = ts
-        if new in ("completed", "failed", "cancelled"):
-            completed = ts
-        if new == "failed":
-            retries += 1
-        status = new
-        version += 1
-    state.update((status, retries, processed, completed, version))
-    out.append((key[0], status, retries, processed, completed, version, None))
-    yield pd.DataFrame(out, columns=["event_id", "status", "retry_count", "processed_at", "completed_at", "version",
-                                     "illegal_action"])
-
-
-def event_lifecycle(transitions: DataFrame) -> DataFrame:
+TERMINAL = ("completed", "cancelled")
+
+
+def _make_fold(ttl_ms: int | None):
+    def fold(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        """Apply one key's new transitions (ordered by seq) to its state."""
+        if state.hasTimedOut:  # a terminal event past its retention: forget it
+            state.remove()
+            return
+        rows = pd.concat(list(pdfs)).sort_values("seq")
+        if state.exists:
+            status, retries, processed, completed, version = state.get
+        else:
+            first = rows["retry_count"].iloc[0]
+            status, retries, processed, completed, version = "pending", 0 if pd.isna(first) else int(first), None, None, 0
+        out = []
+        for action, ts in zip(rows["action"], rows["ts"]):
+            allowed, new = TRANSITIONS.get(action, (set(), None))
+            ts = None if pd.isna(ts) else ts.to_pydatetime() if hasattr(ts, "to_pydatetime") else ts
+            if status not in allowed:
+                out.append((key[0], status, retries, processed, completed, version, action))
+                continue
+            if new == "processing" and processed is None:
+                processed = ts
+            if new in ("completed", "failed", "cancelled"):
+                completed = ts
+            if new == "failed":
+                retries += 1
+            status = new
+            version += 1
+        state.update((status, retries, processed, completed, version))
+        if ttl_ms is not None and status in TERMINAL:
+            last = pd.Timestamp(rows["_wts"].max())
+            state.setTimeoutTimestamp(int(last.timestamp() * 1000) + ttl_ms)
+        out.append((key[0], status, retries, processed, completed, version, None))
+        yield pd.DataFrame(out, columns=["event_id", "status", "retry_count", "processed_at", "completed_at", "version",
+                                         "illegal_action"])
+
+    return fold
+
+
+def event_lifecycle(transitions: DataFrame, state_ttl_ms: int | None = None, watermark: str | None = None) -> DataFrame:
     """STR-03: keyed state over a stream of transitions
     (event_id, seq, action, ts, retry_count) -> state rows in update mode,
     plus one row per illegal transition (``illegal_action`` set), which is
-    ignored by the state."""
-    return transitions.groupBy("event_id").applyInPandasWithState(
-        _fold, STATE_OUT_SCHEMA, STATE_SCHEMA, "update", GroupStateTimeout.NoTimeout
-    )
+    ignored by the state.
+
+    By default late transitions are always accepted and state is kept (as
+    the reference's queue table keeps every event).  With ``state_ttl_ms``
+    the state of a completed/cancelled event is dropped once the event-time
+    watermark (``watermark`` delay) passes its last transition + TTL, which
+    bounds the state store by the live events."""
+    t = transitions.withColumn("_wts", F.col("ts").cast("timestamp"))
+    if state_ttl_ms is None:
+        return t.groupBy("event_id").applyInPandasWithState(
+            _make_fold(None), STATE_OUT_SCHEMA, STATE_SCHEMA, "update", GroupStateTimeout.NoTimeout)
+    t = t.withWatermark("_wts", watermark or "1 hour")
+    return t.groupBy("event_id").applyInPandasWithState(
+        _make_fold(state_ttl_ms), STATE_OUT_SCHEMA, STATE_SCHEMA, "update", GroupStateTimeout.EventTimeTimeout)
 
 
 # ---------------------------------------------------------------- STR-04/05

@@ -64,3 +64,28 @@ def test_continuous_log_stream(spark):
     rows = {r.message: r for r in spark.read.parquet(out).collect()}
     assert rows["start"].run_uuid == "system" and rows["start"].processtype == "job"
     assert rows["boom"].run_uuid == "r1" and rows["boom"].stepruntime == 1.5
+
+
+def test_event_state_ttl_forgets_finished_events(spark):
+    """With a TTL, a cancelled event's state is dropped once the watermark
+    passes; a later transition for the same id then starts from pending."""
+    import datetime as dt
+
+    src, out, ckpt = staging_dir(spark, "t_src"), staging_dir(spark, "t_out"), staging_dir(spark, "t_ckpt")
+    schema = "event_id long, seq long, action string, ts timestamp_ntz, retry_count int"
+    t0 = dt.datetime(2024, 1, 1)
+    waves = [
+        [(1, 1, "cancel", t0, 0), (2, 1, "process", t0, 0)],
+        [(3, 1, "process", t0 + dt.timedelta(days=3), 0)],  # moves the watermark far past event 1
+        [(1, 2, "process", t0 + dt.timedelta(days=3, minutes=1), 0)],
+    ]
+    for i, rows in enumerate(waves):
+        spark.createDataFrame(rows, schema).write.mode("overwrite").parquet(os.path.join(src, f"w={i}"))
+
+        stream = spark.readStream.schema(schema).option("recursiveFileLookup", True).parquet(src)
+        S.run_available(S.event_lifecycle(stream, state_ttl_ms=3600 * 1000, watermark="1 hour"), out, ckpt,
+                        mode="update")
+    final = S.latest_per_key(S.read_batches(spark, out).filter(F.col("illegal_action").isNull()),
+                             ["event_id"], ["batch_id", "version"])
+    got = {r.event_id: r.status for r in final.collect()}
+    assert got == {1: "processing", 2: "processing", 3: "processing"}
