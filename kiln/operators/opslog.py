@@ -324,6 +324,24 @@ def page(df: DataFrame, order: list[Column], offset: int, size: int) -> DataFram
     return df.orderBy(*order).offset(offset).limit(size)
 
 
+def keyset_page(df: DataFrame, order: list[tuple[str, bool]], after: tuple | None, size: int) -> DataFrame:
+    """TOP-02 for deep pages: the next ``size`` rows strictly after the
+    last row of the previous page (``after`` = its sort-key values), so no
+    OFFSET rows are produced and thrown away.  ``order`` is a list of
+    (column, descending) pairs ending in a unique column."""
+    if after is not None:
+        cond = None
+        for i, (c, desc) in enumerate(order):
+            beyond = F.col(c) < F.lit(after[i]) if desc else F.col(c) > F.lit(after[i])
+            prefix_eq = [F.col(order[j][0]) == F.lit(after[j]) for j in range(i)]
+            term = beyond
+            for e in prefix_eq:
+                term = term & e
+            cond = term if cond is None else cond | term
+        df = df.filter(cond)
+    return df.orderBy(*[F.col(c).desc() if d else F.col(c).asc() for c, d in order]).limit(size)
+
+
 def queue_pick(queue: DataFrame, batch: int = 10) -> DataFrame:
     """TOP-03: pending events with retries left, by (priority, created)."""
     return (

@@ -20,6 +20,9 @@ def con(small_dir):
 @pytest.mark.parametrize("key", KEYS)
 def test_query_matches_oracle(spark, small_dir, con, key):
     df = QUERIES[key](spark, small_dir)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    # scale guard: no query may pair rows all-against-all
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, key
     if key in ORACLES:
         assert_same(df, con, ORACLES[key])
     else:
@@ -39,3 +42,15 @@ def test_entry_contract(spark):
     df = E.entry(spark)
     assert df.count() > 0
     assert set(E.oracle_sql()) <= set(E.queries())
+
+
+def test_filters_and_columns_reach_the_scan(spark, small_dir):
+    plan = QUERIES["join_left_lookup"](spark, small_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [IsNotNull(o_orderstatus), IsNotNull(o_orderdate), EqualTo(o_orderstatus,F)" in plan
+    scan = [ln for ln in plan.splitlines() if "FileScan parquet" in ln and "orders" in ln][0]
+    assert "o_totalprice" not in scan  # unused columns are pruned
+
+
+def test_rollups_aggregate_before_the_shuffle(spark, small_dir):
+    plan = QUERIES["agg_run_rollup"](spark, small_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "partial_min" in plan and "partial_count" in plan

@@ -279,3 +279,17 @@ def test_archive_names_with_existing(spark):
 def test_csv_line_quotes_message(spark):
     df = spark.createDataFrame([(1, 'say "hi"', None)], "id int, message string, x string")
     assert K.csv_line(df, ["message"]).first().csv_line == '1,"say ""hi""",'
+
+
+def test_keyset_paging_equals_offset_paging(spark):
+    from kiln.operators import opslog as O
+
+    df = spark.range(0, 200).select(F.col("id"), (F.col("id") % 7).alias("grp"))
+    order = [("grp", True), ("id", False)]
+    pages, after = [], None
+    for _ in range(5):
+        page = O.keyset_page(df, order, after, 30).collect()
+        pages.extend((r.grp, r.id) for r in page)
+        after = (page[-1].grp, page[-1].id)
+    offset = [(r.grp, r.id) for r in O.page(df, [F.col("grp").desc(), F.col("id").asc()], 0, 150).collect()]
+    assert pages == offset
