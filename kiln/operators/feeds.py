@@ -260,7 +260,7 @@ def enrich_symbols(df: DataFrame, ticker: str, dim: DataFrame, dim_key: str) ->
     dimension goes through a size-checked broadcast."""
     from kiln.tables import bounded_broadcast
 
-    return df.join(bounded_broadcast(dim, 1_000_000), F.col(ticker) == F.col(dim_key), "inner")
+    return df.join(bounded_broadcast(dim), F.col(ticker) == F.col(dim_key), "inner")
 
 
 def ohlc(df: DataFrame, keys: list[str], ts: str, tiebreak: str, open_: Column, high: Column, low: Column,

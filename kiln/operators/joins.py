@@ -17,14 +17,13 @@ from pyspark.sql import functions as F
 from kiln.functions.scalars import glob_to_regex, validate_regex
 from kiln.tables import bounded_broadcast
 
-DIM_MAX_ROWS = 1_000_000
 
 
 def star_join(fact: DataFrame, dims: Sequence[tuple[DataFrame, Column | str]], how: str = "inner") -> DataFrame:
     """JOIN-01/02: fact joined to each (dimension, condition) in turn."""
     out = fact
     for dim, on in dims:
-        out = out.join(bounded_broadcast(dim, DIM_MAX_ROWS), on, how)
+        out = out.join(bounded_broadcast(dim), on, how)
     return out
 
 
@@ -43,7 +42,7 @@ def polymorphic_lookup(
             F.lit(tname).alias("_t_type"), F.col(id_col).cast("bigint").alias("_t_id"), F.col(name_col).alias("target_name")
         )
         stacked = part if stacked is None else stacked.unionByName(part)
-    lookup = bounded_broadcast(stacked, DIM_MAX_ROWS)
+    lookup = bounded_broadcast(stacked)
     cond = (F.col(type_col) == F.col("_t_type")) & (F.col(key_col).cast("bigint") == F.col("_t_id"))
     return fact.join(lookup, cond, "left").drop("_t_type", "_t_id")
 

@@ -63,7 +63,12 @@ class Tables:
         return load(self.spark, self.sf_dir, name, spread_out=self.wide)
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
+# Row bound for hinting a broadcast; AQE may still broadcast larger sides
+# at run time when their actual size is below its threshold.
+BROADCAST_MAX_ROWS = 250_000
+
+
+def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
     """Broadcast ``df`` only after checking it really holds <= max_rows rows.
 
     The check is a ``limit(max_rows + 1).count()`` which stops reading as
