@@ -14,7 +14,7 @@ from kiln.operators import opslog as O
 from kiln.plans import common as C
 from kiln.plans.q_sources import ORDER_TYPES
 from kiln.plans.registry import query
-from kiln.session import staging_dir
+from kiln.session import local_path, staging_dir
 from kiln.sources import files as FS
 from kiln.streaming import streams as S
 
@@ -197,8 +197,10 @@ def str_file_events(spark, d):
     src = staging_dir(spark, "arrivals")
     e = C.T(spark, d).events
     _land_waves(e.withColumn("_wave", F.col("event_type")), src, "_wave")
-    with open(os.path.join(src, "notes.tmp"), "w") as f:  # an ignored in-flight file
-        f.write("partial")
+    local = local_path(src)
+    if local is not None:  # an in-flight file the watcher must ignore (local landing zones only)
+        with open(os.path.join(local, "notes.tmp"), "w") as f:
+            f.write("partial")
     out, ckpt = staging_dir(spark, "arrivals_out"), staging_dir(spark, "arrivals_ckpt")
     S.run_available(S.file_events(spark, src, include=["*.parquet"]), out, ckpt)
     return S.read_batches(spark, out).drop("batch_id")

@@ -68,6 +68,14 @@ def staging_dir(spark: SparkSession, name: str = "stage") -> str:
     """A new, unique folder under the shared checkpoint location."""
     base = ensure_checkpoint_dir(spark)
     path = os.path.join(base, "kiln", f"{name}-{uuid.uuid4().hex[:12]}")
-    if "://" not in path:
-        os.makedirs(path, exist_ok=True)
+    local = local_path(path)
+    if local is not None:
+        os.makedirs(local, exist_ok=True)
     return path
+
+
+def local_path(path: str) -> str | None:
+    """The POSIX path of a local location (plain or file: URI), else None."""
+    if path.startswith("file:"):
+        return "/" + path[len("file:"):].lstrip("/")
+    return None if "://" in path else path
