@@ -195,6 +195,15 @@ def counterparties(records: DataFrame) -> DataFrame:
     return _keep_valid(out, F.coalesce(F.col("counterparty_name"), F.lit("")) != "")
 
 
+DEFAULT_SERIES_BREAK = "SBN2024"  # fixed value: dealer statistics default series break
+
+
+def series_break(available: list[str] | None) -> str:
+    """FEED-10: the series break requested for dealer statistics: the first
+    one the endpoint lists, else the default."""
+    return available[0] if available else DEFAULT_SERIES_BREAK
+
+
 def passthrough(records: DataFrame, columns: list[str]) -> DataFrame:
     """FEED-10: no transform; the named fields as text, typed later by the
     target table's import strategy."""

@@ -293,3 +293,8 @@ def test_keyset_paging_equals_offset_paging(spark):
         after = (page[-1].grp, page[-1].id)
     offset = [(r.grp, r.id) for r in O.page(df, [F.col("grp").desc(), F.col("id").asc()], 0, 150).collect()]
     assert pages == offset
+
+
+def test_series_break_choice():
+    assert FD.series_break(["SBN2022", "SBN2024"]) == "SBN2022"
+    assert FD.series_break([]) == "SBN2024" and FD.series_break(None) == "SBN2024"
