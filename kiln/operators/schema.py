@@ -69,7 +69,7 @@ def infer_types(df: DataFrame, columns: Sequence[str] | None = None) -> DataFram
         F.col(f"p{i}").alias(f"p{i}"),
         (F.col(f"p{i}") & F.lower(f"s{i}").isin(*BOOL_TOKENS)).alias(f"b{i}"),
         F.when(F.col(f"p{i}"), F.length(f"s{i}")).alias(f"l{i}"),
-        (F.col(f"p{i}") & F.col(f"s{i}").rlike(r"^-?[0-9]+$")).alias(f"d{i}"),
+        F.col(f"s{i}").alias(f"s{i}"),
         F.when(F.col(f"p{i}") & ~F.lower(f"s{i}").isin(*BOOL_TOKENS), F.col(f"s{i}").try_cast("double")).alias(f"v{i}"))])
     aggs = []
     for i in range(len(cols)):
@@ -82,7 +82,8 @@ def infer_types(df: DataFrame, columns: Sequence[str] | None = None) -> DataFram
             F.bool_or(num.isNotNull() & ~is_int).alias(f"f{i}"),
             # a plain integer beyond the INT range (the double is exact up to
             # 2^53 and certainly larger than INT_MAX beyond it)
-            F.bool_or(F.col(f"d{i}") & (F.abs(num) > INT_MAX)).alias(f"m{i}"),
+            # the digit test runs only for the rare values beyond INT range
+            F.bool_or(F.when(F.abs(num) > INT_MAX, F.col(f"s{i}").rlike(r"^-?[0-9]+$"))).alias(f"m{i}"),
             F.max(f"l{i}").alias(f"l{i}"),
             F.count_if(F.col(f"p{i}")).alias(f"n{i}"),
         ]
