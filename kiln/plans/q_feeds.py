@@ -184,8 +184,9 @@ def feed_treasury(spark, d):
 
 
 def _order_lines(t):
-    # the fact side is widened for the per-row JSON work; the order side is
-    # read as is (it is joined, not processed row by row)
+    # the fact side is widened for the per-row JSON work (AQE may broadcast
+    # the orders, and then the line scan alone decides the parallelism); the
+    # order side is read as is (it is joined, not processed row by row)
     return t.lineitem.join(C.T(t.spark, t.sf_dir).orders, F.col("l_orderkey") == F.col("o_orderkey"))
 
 
