@@ -54,3 +54,12 @@ def test_filters_and_columns_reach_the_scan(spark, small_dir):
 def test_rollups_aggregate_before_the_shuffle(spark, small_dir):
     plan = QUERIES["agg_run_rollup"](spark, small_dir)._jdf.queryExecution().executedPlan().toString()
     assert "partial_min" in plan and "partial_count" in plan
+
+
+def test_flagship_reads_only_needed_columns(spark, small_dir):
+    plan = QUERIES["join_parent_child"](spark, small_dir)._jdf.queryExecution().executedPlan().toString()
+    scans = [ln for ln in plan.splitlines() if "FileScan parquet" in ln]
+    line_scan = [ln for ln in scans if "lineitem" in ln][0]
+    assert "l_orderkey" in line_scan and "l_returnflag" in line_scan
+    for unused in ("l_extendedprice", "l_partkey", "l_comment", "l_tax"):
+        assert unused not in line_scan
