@@ -1,16 +1,17 @@
 """Join operators (JOIN-*).
 
 Dimension sides go through ``bounded_broadcast`` (size checked, shuffle
-join beyond the bound); rule tables are literal lists of a handful of rows,
-so broadcasting them is safe by construction.  Non-equi pattern joins are
-BroadcastNestedLoopJoins against such a tiny rule side: linear in the fact.
+join beyond the bound).  Pattern "joins" against rule lists (a handful of
+literal rows) evaluate every rule as a predicate in one pass over the facts
+and explode the ids of the matching rules: linear in the facts, no
+nested-loop or Cartesian plan.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -122,11 +123,6 @@ def date_gaps(df: DataFrame, key: str, ts: str) -> DataFrame:
 
 
 # ---------------------------------------------------------------- pattern joins
-def rules_frame(spark: SparkSession, rules: Sequence[tuple], schema: str) -> DataFrame:
-    """A literal rule table (a handful of rows, broadcast by construction)."""
-    return spark.createDataFrame(list(rules), schema)
-
-
 def _explode_matches(facts: DataFrame, conds: list[tuple[object, Column]], id_col: str, rule_id: str,
                      keep: Sequence[str] = ()) -> DataFrame:
     """One scan: an array of the ids of the rules whose predicate holds,
