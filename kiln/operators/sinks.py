@@ -106,9 +106,17 @@ def write_new_version(df: DataFrame, base: str, version: str, fmt: str = "parque
 
 # ---------------------------------------------------------------- SNK-04..06
 def truncate(spark: SparkSession, table: str) -> None:
+    """SNK-04 for catalog (managed) tables."""
     spark.sql(f"TRUNCATE TABLE {table}")
 
 
+def truncate_path(spark: SparkSession, path: str, fmt: str = "parquet") -> None:
+    """SNK-04 for a table stored at a path: an empty overwrite that keeps
+    the schema (readers see the same columns, zero rows)."""
+    schema = spark.read.format(fmt).load(path).schema
+    spark.createDataFrame([], schema).write.mode("overwrite").format(fmt).save(path)
+
+
 def table_schema_from_sample(df: DataFrame, key: str = "id") -> T.StructType:
     """SNK-05: key + datasetid + inferred business columns (sorted by name)
     + audit columns.  Inference is one aggregate pass (PRJ-02)."""

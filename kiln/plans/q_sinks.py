@@ -181,3 +181,11 @@ def snk_unprocessed(spark, d):
     ledger = o.filter(F.col("o_orderstatus") == "F").select(
         F.concat(F.lit("order_"), "o_orderkey", F.lit(".csv")).alias("file_name"))
     return K.unprocessed(landed, ledger)
+
+
+@query("snk_truncate", "SELECT * FROM customer WHERE c_custkey IS NULL AND c_custkey IS NOT NULL")
+def snk_truncate(spark, d):
+    path = staging_dir(spark, "truncate")
+    C.T(spark, d).customer.write.mode("overwrite").parquet(path)
+    K.truncate_path(spark, path)
+    return spark.read.parquet(path)
