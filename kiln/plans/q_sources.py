@@ -130,3 +130,40 @@ def src_logs(spark, d):
     )
     lines.write.mode("overwrite").json(path)
     return FS.scan_json_logs(spark, path)
+
+
+def _xlsx_writer(base: str, columns: list[str]):
+    """mapInPandas function: each task lands its rows as one workbook in the
+    (POSIX-mounted) landing zone and reports the file and row count."""
+
+    def write(it):
+        from pyspark import TaskContext
+
+        rows = []
+        for pdf in it:
+            rows.extend(pdf[columns].astype(object).where(pdf[columns].notna(), None).values.tolist())
+        if not rows:
+            return
+        pid = TaskContext.get().partitionId()
+        path = f"{base}/customers_{pid:05d}.xlsx"
+        with open(path, "wb") as f:
+            f.write(FS.xlsx_bytes(columns, rows))
+        yield pd.DataFrame({"path": [path], "n": [len(rows)]})
+
+    return write
+
+
+@query("src_xlsx", "SELECT * FROM customer")
+def src_xlsx(spark, d):
+    from kiln.session import local_path
+
+    path = staging_dir(spark, "xlsx")
+    base = local_path(path)
+    if base is None:
+        raise RuntimeError("landing workbooks needs a POSIX-mounted landing zone")
+    c = C.T(spark, d).customer
+    cols = c.columns
+    text = c.select(*[F.col(x).cast("string").alias(x) for x in cols])
+    text.mapInPandas(_xlsx_writer(base, cols), "path string, n long").write.format("noop").mode("overwrite").save()
+    recs = FS.scan_xlsx(spark, path)
+    return P.convert(FS.widen(recs, cols).select(*cols), CUSTOMER_TYPES).select(*cols)
