@@ -449,3 +449,14 @@ def top_queue(spark, d):
 @query("top_run_steps", C.with_ctes(C.STEPS_SQL, body="SELECT * FROM steps WHERE jobrunid = 3"))
 def top_run_steps(spark, d):
     return O.run_steps(C.steps(C.T(spark, d)), "jobrunid", 3, ["step_order"])
+
+
+@query("agg_table_sizes")
+def agg_table_sizes(spark, d):
+    """AGG-12's storage size per table, from the file listing (contents are
+    never read): the part of feed freshness SQL cannot state."""
+    from kiln.sources.files import discover_files
+
+    files = discover_files(spark, d, pattern=r"[a-z_]+\.parquet")
+    return files.groupBy(F.regexp_extract("file_name", r"^([a-z_]+)\.parquet$", 1).alias("table_name")).agg(
+        F.sum("length").alias("size_bytes"), F.count(F.lit(1)).alias("files"))
