@@ -11,6 +11,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -47,13 +48,49 @@ def get_session(master: str | None = None, app: str = "kiln", **conf: str) -> Sp
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application, so that
+    functions run there import it wherever the driver was started."""
+    try:
+        sc = spark.sparkContext
+        app = sc.applicationId
+    except Exception:  # noqa: BLE001 - Spark Connect ships artifacts through the client
+        return
+    if app in _SHIPPED:
+        return
+    _SHIPPED.add(app)
+    root = os.path.dirname(os.path.abspath(__file__))
+    archive = os.path.join(tempfile.mkdtemp(prefix="kiln-ship-"), "kiln.zip")
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, names in os.walk(root):
+            for name in names:
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    z.write(full, os.path.relpath(full, os.path.dirname(root)))
+    sc.addPyFile(archive)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Read ``spark.checkpoint.dir``; set a private one only when unset."""
+    """Read ``spark.checkpoint.dir``.
+
+    A private temporary folder is set only on a local master; on a cluster
+    its executors could not see the driver's folder, so the setting is required.
+    """
     current = spark.conf.get("spark.checkpoint.dir", None)
     if not current:
+        try:
+            local = spark.sparkContext.master.split("[")[0] == "local"
+        except Exception:  # noqa: BLE001 - Spark Connect: the server's storage is not ours
+            local = False
+        if not local:
+            raise RuntimeError("set spark.checkpoint.dir to a folder shared by the driver and all executors")
         current = tempfile.mkdtemp(prefix="kiln-ckpt-")
         spark.conf.set("spark.checkpoint.dir", current)
     try:
