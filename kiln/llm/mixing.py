@@ -40,6 +40,12 @@ WEIGHTS = (1.0, 2.0, 3.0)
 MAX_REPEATS = 3.0
 BLOCK = 4096
 EPS = 1e-9
+# Per-source tables (one short row a source, already on the driver) are broadcast up to this many sources.
+BROADCAST_SOURCES = 100_000
+
+
+def _per_source(plan: DataFrame, sources: int) -> DataFrame:
+    return F.broadcast(plan) if sources <= BROADCAST_SOURCES else plan
 
 
 def word_sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -171,7 +177,7 @@ def cube_sample(units: DataFrame, block: int = BLOCK) -> DataFrame:
         last = max(blocks.values()) == 1
         spark = units.sparkSession
         per = spark.createDataFrame(list(blocks.items()), "src int, _blocks int")
-        dealt = units.join(per, "src").withColumn("_block", F.pmod(F.xxhash64("h", F.lit(level)), F.col("_blocks")))
+        dealt = units.join(_per_source(per, len(blocks)), "src").withColumn("_block", F.pmod(F.xxhash64("h", F.lit(level)), F.col("_blocks")))
         schema = dealt.schema
         flown = dealt.groupBy("src", "_block").applyInPandas(_fly_block(last, level), schema).drop("_block", "_blocks")
         flown = materialise(flown, f"cube-{level}")
@@ -215,7 +221,7 @@ def mix_sources(
             T.StructField("ratio", T.DoubleType()),
         ]),
     )
-    units = slim.join(plan, F.col("source").eqNullSafe(F.col("_source"))).select(
+    units = slim.join(_per_source(plan, len(totals)), F.col("source").eqNullSafe(F.col("_source"))).select(
         "src", "doc_id", "size", "source_size", "target",
         F.floor(F.col("ratio") + EPS).alias("whole"),
         F.greatest(F.lit(0.0), F.col("ratio") - F.floor(F.col("ratio") + EPS)).alias("prob"),
