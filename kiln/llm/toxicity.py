@@ -1,18 +1,20 @@
 """Toxicity by a subsequence string kernel and Nystroem landmarks (operator 6).
 
 Two strings are as similar as the gap-weighted subsequences of ``ORDER``
-characters they share, so ``id-iot`` and ``idxiot`` stay near ``idiot``.  Similarities below
-``MIN_SIMILAR`` of a landmark's own count as none.  The kernel is evaluated against a few landmark strings only; whitening by the landmarks'
-own kernel matrix gives the Nystroem features.  A sentence's similarity to a
-landmark is that of its most similar token; a linear support vector machine on
-the features scores sentences, and a document is as toxic as its worst sentence.
-
-Training: document labels, sentences inherit them (of a toxic document the
-sentence nearest to the landmarks counts).  It uses at most ``MAX_LABELLED``
-rows of each class, those with the smallest hashes of doc_id.  Landmarks are
-character n-grams (``^`` marks the start of a token) that occur in toxic but
-hardly in other training documents, picked greedily so that every toxic
-document is covered, and more than once.
+characters they share, so ``id-iot`` and ``idxiot`` stay near ``idiot``.  Similarities
+below ``MIN_SIMILAR`` of a landmark's own, and to tokens that lack one of its
+characters, count as none.  The kernel is evaluated against a few landmark
+strings only; whitening by the landmarks' own kernel matrix gives the
+Nystroem features of a token.  A sentence scores as its most toxic token under a
+linear support vector machine, a document as its worst sentence.
+
+Training: sentences inherit their document's label; of a toxic document the
+tokens that the machine finds most toxic count (multiple-instance rounds), of
+the others all.  At most ``MAX_LABELLED`` rows of each class are used, those with
+the smallest hashes of doc_id.  Landmarks are character n-grams (``^`` and ``$``
+mark a token's start and end) that occur more in toxic than in other training
+documents, picked greedily so that every toxic document is covered, and more
+than once; and the near tokens most common in other documents.
 
 Tokens are runs of other than white space, lower-cased; runs of single
 characters are read as one token; tokens of more than ``WINDOW`` characters are
@@ -39,16 +41,17 @@ from pyspark.sql import functions as F
 from kiln.llm.bpe import slices
 from kiln.llm.common import crc_mod
 
-ORDER = 3
-DECAY = 0.6
+ORDER = 4
+DECAY = 0.7
 WINDOW = 24
-GRAMS = (4, 5, 6)
+GRAMS = (5, 6, 7)
 LANDMARKS = 64
+COUNTER_LANDMARKS = 32
 CANDIDATES = 4000
 MAX_LABELLED = 3000
 MIN_SIMILAR = 0.55
 CACHE_ENTRIES = 200_000
-START = "^"
+START, END = "^", "$"
 _SENTENCE = re.compile(r"[.!?\n]+(?=\s|$)|\n+")
 _SPACED = re.compile(r"(?<!\S)(?:\S[ \t]){2,}\S(?!\S)")
 
@@ -66,51 +69,57 @@ def sentences(text: str) -> list[str]:
 
 
 def pieces(token: str) -> list[str]:
-    """The token with its start mark, or overlapping windows that cover it."""
-    marked = START + token
+    """The token with its marks, or overlapping windows that cover it."""
+    marked = START + token + END
     if len(marked) <= WINDOW:
         return [marked]
     return [marked[i : i + WINDOW] for i in range(0, len(marked) - WINDOW // 2, WINDOW // 2)]
 
 
-def kernel(words: list[str], landmarks: list[str], order: int = ORDER, decay: float = DECAY) -> np.ndarray:
-    """Gap-weighted subsequence kernel of every word with every landmark: (words, landmarks)."""
-    if not words or not landmarks:
-        return np.zeros((len(words), len(landmarks)), np.float32)
+def _codes(strings: list[str], blank: int) -> np.ndarray:
+    out = np.full((len(strings), max(map(len, strings), default=0)), blank, np.int32)
+    for i, s in enumerate(strings):
+        out[i, : len(s)] = np.frombuffer(s.encode("utf-32-le", "surrogatepass"), np.int32)
+    return out
 
-    def codes(strings: list[str], blank: int) -> np.ndarray:
-        out = np.full((len(strings), max(map(len, strings))), blank, np.int32)
-        for i, s in enumerate(strings):
-            out[i, : len(s)] = np.frombuffer(s.encode("utf-32-le", "surrogatepass"), np.int32)
-        return out
 
-    s, t = codes(words, -1), codes(landmarks, -2)
-    n, m, width = len(words), len(landmarks), t.shape[1]
-    total = np.zeros((n, m), np.float32)
-    # prefix[i][j]: K'_i of the word read so far with the landmark's first j characters
-    prefix = [[np.ones((n, m), np.float32)] * (width + 1)]
-    prefix += [[np.zeros((n, m), np.float32) for _ in range(width + 1)] for _ in range(order - 1)]
+def kernel_pairs(s: np.ndarray, t: np.ndarray, order: int = ORDER, decay: float = DECAY) -> np.ndarray:
+    """Gap-weighted subsequence kernel of row i of ``s`` with row i of ``t`` (character codes, padded)."""
+    n, width = t.shape
+    total = np.zeros(n, np.float32)
+    # prefix[i][j]: K'_i of the string read so far with the other's first j characters
+    prefix = [[np.ones(n, np.float32)] * (width + 1)]
+    prefix += [[np.zeros(n, np.float32) for _ in range(width + 1)] for _ in range(order - 1)]
     for x in range(s.shape[1]):
-        match = [(s[:, x, None] == t[None, :, j]).astype(np.float32) for j in range(width)]
-        hit = [bool(a.any()) for a in match]
+        match = [(s[:, x] == t[:, j]) * np.float32(decay**2) for j in range(width)]
         for j in range(order - 1, width):
-            if hit[j]:
-                total += decay**2 * prefix[order - 1][j] * match[j]
+            total += prefix[order - 1][j] * match[j]
         for i in range(order - 1, 0, -1):
-            run = None
+            run = np.zeros(n, np.float32)
             for j in range(1, width + 1):
-                add = decay**2 * prefix[i - 1][j - 1] * match[j - 1] if hit[j - 1] else None
-                run = add if run is None else (run * decay if add is None else run * decay + add)
-                prefix[i][j] = prefix[i][j] * decay + (run if run is not None else 0)
+                run = run * np.float32(decay) + prefix[i - 1][j - 1] * match[j - 1]
+                prefix[i][j] = prefix[i][j] * np.float32(decay) + run
     return total
 
 
+def kernel(words: list[str], others: list[str]) -> np.ndarray:
+    """The kernel of every word with every other string."""
+    s, t = _codes(words, -1), _codes(others, -2)
+    a, b = np.divmod(np.arange(len(words) * len(others)), max(len(others), 1))
+    return kernel_pairs(s[a], t[b]).reshape(len(words), len(others))
+
+
+def _letters(codes: np.ndarray) -> np.ndarray:
+    """A 64-bit set of each row's characters (by code modulo 64); blanks are negative."""
+    bits = np.where(codes >= 0, np.uint64(1) << (codes % 64).astype(np.uint64), np.uint64(0))
+    return np.bitwise_or.reduce(bits, axis=1) if codes.shape[1] else np.zeros(len(codes), np.uint64)
+
+
 @dataclass
 class Svm:
     """Landmarks, Nystroem whitening, linear weights and the margin's sigmoid."""
 
     landmarks: list[str]
-    scale: np.ndarray = field(default_factory=lambda: np.zeros(0))
     whiten: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))
     weight: np.ndarray = field(default_factory=lambda: np.zeros(0))
     bias: float = 0.0
@@ -118,21 +127,23 @@ class Svm:
     shift: float = 0.0
     prior: float = 0.0
 
-    def score(self, similar: np.ndarray) -> np.ndarray:
-        """Scores of sentences from their similarities to the landmarks."""
+    def margin(self, similar: np.ndarray) -> np.ndarray:
+        return similar @ self.whiten @ self.weight + self.bias
+
+    def probability(self, margin: np.ndarray) -> np.ndarray:
         if not self.landmarks:
-            return np.full(len(similar), self.prior)
-        margin = similar @ self.whiten @ self.weight + self.bias
+            return np.full(len(margin), self.prior)
         return 1 / (1 + np.exp(-np.clip(self.slope * margin + self.shift, -30, 30)))
 
 
 class Similarity:
-    """Token similarities to the landmarks, remembered by a worker."""
+    """Similarities of tokens to the landmarks, remembered by a worker."""
 
     def __init__(self, landmarks: list[str]):
         self.landmarks = landmarks
-        self.own = np.array([kernel([m], [m])[0, 0] for m in landmarks], np.float32)
-        self.letters = [set(m) for m in landmarks]
+        self.codes = _codes(landmarks, -2)
+        self.own = kernel_pairs(_codes(landmarks, -1), self.codes) if landmarks else np.zeros(0, np.float32)
+        self.letters = _letters(self.codes)
         self.cache: dict[str, np.ndarray | None] = {}
 
     def learn(self, words: set[str]) -> None:
@@ -143,44 +154,35 @@ class Similarity:
         parts = [(p, w) for w in new for p in pieces(w)]
         parts.sort(key=lambda x: len(x[0]))
         best: dict[str, np.ndarray] = {}
-        for lo in range(0, len(parts), 1024):
-            chunk = parts[lo : lo + 1024]
-            sim = np.minimum(kernel([p for p, _ in chunk], self.landmarks) / self.own, 1.0)
-            sim = np.maximum(sim - MIN_SIMILAR, 0.0) / (1 - MIN_SIMILAR)
-            for k in np.flatnonzero(sim.any(axis=1)):
-                w = chunk[k][1]
-                best[w] = np.maximum(best[w], sim[k]) if w in best else sim[k]
+        for lo in range(0, len(parts), 8192):
+            chunk = parts[lo : lo + 8192]
+            codes = _codes([p for p, _ in chunk], -1)
+            own = _letters(codes)
+            # a token that lacks a landmark's character isn't similar to it
+            a, b = np.nonzero((own[:, None] & self.letters[None, :]) == self.letters[None, :])
+            if not len(a):
+                continue
+            near = np.minimum(kernel_pairs(codes[a], self.codes[b]) / self.own[b], 1.0)
+            near = np.maximum(near - MIN_SIMILAR, 0.0) / (1 - MIN_SIMILAR)
+            for k in np.flatnonzero(near):
+                row = best.setdefault(chunk[a[k]][1], np.zeros(len(self.landmarks)))
+                row[b[k]] = max(row[b[k]], near[k])
         for w in new:
             self.cache[w] = best.get(w)
 
-    def of_texts(self, texts: list[str]) -> list[list[np.ndarray]]:
-        """Of each text, the similarities of its sentences that have any."""
-        words = [tokens(t) for t in texts]
+    def near(self, texts: list[str]) -> list[list[str]]:
+        """Of each text, its distinct tokens with any similarity, in order."""
+        if not self.landmarks:
+            return [[] for _ in texts]
+        words = [dict.fromkeys(tokens(t)) for t in texts]
         self.learn(set().union(*words))
-        out = []
-        for text, ws in zip(texts, words):
-            rows: list[np.ndarray] = []
-            if any(self.cache.get(w) is not None for w in ws):
-                for s in sentences(text):
-                    sim = [self.cache[w] for w in self._known(tokens(s))]
-                    if sim:
-                        rows.append(np.max(sim, axis=0))
-                if not rows:
-                    rows.append(np.max([self.cache[w] for w in ws if self.cache[w] is not None], axis=0))
-            out.append(rows)
-        return out
-
-    def _known(self, ws: list[str]) -> list[str]:
-        missing = {w for w in ws if w not in self.cache}
-        if missing:
-            self.learn(missing)
-        return [w for w in ws if self.cache.get(w) is not None]
+        return [[w for w in ws if self.cache[w] is not None] for ws in words]
 
 
 def text_grams(text: str) -> set[str]:
     out: set[str] = set()
     for w in set(tokens(text)):
-        m = START + w
+        m = START + w + END
         for n in GRAMS:
             out.update(m[i : i + n] for i in range(len(m) - n + 1))
     return out
@@ -232,20 +234,30 @@ def pick_landmarks(held: list[frozenset[str]], found: dict[str, tuple[int, int]]
     return picked
 
 
-def fit_svm(x: np.ndarray, y: np.ndarray, rounds: int = 400, c: float = 10.0) -> tuple[np.ndarray, float]:
-    """Linear support vector machine (squared hinge, both classes weighted alike) by gradient descent with momentum."""
+def fit_svm(
+    x: np.ndarray, y: np.ndarray, size: np.ndarray, rounds: int = 30, c: float = 200.0
+) -> tuple[np.ndarray, float]:
+    """Linear support vector machine (squared hinge, both classes weighted alike) by Newton steps on its support vectors.
+
+    A row without any similarity (zero features) stands for all other clean tokens.
+    """
+    x = np.vstack([x, np.zeros((1, x.shape[1]))])
+    y = np.append(y, 0)
+    size = np.append(size, max(size[y[:-1] == 0].sum(), 1.0))
     sign = np.where(y > 0, 1.0, -1.0)
-    weight = np.where(y > 0, 0.5 / max((y > 0).sum(), 1), 0.5 / max((y <= 0).sum(), 1))
-    w, b = np.zeros(x.shape[1]), 0.0
-    vw, vb = np.zeros_like(w), 0.0
-    lip = 2 * c * (weight[:, None] * x**2).sum() + 2 * c + 1
-    for _ in range(rounds):
-        slack = np.maximum(0.0, 1 - sign * (x @ w + b))
-        g = -2 * c * weight * slack * sign
-        vw = 0.9 * vw - (w + x.T @ g) / lip
-        vb = 0.9 * vb - g.sum() / lip
-        w, b = w + vw, b + vb
-    return w, float(b)
+    weight = size * np.where(y > 0, 0.5 / max(size[y > 0].sum(), 1e-9), 0.5 / max(size[y <= 0].sum(), 1e-9))
+    z = np.column_stack([x, np.ones(len(x))])
+    keep = np.eye(z.shape[1])
+    keep[-1, -1] = 1e-3
+    w = np.zeros(z.shape[1])
+    for step in range(rounds):
+        support = sign * (z @ w) < 1
+        zs = z[support] * weight[support, None]
+        new = np.linalg.solve(keep + 2 * c * zs.T @ z[support], 2 * c * zs.T @ sign[support])
+        if np.allclose(new, w, atol=1e-8):
+            break
+        w = w + 0.7 * (new - w) if step else new
+    return w[:-1], float(w[-1])
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = MAX_LABELLED) -> Svm:
@@ -268,7 +280,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     least = max(1, min(5, n_toxic // 8))  # rarer n-grams are toxic by chance
     top = (
         _gram_counts(rows).where(F.col("toxic") >= least)
-        .where(F.col("toxic") * n_clean > 10 * F.col("clean") * n_toxic)
+        .where(F.col("toxic") * n_clean > 4 * F.col("clean") * n_toxic)
         .orderBy((F.col("toxic") / n_toxic - 4 * F.col("clean") / n_clean).desc(), F.length("gram").desc(), "gram")
         .limit(CANDIDATES).collect()
     )
@@ -284,54 +296,105 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     if not landmarks:
         return Svm([], prior=prior)
 
-    def strongest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sim = Similarity(landmarks)
-        for batch in batches:
-            texts = batch.column("_text").to_pylist()
-            for lo, hi in slices(texts, 2 << 20):
-                part = [max(r, key=lambda v: v.sum()) if r else np.zeros(len(landmarks)) for r in sim.of_texts(texts[lo:hi])]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("_toxic").slice(lo, hi - lo), pa.array([p.tolist() for p in part], pa.list_(pa.float64()))],
-                    names=["toxic", "similar"],
-                )
+    def near_tokens(chosen: list[str]):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sim = Similarity(chosen)
+            for batch in batches:
+                texts = batch.column("_text").to_pylist()
+                for lo, hi in slices(texts, 2 << 20):
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column("_toxic").slice(lo, hi - lo), pa.array(sim.near(texts[lo:hi]), pa.list_(pa.string()))],
+                        names=["toxic", "near"],
+                    )
+
+        got = rows.mapInArrow(run, "toxic int, near array<string>").where("size(near) > 0").limit(4 * most).collect()
+        return sorted((r["toxic"], sorted(r["near"])) for r in got)
+
+    found_near = near_tokens(landmarks)
+    seen = (Counter(), Counter())
+    for y, near in found_near:
+        seen[y].update(near)
+    home = sorted(
+        (w for w, n in seen[0].items() if n >= 3 and len(w) + 2 <= WINDOW),
+        key=lambda w: (-seen[0][w], w),
+    )
+    landmarks = landmarks + [START + w + END for w in home[:COUNTER_LANDMARKS] if START + w + END not in landmarks]
+    return fit_tokens(landmarks, found_near, prior)
 
-    got = rows.mapInArrow(strongest, "toxic int, similar array<double>").limit(4 * most).toPandas()
-    got = got.sort_values("toxic", kind="stable")
-    x, y = np.array(got["similar"].tolist()), got["toxic"].to_numpy()
-    own = np.sqrt([kernel([m], [m])[0, 0] for m in landmarks])
-    gram = kernel(landmarks, landmarks) / own[:, None] / own[None, :]
-    value, vector = np.linalg.eigh(gram.astype(float) + 1e-3 * np.eye(len(landmarks)))
+
+def fit_tokens(landmarks: list[str], bags: list[tuple[int, list[str]]], prior: float, rounds: int = 4) -> Svm:
+    """The machine from (label, near tokens) of the training documents that have any."""
+    gram = kernel(landmarks, landmarks)
+    own = np.sqrt(np.diag(gram))
+    value, vector = np.linalg.eigh((gram / own[:, None] / own[None, :]).astype(float) + 1e-3 * np.eye(len(landmarks)))
     whiten = vector @ np.diag(1 / np.sqrt(np.maximum(value, 1e-2))) @ vector.T
-    w, b = fit_svm(x @ whiten, y)
-    margin = x @ whiten @ w + b
-    # the sigmoid's middle lies between the classes' inner tails, its slope follows their distance
-    low, high = np.quantile(margin[y == 0], 0.995), np.quantile(margin[y == 1], 0.02)
-    middle, width = (low + high) / 2, max(abs(high - low), 0.2)
-    return Svm(landmarks, own, whiten, w, b, 6.0 / width, -6.0 / width * middle, prior)
+    sim = Similarity(landmarks)
+    words = sorted({w for _, near in bags for w in near})
+    sim.cache.clear()
+    x = np.zeros((len(words), len(landmarks)))
+    for lo in range(0, len(words), CACHE_ENTRIES // 2):
+        part = words[lo : lo + CACHE_ENTRIES // 2]
+        sim.learn(set(part))
+        for i, w in enumerate(part, lo):
+            if sim.cache[w] is not None:
+                x[i] = sim.cache[w]
+    index = {w: i for i, w in enumerate(words)}
+    toxic = [[index[w] for w in near] for y, near in bags if y]
+    clean = sorted({index[w] for y, near in bags if not y for w in near})
+    n_clean = Counter(index[w] for y, near in bags if not y for w in near)
+    model = Svm(landmarks, whiten, prior=prior)
+    chosen = [b for bag in toxic for b in bag]
+    for _ in range(rounds):
+        pick = chosen + clean
+        y = np.array([1] * len(chosen) + [0] * len(clean))
+        weight = np.array([1.0] * len(chosen) + [float(n_clean[i]) for i in clean])
+        model.weight, model.bias = fit_svm(x[pick] @ whiten, y, weight)
+        margin = model.margin(x)
+        chosen = []
+        for bag in toxic:
+            top = max(bag, key=lambda i: margin[i])
+            chosen += [top, *(i for i in bag if margin[i] > 0 and i != top)]
+    margin = model.margin(x)
+    high = np.array([max(margin[i] for i in bag) for bag in toxic])
+    low = np.array([max(margin[index[w]] for w in near) for y, near in bags if not y] or [model.bias])
+    cuts = np.unique(np.concatenate([high, low, [model.bias]]))
+    cuts = (cuts[1:] + cuts[:-1]) / 2 if len(cuts) > 1 else cuts + 0.5
+    wrong = [(high < c).sum() + (low >= c).sum() + (len(bags) if model.bias >= c else 0) for c in cuts]
+    middle = float(cuts[int(np.argmin(wrong))])
+    model.slope = 4.0
+    model.shift = -model.slope * middle
+    return model
 
 
 def score_toxicity(docs: DataFrame, model: Svm, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, score and predicted of every row of ``docs``."""
+    """doc_id, score, predicted and the worst sentence (null without any similarity) of every row of ``docs``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     slim = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         sim = worker_similarity(m.landmarks)
-        none = float(m.score(np.zeros((1, len(m.landmarks))))[0])
         for batch in batches:
             texts = batch.column("_text").to_pylist()
             for lo, hi in slices(texts, 2 << 20):
-                score = [
-                    max(none, float(m.score(np.array(r)).max())) if r else none for r in sim.of_texts(texts[lo:hi])
-                ]
+                margin, worst = [], []
+                for text, near in zip(texts[lo:hi], sim.near(texts[lo:hi])):
+                    top, word = m.bias, None
+                    if near:
+                        scores = m.margin(np.array([sim.cache[w] for w in near]))
+                        word = near[int(scores.argmax())]
+                        top = max(top, float(scores.max()))
+                    margin.append(top)
+                    worst.append(next((s for s in sentences(text) if word in tokens(s)), text) if word else None)
+                score = m.probability(np.array(margin))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id").slice(lo, hi - lo), pa.array(score, pa.float64()),
-                     pa.array([int(s >= 0.5) for s in score], pa.int32())],
-                    names=["doc_id", "score", "predicted"],
+                     pa.array((score >= 0.5).astype(np.int32)), pa.array(worst, pa.string())],
+                    names=["doc_id", "score", "predicted", "worst_sentence"],
                 )
 
-    return slim.mapInArrow(run, f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, score double, predicted int")
+    kind = slim.schema["doc_id"].dataType.simpleString()
+    return slim.mapInArrow(run, f"doc_id {kind}, score double, predicted int, worst_sentence string")
 
 
 _WORKER: dict[tuple, Similarity] = {}
