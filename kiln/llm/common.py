@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -61,3 +62,48 @@ def arrow_rows(
 def crc_mod(doc_id: Column, divisor: int) -> Column:
     """crc32 of the id's text modulo ``divisor`` (null id: text is empty)."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % divisor
+
+
+HOT_SHARE = 1000
+
+
+def skew_join(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int) -> DataFrame:
+    """Inner join of ``rows`` to the one row each key has in ``groups``.
+
+    ``groups[size]`` is the key's number of rows.  Keys with more than a
+    thousandth of ``total`` - at most 1000 can exist, which bounds the broadcast -
+    are joined without a shuffle, so no task gets more than that share.
+    """
+    hot = total // HOT_SHARE
+    if hot < 100:
+        return rows.join(groups.drop(size), key)
+    large = groups.where(F.col(size) > hot).drop(size)
+    cold = rows.join(F.broadcast(large.select(key)), key, "left_anti")
+    return rows.join(F.broadcast(large), key).unionByName(
+        cold.join(groups.where(F.col(size) <= hot).drop(size), key)
+    )
+
+
+def scramble(x: np.ndarray) -> np.ndarray:
+    """Mix the bits of unsigned 64-bit integers."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words (``[^\\x20\\x09-\\x0D]+``) and the number of words of each text."""
+    data = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
+    word = np.concatenate([[False], (data != 32) & ((data < 9) | (data > 13))])
+    edge = np.flatnonzero(word[1:] != word[:-1])
+    begin, end = edge[::2], edge[1::2]
+    ends = np.cumsum(np.array([len(t) + 1 for t in texts], np.int64))
+    counts = np.bincount(np.searchsorted(ends, begin, side="right"), minlength=len(texts))
+    if not len(begin):
+        return np.zeros(0, np.uint64), counts
+    length = end - begin
+    at = np.flatnonzero(word[1:])
+    first = np.cumsum(length) - length
+    inside = np.arange(len(at)) - np.repeat(first, length)
+    parts = scramble(data[at].astype(np.uint64) + (inside.astype(np.uint64) << np.uint64(8)) + np.uint64(0x9E3779B97F4A7C15))
+    return scramble(np.add.reduceat(parts, first)), counts

@@ -129,40 +129,57 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns.
 
-    Rows that cannot have a copy are passed straight through; of the others
-    one row per group survives a semi-join on (hash, length, id) - keys that
-    differ within a group, so that a large group spreads over all tasks.
+    Rows outside the Bloom filter of the dropped rows pass straight through; the
+    others are compared with them by (hash, length, id) - a key that differs
+    within a group, so that a large group spreads over all tasks.
     """
     groups = materialise(exact_groups(docs, id_col, text_col), "exact-kept")
-    dropped = groups.where(~F.col("kept")).select(
-        F.col("text_sha256").alias("_d_sha"), F.col("n_chars").alias("_d_chars"), F.col("doc_id").alias("_d_id")
-    ).distinct()
-    winners = groups.where("kept and group_size > 1").select(
-        F.col("text_sha256").alias("_d_sha"), F.col("n_chars").alias("_d_chars"), F.col("doc_id").alias("_d_id")
-    )
-    # A dropped row that equals its winner in hash, length and id is a repeated row: it needs a choice.
-    repeated = dropped.join(
-        winners.withColumnRenamed("_d_sha", "_w_sha"),
-        (F.col("_d_sha") == F.col("_w_sha")) & dropped["_d_id"].eqNullSafe(winners["_d_id"])
-        & (dropped["_d_chars"] == winners["_d_chars"]), "left_semi",
+    name = F.concat_ws("/", "text_sha256", "n_chars", F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    named = groups.where("group_size > 1").select(name.alias("_key"), "kept")
+    dropped = materialise(named.where("not kept").select("_key").distinct(), "exact-dropped")
+    # a dropped row with the key of the row that stays is the same row again
+    again = materialise(dropped.join(named.where("kept"), "_key", "left_semi"), "exact-again")
+    keyed = docs.withColumn("_key", F.concat_ws(
+        "/", F.sha2(normalised(F.col(text_col)).cast("binary"), 256), F.length(F.coalesce(F.col(text_col), F.lit(""))).cast("long"),
+        F.coalesce(F.col(id_col).cast("string"), F.lit("")),
+    ))
+    out = without(keyed, "_key", dropped)
+    if not again.isEmpty():
+        out = out.unionByName(keyed.join(again, "_key", "left_semi").dropDuplicates(["_key"]))
+    return out.drop("_key")
+
+
+def without(rows: DataFrame, key: str, dropped: DataFrame) -> DataFrame:
+    """``rows`` whose ``key`` isn't in ``dropped``; only rows that may be in it shuffle."""
+    cells, bitmaps = bitmap_of(dropped, key)
+    flagged = _flag(rows, key, cells, bitmaps)
+    rest = flagged.where("not _maybe").drop("_maybe")
+    maybe = flagged.where("_maybe").drop("_maybe")
+    return rest.unionByName(maybe.join(dropped.select(key), key, "left_anti").select(*rest.columns))
+
+
+def bitmap_of(keys: DataFrame, column: str) -> tuple[int, DataFrame]:
+    """A Bloom filter (cells, bitmaps) of the values of a column, bounded like the one above."""
+    cells = filter_cells(keys.count())
+    hits = keys.select(F.explode(F.array(*_cells(F.col(column).cast("string"), cells))).alias("cell")).distinct()
+    return cells, hits.groupBy(F.bitmap_bucket_number("cell").alias("bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("cell")).alias("bits")
     )
-    key = {
-        "_k_sha": F.sha2(normalised(F.col(text_col)).cast("binary"), 256),
-        "_k_chars": F.length(F.coalesce(F.col(text_col), F.lit(""))).cast("long"),
-    }
-    keyed = docs.withColumns(key)
-
-    def on(side: DataFrame) -> Column:
-        return (
-            (F.col("_k_sha") == side["_d_sha"]) & (F.col("_k_chars") == side["_d_chars"])
-            & F.col(id_col).eqNullSafe(side["_d_id"])
-        )
 
-    unique = keyed.join(dropped, on(dropped), "left_anti").drop(*key)
-    if repeated.isEmpty():
-        return unique
-    twice = keyed.join(repeated, on(repeated), "left_semi").dropDuplicates(["_k_sha"]).drop(*key)
-    return unique.unionByName(twice)
+
+def _flag(rows: DataFrame, column: str, cells: int, bitmaps: DataFrame) -> DataFrame:
+    out = rows
+    maybe = F.lit(True)
+    for j, cell in enumerate(_cells(F.col(column).cast("string"), cells)):
+        side = F.broadcast(bitmaps.select(F.col("bucket").alias(f"_b{j}"), F.col("bits").alias(f"_bits{j}")))
+        out = out.join(side, F.bitmap_bucket_number(cell) == F.col(f"_b{j}"), "left")
+        maybe = maybe & _bit(F.col(f"_bits{j}"), cell)
+    return out.select(*(F.col(f"`{c}`") for c in rows.columns), maybe.alias("_maybe"))
+
+
+def in_bitmap(rows: DataFrame, column: str, cells: int, bitmaps: DataFrame) -> DataFrame:
+    """The rows whose value may be among the keys (all that are, and a few others)."""
+    return _flag(rows, column, cells, bitmaps).where("_maybe").drop("_maybe")
 
 
 ORACLE = r"""
