@@ -132,17 +132,15 @@ def _sketches(docs: DataFrame, minima: int, width: int) -> DataFrame:
 
 
 def _nodes(sets: DataFrame, trees: int, depth: int) -> DataFrame:
-    """tree, node (its prefix) and the set, for every tree."""
+    """node (a hash of tree and prefix), tree, no and n of the set, for every tree."""
     size = 4 * depth
-    return sets.select(
-        "sid", "n", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"), "sig"
-    ).select(
-        "tree", F.substring("sig", F.col("tree") * size + 1, F.lit(size)).alias("node"), "sid", "n", "sig"
+    return sets.select("no", "n", "sig", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree")).select(
+        F.xxhash64("tree", F.substring("sig", F.col("tree") * size + 1, F.lit(size))).alias("node"), "tree", "no", "n"
     )
 
 
 def new_pairs(sig: np.ndarray, tree: int, depth: int, rows: np.ndarray, cols: np.ndarray, sketch: float) -> np.ndarray:
-    """(rows, cols) matrix: the pair first meets in ``tree`` and its signatures agree well enough."""
+    """(rows, cols) matrix: the pair meets in ``tree``, in none before, and its signatures agree well enough."""
     out = np.ones((len(rows), len(cols)), bool)
     agree = np.zeros((len(rows), len(cols)), np.int16)
     for k in range(sig.shape[1] // depth):
@@ -150,18 +148,13 @@ def new_pairs(sig: np.ndarray, tree: int, depth: int, rows: np.ndarray, cols: np
         for c in range(k * depth, (k + 1) * depth):
             equal = sig[rows, c][:, None] == sig[cols, c][None, :]
             agree += equal
-            if k < tree:
+            if k <= tree:
                 same &= equal
-        if k < tree:
-            out &= ~same
+        if k <= tree:
+            out &= ~same if k < tree else same
     return out & (agree >= sketch * sig.shape[1])
 
 
-def _blocks(a: np.ndarray, b: np.ndarray, x: int, y: int) -> tuple[np.ndarray, np.ndarray]:
-    """Members of block x and of block y of a group."""
-    return np.flatnonzero(a == x), np.flatnonzero(b == y)
-
-
 def _strips(rows: np.ndarray, size: int = 256) -> Iterator[np.ndarray]:
     for lo in range(0, len(rows), size):
         yield rows[lo : lo + size]
@@ -172,15 +165,26 @@ def _unpack(sig: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(values), np.uint32).reshape(len(values), -1)
 
 
-def _members(nodes: DataFrame, trees: int, depth: int, sketch: float) -> DataFrame:
-    """tree, node, x, y (blocks), sid, block: sets that have candidate pairs in that pair of blocks."""
-    counted = nodes.groupBy("tree", "node").agg(F.count("*").alias("members"), F.sum("n").alias("shingles")).where("members > 1")
+def _members(sets: DataFrame, trees: int, depth: int, sketch: float) -> DataFrame:
+    """node, tree, x, y (blocks), block, no: sets that have candidate pairs in that pair of blocks.
+
+    Only names travel until the nodes with several sets are known; their
+    signatures follow.
+    """
+    nodes = _nodes(sets, trees, depth)
+    counted = nodes.groupBy("node").agg(
+        F.count("*").alias("members"), F.sum("n").alias("shingles"), F.min("tree").alias("tree")
+    ).where("members > 1")
     counted = counted.withColumn(
         "blocks", F.greatest(F.ceil(F.col("members") / BLOCK_SETS), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
-    ).select("tree", "node", "blocks")
-    dealt = nodes.join(counted, ["tree", "node"]).withColumn("block", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
-    paired = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "tree", "node", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "sid", "sig"
+    ).select("node", "tree", "members", "blocks")
+    counted = materialise(counted, "near-nodes")
+    dealt = skew_join(nodes.select("node", "no"), counted, "node", "members", trees * sets.count())
+    paired = (
+        dealt.withColumn("block", F.pmod(F.xxhash64("no"), F.col("blocks")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .select("node", "tree", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "no")
+        .join(sets.select("no", "sig"), "no")
     )
 
     def run(table: pa.Table) -> pa.Table:
@@ -194,11 +198,9 @@ def _members(nodes: DataFrame, trees: int, depth: int, sketch: float) -> DataFra
                 hit &= part[:, None] < cols[None, :]
             needed[part[hit.any(axis=1)]] = True
             needed[cols[hit.any(axis=0)]] = True
-        return table.filter(pa.array(needed)).select(["tree", "node", "x", "y", "block", "sid"])
+        return table.filter(pa.array(needed)).select(["node", "tree", "x", "y", "block", "no"])
 
-    return paired.groupBy("tree", "node", "x", "y").applyInArrow(
-        run, "tree int, node binary, x int, y int, block int, sid binary"
-    )
+    return paired.groupBy("node", "x", "y").applyInArrow(run, "node bigint, tree int, x int, y int, block int, no bigint")
 
 
 def linked(shingles: list[np.ndarray], rows: np.ndarray, cols: np.ndarray, wanted: np.ndarray, threshold: float) -> np.ndarray:
@@ -229,17 +231,17 @@ def linked(shingles: list[np.ndarray], rows: np.ndarray, cols: np.ndarray, wante
 
 
 def _verify(members: DataFrame, sets: DataFrame, depth: int, sketch: float, threshold: float) -> DataFrame:
-    """sid, root (a linked set or itself) and links (documents linked through this group)."""
-    full = members.join(sets, "sid")
+    """no, root (a linked set or itself) and links (documents linked through this group)."""
+    full = members.join(sets, "no")
 
     def run(table: pa.Table) -> pa.Table:
         sig, block, copies = _unpack(table["sig"]), table["block"].to_numpy(), table["copies"].to_numpy()
-        sids = table["sid"].to_pylist()
+        nos = table["no"].to_numpy()
         shingles = [np.frombuffer(b, np.uint64) for b in table["shingles"].to_pylist()]
         tree, x, y = (table[c][0].as_py() for c in ("tree", "x", "y"))
         rows, cols = np.flatnonzero(block == x), np.flatnonzero(block == y)
-        links = np.zeros(len(sids), np.int64)
-        parent = list(range(len(sids)))
+        links = np.zeros(len(nos), np.int64)
+        parent = list(range(len(nos)))
 
         def find(i: int) -> int:
             while parent[i] != i:
@@ -258,11 +260,10 @@ def _verify(members: DataFrame, sets: DataFrame, depth: int, sketch: float, thre
                 a, b = find(part[i]), find(cols[j])
                 if a != b:
                     parent[max(a, b)] = min(a, b)
-        root = [sids[find(i)] for i in range(len(sids))]
-        some = pa.array(links > 0)
-        return pa.table({"sid": pa.array(sids, pa.binary()), "root": pa.array(root, pa.binary()), "links": pa.array(links)}).filter(some)
+        root = nos[[find(i) for i in range(len(nos))]]
+        return pa.table({"no": pa.array(nos), "root": pa.array(root), "links": pa.array(links)}).filter(pa.array(links > 0))
 
-    return full.groupBy("tree", "node", "x", "y").applyInArrow(run, "sid binary, root binary, links bigint")
+    return full.groupBy("node", "x", "y").applyInArrow(run, "no bigint, root bigint, links bigint")
 
 
 def _shingle_rows(docs: DataFrame, chosen: DataFrame, width: int) -> DataFrame:
@@ -296,26 +297,24 @@ def near_duplicates(
     slim = docs.select(F.col(id_col).alias("doc_id"), utf8(F.col(text_col)).alias("b"))
     rows = materialise(_sketches(slim, trees * depth, width), "near-rows")
     total = rows.count()
-    sets = materialise(
-        rows.groupBy("sid").agg(
-            F.count("*").alias("copies"), F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sig").alias("sig")
-        ), "near-sets",
+    sets = rows.groupBy("sid").agg(
+        F.count("*").alias("copies"), F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sig").alias("sig")
     )
-    nodes = _nodes(sets.where("n > 0"), trees, depth)
-    members = materialise(_members(nodes, trees, depth, sketch), "near-members")
-    wanted = members.select("sid").distinct()
-    chosen = materialise(sets.join(wanted, "sid", "left_semi").select("sid", "doc_id"), "near-chosen")
-    shingles = _shingle_rows(slim, chosen, width)
-    full = sets.select("sid", "copies", "sig").join(shingles, "sid")
+    sets = materialise(sets.withColumn("no", F.monotonically_increasing_id()), "near-sets")
+    members = materialise(_members(sets.where("n > 0"), trees, depth, sketch), "near-members")
+    wanted = members.select("no").distinct()
+    chosen = materialise(sets.join(wanted, "no", "left_semi").select("sid", "no", "doc_id", "copies", "sig"), "near-chosen")
+    shingles = _shingle_rows(slim, chosen.select("sid", "doc_id"), width)
+    full = chosen.select("sid", "no", "copies", "sig").join(shingles, "sid").drop("sid")
     found = materialise(_verify(members, full, depth, sketch, threshold), "near-links")
     roots = materialise(
-        connected_components(found.select(F.col("sid").alias("u"), F.col("root").alias("v"))), "near-roots"
+        connected_components(found.select(F.col("no").alias("u"), F.col("root").alias("v"))), "near-roots"
     )
-    links = found.groupBy("sid").agg(F.sum("links").alias("links"))
+    links = found.groupBy("no").agg(F.sum("links").alias("links"))
     named = (
-        sets.select("sid", "copies", "doc_id")
-        .join(roots.select(F.col("node").alias("sid"), "root"), "sid", "left").join(links, "sid", "left")
-        .select("sid", "copies", "doc_id", F.coalesce("root", "sid").alias("root"), F.coalesce("links", F.lit(0)).alias("links"))
+        sets.select("sid", "no", "copies", "doc_id")
+        .join(roots.select(F.col("node").alias("no"), "root"), "no", "left").join(links, "no", "left")
+        .select("sid", "copies", "doc_id", F.coalesce("root", "no").alias("root"), F.coalesce("links", F.lit(0)).alias("links"))
     )
     named = materialise(named, "near-named")
     classes = named.groupBy("root").agg(
