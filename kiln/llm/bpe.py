@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 
 from kiln.llm.common import utf8
 
-CACHE_ENTRIES = 300_000
-SLICE_BYTES = 8 << 20
+CACHE_ENTRIES = 200_000
+SLICE_BYTES = 2 << 20
 
 
 def read_ranks(path: str) -> list[bytes]:

@@ -164,7 +164,7 @@ def scan_licenses(
         known = {k: word_hashes([plain(t.encode())])[0] for k, t in names.items()}
         for batch in batches:
             data = batch.column("b").to_pylist()
-            for lo, hi in slices(data, 4 << 20):
+            for lo, hi in slices(data, 1 << 20):
                 words, counts = word_hashes([plain(d) for d in data[lo:hi]])
                 ends = np.cumsum(counts)
                 doc = np.repeat(np.arange(hi - lo), counts)

@@ -118,7 +118,7 @@ def _sketches(docs: DataFrame, minima: int, width: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data = batch.column("b").to_pylist()
-            for lo, hi in slices(data, 4 << 20):
+            for lo, hi in slices(data, 1 << 20):
                 s, n = shingle_sets(data[lo:hi], width)
                 sig = signatures(s, n, minima)
                 yield pa.RecordBatch.from_arrays(
@@ -275,7 +275,7 @@ def _shingle_rows(docs: DataFrame, chosen: DataFrame, width: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data = batch.column("b").to_pylist()
-            for lo, hi in slices(data, 4 << 20):
+            for lo, hi in slices(data, 1 << 20):
                 s, n = shingle_sets(data[lo:hi], width)
                 parts = np.split(s, np.cumsum(n)[:-1])
                 yield pa.RecordBatch.from_arrays(
