@@ -30,7 +30,13 @@ def parse_numeric(c, strip_commas: bool = True, dtype: str = "double") -> Column
     c = _c(c).cast("string")
     if strip_commas:
         c = F.replace(c, F.lit(","), F.lit(""))
-    return F.nullif(F.trim(c), F.lit("")).try_cast(dtype)
+    c = F.nullif(F.trim(c), F.lit(""))
+    return F.when(~has_java_suffix(c), c.try_cast(dtype))
+
+
+def has_java_suffix(c: Column) -> Column:
+    """Text such as ``12D`` or ``7f``, which a cast would take for a number."""
+    return F.rlike(c, F.lit("[0-9.][dDfF]$"))
 
 
 def safe_float(c, digits: int = 6) -> Column:

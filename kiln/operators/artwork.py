@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kiln.operators.sinks import insert_ignore
-from kiln.tables import bounded_broadcast
 
 BASE_URL = "https://ids.si.edu"
 IMAGE_SUFFIX = "/full/full/0/default.jpg"
@@ -314,7 +313,7 @@ def load_provenance(artworks: DataFrame, provenance: DataFrame, existing: DataFr
     is missing are skipped; rows already stored for (artwork, sequence) are
     ignored (insert-if-absent).  Returns the rows to append."""
     parents = artworks.select(F.col(manifest_key).alias("_mid"), F.col(artwork_key))
-    j = provenance.join(bounded_broadcast(parents), F.col(manifest_key) == F.col("_mid"), "inner").drop("_mid")
+    j = provenance.join(parents, F.col(manifest_key) == F.col("_mid"), "inner").drop("_mid")
     cols = [artwork_key, "sequence_order", "holder_name", "holder_dates", "location", "acquisition_notes"]
     rows = j.select(*cols, *([order] if order else []))
     return insert_ignore(existing, rows, [artwork_key, "sequence_order"], order=order).select(*cols)

@@ -11,10 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kiln.operators.joins import previous_match
-from kiln.tables import bounded_broadcast
 
 # Calendar bounded to ~150 years of days: always safe to broadcast.
-CALENDAR_MAX_ROWS = 60_000
 
 
 def federal_holiday_name(d: Column) -> Column:
@@ -62,8 +60,7 @@ def business_calendar(days: DataFrame, holidays: DataFrame) -> DataFrame:
     business date is a "latest earlier match" computed per year with a
     carry-in from earlier years (no single-partition window).
     """
-    h = bounded_broadcast(holidays.select("holiday_date", "holiday_name").dropDuplicates(["holiday_date"]),
-                          CALENDAR_MAX_ROWS)
+    h = holidays.select("holiday_date", "holiday_name").dropDuplicates(["holiday_date"])
     c = days.join(h, F.col("calendar_date") == F.col("holiday_date"), "left")
     dow = F.dayofweek("calendar_date") - 1
     c = c.select(
@@ -82,9 +79,9 @@ def business_calendar(days: DataFrame, holidays: DataFrame) -> DataFrame:
 
 
 def attach_calendar(fact: DataFrame, date_col: Column, calendar: DataFrame) -> DataFrame:
-    """CAL-02: add the calendar columns to any fact table (size-checked
-    broadcast of the calendar)."""
-    cal = bounded_broadcast(calendar, CALENDAR_MAX_ROWS)
+    """CAL-02: add the calendar columns to any fact table (one row a
+    day; the planner picks the join from the sizes)."""
+    cal = calendar
     return fact.join(cal, date_col.cast("date") == F.col("calendar_date"), "left")
 
 

@@ -267,9 +267,7 @@ def latest_non_null(df: DataFrame, key: str, ts: list[str], col: str) -> DataFra
 def enrich_symbols(df: DataFrame, ticker: str, dim: DataFrame, dim_key: str) -> DataFrame:
     """MKT-02: ticker -> symbol attributes; unknown tickers dropped.  The
     dimension goes through a size-checked broadcast."""
-    from kiln.tables import bounded_broadcast
-
-    return df.join(bounded_broadcast(dim), F.col(ticker) == F.col(dim_key), "inner")
+    return df.join(dim, F.col(ticker) == F.col(dim_key), "inner")
 
 
 def ohlc(df: DataFrame, keys: list[str], ts: str, tiebreak: str, open_: Column, high: Column, low: Column,

@@ -1,10 +1,6 @@
 """Join operators (JOIN-*).
 
-Dimension sides go through ``bounded_broadcast`` (size checked, shuffle
-join beyond the bound).  Pattern "joins" against rule lists (a handful of
-literal rows) evaluate every rule as a predicate in one pass over the facts
-and explode the ids of the matching rules: linear in the facts, no
-nested-loop or Cartesian plan.
+Which side is broadcast is left to the planner and to AQE, which know the sizes.
 """
 
 from __future__ import annotations
@@ -16,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kiln.functions.scalars import glob_to_regex, validate_regex
-from kiln.tables import bounded_broadcast
+from kiln.operators.windows import join_carry
 
 
 
@@ -24,7 +20,7 @@ def star_join(fact: DataFrame, dims: Sequence[tuple[DataFrame, Column | str]], h
     """JOIN-01/02: fact joined to each (dimension, condition) in turn."""
     out = fact
     for dim, on in dims:
-        out = out.join(bounded_broadcast(dim), on, how)
+        out = out.join(dim, on, how)
     return out
 
 
@@ -43,7 +39,7 @@ def polymorphic_lookup(
             F.lit(tname).alias("_t_type"), F.col(id_col).cast("bigint").alias("_t_id"), F.col(name_col).alias("target_name")
         )
         stacked = part if stacked is None else stacked.unionByName(part)
-    lookup = bounded_broadcast(stacked)
+    lookup = stacked
     cond = (F.col(type_col) == F.col("_t_type")) & (F.col(key_col).cast("bigint") == F.col("_t_id"))
     return fact.join(lookup, cond, "left").drop("_t_type", "_t_id")
 
@@ -93,7 +89,7 @@ def previous_match(
     wb = W.partitionBy(key).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
     carry = per_bucket.select(key, "_b", F.last("_last", ignorenulls=True).over(wb).alias("_carry"))
     return (
-        within.join(carry, [key, "_b"], "left")
+        join_carry(within, carry, [key, "_b"])
         .withColumn(out, F.coalesce("_in", "_carry"))
         .drop("_b", "_in", "_carry")
     )

@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from kiln.functions.scalars import has_java_suffix
+
 # ---------------------------------------------------------------- PRJ-01
 _NON_WORD = re.compile(r"[^\w]")
 
@@ -70,7 +72,8 @@ def infer_types(df: DataFrame, columns: Sequence[str] | None = None) -> DataFram
         (F.col(f"p{i}") & F.lower(f"s{i}").isin(*BOOL_TOKENS)).alias(f"b{i}"),
         F.when(F.col(f"p{i}"), F.length(f"s{i}")).alias(f"l{i}"),
         F.col(f"s{i}").alias(f"s{i}"),
-        F.when(F.col(f"p{i}") & ~F.lower(f"s{i}").isin(*BOOL_TOKENS), F.col(f"s{i}").try_cast("double")).alias(f"v{i}"))])
+        F.when(F.col(f"p{i}") & ~F.lower(f"s{i}").isin(*BOOL_TOKENS) & ~has_java_suffix(F.col(f"s{i}")),
+               F.col(f"s{i}").try_cast("double")).alias(f"v{i}"))])
     aggs = []
     for i in range(len(cols)):
         num = F.col(f"v{i}")

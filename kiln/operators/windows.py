@@ -19,6 +19,16 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+def join_carry(rows: DataFrame, carry: DataFrame, keys: list[str]) -> DataFrame:
+    """Left join on ``keys`` in which NULL equals NULL, as it does for window partitions."""
+    side = carry.select(*[F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)],
+                        *[c for c in carry.columns if c not in keys])
+    on = F.lit(True)
+    for i, k in enumerate(keys):
+        on = on & F.col(k).eqNullSafe(F.col(f"_key{i}"))
+    return rows.join(side, on, "left").drop(*[f"_key{i}" for i in range(len(keys))])
+
+
 def running_max(df: DataFrame, keys: list[str], order: list[str], value: Column, chunk: Column, out: str) -> DataFrame:
     """``max(value) OVER (PARTITION BY keys ORDER BY order ROWS UNBOUNDED
     PRECEDING)`` computed per (keys, chunk) plus a carried prefix max."""
@@ -29,7 +39,7 @@ def running_max(df: DataFrame, keys: list[str], order: list[str], value: Column,
     w_c = W.partitionBy(*keys).orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)
     carry = per_chunk.select(*keys, "_chunk", F.max("_cmax").over(w_c).alias("_carry"))
     return (
-        within.join(carry, [*keys, "_chunk"], "left")
+        join_carry(within, carry, [*keys, "_chunk"])
         .withColumn(out, F.greatest("_in", "_carry"))
         .drop("_chunk", "_v", "_in", "_carry")
     )
@@ -46,7 +56,7 @@ def next_match(df: DataFrame, keys: list[str], seq: str, is_match: Column, value
     w_c = W.partitionBy(*keys).orderBy("_chunk").rowsBetween(1, W.unboundedFollowing)
     carry = per_chunk.select(*keys, "_chunk", F.first("_cfirst", ignorenulls=True).over(w_c).alias("_carry"))
     return (
-        within.join(carry, [*keys, "_chunk"], "left")
+        join_carry(within, carry, [*keys, "_chunk"])
         .withColumn(out, F.coalesce("_in", "_carry"))
         .drop("_chunk", "_m", "_in", "_carry")
     )
@@ -64,7 +74,7 @@ def row_number(df: DataFrame, keys: list[str], order: list[str], chunk: Column,
     w_c = W.partitionBy(*keys).orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)
     carry = per_chunk.select(*keys, "_chunk", F.coalesce(F.sum("_n").over(w_c), F.lit(0)).alias("_carry"))
     return (
-        within.join(carry, [*keys, "_chunk"], "left")
+        join_carry(within, carry, [*keys, "_chunk"])
         .withColumn(out, F.col("_rn") + F.col("_carry"))
         .drop("_chunk", "_rn", "_carry")
     )

@@ -23,8 +23,8 @@ def T(spark: SparkSession, sf_dir: str) -> Tables:
 
 
 def TW(spark: SparkSession, sf_dir: str) -> Tables:
-    """Tables whose scans feed every core (CPU-heavy row-local queries)."""
-    return Tables(spark, sf_dir, wide=True)
+    """Tables of CPU-heavy row-local queries; their scans are as wide as the splits."""
+    return Tables(spark, sf_dir)
 
 
 # ------------------------------------------------------------------ logs

@@ -259,7 +259,7 @@ def agg_suite_summary(spark, d):
     "agg_suite_failures",
     C.with_ctes(
         SUITE_SQL,
-        body="SELECT suite_id, l_orderkey, l_linenumber, test_name FROM suite WHERE status = 'failed'",
+        body="SELECT suite_id, l_orderkey, l_linenumber, test_name FROM suite WHERE status <> 'passed'",
     ),
 )
 def agg_suite_failures(spark, d):

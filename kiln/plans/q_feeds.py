@@ -14,7 +14,6 @@ from kiln.operators import feeds as FD
 from kiln.plans import common as C
 from kiln.plans.registry import query
 from kiln.sources import payloads as PL
-from kiln.tables import bounded_broadcast
 
 
 def _doc(root: str, *fields):
@@ -118,7 +117,7 @@ def feed_repo(spark, d):
 
 
 def _lines_parts(t):
-    return t.lineitem.join(bounded_broadcast(t.part.select("p_partkey", "p_name", "p_type")),
+    return t.lineitem.join(t.part.select("p_partkey", "p_name", "p_type"),
                            F.col("l_partkey") == F.col("p_partkey"))
 
 
@@ -206,7 +205,7 @@ FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey
 def feed_fx_swaps(spark, d):
     t = C.TW(spark, d)
     dims = t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "c_name", "n_nationkey")
-    j = _order_lines(t).join(bounded_broadcast(dims), F.col("o_custkey") == F.col("c_custkey"))
+    j = _order_lines(t).join(dims, F.col("o_custkey") == F.col("c_custkey"))
     partial = F.col("o_orderstatus") == "P"
     ccy = F.concat(F.lit("C"), F.lpad(F.col("n_nationkey").cast("string"), 2, "0"))
     payload = _doc(

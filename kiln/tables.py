@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 TABLE_NAMES = (
     "region nation customer supplier part orders lineitem events documents "
@@ -11,33 +10,9 @@ TABLE_NAMES = (
 ).split()
 
 
-FACT_TABLES = {"lineitem", "orders", "events", "documents", "pages", "conversations", "embeddings", "part", "customer"}
-
-
-def load(spark: SparkSession, sf_dir: str, name: str, spread_out: bool = False) -> DataFrame:
-    """Read a driver table; ``spread_out`` widens a one-task scan of a fact
-    table for CPU-heavy row-local work (see ``spread``)."""
-    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    return spread(df) if spread_out and name in FACT_TABLES else df
-
-
-def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Make sure a scan feeds every core.
-
-    A table stored as one file with one row group is read by ONE task, so
-    row-local work on it (JSON, regex, higher-order functions) would run on
-    a single core.  When the scan has fewer partitions than the cluster's
-    default parallelism, round-robin it across that many; at scale (many
-    files / row groups) the scan is already wide and this is a no-op, so no
-    shuffle is added.  Reading the partition count plans the scan only; no
-    job runs.
-    """
-    try:
-        target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-        current = df.rdd.getNumPartitions()
-    except Exception:  # noqa: BLE001 - e.g. a Spark Connect session has no RDD view; leave the scan as is
-        return df
-    return df.repartition(target) if current < target else df
+def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """Read a driver table; the split size sets the width of the scan."""
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def register_views(spark: SparkSession, sf_dir: str) -> None:
@@ -46,34 +21,13 @@ def register_views(spark: SparkSession, sf_dir: str) -> None:
 
 
 class Tables:
-    """Lazy attribute access: ``t = Tables(spark, d); t.orders``.
-
-    ``wide=True`` spreads one-task fact scans over all cores, for queries
-    whose per-row work is CPU-heavy (JSON, regex, higher-order functions).
-    """
+    """Lazy attribute access: ``t = Tables(spark, d); t.orders``."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str, wide: bool = False):
+    def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.sf_dir = sf_dir
-        self.wide = wide
 
     def __getattr__(self, name: str) -> DataFrame:
         if name not in TABLE_NAMES:
             raise AttributeError(name)
-        return load(self.spark, self.sf_dir, name, spread_out=self.wide)
-
-
-# Row bound for hinting a broadcast; AQE may still broadcast larger sides
-# at run time when their actual size is below its threshold.
-BROADCAST_MAX_ROWS = 250_000
-
-
-def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast ``df`` only after checking it really holds <= max_rows rows.
-
-    The check is a ``limit(max_rows + 1).count()`` which stops reading as
-    soon as the bound is exceeded; beyond the bound the frame is returned
-    unhinted so the planner (and AQE) choose a shuffle join instead.
-    """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+        return load(self.spark, self.sf_dir, name)
