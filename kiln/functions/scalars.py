@@ -9,7 +9,8 @@ from __future__ import annotations
 import re
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.errors import IllegalArgumentException
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -136,11 +137,13 @@ def has_prefix(c, prefix: str) -> Column:
 
 
 def first_truthy(*cols) -> Column:
-    """PRJ-14: Python's ``a or b``: NULL, '' and 0 fall through."""
+    """PRJ-14: Python's ``a or b``: NULL, empty text, false and a zero of any
+    numeric type fall through; the text '0' does not."""
 
     def falsy_to_null(c):
         c = _c(c)
-        return F.when(c.cast("string").isin("", "0", "0.0"), F.lit(None)).otherwise(c)
+        zero = c.cast("string").rlike(r"^(false|-?0+(\.0*)?(E[-+]?[0-9]+)?)$")
+        return F.when(F.when(F.typeof(c) == "string", c.cast("string") == "").otherwise(zero), F.lit(None)).otherwise(c)
 
     return F.coalesce(*[falsy_to_null(c) for c in cols])
 
@@ -149,14 +152,21 @@ def first_truthy(*cols) -> Column:
 def validate_regex(pattern: str | None) -> str | None:
     """Return an error message for an empty/invalid pattern, else None.
 
-    Runs on the driver against the (tiny) pattern text only.
+    Runs on the driver against the (tiny) pattern text only, with the engine
+    that will match it (java.util.regex) when a session is there.
     """
     if not pattern:
         return "Pattern is empty"
+    session = SparkSession.getActiveSession()
     try:
-        re.compile(pattern)
+        if session is None:
+            re.compile(pattern)
+        else:
+            session.sparkContext._jvm.java.util.regex.Pattern.compile(pattern)
     except re.error as e:
         return f"Invalid regex: {e}"
+    except IllegalArgumentException as e:
+        return f"Invalid regex: {str(e).splitlines()[0]}"
     return None
 
 

@@ -57,6 +57,11 @@ class ImportSpec:
     reader_options: dict = field(default_factory=dict)
 
 
+# Columns the import itself writes: no part of the source's or the target's own columns.
+LINEAGE = ("dataset_label", "file_date", "source_file", "created_by", "created_date", "_path")
+SYSTEM = ("datasetid", "unfit_values")
+
+
 def _const(v) -> F.Column:
     return F.lit(v)
 
@@ -68,6 +73,7 @@ class GenericImport:
         self.spark = spark
         self.spec = spec
         self.obs_load = Observation(f"load_{spec.config_name}")
+        self.table_schema = spec.target_schema
 
     # ---- extract: reader registry (UDF-02)
     def extract(self, spark: SparkSession | None = None) -> DataFrame:
@@ -97,16 +103,29 @@ class GenericImport:
         df = P.nested_to_json(df)
         df = P.add_audit(df, s.user, s.run_ts)
         if s.target_schema is not None:
-            body = df.drop("_path")
-            if s.strategy == 1:
-                body, _ = P.align_auto_add(body, s.target_schema)
-            elif s.strategy == 2:
-                body = P.align_ignore_extra(body, s.target_schema)
-            else:
-                body = P.align_strict(body, s.target_schema)
-            df = body.withColumn("_path", F.lit(None).cast("string")) if "_path" not in body.columns else body
+            df = self._align(df, s.target_schema)
         return df
 
+    def _align(self, df: DataFrame, target: T.StructType) -> DataFrame:
+        """Apply the column strategy to the source's own columns.
+
+        Lineage and audit columns are no part of the comparison and keep their
+        types.  Values the target's types can't hold go to ``unfit_values``.
+        ``self.table_schema`` is the target after the load (strategy 1 adds columns).
+        """
+        s = self.spec
+        data = df.drop(*LINEAGE)
+        wanted = T.StructType([f for f in target.fields if f.name not in (*LINEAGE, *SYSTEM)])
+        if s.strategy == 1:
+            _, wanted = P.align_auto_add(data, wanted)
+        elif s.strategy == 3:
+            P.align_strict(data, wanted)
+        kept = T.StructType([df.schema[c] for c in LINEAGE if c in df.columns])
+        out = df.withColumn("unfit_values", P.unfit(df, wanted))
+        whole = T.StructType([*wanted.fields, *kept.fields, out.schema["unfit_values"]])
+        self.table_schema = T.StructType([f for f in whole.fields if f.name != "_path"])
+        return P.align_ignore_extra(out, whole)
+
     def _label_and_date(self, df: DataFrame) -> DataFrame:
         s = self.spec
         if s.label_source == "filename":

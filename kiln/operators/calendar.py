@@ -88,10 +88,11 @@ def attach_calendar(fact: DataFrame, date_col: Column, calendar: DataFrame) -> D
 def holiday_load(batch: DataFrame, existing: DataFrame, id_col: str, date_text: str, name: str) -> DataFrame:
     """CAL-03: split a holiday batch into accepted / rejected rows.
 
-    Rejections: missing date or name, unparseable date, already present in
+    Rejections: missing date, unparseable date, already present in
     ``existing``, or a repeat of an earlier row (by ``id_col``) of the same
-    date in the batch.  The first row per date is found with a partial
-    aggregate (min id per date), not a per-date sort.
+    date in the batch; a name is not required.  The first row per date is found
+    with a partial aggregate (min id per date), not a per-date sort, and
+    broadcast: one row per calendar day, so a common date is no join key.
     """
     b = batch.select(
         id_col,
@@ -101,10 +102,9 @@ def holiday_load(batch: DataFrame, existing: DataFrame, id_col: str, date_text:
     )
     first = b.filter(F.col("holiday_date").isNotNull()).groupBy("holiday_date").agg(F.min(id_col).alias("_first"))
     ex = existing.select(F.col("holiday_date").alias("_ex")).distinct()
-    j = b.join(first, "holiday_date", "left").join(ex, F.col("holiday_date") == F.col("_ex"), "left")
+    j = b.join(F.broadcast(first), "holiday_date", "left").join(F.broadcast(ex), F.col("holiday_date") == F.col("_ex"), "left")
     reason = (
-        F.when(F.col("date_text").isNull() | (F.trim("date_text") == "") | F.col("holiday_name").isNull()
-               | (F.trim("holiday_name") == ""), "missing date or name")
+        F.when(F.col("date_text").isNull() | (F.trim("date_text") == ""), "missing date")
         .when(F.col("holiday_date").isNull(), F.concat(F.lit("invalid date: "), F.col("date_text")))
         .when(F.col("_ex").isNotNull(), F.concat(F.lit("already exists: "), F.col("date_text")))
         .when(F.col(id_col) != F.col("_first"), F.concat(F.lit("duplicate in batch: "), F.col("date_text")))

@@ -9,6 +9,8 @@ batch.  Columns are typed to the target tables (DECIMAL(p, s) as declared).
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,6 +43,32 @@ def rejects(records: DataFrame, required: Column, reason: str) -> DataFrame:
     )
 
 
+# The date fields of the feeds; text there that is no date makes a record a reject, a blank is NULL.
+DATE_FIELDS = {
+    "soma": ("asOfDate", "maturityDate"),
+    "repo": ("operationDate", "maturityDate"),
+    "mbs": ("operationDate", "settlementDate", "maturityDate"),
+    "fx_swaps": ("swapDate", "operationDate", "maturityDate"),
+    "sec_lending": ("operationDate", "loanDate", "returnDate"),
+    "treasury": ("operationDate", "issueDate", "maturityDate"),
+    "guide_sheets": ("issueDate", "maturityDate"),
+}
+
+
+def _dates_sound(feed: str) -> Column:
+    """No date field of the record holds text that isn't a date."""
+    def sound(name: str) -> Column:
+        text = field(name)
+        return (F.coalesce(text, F.lit("")) == "") | parse_date(text).isNotNull()
+
+    return reduce(lambda a, b: a & b, [sound(n) for n in DATE_FIELDS[feed]])
+
+
+def date_rejects(records: DataFrame, feed: str) -> DataFrame:
+    """The records of a feed that its transform skips for an unparseable date."""
+    return rejects(records, _dates_sound(feed), "unparseable date")
+
+
 # ---------------------------------------------------------------- FEED-01..10
 def reference_rates(records: DataFrame) -> DataFrame:
     """FEED-01: rows without an effective date are skipped."""
@@ -61,7 +89,7 @@ def reference_rates(records: DataFrame) -> DataFrame:
 
 def soma_holdings(records: DataFrame) -> DataFrame:
     """FEED-02: par / face values arrive as text with thousands commas."""
-    return records.select(
+    return records.filter(_dates_sound("soma")).select(
         _date("asOfDate").alias("as_of_date"),
         field("securityType").alias("security_type"),
         field("cusip").alias("cusip"),
@@ -74,7 +102,7 @@ def soma_holdings(records: DataFrame) -> DataFrame:
 
 def repo_operations(records: DataFrame) -> DataFrame:
     """FEED-03: repo and reverse repo; type lower-cased without spaces."""
-    return records.select(
+    return records.filter(_dates_sound("repo")).select(
         _date("operationDate").alias("operation_date"),
         F.replace(F.lower(F.coalesce(field("operationType"), F.lit(""))), F.lit(" "), F.lit("")).alias("operation_type"),
         field("operationId").alias("operation_id"),
@@ -89,7 +117,7 @@ def repo_operations(records: DataFrame) -> DataFrame:
 
 def agency_mbs(records: DataFrame) -> DataFrame:
     """FEED-04."""
-    return records.select(
+    return records.filter(_dates_sound("mbs")).select(
         _date("operationDate").alias("operation_date"),
         field("operationType").alias("operation_type"),
         field("cusip").alias("cusip"),
@@ -106,7 +134,7 @@ def fx_swaps(records: DataFrame) -> DataFrame:
     currency; term days = maturity - swap."""
     swap = parse_date(first_truthy(field("swapDate"), field("operationDate")))
     mat = _date("maturityDate")
-    return records.select(
+    return records.filter(_dates_sound("fx_swaps")).select(
         swap.alias("swap_date"),
         field("counterparty").alias("counterparty"),
         first_truthy(field("currencyCode"), field("currency")).alias("currency_code"),
@@ -122,7 +150,7 @@ def securities_lending(records: DataFrame) -> DataFrame:
     """FEED-06: term days = return - loan; par amount falls back (0 falls
     through, as Python's ``or`` does)."""
     loan, ret = _date("loanDate"), _date("returnDate")
-    return records.select(
+    return records.filter(_dates_sound("sec_lending")).select(
         _date("operationDate").alias("operation_date"),
         field("operationType").alias("operation_type"),
         field("cusip").alias("cusip"),
@@ -138,7 +166,7 @@ def securities_lending(records: DataFrame) -> DataFrame:
 
 def treasury_operations(records: DataFrame) -> DataFrame:
     """FEED-07: 14 typed columns."""
-    return records.select(
+    return records.filter(_dates_sound("treasury")).select(
         _date("operationDate").alias("operation_date"),
         field("operationType").alias("operation_type"),
         field("cusip").alias("cusip"),
@@ -173,6 +201,7 @@ def guide_sheets(payloads: DataFrame, json_col: str, path: str = "guidesheet.si"
         F.coalesce(F.try_variant_get(first, "$.details", "array<variant>"), F.array().cast("array<variant>")).alias("_d"),
     ).filter(F.coalesce(F.col("_pub"), F.lit("")) != "")
     rows = head.select(parse_date("_pub").alias("publication_date"), "guide_type", F.explode("_d").alias(RECORD))
+    rows = rows.filter(F.col("publication_date").isNotNull() & _dates_sound("guide_sheets"))
     return rows.select(
         "publication_date",
         "guide_type",

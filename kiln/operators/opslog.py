@@ -9,6 +9,7 @@ Look-backs take an explicit ``as_of`` literal instead of NOW().
 from __future__ import annotations
 
 from collections.abc import Mapping
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -214,32 +215,38 @@ def suite_failures(results: DataFrame, suite: str, test_id: list[str], test_name
 
 
 # ---------------------------------------------------------------- AGG-12/13
-def freshness(tables: Mapping[str, tuple[DataFrame, list[str], str | None]], declared: Mapping[str, str]) -> DataFrame:
+def freshness(tables: Mapping[str, tuple[DataFrame, list[str], str | None]], declared: Mapping[str, str],
+              upstream: Mapping[str, DataFrame]) -> DataFrame:
     """Per table: row count, min/max of the first non-null candidate date
-    column, last created; health from (declared status, has rows)."""
+    column, last created, and its health: a feed declared ``stub`` or
+    ``waiting`` says so; for the others it follows from whether the table and
+    its upstream records (``upstream[name]``; absent: none) hold any row."""
     parts = []
     for name, (df, date_cols, created) in tables.items():
-        d = F.coalesce(*[F.col(c).cast("timestamp_ntz") for c in date_cols])
-        parts.append(
-            df.agg(
-                F.count(F.lit(1)).alias("row_count"),
-                F.min(d).alias("min_date"),
-                F.max(d).alias("max_date"),
-                (F.max(F.col(created).cast("timestamp_ntz")) if created else F.lit(None).cast("timestamp_ntz")).alias(
-                    "last_created"
-                ),
-            ).withColumns({"table_name": F.lit(name), "declared": F.lit(declared.get(name, "unknown"))})
-        )
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+        dates = F.coalesce(*[F.col(c).cast("timestamp_ntz") for c in date_cols])
+        made = F.col(created) if created else F.lit(None)
+        own = df.agg(F.count(F.lit(1)).alias("row_count"), F.min(dates).alias("min_date"), F.max(dates).alias("max_date"),
+                     F.max(made.cast("timestamp_ntz")).alias("last_created"), F.lit(False).alias("_up"))
+        if name in upstream:  # a presence probe: one row is enough
+            probe = upstream[name].limit(1).select(
+                F.lit(0).cast("long").alias("row_count"), *[F.lit(None).cast("timestamp_ntz").alias(c)
+                                                            for c in ("min_date", "max_date", "last_created")],
+                F.lit(True).alias("_up"))
+            own = own.unionByName(probe)
+        parts.append(own.withColumns({"table_name": F.lit(name), "declared": F.lit(declared.get(name, "unknown"))}))
+    out = reduce(DataFrame.unionByName, parts).groupBy("table_name", "declared").agg(
+        F.sum("row_count").alias("row_count"), *[F.max(c).alias(c) for c in ("min_date", "max_date", "last_created")],
+        F.bool_or("_up").alias("_up"))
+    held, there = F.col("row_count") > 0, F.col("_up")
     return out.withColumn(
         "health",
-        F.when(F.col("declared") == "not_implemented", "not_implemented")
-        .when(F.col("row_count") == 0, "empty")
-        .when(F.col("declared") == "error", "error")
-        .otherwise("healthy"),
-    )
+        F.when(F.col("declared") == "stub", "not_implemented")
+        .when(F.col("declared") == "waiting", "waiting_for_data")
+        .when(held & there, "healthy")
+        .when(held, "stale_data")
+        .when(there, "needs_sync")
+        .otherwise("no_data"),
+    ).drop("_up")
 
 
 def endpoint_status(fetches: DataFrame, outcome: str = "status") -> DataFrame:

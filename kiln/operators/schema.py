@@ -124,11 +124,12 @@ def spark_type(sql_type: str) -> T.DataType:
 # ---------------------------------------------------------------- PRJ-03
 def blob_type(c) -> Column:
     """JSON when the text starts with '{'/'[' and parses; XML when it starts
-    with an XML declaration; else TEXT."""
+    with an XML declaration and is well formed; else TEXT."""
     c = F.col(c) if isinstance(c, str) else c
     t = F.ltrim(c)
     is_json = (t.startswith("{") | t.startswith("[")) & F.try_parse_json(c).isNotNull()
-    is_xml = t.startswith("<?xml")
+    probe = F.from_xml(t, "struct<_bad: string>", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
+    is_xml = t.startswith("<?xml") & probe["_bad"].isNull()
     return F.when(is_json, "JSON").when(is_xml, "XML").otherwise("TEXT")
 
 
@@ -165,15 +166,31 @@ def align_strict(source: DataFrame, target: T.StructType, require_all: bool = Fa
 
 
 def _align(source: DataFrame, target: T.StructType) -> DataFrame:
+    """The target's columns; a value its type can't hold is NULL (see ``unfit``)."""
     cols = []
     for f in target.fields:
         if f.name in source.columns:
-            cols.append(F.col(f.name).cast(f.dataType).alias(f.name))
+            cols.append(F.col(f.name).try_cast(f.dataType).alias(f.name))
         else:
             cols.append(F.lit(None).cast(f.dataType).alias(f.name))
     return source.select(*cols)
 
 
+def unfit(source: DataFrame, target: T.StructType) -> Column:
+    """The source values ``_align`` turns into NULL, as a map {column: text}; NULL if there are none."""
+    pairs = []
+    for f in target.fields:
+        if f.name in source.columns and source.schema[f.name].dataType != f.dataType:
+            c = F.col(f.name)
+            pairs.append(F.when(c.isNotNull() & c.try_cast(f.dataType).isNull(),
+                                F.struct(F.lit(f.name).alias("key"), c.cast("string").alias("value"))))
+    none = F.lit(None).cast("map<string,string>")
+    if not pairs:
+        return none
+    held = F.array_compact(F.array(*pairs))
+    return F.when(F.size(held) > 0, F.map_from_entries(held)).otherwise(none)
+
+
 # ---------------------------------------------------------------- PRJ-07/08
 def nested_to_json(df: DataFrame) -> DataFrame:
     """Every struct/array/map column becomes JSON text."""

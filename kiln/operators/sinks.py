@@ -74,7 +74,7 @@ def upsert(target: DataFrame, source: DataFrame, keys: Sequence[str], update_col
     src = last_arrival(source, keys, order) if order else source.dropDuplicates(list(keys))
     src = src.select(*keys, *[F.col(c).alias(f"_s_{c}") for c in target.columns if c not in keys and c in src.columns],
                      F.lit(True).alias("_s_hit"))
-    j = target.join(src, list(keys), "full_outer")
+    j = target.withColumn("_t_hit", F.lit(True)).join(src, list(keys), "full_outer")
     upd = set(update_cols) if update_cols is not None else {c for c in target.columns if c not in keys}
     cols = []
     for c in target.columns:
@@ -83,7 +83,8 @@ def upsert(target: DataFrame, source: DataFrame, keys: Sequence[str], update_col
         elif c in upd and f"_s_{c}" in src.columns:
             cols.append(F.when(F.col("_s_hit"), F.col(f"_s_{c}")).otherwise(F.col(c)).cast(target.schema[c].dataType).alias(c))
         elif f"_s_{c}" in src.columns:
-            cols.append(F.coalesce(F.col(c), F.col(f"_s_{c}")).cast(target.schema[c].dataType).alias(c))
+            # not updatable: an existing row keeps its value, NULL included
+            cols.append(F.when(F.col("_t_hit"), F.col(c)).otherwise(F.col(f"_s_{c}")).cast(target.schema[c].dataType).alias(c))
         else:
             cols.append(F.col(c))
     return j.select(*cols)

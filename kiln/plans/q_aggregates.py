@@ -270,29 +270,37 @@ def agg_suite_failures(spark, d):
     "agg_freshness",
     """
 SELECT 'orders' AS table_name, 'active' AS declared, count(*) AS row_count, min(o_orderdate) AS min_date,
-       max(o_orderdate) AS max_date, max(o_orderdate) AS last_created,
-       CASE WHEN count(*) = 0 THEN 'empty' ELSE 'healthy' END AS health FROM orders
+       max(o_orderdate) AS max_date, max(o_orderdate) AS last_created, 'healthy' AS health FROM orders
 UNION ALL
-SELECT 'lineitem', 'active', count(*), min(l_shipdate), max(l_shipdate), CAST(NULL AS TIMESTAMP),
-       CASE WHEN count(*) = 0 THEN 'empty' ELSE 'healthy' END FROM lineitem
+SELECT 'lineitem', 'active', count(*), min(l_shipdate), max(l_shipdate), CAST(NULL AS TIMESTAMP), 'stale_data' FROM lineitem
 UNION ALL
-SELECT 'events', 'error', count(*), min(ts), max(ts), max(ts),
-       CASE WHEN count(*) = 0 THEN 'empty' ELSE 'error' END FROM events
+SELECT 'events', 'waiting', count(*), min(ts), max(ts), max(ts), 'waiting_for_data' FROM events
 UNION ALL
-SELECT 'events_purchase', 'not_implemented', count(*), min(ts), max(ts), max(ts), 'not_implemented'
-FROM events WHERE event_type = 'purchase'""",
+SELECT 'events_purchase', 'stub', count(*), min(ts), max(ts), max(ts), 'not_implemented'
+FROM events WHERE event_type = 'purchase'
+UNION ALL
+SELECT 'refunds', 'active', count(*), min(ts), max(ts), max(ts), 'needs_sync' FROM events WHERE event_type = 'refund'
+UNION ALL
+SELECT 'returns', 'active', count(*), min(ts), max(ts), max(ts), 'no_data' FROM events WHERE event_type = 'return'""",
 )
 def agg_freshness(spark, d):
     t = C.T(spark, d)
-    e = t.events
+
+    def of(event_type):
+        return t.events.filter(F.col("event_type") == event_type)
+
     return O.freshness(
         {
             "orders": (t.orders, ["o_orderdate"], "o_orderdate"),
             "lineitem": (t.lineitem, ["l_shipdate"], None),
-            "events": (e, ["ts"], "ts"),
-            "events_purchase": (e.filter(F.col("event_type") == "purchase"), ["ts"], "ts"),
+            "events": (t.events, ["ts"], "ts"),
+            "events_purchase": (of("purchase"), ["ts"], "ts"),
+            "refunds": (of("refund"), ["ts"], "ts"),
+            "returns": (of("return"), ["ts"], "ts"),
         },
-        {"orders": "active", "lineitem": "active", "events": "error", "events_purchase": "not_implemented"},
+        {"orders": "active", "lineitem": "active", "events": "waiting", "events_purchase": "stub", "refunds": "active",
+         "returns": "active"},
+        {"orders": t.customer, "lineitem": of("refund"), "events": t.customer, "refunds": t.orders},
     ).select("table_name", "declared", "row_count", "min_date", "max_date", "last_created", "health")
 
 

@@ -178,7 +178,7 @@ p AS (SELECT *, CAST(try_strptime(NULLIF(trim(date_text), ''), '%Y-%m-%d') AS DA
 f AS (SELECT holiday_date, min(event_id) AS first_id FROM p WHERE holiday_date IS NOT NULL GROUP BY 1),
 ex AS (SELECT DATE '2024-01-01' AS d UNION ALL SELECT DATE '2024-01-15'),
 r AS (SELECT p.event_id, p.holiday_date, p.holiday_name,
-        CASE WHEN date_text IS NULL OR trim(date_text) = '' OR holiday_name IS NULL OR trim(holiday_name) = '' THEN 'missing date or name'
+        CASE WHEN date_text IS NULL OR trim(date_text) = '' THEN 'missing date'
              WHEN p.holiday_date IS NULL THEN 'invalid date: ' || date_text
              WHEN p.holiday_date IN (SELECT d FROM ex) THEN 'already exists: ' || date_text
              WHEN p.event_id <> f.first_id THEN 'duplicate in batch: ' || date_text END AS reason

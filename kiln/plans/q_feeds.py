@@ -71,13 +71,18 @@ def feed_reference_rates(spark, d):
 SELECT CAST(l_shipdate AS DATE) AS as_of_date, l_returnflag AS security_type, lpad(CAST(l_partkey AS VARCHAR), 9, '0') AS cusip,
        'part ' || l_partkey AS security_description, CAST(l_shipdate + INTERVAL 3650 DAY AS DATE) AS maturity_date,
        CAST(l_extendedprice AS DECIMAL(20,2)) AS par_value, CAST(l_extendedprice - l_quantity AS DECIMAL(20,2)) AS current_face_value
-FROM lineitem""",
+FROM lineitem WHERE l_orderkey % 31 <> 0""",
 )
 def feed_soma(spark, d):
+    return FD.soma_holdings(_soma_records(spark, d))
+
+
+def _soma_records(spark, d):
     li = C.TW(spark, d).lineitem
     payload = _doc(
         "soma.holdings",
-        _d("l_shipdate").alias("asOfDate"),
+        F.when(F.col("l_orderkey") % 31 == 0, F.concat(F.lit("n/a "), "l_orderkey", F.lit("-"), "l_linenumber"))
+        .otherwise(_d("l_shipdate")).alias("asOfDate"),
         F.col("l_returnflag").alias("securityType"),
         F.lpad(F.col("l_partkey").cast("string"), 9, "0").alias("cusip"),
         F.concat(F.lit("part "), "l_partkey").alias("securityDescription"),
@@ -85,7 +90,17 @@ def feed_soma(spark, d):
         F.format_number("l_extendedprice", 2).alias("parValue"),
         F.format_number(F.col("l_extendedprice") - F.col("l_quantity"), 2).alias("currentFaceValue"),
     )
-    return FD.soma_holdings(_records(li.select(payload.alias("payload")), "soma.holdings"))
+    return _records(li.select(payload.alias("payload")), "soma.holdings")
+
+
+@query(
+    "feed_soma_rejects",
+    """SELECT 'n/a ' || l_orderkey || '-' || l_linenumber AS as_of_text, 'unparseable date' AS reason
+FROM lineitem WHERE l_orderkey % 31 = 0""",
+)
+def feed_soma_rejects(spark, d):
+    bad = FD.date_rejects(_soma_records(spark, d), "soma")
+    return bad.select(F.get_json_object("raw_record", "$.asOfDate").alias("as_of_text"), "reason")
 
 
 # ------------------------------------------------------------------ FEED-03

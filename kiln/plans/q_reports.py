@@ -6,6 +6,7 @@ from __future__ import annotations
 import os
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from kiln import jobs as JB
 from kiln.operators import feeds as FD
@@ -91,6 +92,63 @@ def import_generic(spark, d):
     return spark.read.parquet(target).drop("source_file")
 
 
+# ------------------------------------------------------------------ UDF-01: column strategies
+STRATEGY_TARGET = T.StructType([
+    T.StructField("o_orderkey", T.LongType()), T.StructField("o_totalprice", T.DoubleType()),
+    T.StructField("o_orderstatus", T.StringType()), T.StructField("o_note", T.StringType()),
+    T.StructField("datasetid", T.IntegerType()), T.StructField("created_by", T.StringType()),
+])
+
+
+def _import_orders(spark, d, strategy, *halves):
+    """Import two CSV folders of orders whose headers differ in order and columns, beside a file of another name."""
+    src = staging_dir(spark, f"import_strategy{strategy}")
+    o = C.T(spark, d).orders
+    for i, columns in enumerate(halves):
+        price = F.col("o_totalprice").cast("string")
+        if i == 1:  # text that is no price, for the target's numeric column
+            price = F.when(F.col("o_orderkey") % 3 == 0, "n/a").otherwise(price)
+        part = o.filter(F.col("o_orderkey") % 2 == i).withColumn("o_totalprice", price).select(*columns)
+        part.write.option("header", True).csv(os.path.join(src, "wanted", f"half={i}"))
+    target = os.path.join(staging_dir(spark, f"import_strategy{strategy}_out"), "orders")
+    spec = JB.ImportSpec(config_name=f"Orders_{strategy}", source_directory=src, target_path=target, file_pattern=r"part-.*\.csv$",
+                         strategy=strategy, target_schema=STRATEGY_TARGET, run_ts="2026-01-01 12:00:00")
+    job = JB.GenericImport(spark, spec)
+    job.run()
+    return spark.read.schema(job.table_schema).parquet(target).drop("source_file", "file_date", "created_date", "dataset_label")
+
+
+STRATEGY_SQL = """
+SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 OR o_orderkey % 3 <> 0 THEN o_totalprice END AS o_totalprice, {status} AS o_orderstatus,
+       CAST(NULL AS VARCHAR) AS o_note, {extra} 'etl_user' AS created_by, 1 AS datasetid,
+       CASE WHEN o_orderkey % 2 = 1 AND o_orderkey % 3 = 0 THEN 'n/a' END AS bad_price
+FROM orders"""
+
+
+def _bad_price(df):
+    return df.withColumn("bad_price", F.col("unfit_values")["o_totalprice"]).drop("unfit_values")
+
+
+@query("import_strategy1", STRATEGY_SQL.format(
+    status="CASE WHEN o_orderkey % 2 = 1 THEN o_orderstatus END",
+    extra="CASE WHEN o_orderkey % 2 = 0 THEN o_orderpriority END AS o_orderpriority,"))
+def import_strategy1(spark, d):
+    return _bad_price(_import_orders(spark, d, 1, ["o_orderkey", "o_totalprice", "o_orderpriority"],
+                                     ["o_orderstatus", "o_totalprice", "o_orderkey"]))
+
+
+@query("import_strategy2", STRATEGY_SQL.format(status="CASE WHEN o_orderkey % 2 = 1 THEN o_orderstatus END", extra=""))
+def import_strategy2(spark, d):
+    return _bad_price(_import_orders(spark, d, 2, ["o_orderkey", "o_totalprice", "o_orderpriority"],
+                                     ["o_orderstatus", "o_totalprice", "o_orderkey"]))
+
+
+@query("import_strategy3", STRATEGY_SQL.format(status="o_orderstatus", extra=""))
+def import_strategy3(spark, d):
+    return _bad_price(_import_orders(spark, d, 3, ["o_orderkey", "o_totalprice", "o_orderstatus"],
+                                     ["o_orderstatus", "o_totalprice", "o_orderkey"]))
+
+
 @query("agg_load_metrics", "SELECT 'Orders_Import' AS config_name, CAST(11 AS BIGINT) AS dataset_id, "
                            "count(*) AS extracted, count(*) AS loaded, 'Active' AS status FROM orders")
 def agg_load_metrics(spark, d):

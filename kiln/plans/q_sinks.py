@@ -34,10 +34,11 @@ WITH src AS (
   SELECT c_custkey + 1000000, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer WHERE c_acctbal < 0)
 SELECT COALESCE(t.c_custkey, s.c_custkey) AS c_custkey,
        CASE WHEN s.c_custkey IS NOT NULL THEN s.c_name ELSE t.c_name END AS c_name,
-       COALESCE(t.c_nationkey, s.c_nationkey) AS c_nationkey,
+       CASE WHEN t.c_custkey IS NOT NULL THEN t.c_nationkey ELSE s.c_nationkey END AS c_nationkey,
        CASE WHEN s.c_custkey IS NOT NULL THEN s.c_acctbal ELSE t.c_acctbal END AS c_acctbal,
        CASE WHEN s.c_custkey IS NOT NULL THEN s.c_mktsegment ELSE t.c_mktsegment END AS c_mktsegment
-FROM customer t FULL OUTER JOIN src s ON t.c_custkey = s.c_custkey"""
+FROM (SELECT * REPLACE (CASE WHEN c_custkey % 7 <> 0 THEN c_nationkey END AS c_nationkey) FROM customer) t
+FULL OUTER JOIN src s ON t.c_custkey = s.c_custkey"""
 
 
 def _upsert_source(c):
@@ -52,7 +53,8 @@ def _upsert_source(c):
 @query("snk_upsert", UPSERT_SQL)
 def snk_upsert(spark, d):
     c = C.T(spark, d).customer
-    merged = K.upsert(c, _upsert_source(c), ["c_custkey"], update_cols=["c_name", "c_acctbal", "c_mktsegment"])
+    held = c.withColumn("c_nationkey", F.when(F.col("c_custkey") % 7 != 0, F.col("c_nationkey")))  # NULLs an upsert must keep
+    merged = K.upsert(held, _upsert_source(c), ["c_custkey"], update_cols=["c_name", "c_acctbal", "c_mktsegment"])
     path = K.write_new_version(merged, staging_dir(spark, "upsert"), uuid.uuid4().hex[:8])
     return spark.read.parquet(path)
 

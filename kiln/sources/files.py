@@ -9,10 +9,13 @@ blobs, workbooks) parallelise by file.
 
 from __future__ import annotations
 
+import csv
 import io
 import re
 import zipfile
 from collections.abc import Callable, Iterator
+from functools import reduce
+from urllib.parse import unquote
 from xml.etree import ElementTree as ET
 
 import pandas as pd
@@ -35,15 +38,59 @@ def _with_lineage(df: DataFrame, pattern: str | None) -> DataFrame:
     return out.filter(F.col("_file").rlike(p)) if p else out
 
 
-def scan_csv(spark: SparkSession, path: str, pattern: str | None = None, schema: T.StructType | None = None) -> DataFrame:
+def _csv_names(header: str) -> list[str]:
+    """Column names of a header line; unnamed and repeated ones get their position, as Spark's reader does."""
+    names = next(csv.reader([header.lstrip("\ufeff")]), [])
+    lowered = [n.lower() for n in names]
+    return [f"_c{i}" if not n else f"{n}{i}" if lowered.count(n.lower()) > 1 else n for i, n in enumerate(names)]
+
+
+def csv_layouts(spark: SparkSession, path: str, pattern: str | None = None) -> dict[tuple[str, ...], list[str]]:
+    """The files of every header: {column names: file paths}.
+
+    One pass over the text finds each file's first line (``min_by`` with partial
+    aggregation, one row per file); the driver gets a path and a header per
+    file, which is what its own file listing holds as well.
+    """
+    lines = spark.read.option("recursiveFileLookup", True).text(path).select(
+        "value", F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_name").alias("_file"),
+        F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_pos"))
+    p = _anchored(pattern)
+    # splits begin in the order of the blocks of a file, so only block 0 can hold its first line
+    first = (lines.filter(F.col("_file").rlike(p)) if p else lines).filter(F.col("_block") == 0)
+    found = first.groupBy("_path").agg(F.min_by("value", "_pos").alias("header")).collect()
+    layouts: dict[tuple[str, ...], list[str]] = {}
+    for r in sorted(found, key=lambda r: r["_path"]):
+        layouts.setdefault(tuple(_csv_names(r["header"])), []).append(r["_path"])
+    return layouts
+
+
+def scan_csv(spark: SparkSession, path: str, pattern: str | None = None, schema: T.StructType | None = None,
+             multi_line: bool = True) -> DataFrame:
     """SRC-01: comma-separated, header row, BOM stripped, every column text.
-    Unquoted empty fields and missing trailing fields are NULL."""
-    r = spark.read.option("header", True).option("multiLine", True).option("inferSchema", False)
-    r = r.option("recursiveFileLookup", True)
+    Unquoted empty fields and missing trailing fields are NULL.
+
+    Every file is read by its own header: files of one header are one scan, and
+    the scans are united by column name (a column a file lacks is NULL).  A
+    given ``schema`` states that all files share that layout, which saves the
+    pass over the headers.  ``multi_line=False`` lets large files be split when no
+    value holds a line break.
+    """
+    r = spark.read.option("header", True).option("multiLine", multi_line).option("recursiveFileLookup", True)
     r = r.option("encoding", "UTF-8").option("mode", "PERMISSIVE")
     if schema is not None:
-        r = r.schema(schema)
-    return _with_lineage(r.csv(path), pattern)
+        return _with_lineage(r.schema(schema).csv(path), pattern)
+    layouts = csv_layouts(spark, path, pattern)
+    if not layouts:
+        return _with_lineage(r.csv(path), pattern)
+    scans = []
+    for names, files in sorted(layouts.items()):
+        columns = T.StructType([T.StructField(n, T.StringType()) for n in names])
+        # the paths go to the reader as its listing, percent-encoded as Spark reports them
+        scans.append(_with_lineage(r.schema(columns).csv([unquote(f) for f in files]), None))
+    united = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), scans)
+    order = [c for c in united.columns if c not in ("_file", "_path", "_pos")]
+    return united.select(*[F.col(f"`{c}`") for c in order], "_file", "_path", "_pos")
 
 
 def scan_json_records(spark: SparkSession, path: str, pattern: str | None = None,

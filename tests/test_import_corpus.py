@@ -9,6 +9,7 @@ import json
 import os
 
 import pytest
+from pyspark.sql import types as T
 
 from kiln import jobs as JB
 from kiln.session import staging_dir
@@ -125,3 +126,20 @@ def test_dry_run_writes_nothing(spark, landing):
     spec = JB.ImportSpec(config_name="dry", source_directory=os.path.join(landing, "csv"), target_path=target)
     m = JB.GenericImport(spark, spec).run(dry_run=True)
     assert m["loaded"] == 5 and m["status"] == "DryRun" and not os.path.exists(target)
+
+
+def test_csv_files_are_read_by_their_own_header(spark, landing):
+    _write(f"{landing}/csv_mixed/Import_1.csv", "id,name\n1,apple\n")
+    _write(f"{landing}/csv_mixed/Import_2.csv", "name,id,extra\npear,2,x\n")
+    _write(f"{landing}/csv_mixed/Other.csv", "unrelated,columns\n7,8\n")
+    df = FS.scan_csv(spark, f"{landing}/csv_mixed", pattern=r"Import_")
+    assert sorted((r.id, r.name, r.extra) for r in df.collect()) == [("1", "apple", None), ("2", "pear", "x")]
+    assert set(df.columns) == {"id", "name", "extra", "_file", "_path", "_pos"}
+
+
+def test_strict_strategy_ignores_lineage_and_refuses_extra_columns(spark, landing):
+    full = T.StructType([T.StructField(c, T.StringType()) for c in ("item", "value", "datasetid", "created_by")])
+    m, df = _run(spark, landing, "csv_named", "strict_ok", strategy=3, target_schema=full)
+    assert m["loaded"] == 2 and m["files"] == 1 and "source_file" in df.columns
+    with pytest.raises(ValueError, match="value"):
+        _run(spark, landing, "csv_named", "strict_bad", strategy=3, target_schema=T.StructType(full.fields[:1]))

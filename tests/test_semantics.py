@@ -241,12 +241,33 @@ def test_exhibitions_and_topics(spark):
      ("DELETE FROM t", False), ("WITH a AS (SELECT 1) SELECT * FROM a", False), ("SELECT 1 -- c", True)],
 )
 def test_select_guard(sql, ok):
-    assert (R.check_select(sql) is None) == ok
+    assert (R.text_refusal(sql) is None) == ok
 
 
 def test_strict_guard_refuses_comments():
-    assert R.check_select("SELECT 1 -- c", strict=True) == "SQL comments are not allowed"
-    assert "LOAD_FILE" in R.check_select("SELECT LOAD_FILE('x')", strict=True)
+    assert "comments" in R.text_refusal("SELECT 1 -- c", template=True)
+    assert "LOAD_FILE" in R.text_refusal("SELECT LOAD_FILE('x')", template=True)
+    assert R.text_refusal("SELECT 1 INTO\n OUTFILE 'x'", template=True) and R.text_refusal(None)
+
+
+@pytest.mark.parametrize(
+    "sql,ok",
+    [("SELECT id FROM guarded", True), ("SELECT 'Command' AS c FROM guarded g WHERE id IN (SELECT max(id) FROM guarded)", True),
+     ("SELECT * FROM (WITH t AS (SELECT id FROM guarded) SELECT * FROM t)", True), ("SELECT * FROM range(3)", True),
+     ("SELECT * FROM text.`/etc/hostname`", False), ("SELECT * FROM no_such_view", False),
+     ("SELECT (SELECT max(value) FROM text.`/etc/hostname`) AS v", False),
+     ("SELECT * FROM (WITH t AS (SELECT * FROM csv.`/x`) SELECT * FROM t)", False),
+     ("SELECT java_method('java.lang.System', 'getProperty', 'user.name')", False),
+     ("SELECT upper(reflect('java.lang.System', 'getProperty', 'user.name')) FROM guarded", False),
+     ("SELECT TRANSFORM(id) USING 'cat' FROM guarded", False)],
+)
+def test_plan_guard(spark, sql, ok):
+    spark.range(2).createOrReplaceTempView("guarded")
+    if ok:
+        R.run_select(spark, sql).collect()
+    else:
+        with pytest.raises(R.QueryRejected):
+            R.run_select(spark, sql)
 
 
 def test_report_blocks_continue_after_failures(spark):
@@ -298,3 +319,41 @@ def test_keyset_paging_equals_offset_paging(spark):
 def test_series_break_choice():
     assert FD.series_break(["SBN2022", "SBN2024"]) == "SBN2022"
     assert FD.series_break([]) == "SBN2024" and FD.series_break(None) == "SBN2024"
+
+
+# ---------------------------------------------------------------- falsy values, patterns, blobs, upserts, feeds
+def test_first_truthy_follows_the_type(spark):
+    df = spark.sql("SELECT '0' AS t, '' AS e, cast(0 AS decimal(10,2)) AS d, 0.0D AS f, false AS b, 10 AS n")
+    r = df.select(S.first_truthy("e", "t").alias("t"), S.first_truthy("d", F.lit(5)).cast("int").alias("d"),
+                  S.first_truthy("f", F.lit(2.0)).alias("f"), S.first_truthy("b", F.lit(True)).alias("b"),
+                  S.first_truthy("n", F.lit(1)).alias("n")).first()
+    assert tuple(r) == ("0", 5, 2.0, True, 10)
+
+
+def test_patterns_are_checked_by_the_engine_that_matches(spark):
+    assert S.validate_regex("(?P<n>b)") and S.validate_regex("[") and S.validate_regex("(?<n>b)") is None
+    r = spark.sql("SELECT 'abc' AS t").select(S.regex_test("t", "(?P<n>b)").alias("r")).first().r
+    assert not r.is_valid and not r.matches and r.error
+
+
+def test_blob_type_parses_xml(spark):
+    df = spark.createDataFrame([("<?xml version='1.0'?><a><b></a>",), ("<?xml version='1.0'?><a><b/></a>",)], "t string")
+    assert [r[0] for r in df.select(P.blob_type("t")).collect()] == ["TEXT", "XML"]
+
+
+def test_upsert_keeps_null_outside_update_columns(spark):
+    t = spark.createDataFrame([(1, None, "x")], "k int, a string, b string")
+    s = spark.createDataFrame([(1, "new", "y"), (2, "new", "z")], "k int, a string, b string")
+    got = sorted(tuple(r) for r in K.upsert(t, s, ["k"], update_cols=["b"]).collect())
+    assert got == [(1, None, "y"), (2, "new", "z")]
+
+
+@pytest.mark.parametrize("feed,transform", [("soma", "soma_holdings"), ("repo", "repo_operations"), ("mbs", "agency_mbs"),
+                                            ("fx_swaps", "fx_swaps"), ("sec_lending", "securities_lending"),
+                                            ("treasury", "treasury_operations")])
+def test_feeds_reject_bad_dates_and_keep_blanks(spark, feed, transform):
+    last = FD.DATE_FIELDS[feed][-1]
+    docs = spark.createDataFrame([('{"%s":"%s"}' % (last, v),) for v in ("2026-01-02", "", "soon")], "d string")
+    recs = docs.select(F.try_parse_json("d").alias("record"))
+    assert getattr(FD, transform)(recs).count() == 2
+    assert [r.raw_record for r in FD.date_rejects(recs, feed).collect()] == ['{"%s":"soon"}' % last]
