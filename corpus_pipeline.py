@@ -46,7 +46,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     if not mixed.where("_same > 1").isEmpty():  # rows that occur more than once share their repeats
         again = keyed.join(mixed.where("_same > 1"), "_row", "left_semi").dropDuplicates(["_row"])
         keyed = exact_dedup.without(keyed, "_row", mixed.where("_same > 1").select("_row")).unionByName(again)
-    taken = keyed.join(mixed.where("_repeats > 0"), "_row")
+    wanted = mixed.where("_repeats > 0")
+    # rows the mix leaves out stay behind before the texts shuffle
+    taken = exact_dedup.in_bitmap(keyed, "_row", *exact_dedup.bitmap_of(wanted, "_row")).join(wanted, "_row")
     return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_repeats").cast("int")))).select(*docs.columns)
 
 
