@@ -86,8 +86,9 @@ def scan_csv(spark: SparkSession, path: str, pattern: str | None = None, schema:
     scans = []
     for names, files in sorted(layouts.items()):
         columns = T.StructType([T.StructField(n, T.StringType()) for n in names])
-        # the paths go to the reader as its listing, percent-encoded as Spark reports them
-        scans.append(_with_lineage(r.schema(columns).csv([unquote(f) for f in files]), None))
+        # Spark reports paths percent-encoded and takes them as glob patterns
+        paths = [re.sub(r"([\[\]{}*?\\])", r"\\\1", unquote(f)) for f in files]
+        scans.append(_with_lineage(r.schema(columns).csv(paths), None))
     united = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), scans)
     order = [c for c in united.columns if c not in ("_file", "_path", "_pos")]
     return united.select(*[F.col(f"`{c}`") for c in order], "_file", "_path", "_pos")

@@ -131,9 +131,10 @@ def test_dry_run_writes_nothing(spark, landing):
 def test_csv_files_are_read_by_their_own_header(spark, landing):
     _write(f"{landing}/csv_mixed/Import_1.csv", "id,name\n1,apple\n")
     _write(f"{landing}/csv_mixed/Import_2.csv", "name,id,extra\npear,2,x\n")
+    _write(f"{landing}/csv_mixed/Import_[3] 100%.csv", "id\n3\n")
     _write(f"{landing}/csv_mixed/Other.csv", "unrelated,columns\n7,8\n")
     df = FS.scan_csv(spark, f"{landing}/csv_mixed", pattern=r"Import_")
-    assert sorted((r.id, r.name, r.extra) for r in df.collect()) == [("1", "apple", None), ("2", "pear", "x")]
+    assert sorted((r.id, r.name, r.extra) for r in df.collect()) == [("1", "apple", None), ("2", "pear", "x"), ("3", None, None)]
     assert set(df.columns) == {"id", "name", "extra", "_file", "_path", "_pos"}
 
 
