@@ -240,6 +240,22 @@ def glob_test(c, pattern: str) -> Column:
     return F.coalesce(_c(c).rlike(glob_to_regex(pattern)), F.lit(False))
 
 
+def attachment_match(c, pattern: str) -> Column:
+    """Does a file name fit an attachment rule: a pattern with ``*`` or ``?`` is
+    a glob over the whole name; any other is searched as a regex, ignoring case,
+    and one that is no valid regex as plain text (NULL name: false)."""
+    name = _c(c)
+    if "*" in pattern or "?" in pattern:
+        hit = name.rlike(glob_to_regex(pattern))
+    elif not pattern:
+        hit = name.isNotNull()
+    elif validate_regex(pattern) is None:
+        hit = name.rlike("(?i)" + pattern)
+    else:
+        hit = F.contains(F.lower(name), F.lit(pattern.lower()))
+    return F.coalesce(hit, F.lit(False))
+
+
 # ---------------------------------------------------------------- text shapes
 def date_prefixed_name(ts, name, fmt: str = "yyyyMMdd") -> Column:
     """SCL-16: '<formatted date>_<name>'."""

@@ -40,17 +40,16 @@ def resolve_active(
     d = running_max(datasets, keys, [seq], F.col(date), chunk, "run_max_date")
     ok = F.col(activated) & (F.col(date) >= F.col("run_max_date"))
     d = d.withColumn("activation_ok", ok)
-    d = next_match(d, keys, seq, F.col("activation_ok"), F.col(event_ts), chunk, "_next_ok_ts")
-    last_ok = d.filter("activation_ok").groupBy(*keys).agg(F.max(seq).alias("_last_ok"))
-    d = d.join(last_ok, keys, "left")
-    isactive = F.coalesce(F.col(seq) == F.col("_last_ok"), F.lit(False))
+    # a struct, so that a next activation without a time still counts as one
+    d = next_match(d, keys, seq, F.col("activation_ok"), F.struct(F.col(event_ts).alias("ts")), chunk, "_next_ok")
+    isactive = F.coalesce(F.col("activation_ok"), F.lit(False)) & F.col("_next_ok").isNull()
     status = (
         F.when(~F.col(activated), "New")
         .when(F.col("activation_ok") & isactive, "Active")
         .when(F.col("activation_ok"), "Inactive")
         .otherwise("Active")
     )
-    effthru = F.when(F.col("activation_ok") & ~isactive, F.col("_next_ok_ts")).otherwise(
+    effthru = F.when(F.col("activation_ok") & ~isactive, F.col("_next_ok.ts")).otherwise(
         F.lit(FAR_FUTURE).cast("timestamp_ntz")
     )
     return d.select(

@@ -11,11 +11,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from kiln.functions.scalars import glob_to_regex, validate_regex
+from kiln.functions.scalars import attachment_match, glob_to_regex, validate_regex
 from kiln.operators.windows import join_carry
 
 
-
 def star_join(fact: DataFrame, dims: Sequence[tuple[DataFrame, Column | str]], how: str = "inner") -> DataFrame:
     """JOIN-01/02: fact joined to each (dimension, condition) in turn."""
     out = fact
@@ -176,3 +175,10 @@ def glob_rule_join(facts: DataFrame, rules: list[dict], name_col: str, id_col: s
         cond = F.lit(True) if g is None else F.coalesce(F.col(name_col).rlike(glob_to_regex(g)), F.lit(False))
         conds.append((r[rule_id], cond))
     return _explode_matches(facts, conds, id_col, rule_id, keep)
+
+
+def attachment_rule_join(files: DataFrame, rules: list[dict], name_col: str, id_col: str, rule_id: str = "rule_id",
+                         pattern: str = "pattern", keep: Sequence[str] = ()) -> DataFrame:
+    """JOIN-07 for attachments: (file, rule) pairs by glob, regex or plain text (see ``attachment_match``)."""
+    conds = [(r[rule_id], attachment_match(name_col, r[pattern])) for r in rules]
+    return _explode_matches(files, conds, id_col, rule_id, keep)

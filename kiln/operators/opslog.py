@@ -162,10 +162,12 @@ def pipeline_stats(runs: DataFrame, as_of: str, hours: int) -> DataFrame:
     )
 
 
-def status_counts(df: DataFrame, predicates: Mapping[str, Column], total: str = "total") -> DataFrame:
-    """AGG-08/AGG-10: one row of conditional counts in a single pass."""
+def status_counts(df: DataFrame, predicates: Mapping[str, Column], total: str = "total",
+                  sums: Mapping[str, Column] | None = None) -> DataFrame:
+    """AGG-08/AGG-10: one row of conditional counts, and of sums (0 without values), in a single pass."""
     cols = [F.count(F.lit(1)).alias(total)] if total else []
     cols += [F.count_if(p).alias(name) for name, p in predicates.items()]
+    cols += [F.coalesce(F.sum(c), F.lit(0)).alias(name) for name, c in (sums or {}).items()]
     return df.agg(*cols)
 
 
@@ -184,9 +186,10 @@ def events_per_day(events: DataFrame, as_of: str, days: int, ts: str = "created_
 
 
 # ---------------------------------------------------------------- AGG-11
-def suite_summary(results: DataFrame, suite: str, status: str, start: str, end: str) -> DataFrame:
-    """Per suite: time span, counts by outcome and pass rate (all algebraic
-    aggregates, partially aggregated before the shuffle)."""
+def suite_summary(results: DataFrame, suite: str, status: str, start: str, end: str, expected: str, loaded: str) -> DataFrame:
+    """Per suite: time span, counts by outcome, pass rate and the sums of the
+    expected and loaded records (all algebraic aggregates, partially aggregated
+    before the shuffle)."""
     s = F.col(status)
     dur = (F.unix_micros(F.max(end).cast("timestamp")) - F.unix_micros(F.min(start).cast("timestamp"))) / 1e6
     n = F.count(F.lit(1))
@@ -201,6 +204,8 @@ def suite_summary(results: DataFrame, suite: str, status: str, start: str, end:
         F.count_if(s == "error").alias("errors"),
         F.count_if(s == "skipped").alias("skipped"),
         F.round((F.lit(100).cast(T.DecimalType(20, 0)) * passed) / n, 2).cast(T.DecimalType(10, 2)).alias("pass_rate"),
+        F.sum(expected).alias("total_expected_records"),
+        F.sum(loaded).alias("total_records_loaded"),
     )
 
 

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kiln.functions.scalars import format_cell
+from kiln.operators.sinks import export_csv
 
 # Words refused anywhere in a query (whole words, any case).
 BLOCKED_WORDS = [
@@ -158,3 +159,15 @@ def report_rows(spark: SparkSession, template: str) -> DataFrame:
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
+
+
+def export_report(spark: SparkSession, template: str, base: str, name: str, ts: str) -> dict[int, str]:
+    """SQL-02 with SNK-08: one CSV folder per result set that is not empty,
+    ``<name>_<i>`` where the report has several blocks (i from 0).  Returns
+    the paths by block number."""
+    blocks = report(spark, template)
+    paths = {}
+    for i, b in enumerate(blocks):
+        if b.frame is not None and not b.frame.isEmpty():
+            paths[b.block_no] = export_csv(b.frame, base, f"{name}_{i}" if len(blocks) > 1 else name, ts)
+    return paths

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kiln.operators.schema import infer_types, sanitize_name, spark_type
-from kiln.operators.windows import row_number
+from kiln.operators.windows import row_number, running_sum
 
 AUDIT_FIELDS = [
     T.StructField("created_date", T.TimestampNTZType(), True),
@@ -201,31 +201,55 @@ def export_csv(df: DataFrame, base: str, name: str, ts: str) -> str:
 
 
 # ---------------------------------------------------------------- SNK-09
+ARCHIVE_CHUNK = 1 << 20
+
+
+def _name_parts(name: Column) -> tuple[Column, Column]:
+    return F.regexp_replace(name, r"\.[^.]*$", ""), F.regexp_extract(name, r"(\.[^.]*)$", 1)
+
+
+def _free_number_gaps(names: DataFrame, name_col: str) -> DataFrame:
+    """_stem, _ext and _pos (how many free numbers lie below) of every name of the form stem_<n>.ext."""
+    stem, ext = _name_parts(F.col(name_col))
+    numbered = names.select(stem.alias("_full"), ext.alias("_ext")).select(
+        F.regexp_extract("_full", r"^(.*)_([1-9][0-9]*)$", 1).alias("_stem"), "_ext",
+        F.regexp_extract("_full", r"^(.*)_([1-9][0-9]*)$", 2).try_cast("bigint").alias("_no"),
+    ).filter(F.col("_no").isNotNull()).distinct()
+    ranked = row_number(numbered, ["_stem", "_ext"], ["_no"], F.floor(F.col("_no") / ARCHIVE_CHUNK), "_rank")
+    return ranked.select("_stem", "_ext", (F.col("_no") - F.col("_rank")).alias("_pos"))
+
+
 def archive_names(files: DataFrame, name_col: str, order: list[str], chunk: Column,
                   archived: DataFrame | None = None) -> DataFrame:
-    """SNK-09: archive file names; a name already taken (in the archive or
-    earlier in this batch, by ``order``) gets ``_1``, ``_2``... before its
-    extension.
+    """SNK-09: archive file names that collide neither with the archive nor
+    with each other.
+
+    The first file of a name (by ``order``) keeps it unless the archive holds
+    it; the others get the free numbers ``_1``, ``_2``... before the extension,
+    in order.  A number is free if neither the archive nor any file of the batch
+    has that name.  Different names never share a numbered one, as the number
+    is its last part.
 
-    The per-name numbering is a chunked row number (see ``windows``), so a
-    name shared by a huge number of files is still spread over many tasks.
+    Both numberings are chunked (see ``windows``), so a name shared by a huge
+    number of files is still spread over many tasks.
     """
-    stem = F.regexp_replace(F.col(name_col), r"\.[^.]*$", "")
-    ext = F.regexp_extract(F.col(name_col), r"(\.[^.]*)$", 1)
+    stem, ext = _name_parts(F.col(name_col))
     f = files.withColumns({"_stem": stem, "_ext": ext})
     f = row_number(f, ["_stem", "_ext"], order, chunk, "_n")
+    names = files.select(name_col).distinct()
     if archived is not None:
-        a = archived.select(F.regexp_replace(F.col(name_col), r"\.[^.]*$", "").alias("_stem"),
-                            F.regexp_extract(F.col(name_col), r"(\.[^.]*)$", 1).alias("_ext"))
-        taken = a.groupBy("_stem", "_ext").agg(F.count(F.lit(1)).alias("_taken"))
-        f = f.join(taken, ["_stem", "_ext"], "left")
-    else:
-        f = f.withColumn("_taken", F.lit(0))
-    n = F.col("_n") - 1 + F.coalesce(F.col("_taken"), F.lit(0))
-    return f.select(
+        held = archived.select(F.col(name_col).alias("_held")).distinct()
+        f = f.join(held, F.col(name_col) == F.col("_held"), "left").withColumn("_n", F.col("_n") + F.col("_held").isNotNull().cast("int"))
+        names = names.unionByName(archived.select(name_col)).distinct()
+    # the k-th further file takes number k + (taken numbers with fewer than k free ones below)
+    asks = f.select(*files.columns, "_stem", "_ext", (F.col("_n") - 1).cast("bigint").alias("_pos"), F.lit(0).alias("_taken"))
+    taken = _free_number_gaps(names, name_col).withColumn("_taken", F.lit(1))
+    d = running_sum(asks.unionByName(taken, allowMissingColumns=True), ["_stem", "_ext"], ["_pos", "_taken"],
+                    F.col("_taken"), F.floor(F.col("_pos") / ARCHIVE_CHUNK), "_below").filter("_taken = 0")
+    number = (F.col("_pos") + F.col("_below")).cast("string")
+    return d.select(
         *files.columns,
-        F.when(n == 0, F.col(name_col)).otherwise(F.concat(F.col("_stem"), F.lit("_"), n.cast("string"), F.col("_ext")))
-        .alias("archive_name"),
+        F.when(F.col("_pos") == 0, F.col(name_col)).otherwise(F.concat("_stem", F.lit("_"), number, "_ext")).alias("archive_name"),
     )
 
 
@@ -245,3 +269,12 @@ def purge_split(df: DataFrame, ts: str, days: int, as_of: str) -> tuple[DataFram
 def purge_preview(df: DataFrame, ts: str, days: int, as_of: str) -> DataFrame:
     _, purged = purge_split(df, ts, days, as_of)
     return purged.agg(F.count(F.lit(1)).alias("rows_to_purge"), F.min(ts).alias("oldest"), F.max(ts).alias("newest"))
+
+
+def purge(df: DataFrame, ts: str, days: int, as_of: str, archive: str, base: str, version: str) -> tuple[str, str]:
+    """SNK-10 as a whole: the old rows are exported as CSV under ``archive``,
+    then the kept rows are written as a new version of the table under
+    ``base``.  Returns both paths; a failed export leaves no new version."""
+    kept, old = purge_split(df, ts, days, as_of)
+    exported = export_csv(old, archive, "purged", version)
+    return exported, write_new_version(kept, base, version)

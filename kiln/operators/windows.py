@@ -45,6 +45,22 @@ def running_max(df: DataFrame, keys: list[str], order: list[str], value: Column,
     )
 
 
+def running_sum(df: DataFrame, keys: list[str], order: list[str], value: Column, chunk: Column, out: str) -> DataFrame:
+    """``sum(value) OVER (PARTITION BY keys ORDER BY order ROWS UNBOUNDED
+    PRECEDING)`` computed per (keys, chunk) plus the sum of the earlier chunks."""
+    d = df.withColumn("_chunk", chunk).withColumn("_v", value)
+    w_in = W.partitionBy(*keys, "_chunk").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    within = d.withColumn("_in", F.sum("_v").over(w_in))
+    per_chunk = d.groupBy(*keys, "_chunk").agg(F.sum("_v").alias("_csum"))
+    w_c = W.partitionBy(*keys).orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)
+    carry = per_chunk.select(*keys, "_chunk", F.sum("_csum").over(w_c).alias("_carry"))
+    return (
+        join_carry(within, carry, [*keys, "_chunk"])
+        .withColumn(out, F.coalesce("_in", F.lit(0)) + F.coalesce("_carry", F.lit(0)))
+        .drop("_chunk", "_v", "_in", "_carry")
+    )
+
+
 def next_match(df: DataFrame, keys: list[str], seq: str, is_match: Column, value: Column, chunk: Column,
                out: str) -> DataFrame:
     """For each row, ``value`` of the next later row (by ``seq``) of the same

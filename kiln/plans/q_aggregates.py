@@ -9,6 +9,7 @@ from kiln.functions import scalars as S
 from kiln.operators import opslog as O
 from kiln.plans import common as C
 from kiln.plans.registry import query
+from kiln.tables import TABLE_NAMES
 
 EA = C.EVENTS_AS_OF
 OA = C.ORDERS_AS_OF
@@ -198,7 +199,8 @@ SELECT count(*) AS total,
        count(*) FILTER (WHERE c_acctbal > 0) AS active,
        count(*) FILTER (WHERE NOT (c_acctbal > 0)) AS inactive,
        count(*) FILTER (WHERE c_mktsegment = 'BUILDING') AS building,
-       count(*) FILTER (WHERE c_mktsegment = 'MACHINERY') AS machinery
+       count(*) FILTER (WHERE c_mktsegment = 'MACHINERY') AS machinery,
+       CAST(sum(c_nationkey) AS BIGINT) AS total_triggers
 FROM customer""",
 )
 def agg_counters(spark, d):
@@ -212,13 +214,16 @@ def agg_counters(spark, d):
             "building": F.col("c_mktsegment") == "BUILDING",
             "machinery": F.col("c_mktsegment") == "MACHINERY",
         },
+        sums={"total_triggers": F.col("c_nationkey").cast("bigint")},
     )
 
 
 SUITE_SQL = """suite AS (
   SELECT l_suppkey AS suite_id, l_orderkey, l_linenumber, 'test_' || l_partkey AS test_name,
          CASE l_returnflag WHEN 'N' THEN 'passed' WHEN 'R' THEN 'failed' ELSE 'skipped' END AS status,
-         l_shipdate AS started_at, l_shipdate + to_days(l_linenumber) AS completed_at
+         l_shipdate AS started_at, l_shipdate + to_days(l_linenumber) AS completed_at,
+         CAST(l_quantity AS BIGINT) AS expected_records,
+         CASE WHEN l_returnflag = 'N' THEN CAST(l_quantity AS BIGINT) END AS records_loaded
   FROM lineitem)"""
 
 
@@ -232,6 +237,8 @@ def _suite(t):
         F.when(F.col("l_returnflag") == "N", "passed").when(F.col("l_returnflag") == "R", "failed").otherwise("skipped").alias("status"),
         F.col("l_shipdate").alias("started_at"),
         F.timestamp_add("DAY", F.col("l_linenumber"), F.col("l_shipdate")).alias("completed_at"),
+        F.col("l_quantity").cast("bigint").alias("expected_records"),
+        F.when(F.col("l_returnflag") == "N", F.col("l_quantity").cast("bigint")).alias("records_loaded"),
     )
 
 
@@ -247,12 +254,15 @@ SELECT suite_id, min(started_at) AS started_at, max(completed_at) AS completed_a
        count(*) FILTER (WHERE status = 'failed') AS failed,
        count(*) FILTER (WHERE status = 'error') AS errors,
        count(*) FILTER (WHERE status = 'skipped') AS skipped,
-       CAST(round(100 * CAST(count(*) FILTER (WHERE status = 'passed') AS DECIMAL(20,0)) / count(*), 2) AS DECIMAL(10,2)) AS pass_rate
+       CAST(round(100 * CAST(count(*) FILTER (WHERE status = 'passed') AS DECIMAL(20,0)) / count(*), 2) AS DECIMAL(10,2)) AS pass_rate,
+       CAST(sum(expected_records) AS BIGINT) AS total_expected_records,
+       CAST(sum(records_loaded) AS BIGINT) AS total_records_loaded
 FROM suite GROUP BY suite_id""",
     ),
 )
 def agg_suite_summary(spark, d):
-    return O.suite_summary(_suite(C.T(spark, d)), "suite_id", "status", "started_at", "completed_at")
+    return O.suite_summary(_suite(C.T(spark, d)), "suite_id", "status", "started_at", "completed_at",
+                           "expected_records", "records_loaded")
 
 
 @query(
@@ -461,10 +471,16 @@ def top_run_steps(spark, d):
 
 @query("agg_table_sizes")
 def agg_table_sizes(spark, d):
-    """AGG-12's storage size per table, from the file listing (contents are
-    never read): the part of feed freshness SQL cannot state."""
+    """AGG-12's rows (from the Parquet footers) and storage size per table, the
+    size from the file listing: the part of feed freshness SQL cannot state."""
     from kiln.sources.files import discover_files
 
     files = discover_files(spark, d, pattern=r"[a-z_]+\.parquet")
-    return files.groupBy(F.regexp_extract("file_name", r"^([a-z_]+)\.parquet$", 1).alias("table_name")).agg(
+    sizes = files.groupBy(F.regexp_extract("file_name", r"^([a-z_]+)\.parquet$", 1).alias("table_name")).agg(
         F.sum("length").alias("size_bytes"), F.count(F.lit(1)).alias("files"))
+    t = C.T(spark, d)
+    rows = None
+    for name in TABLE_NAMES:
+        part = getattr(t, name).agg(F.lit(name).alias("table_name"), F.count(F.lit(1)).alias("n_rows"))
+        rows = part if rows is None else rows.unionByName(part)
+    return sizes.join(rows, "table_name", "left")

@@ -11,8 +11,8 @@ from kiln.plans import common as C
 from kiln.plans.registry import query
 
 KEYS = ["label", "datasettype", "datasource"]
-# rows per ordered chunk of a key (small here so the carry path is exercised)
-CHUNK_ROWS = 1000
+# sequence values per ordered chunk of a key (the tests use small ones to exercise the carry)
+CHUNK_ROWS = 1 << 20
 
 RESOLVED_SQL = """
 r AS (SELECT *, max(datasetdate) OVER (PARTITION BY label, datasettype, datasource ORDER BY seq

@@ -168,6 +168,33 @@ def join_glob(spark, d):
     return J.glob_rule_join(p, GLOB_RULES, "fname", "page_id")
 
 
+# fixed values: attachment rules (a glob, two regexes, two texts that are no regex)
+ATTACHMENT_RULES = [
+    {"rule_id": 1, "pattern": "*.HTML"},
+    {"rule_id": 2, "pattern": "^[0-4]"},
+    {"rule_id": 3, "pattern": "#TOP$"},
+    {"rule_id": 4, "pattern": "[0"},
+    {"rule_id": 5, "pattern": "1#Top("},
+]
+
+
+@query(
+    "join_attachments",
+    """
+WITH f AS (SELECT page_id, regexp_extract(url, '[^/]*$') || CASE WHEN page_id % 3 = 0 THEN '[0].1#TOP(' ELSE '' END AS fname FROM pages)
+SELECT page_id, rule_id FROM f, (VALUES (1), (2), (3), (4), (5)) r(rule_id)
+WHERE (rule_id = 1 AND fname LIKE '%.HTML')
+   OR (rule_id = 2 AND regexp_matches(fname, '^[0-4]'))
+   OR (rule_id = 3 AND regexp_matches(fname, '(?i)#top$'))
+   OR (rule_id = 4 AND contains(fname, '[0'))
+   OR (rule_id = 5 AND contains(lower(fname), '1#top('))""",
+)
+def join_attachments(spark, d):
+    marked = F.when(F.col("page_id") % 3 == 0, "[0].1#TOP(").otherwise("")
+    p = C.T(spark, d).pages.select("page_id", F.concat(F.regexp_extract("url", "[^/]*$", 0), marked).alias("fname"))
+    return J.attachment_rule_join(p, ATTACHMENT_RULES, "fname", "page_id")
+
+
 @query(
     "join_update_from",
     """

@@ -58,6 +58,23 @@ def report_blocks(spark, d):
     return R.report_rows(spark, TEMPLATE)
 
 
+@query(
+    "report_export",
+    """
+SELECT 1 AS block_no, o_orderstatus AS name, CAST(count(*) AS VARCHAR) AS n, strftime(max(o_orderdate), '%Y-%m-%d %H:%M:%S') AS top
+FROM orders GROUP BY o_orderstatus
+UNION ALL
+SELECT 4, c_mktsegment, CAST(count(*) AS VARCHAR), NULL FROM customer GROUP BY c_mktsegment""",
+)
+def report_export(spark, d):
+    register_views(spark, d)
+    paths = R.export_report(spark, TEMPLATE, staging_dir(spark, "report"), "Daily status", "20260101_120000")
+    first, last = (spark.read.option("header", True).csv(paths[i]) for i in (1, 4))
+    return first.select(F.lit(1).alias("block_no"), F.col("o_orderstatus").alias("name"), "n", F.col("latest").alias("top")).unionByName(
+        last.select(F.lit(4).alias("block_no"), F.col("c_mktsegment").alias("name"), F.col("customers").alias("n"),
+                    F.lit(None).cast("string").alias("top")))
+
+
 # ------------------------------------------------------------------ UDF-01/04, AGG-21
 def _land_orders_csv(spark, d):
     src = staging_dir(spark, "import_csv")
@@ -158,14 +175,15 @@ def agg_load_metrics(spark, d):
     return JB.metrics_frame(spark, m).drop("files")
 
 
-@query("dry_run")
+@query("dry_run", "SELECT 'Orders_Import' AS config_name, CAST(11 AS BIGINT) AS dataset_id, "
+                  "count(*) AS extracted, count(*) AS loaded, 'DryRun' AS status FROM orders")
 def dry_run(spark, d):
     src = _land_orders_csv(spark, d)
     target = os.path.join(staging_dir(spark, "import_dry"), "orders")
     m = JB.GenericImport(spark, _spec(src, target)).run(dry_run=True)
     if os.path.exists(target):
         raise RuntimeError("a dry run wrote data")
-    return JB.metrics_frame(spark, m)
+    return JB.metrics_frame(spark, m).drop("files")
 
 
 # ------------------------------------------------------------------ FEED-10 / SNK-07

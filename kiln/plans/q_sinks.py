@@ -136,8 +136,8 @@ def snk_archive_names(spark, d):
     o = C.T(spark, d).orders
     files = o.select("o_orderkey", F.concat(F.lit("report_"), F.replace("o_orderpriority", F.lit(" "), F.lit("")),
                                             F.lit(".csv")).alias("file_name"))
-    # chunks of 1000 keys keep a file name shared by many files spread over tasks
-    return K.archive_names(files, "file_name", ["o_orderkey"], F.floor(F.col("o_orderkey") / 1000))
+    # chunks of keys keep a file name shared by many files spread over tasks
+    return K.archive_names(files, "file_name", ["o_orderkey"], F.floor(F.col("o_orderkey") / K.ARCHIVE_CHUNK))
 
 
 @query(

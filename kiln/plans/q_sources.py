@@ -85,20 +85,24 @@ def src_xml_records(spark, d):
     return P.convert(df, CUSTOMER_TYPES).select("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment")
 
 
-@query("src_xml_blob")
+@query("src_xml_blob", "SELECT count(*) AS records, TRUE AS well_formed, TRUE AS has_records FROM customer")
 def src_xml_blob(spark, d):
     path = staging_dir(spark, "xmlblob")
     c = C.T(spark, d).customer
     c.write.mode("overwrite").format("xml").option("rowTag", "customer").option("rootTag", "customers").save(path)
     blobs = FS.scan_xml_blob(spark, path, row_tag="customer")
-    return blobs.select("source_file", "well_formed", "has_records", F.length("raw_data").alias("n_chars"))
+    return blobs.agg(F.sum(F.regexp_count("raw_data", F.lit("<customer>"))).alias("records"),
+                     F.bool_and("well_formed").alias("well_formed"), F.bool_and("has_records").alias("has_records"))
 
 
-@query("src_discover")
+@query("src_discover", "SELECT DISTINCT o_orderstatus, TRUE AS has_files, TRUE AS has_bytes FROM orders")
 def src_discover(spark, d):
     path = staging_dir(spark, "discover")
     C.T(spark, d).orders.write.mode("overwrite").partitionBy("o_orderstatus").parquet(path)
-    return FS.discover_files(spark, path, pattern=r"part-[0-9]+")
+    found = FS.discover_files(spark, path, pattern=r"part-[0-9]+")
+    # how many files a folder gets depends on the scan's splits
+    return found.groupBy(F.regexp_extract("path", "o_orderstatus=([^/]*)/", 1).alias("o_orderstatus")).agg(
+        (F.count(F.lit(1)) > 0).alias("has_files"), F.bool_and(F.col("length") > 0).alias("has_bytes"))
 
 
 @query(

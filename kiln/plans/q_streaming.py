@@ -15,7 +15,6 @@ from kiln.plans import common as C
 from kiln.plans.q_sources import ORDER_TYPES
 from kiln.plans.registry import query
 from kiln.session import local_path, staging_dir
-from kiln.sources import files as FS
 from kiln.streaming import streams as S
 
 
@@ -143,8 +142,8 @@ def _final_complete(spark, out):
 )
 def str_trigger_counts(spark, d):
     out, ckpt = staging_dir(spark, "counts_out"), staging_dir(spark, "counts_ckpt")
-    S.run_available(S.trigger_counts(_fanout_stream(spark, d, "counts_src"), "ts"), out, ckpt, mode="complete")
-    return _final_complete(spark, out)
+    S.run_available(S.trigger_counts(_fanout_stream(spark, d, "counts_src"), "ts"), out, ckpt, mode="update")
+    return S.latest_per_key(S.read_batches(spark, out), ["subscriber_id"], ["batch_id"]).drop("batch_id")
 
 
 # ------------------------------------------------------------------ STR-06/08
@@ -187,12 +186,13 @@ def str_run_rollup(spark, d):
     stream = spark.readStream.schema(lg.schema).option("maxFilesPerTrigger", 3).option(
         "recursiveFileLookup", True).parquet(src)
     out, ckpt = staging_dir(spark, "rollup_out"), staging_dir(spark, "rollup_ckpt")
-    S.run_available(O.run_rollup(stream), out, ckpt, mode="complete")
-    return _final_complete(spark, out).withColumn("total_runtime", F.col("total_runtime").cast("decimal(18,2)"))
+    S.run_available(O.run_rollup(stream), out, ckpt, mode="update")
+    final = S.latest_per_key(S.read_batches(spark, out), ["run_uuid", "processtype"], ["batch_id"]).drop("batch_id")
+    return final.withColumn("total_runtime", F.col("total_runtime").cast("decimal(18,2)"))
 
 
 # ------------------------------------------------------------------ STR-01/02/07/09
-@query("str_file_events")
+@query("str_file_events", "SELECT DISTINCT event_type, '.parquet' AS extension, TRUE AS has_bytes FROM events")
 def str_file_events(spark, d):
     src = staging_dir(spark, "arrivals")
     e = C.T(spark, d).events
@@ -203,7 +203,9 @@ def str_file_events(spark, d):
             f.write("partial")
     out, ckpt = staging_dir(spark, "arrivals_out"), staging_dir(spark, "arrivals_ckpt")
     S.run_available(S.file_events(spark, src, include=["*.parquet"]), out, ckpt)
-    return S.read_batches(spark, out).drop("batch_id")
+    arrived = S.read_batches(spark, out)
+    return arrived.groupBy(F.regexp_extract("directory", "_wave=([^/]*)$", 1).alias("event_type"), "extension").agg(
+        F.bool_and(F.col("file_size") > 0).alias("has_bytes"))
 
 
 ORDERS_CSV_SCHEMA = ("o_orderkey string, o_custkey string, o_orderstatus string, o_totalprice string, "
@@ -235,10 +237,10 @@ def str_import(spark, d):
     return S.read_batches(spark, out).drop("batch_id")
 
 
-@query("str_import_events")
+@query("str_import_events", "SELECT 'import_complete' AS event_type, 'orders' AS run_id, count(*) AS records FROM orders")
 def str_import_events(spark, d):
     _, events = _import_orders(spark, d, True)
-    return S.read_batches(spark, events).drop("batch_id")
+    return S.read_batches(spark, events).groupBy("event_type", "run_id").agg(F.sum("records").alias("records"))
 
 
 @query(
@@ -264,15 +266,10 @@ def str_logs(spark, d):
         F.col("value").alias("stepruntime"),
     )
     _land_waves(lines, src, "_wave", fmt="json")
-    stream = spark.readStream.schema(FS.LOG_SCHEMA).option("maxFilesPerTrigger", 4).option(
-        "recursiveFileLookup", True).json(src)
-    typed = stream.select(
-        F.try_to_timestamp(F.col("timestamp")).cast("timestamp_ntz").alias("timestamp"), "level", "message",
-        F.coalesce("run_uuid", F.lit("system")).alias("run_uuid"), F.coalesce("username", F.lit("system")).alias("username"),
-        F.coalesce("processtype", "logger").alias("processtype"), "stepcounter", "stepruntime")
     out, ckpt = staging_dir(spark, "logs_out"), staging_dir(spark, "logs_ckpt")
-    S.run_available(typed, out, ckpt)
-    return S.read_batches(spark, out).drop("batch_id")
+    S.start_log_stream(spark, src, out, ckpt, interval=None,
+                       options={"maxFilesPerTrigger": "4", "recursiveFileLookup": "true"}).awaitTermination()
+    return spark.read.parquet(out)
 
 
 # ------------------------------------------------------------------ STR-10

@@ -113,21 +113,23 @@ def incremental_import(spark: SparkSession, source: str, schema: T.StructType, f
 
 # ---------------------------------------------------------------- STR-07
 def start_log_stream(spark: SparkSession, source: str, target: str, checkpoint: str,
-                     interval: str = "10 seconds", schema: T.StructType | None = None):
+                     interval: str | None = "10 seconds", schema: T.StructType | None = None,
+                     options: dict[str, str] | None = None):
     """Continuous log loading: JSON log lines arriving in ``source`` are
     typed (SRC-11) and appended to ``target`` in micro-batches every
-    ``interval`` (the reference buffered 100 lines or 10 s).  Returns the
-    running ``StreamingQuery``; stop it with ``.stop()``."""
+    ``interval`` (the reference buffered 100 lines or 10 s); without an interval
+    it loads what is there and ends.  Returns the running ``StreamingQuery``;
+    stop it with ``.stop()``."""
     from kiln.sources.files import LOG_SCHEMA
 
-    s = spark.readStream.schema(schema or LOG_SCHEMA).json(source)
+    s = spark.readStream.schema(schema or LOG_SCHEMA).options(**(options or {})).json(source)
     typed = s.select(
         F.try_to_timestamp(F.col("timestamp")).cast("timestamp_ntz").alias("timestamp"), "level", "message",
         F.coalesce("run_uuid", F.lit("system")).alias("run_uuid"), F.coalesce("username", F.lit("system")).alias("username"),
         F.coalesce("processtype", "logger").alias("processtype"), "stepcounter", "stepruntime",
     )
     return (typed.writeStream.format("parquet").option("checkpointLocation", checkpoint).option("path", target)
-            .outputMode("append").trigger(processingTime=interval).start())
+            .outputMode("append").trigger(**({"processingTime": interval} if interval else {"availableNow": True})).start())
 
 
 # ---------------------------------------------------------------- STR-03

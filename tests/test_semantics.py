@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import datetime as dt
 import fnmatch
+import random
 import re
 from decimal import Decimal
 
@@ -297,6 +298,61 @@ def test_archive_names_with_existing(spark):
     assert out == {1: "r_1.csv", 2: "r_2.csv", 3: "s.csv"}
 
 
+def _model_archive(names, archived):
+    """The first of a name keeps it if free; each other takes the lowest number nobody holds, in order."""
+    held, out = set(names) | set(archived), []
+    seen, used = set(), set()
+    for n in names:
+        if n not in seen and n not in archived:
+            pick = n
+        else:
+            stem, dot, ext = n.rpartition(".") if "." in n else (n, "", "")
+            k = 1
+            while f"{stem}_{k}{dot}{ext}" in held | used:
+                k += 1
+            pick = f"{stem}_{k}{dot}{ext}"
+        seen.add(n)
+        used.add(pick)
+        out.append(pick)
+    return out
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_archive_names_never_collide(spark, seed):
+    rnd = random.Random(seed)
+    pool = ["r.csv", "r_1.csv", "r_2.csv", "r_4.csv", "r_01.csv", "r_1_1.csv", "s", "s_1", "s_3", "t.tar.gz", ".x", ".x_1",
+            "r_99999999999999999999.csv"]
+    names = ["r.csv", "r_1.csv", "r.csv"] + rnd.choices(pool, k=40)
+    archived = rnd.sample(pool, 4) + ["r_7.csv", "r_7.csv"]
+    files = spark.createDataFrame(list(enumerate(names)), "id int, file_name string")
+    got = K.archive_names(files, "file_name", ["id"], F.floor(F.col("id") / 7),
+                          spark.createDataFrame([(n,) for n in archived], "file_name string"))
+    got = [r.archive_name for r in got.orderBy("id").collect()]
+    assert got == _model_archive(names, archived)
+    assert len(set(got)) == len(got) and not set(got) & set(archived)
+
+
+def test_attachment_match(spark):
+    df = spark.createDataFrame([("Report.CSV",), ("report.csv",), ("a[0.txt",), (None,)], "n string")
+
+    def hits(pattern):
+        return [r.hit for r in df.select(S.attachment_match("n", pattern).alias("hit")).collect()]
+
+    assert hits("*.csv") == [False, True, False, False]  # a glob minds case
+    assert hits("^report") == [True, True, False, False]
+    assert hits("[0") == [False, False, True, False]
+    assert hits("") == [True, True, True, False]
+
+
+def test_purge_exports_then_keeps_the_rest(spark):
+    from kiln.session import staging_dir
+
+    df = spark.createDataFrame([(1, dt.datetime(2026, 1, 1)), (2, dt.datetime(2026, 2, 1)), (3, None)], "id int, ts timestamp_ntz")
+    exported, kept = K.purge(df, "ts", 10, "2026-02-05 00:00:00", staging_dir(spark, "purged"), staging_dir(spark, "kept"), "1")
+    assert [r.id for r in spark.read.option("header", True).csv(exported).collect()] == ["1"]
+    assert sorted(r.id for r in spark.read.parquet(kept).collect()) == [2, 3]
+
+
 def test_csv_line_quotes_message(spark):
     df = spark.createDataFrame([(1, 'say "hi"', None)], "id int, message string, x string")
     assert K.csv_line(df, ["message"]).first().csv_line == '1,"say ""hi""",'

@@ -41,7 +41,7 @@ def test_resolve_active_equals_trigger_replay(spark, chunk):
     rnd = random.Random(7)
     rows = []
     for seq in range(1, 301):
-        key = rnd.choice(["a", "b", "c"])
+        key = rnd.choice(["a", "b", None])  # NULL is a key like any other
         rows.append({"seq": seq, "key": key, "date": dt.date(2020, 1, 1) + dt.timedelta(days=rnd.randint(0, 40)),
                      "activated": rnd.random() > 0.2, "ts": dt.datetime(2021, 1, 1) + dt.timedelta(hours=seq)})
     df = spark.createDataFrame([(r["seq"], r["key"], r["date"], r["activated"], r["ts"]) for r in rows],
