@@ -24,6 +24,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import sentencepiece
 from pyspark.sql import DataFrame
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 from kiln.llm.common import utf8
 
 CACHE_ENTRIES = 200_000
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 19
 
 
 def read_ranks(path: str) -> list[bytes]:
@@ -142,6 +143,17 @@ def slices(values: list, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
         yield start, len(values)
 
 
+def cut(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, list]]:
+    """Ranges of about ``limit`` bytes of a text column with their values; only one range is a list at a time."""
+    start = used = 0
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_pylist()
+    for i, size in enumerate(sizes):
+        used += size
+        if used >= limit or i + 1 == len(sizes):
+            yield start, i + 1, column.slice(start, i + 1 - start).to_pylist()
+            start, used = i + 1, 0
+
+
 def encode_documents(
     docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -152,9 +164,8 @@ def encode_documents(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = worker_bpe(tokens.value, pattern)
         for batch in batches:
-            data = batch.column("b").to_pylist()
-            for lo, hi in slices(data):
-                ids = bpe.encode([d.decode() for d in data[lo:hi]])
+            for lo, hi, data in cut(batch.column("b")):
+                ids = bpe.encode([d.decode() for d in data])
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id").slice(lo, hi - lo), pa.array(ids, pa.binary()),
                      pa.array([bpe.decode(x) for x in ids], pa.binary())],

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kiln.llm.bpe import slices
+from kiln.llm.bpe import cut
 from kiln.llm.common import materialise, scramble, skew_join, utf8, word_hashes
 from kiln.llm.components import connected_components
 from kiln.llm.exact_dedup import bitmap_of, in_bitmap
@@ -117,9 +117,8 @@ def _sketches(docs: DataFrame, minima: int, width: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data = batch.column("b").to_pylist()
-            for lo, hi in slices(data, 1 << 20):
-                s, n = shingle_sets(data[lo:hi], width)
+            for lo, hi, data in cut(batch.column("b"), 1 << 20):
+                s, n = shingle_sets(data, width)
                 sig = signatures(s, n, minima)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id").slice(lo, hi - lo), pa.array(set_ids(s, n), pa.binary()),
@@ -274,9 +273,8 @@ def _shingle_rows(docs: DataFrame, chosen: DataFrame, width: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data = batch.column("b").to_pylist()
-            for lo, hi in slices(data, 1 << 20):
-                s, n = shingle_sets(data[lo:hi], width)
+            for _, _, data in cut(batch.column("b"), 1 << 20):
+                s, n = shingle_sets(data, width)
                 parts = np.split(s, np.cumsum(n)[:-1])
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(set_ids(s, n), pa.binary()), pa.array([p.tobytes() for p in parts], pa.binary())],
