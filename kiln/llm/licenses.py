@@ -6,6 +6,11 @@ gaps between neighbouring anchors are aligned the same way; a gap without
 such words matches its equal leading and trailing words.  Coverage is the share of the
 template's words that are aligned.
 
+A template's deciding phrases (name, variant, version; ``DECIDING``) must be aligned
+word by word whatever the coverage.  Between the aligned words of a short notice no
+other license's name or variant word (``FOREIGN``) may stand, unless an "or" or
+"and" among them says that both licenses hold.
+
 Words are runs of other than white space and ASCII punctuation, ASCII letters
 lower-cased.  Every window of ``STRETCH`` times the template's length with enough
 template words to reach ``COVERAGE`` is a candidate, so none is missed.
@@ -21,6 +26,7 @@ from __future__ import annotations
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +38,7 @@ from kiln.llm.common import utf8, word_hashes
 
 COVERAGE = 0.8
 STRETCH = 1.5
+SHORT = 20
 
 # Notices and headers as their licenses publish them.
 TEMPLATES = {
@@ -63,6 +70,27 @@ TEMPLATES = {
     ),
 }
 
+# Phrases that tell a template's license from its relatives.
+DECIDING = {
+    "MIT-notice": ("MIT",),
+    "Apache-2.0-notice": ("Apache", "Version 2.0"),
+    "GPL-3.0-notice": ("GNU General Public License", "version 3"),
+    "CC-BY-NC-4.0-notice": ("CC BY-NC 4.0",),
+    "Apache-2.0-header": ("Apache License, Version 2.0",),
+    "GPL-3.0-header": ("GNU General Public License", "version 3"),
+}
+
+# Words of license names and variants; those a template holds itself aren't foreign to it.
+FOREIGN = (
+    "mit 0 apache bsd clause isc mozilla mpl gnu gpl lgpl agpl lesser affero cc cc0 creative nc nd sa attribution "
+    "noncommercial noderivatives sharealike unlicense eclipse epl boost zlib artistic"
+)
+SHORT_FOR = {
+    "gpl": "gnu", "lgpl": "lesser", "agpl": "affero", "mpl": "mozilla", "epl": "eclipse", "cc": "creative",
+    "nc": "noncommercial", "nd": "noderivatives", "sa": "sharealike",
+}
+EITHER = "or and"
+
 _PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _PLAIN = bytes(32 if b in _PUNCTUATION else b + 32 if 65 <= b <= 90 else b for b in range(256))
 
@@ -118,19 +146,62 @@ def align(text: list[int], template: list[int]) -> list[tuple[int, int]]:
     return sorted(found)
 
 
-def scan(words: np.ndarray, template: np.ndarray, coverage: float = COVERAGE) -> list[tuple[float, int, int]]:
+@dataclass(frozen=True)
+class Template:
+    """A template's words (hashes), its deciding phrases as ranges of them, and words foreign to it."""
+
+    words: np.ndarray
+    deciding: tuple[tuple[int, int], ...] = ()
+    foreign: frozenset[int] = frozenset()
+    either: frozenset[int] = frozenset()
+
+    @classmethod
+    def of(cls, text: str, phrases: tuple[str, ...] = ()) -> Template:
+        words = _words(text)
+        ranges = []
+        for phrase in map(_words, phrases):
+            n = len(phrase)
+            at = next((i for i in range(len(words) - n + 1) if np.array_equal(words[i : i + n], phrase)), None)
+            if at is None or not n:
+                raise ValueError(f"deciding words {phrases} are not in the template: {text}")
+            ranges.append((at, at + n))
+        foreign: frozenset[int] = frozenset()
+        if ranges and len(words) <= SHORT:
+            own = set(plain(text.encode()).decode().split())
+            names = [w for w in FOREIGN.split() if w not in own and SHORT_FOR.get(w) not in own]
+            foreign = frozenset(_words(" ".join(names)).tolist())
+        return cls(words, tuple(ranges), foreign, frozenset(_words(EITHER).tolist()))
+
+    def decided(self, text: list[int], pairs: list[tuple[int, int]]) -> bool:
+        """Whether the deciding phrases are aligned without a gap, and no foreign word lies between the aligned ones."""
+        at = {b: a for a, b in pairs}
+        for lo, hi in self.deciding:
+            if lo not in at or any(at.get(b) != at[lo] + b - lo for b in range(lo, hi)):
+                return False
+        if not self.foreign:
+            return True
+        aligned = set(at.values())
+        between = {text[a] for a in range(pairs[0][0], pairs[-1][0]) if a not in aligned}
+        return not between & self.foreign or bool(between & self.either)
+
+
+def _words(text: str) -> np.ndarray:
+    return word_hashes([plain(text.encode())])[0]
+
+
+def scan(words: np.ndarray, template: Template, coverage: float = COVERAGE) -> list[tuple[float, int, int]]:
     """(coverage, first word, end word) of the template's matches in one text."""
-    n = len(template)
+    n = len(template.words)
     need = int(np.ceil(coverage * n - 1e-9))
     if not n or len(words) < need:
         return []
     width = int(np.ceil(STRETCH * n))
-    hit = np.concatenate([[0], np.cumsum(np.isin(words, template))])
+    hit = np.concatenate([[0], np.cumsum(np.isin(words, template.words))])
     last = np.minimum(np.arange(len(words)) + width, len(words))
     count = hit[last] - hit[:-1]
     first = np.diff(hit) > 0  # a window may start at a template word only
     starts = np.flatnonzero((count >= need) & first)
-    wanted = template.tolist()
+    wanted = template.words.tolist()
     out: list[tuple[float, int, int]] = []
     at = 0
     while at < len(starts):
@@ -138,9 +209,10 @@ def scan(words: np.ndarray, template: np.ndarray, coverage: float = COVERAGE) ->
         end = int(np.searchsorted(starts, starts[at] + max(n // 2, 1)))
         best: tuple[float, int, int] | None = None
         for s in starts[at:end].tolist():
-            pairs = align(words[s : s + width].tolist(), wanted)
+            window = words[s : s + width].tolist()
+            pairs = align(window, wanted)
             share = len(pairs) / n
-            if share >= coverage - 1e-9 and (best is None or share > best[0]):
+            if share >= coverage - 1e-9 and (best is None or share > best[0]) and template.decided(window, pairs):
                 best = (share, s + pairs[0][0], s + pairs[-1][0] + 1)
                 if share == 1.0:
                     break
@@ -154,14 +226,24 @@ def scan(words: np.ndarray, template: np.ndarray, coverage: float = COVERAGE) ->
 
 def scan_licenses(
     docs: DataFrame, templates: dict[str, str] | None = None, id_col: str = "doc_id", text_col: str = "text",
-    coverage: float = COVERAGE,
+    coverage: float = COVERAGE, deciding: dict[str, tuple[str, ...]] | None = None,
 ) -> DataFrame:
-    """doc_id, license, coverage, start_word, end_word of every match."""
+    """doc_id, license, coverage, start_word, end_word of every match.
+
+    ``deciding`` holds the deciding phrases of ``templates``; without it own templates have none.
+    """
     names = dict(templates if templates is not None else TEMPLATES)
+    phrases = dict(deciding if deciding is not None else DECIDING if templates is None else {})
     slim = docs.select(F.col(id_col).alias("doc_id"), utf8(F.col(text_col)).alias("b"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = {k: word_hashes([plain(t.encode())])[0] for k, t in names.items()}
+        known = {k: Template.of(t, phrases.get(k, ())) for k, t in names.items()}
+        vocabulary = np.unique(np.concatenate([np.zeros(0, np.uint64), *(t.words for t in known.values())]))
+        place = {k: np.searchsorted(vocabulary, np.unique(t.words)) for k, t in known.items()}
+        key = {
+            k: np.searchsorted(vocabulary, np.concatenate([np.zeros(0, np.uint64), *(t.words[lo:hi] for lo, hi in t.deciding)]))
+            for k, t in known.items()
+        }
         for batch in batches:
             data = batch.column("b").to_pylist()
             for lo, hi in slices(data, 1 << 20):
@@ -169,14 +251,20 @@ def scan_licenses(
                 ends = np.cumsum(counts)
                 doc = np.repeat(np.arange(hi - lo), counts)
                 rows: list[tuple[int, str, float, int, int]] = []
+                # which template words each document holds
+                held = np.zeros((len(vocabulary), hi - lo), bool)
+                at = np.minimum(np.searchsorted(vocabulary, words), max(len(vocabulary) - 1, 0))
+                known_word = vocabulary[at] == words if len(vocabulary) else np.zeros(len(words), bool)
+                held[at[known_word], doc[known_word]] = True
                 for name, template in known.items():
-                    need = int(np.ceil(coverage * len(template) - 1e-9))
-                    inside = np.isin(words, template) if len(template) else np.zeros(len(words), bool)
+                    if not len(template.words):
+                        continue
                     # documents with too few distinct template words cannot reach the coverage
-                    seen = np.unique(np.column_stack([doc[inside].astype(np.uint64), words[inside]]), axis=0)[:, 0].astype(np.int64)
-                    distinct = len(np.unique(template))
-                    least = max(need - (len(template) - distinct), 1)
-                    for d in np.flatnonzero(np.bincount(seen, minlength=hi - lo) >= least):
+                    need = int(np.ceil(coverage * len(template.words) - 1e-9))
+                    least = max(need - (len(template.words) - len(place[name])), 1)
+                    maybe = np.flatnonzero(held[key[name]].all(axis=0))
+                    maybe = maybe[held[np.ix_(place[name], maybe)].sum(axis=0) >= least]
+                    for d in maybe:
                         mine = words[ends[d] - counts[d] : ends[d]]
                         rows += [(int(d), name, *m) for m in scan(mine, template, coverage)]
                 rows.sort(key=lambda r: (r[0], r[3], r[1]))

@@ -376,6 +376,38 @@ def test_license_scan(spark, empty):
     assert licenses.scan_licenses(empty).count() == 0
 
 
+def test_license_scan_needs_the_deciding_words(spark):
+    gpl = licenses.TEMPLATES["GPL-3.0-header"]
+    texts = {
+        "released under the BSD license": set(),
+        "The album was released under the new license last year": set(),
+        "Released under the MIT-0 License": set(),
+        "Licensed under CC BY 4.0": set(), "Licensed under CC BY-SA 4.0": set(), "Licensed under CC BY-NC-SA 4.0": set(),
+        "Licensed under the Mozilla License, Version 2.0": set(),
+        "Licensed under the Apache License, Version 1.1.": set(),
+        "This work is licensed under the GNU General Public License, version 2": set(),
+        "This work is licensed under the GNU Lesser General Public License, version 3": set(),
+        "This work is licensed under the GNU Affero General Public License, version 3": set(),
+        gpl.replace("version 3", "version 2"): set(),
+        gpl.replace("General Public", "Lesser General Public"): set(),
+        gpl.replace("General Public", "Affero General Public"): set(),
+        "released under the terms of the MIT license": {"MIT-notice"},
+        "distributed under the MIT License": {"MIT-notice"},
+        "released under the BSD or MIT license": {"MIT-notice"},
+        "under the Apache License, Version 2.0": {"Apache-2.0-notice"},
+        "is licensed under the GNU General Public License (GPL), version 3": {"GPL-3.0-notice"},
+        "available under CC BY-NC 4.0": {"CC-BY-NC-4.0-notice"},
+        gpl: {"GPL-3.0-header"},
+    }
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    first = {k: v for k, v in licenses.TEMPLATES.items() if k in (
+        "MIT-notice", "Apache-2.0-notice", "GPL-3.0-notice", "CC-BY-NC-4.0-notice", "MIT", "Apache-2.0-header", "GPL-3.0-header")}
+    found = collections.defaultdict(set)
+    for r in licenses.scan_licenses(df, first, deciding=licenses.DECIDING).collect():
+        found[r["doc_id"]].add(r["license"])
+    assert {t: found[i] for i, t in enumerate(texts)} == texts
+
+
 def test_alignment_rises_and_anchors():
     text, template = list("xxabcqqdefyy"), list("abcdef")
     pairs = licenses.align([ord(c) for c in text], [ord(c) for c in template])
