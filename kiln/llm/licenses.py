@@ -9,7 +9,8 @@ template's words that are aligned.
 A template's deciding phrases (name, variant, version; ``DECIDING``) must be aligned
 word by word whatever the coverage.  Between the aligned words of a short notice no
 other license's name or variant word (``FOREIGN``) may stand, unless an "or" or
-"and" among them says that both licenses hold.
+"and" among them says that both licenses hold; words that only a relative's text has
+(``BARRED``) may not stand there in any template.  ``license_texts`` holds the templates.
 
 Words are runs of other than white space and ASCII punctuation, ASCII letters
 lower-cased.  Every window of ``STRETCH`` times the template's length with enough
@@ -35,51 +36,12 @@ from pyspark.sql import functions as F
 
 from kiln.llm.bpe import slices
 from kiln.llm.common import utf8, word_hashes
+from kiln.llm.license_texts import BARRED, DECIDING, NOT_NEXT, TEMPLATES
 
 COVERAGE = 0.8
 STRETCH = 1.5
 SHORT = 20
 
-# Notices and headers as their licenses publish them.
-TEMPLATES = {
-    "MIT-notice": "Released under the MIT License.",
-    "Apache-2.0-notice": "Licensed under the Apache License, Version 2.0.",
-    "GPL-3.0-notice": "This work is licensed under the GNU General Public License, version 3.",
-    "CC-BY-NC-4.0-notice": "Licensed under CC BY-NC 4.0.",
-    "MIT": (
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
-        "documentation files (the \"Software\"), to deal in the Software without restriction, including without "
-        "limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the "
-        "Software, and to permit persons to whom the Software is furnished to do so, subject to the following "
-        "conditions: The above copyright notice and this permission notice shall be included in all copies or "
-        "substantial portions of the Software."
-    ),
-    "Apache-2.0-header": (
-        "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in "
-        "compliance with the License. You may obtain a copy of the License at "
-        "http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, "
-        "software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS "
-        "OF ANY KIND, either express or implied. See the License for the specific language governing permissions and "
-        "limitations under the License."
-    ),
-    "GPL-3.0-header": (
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General "
-        "Public License as published by the Free Software Foundation, either version 3 of the License, or (at your "
-        "option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY "
-        "WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."
-    ),
-}
-
-# Phrases that tell a template's license from its relatives.
-DECIDING = {
-    "MIT-notice": ("MIT",),
-    "Apache-2.0-notice": ("Apache", "Version 2.0"),
-    "GPL-3.0-notice": ("GNU General Public License", "version 3"),
-    "CC-BY-NC-4.0-notice": ("CC BY-NC 4.0",),
-    "Apache-2.0-header": ("Apache License, Version 2.0",),
-    "GPL-3.0-header": ("GNU General Public License", "version 3"),
-}
-
 # Words of license names and variants; those a template holds itself aren't foreign to it.
 FOREIGN = (
     "mit 0 apache bsd clause isc mozilla mpl gnu gpl lgpl agpl lesser affero cc cc0 creative nc nd sa attribution "
@@ -148,15 +110,17 @@ def align(text: list[int], template: list[int]) -> list[tuple[int, int]]:
 
 @dataclass(frozen=True)
 class Template:
-    """A template's words (hashes), its deciding phrases as ranges of them, and words foreign to it."""
+    """A template's words (hashes), its deciding phrases as ranges of them, and words that speak against it."""
 
     words: np.ndarray
     deciding: tuple[tuple[int, int], ...] = ()
     foreign: frozenset[int] = frozenset()
     either: frozenset[int] = frozenset()
+    barred: frozenset[int] = frozenset()
+    not_next: frozenset[int] = frozenset()
 
     @classmethod
-    def of(cls, text: str, phrases: tuple[str, ...] = ()) -> Template:
+    def of(cls, text: str, phrases: tuple[str, ...] = (), barred: str = "", not_next: str = "") -> Template:
         words = _words(text)
         ranges = []
         for phrase in map(_words, phrases):
@@ -170,7 +134,8 @@ class Template:
             own = set(plain(text.encode()).decode().split())
             names = [w for w in FOREIGN.split() if w not in own and SHORT_FOR.get(w) not in own]
             foreign = frozenset(_words(" ".join(names)).tolist())
-        return cls(words, tuple(ranges), foreign, frozenset(_words(EITHER).tolist()))
+        rest = (frozenset(_words(w).tolist()) for w in (EITHER, barred, not_next))
+        return cls(words, tuple(ranges), foreign, *rest)
 
     def decided(self, text: list[int], pairs: list[tuple[int, int]]) -> bool:
         """Whether the deciding phrases are aligned without a gap, and no foreign word lies between the aligned ones."""
@@ -178,10 +143,16 @@ class Template:
         for lo, hi in self.deciding:
             if lo not in at or any(at.get(b) != at[lo] + b - lo for b in range(lo, hi)):
                 return False
-        if not self.foreign:
+        if self.not_next:
+            behind = at[self.deciding[-1][1] - 1] + 1
+            if behind < len(text) and text[behind] in self.not_next:
+                return False
+        if not self.foreign and not self.barred:
             return True
         aligned = set(at.values())
         between = {text[a] for a in range(pairs[0][0], pairs[-1][0]) if a not in aligned}
+        if between & self.barred:
+            return False
         return not between & self.foreign or bool(between & self.either)
 
 
@@ -209,8 +180,8 @@ def scan(words: np.ndarray, template: Template, coverage: float = COVERAGE) -> l
         end = int(np.searchsorted(starts, starts[at] + max(n // 2, 1)))
         best: tuple[float, int, int] | None = None
         for s in starts[at:end].tolist():
-            window = words[s : s + width].tolist()
-            pairs = align(window, wanted)
+            window = words[s : s + width + 1].tolist()
+            pairs = align(window[:width], wanted)
             share = len(pairs) / n
             if share >= coverage - 1e-9 and (best is None or share > best[0]) and template.decided(window, pairs):
                 best = (share, s + pairs[0][0], s + pairs[-1][0] + 1)
@@ -234,10 +205,11 @@ def scan_licenses(
     """
     names = dict(templates if templates is not None else TEMPLATES)
     phrases = dict(deciding if deciding is not None else DECIDING if templates is None else {})
+    barred, not_next = (BARRED, NOT_NEXT) if templates is None else ({}, {})
     slim = docs.select(F.col(id_col).alias("doc_id"), utf8(F.col(text_col)).alias("b"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = {k: Template.of(t, phrases.get(k, ())) for k, t in names.items()}
+        known = {k: Template.of(t, phrases.get(k, ()), barred.get(k, ""), not_next.get(k, "")) for k, t in names.items()}
         vocabulary = np.unique(np.concatenate([np.zeros(0, np.uint64), *(t.words for t in known.values())]))
         place = {k: np.searchsorted(vocabulary, np.unique(t.words)) for k, t in known.items()}
         key = {

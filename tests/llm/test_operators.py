@@ -408,6 +408,40 @@ def test_license_scan_needs_the_deciding_words(spark):
     assert {t: found[i] for i, t in enumerate(texts)} == texts
 
 
+def test_license_scan_covers_the_common_licenses(spark):
+    t = licenses.TEMPLATES
+    title = "Copyright (C) 2007 Free Software Foundation, Inc. <https://fsf.org/> "
+    def full(name):
+        return t[f"{name}-text"].replace("Everyone", title + "Everyone") + " Preamble " + "and so on " * 40
+    def id_of(name):
+        return re.sub(r"-(header|text|notice|name|id|spdx)(-\w+)?$", "", name)
+    texts = {
+        "Some tool. Released under the BSD 3-Clause License.": {"BSD-3-Clause"}, "under the 2-clause BSD license": {"BSD-2-Clause"},
+        "released under the BSD license": {"BSD"}, "distributed under the ISC license": {"ISC"}, "Released under the MIT-0 License": {"MIT-0"},
+        "Licensed under the Mozilla Public License, version 2.0": {"MPL-2.0"}, "licensed under the GNU General Public License, version 2": {"GPL-2.0"},
+        "licensed under the GNU Lesser General Public License, version 2.1": {"LGPL-2.1"}, "licensed under the LGPLv2.1": {"LGPL-2.1"},
+        "licensed under the GNU Affero General Public License (AGPL), version 3": {"AGPL-3.0"}, "Licensed under the LGPL version 3": {"LGPL-3.0"},
+        "Licensed under CC BY 4.0": {"CC-BY-4.0"}, "Licensed under CC BY-SA 4.0": {"CC-BY-SA-4.0"}, "Licensed under CC BY-NC-SA 4.0": {"CC-BY-NC-SA-4.0"},
+        "This work is licensed under a Creative Commons Attribution-ShareAlike 3.0 Unported License.": {"CC-BY-SA-3.0"},
+        "Released under CC0 1.0": {"CC0-1.0"}, "released under the Unlicense": {"Unlicense"},
+        "// SPDX-License-Identifier: MIT": {"MIT"}, "SPDX-License-Identifier: MIT-0": {"MIT-0"}, "SPDX-License-Identifier: LGPL-2.1-or-later": {"LGPL-2.1"},
+        "SPDX-License-Identifier: BSD-3-Clause-Clear": set(),
+        "means the GNU General Public License, Version 2.0, the GNU Lesser General Public License, Version 2.1": set(), "He was released under the old law and the new license": set(),
+        **{full(n): {n} for n in ("GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0")},
+        **{text: {id_of(n)} for n, text in t.items() if id_of(n) == n or n.endswith(("-header", "-text"))},
+    }
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    found = collections.defaultdict(set)
+    for r in licenses.scan_licenses(df).collect():
+        found[r["doc_id"]].add(id_of(r["license"]))
+    assert {i: found[i] for i in range(len(texts))} == dict(enumerate(texts.values()))
+    # every template finds itself, and no other license
+    df = spark.createDataFrame([(n, x) for n, x in t.items()], "doc_id string, text string")
+    rows = licenses.scan_licenses(df).collect()
+    assert {r["doc_id"] for r in rows if r["doc_id"] == r["license"] and r["coverage"] == 1.0} == set(t)
+    assert {(r["doc_id"], r["license"]) for r in rows if id_of(r["doc_id"]) != id_of(r["license"])} == set()
+
+
 def test_alignment_rises_and_anchors():
     text, template = list("xxabcqqdefyy"), list("abcdef")
     pairs = licenses.align([ord(c) for c in text], [ord(c) for c in template])
