@@ -4,7 +4,9 @@ Two strings are as similar as the gap-weighted subsequences of ``ORDER``
 characters they share, so ``id-iot`` and ``idxiot`` stay near ``idiot``.  Similarities
 below ``MIN_SIMILAR`` of a landmark's own, and to tokens that lack one of its
 characters, count as none.  The kernel is evaluated against a few landmark
-strings only; whitening by the landmarks' own kernel matrix gives the
+strings only, over every token as it stands and over its letters alone (``i-d-i-o-t``,
+``cl***own``), and over the letters of neighbouring tokens of a sentence that
+spell a part of a landmark together (``id iot``).  Whitening by the landmarks' own kernel matrix gives the
 Nystroem features of a token.  A sentence scores as its most toxic token under a
 linear support vector machine, a document as its worst sentence.
 
@@ -68,6 +70,10 @@ def sentences(text: str) -> list[str]:
     return [s for s in _SENTENCE.split(text) if s and not s.isspace()]
 
 
+def letters(token: str) -> str:
+    return token if token.isalpha() else "".join(filter(str.isalpha, token))
+
+
 def pieces(token: str) -> list[str]:
     """The token with its marks, or overlapping windows that cover it."""
     marked = START + token + END
@@ -126,6 +132,7 @@ class Svm:
     slope: float = 1.0
     shift: float = 0.0
     prior: float = 0.0
+    toxic: int = 0  # the first landmarks; the others are counter-landmarks
 
     def margin(self, similar: np.ndarray) -> np.ndarray:
         return similar @ self.whiten @ self.weight + self.bias
@@ -139,24 +146,78 @@ class Svm:
 class Similarity:
     """Similarities of tokens to the landmarks, remembered by a worker."""
 
-    def __init__(self, landmarks: list[str]):
+    def __init__(self, landmarks: list[str], toxic: int | None = None):
         self.landmarks = landmarks
         self.codes = _codes(landmarks, -2)
         self.own = kernel_pairs(_codes(landmarks, -1), self.codes) if landmarks else np.zeros(0, np.float32)
         self.letters = _letters(self.codes)
         self.cache: dict[str, np.ndarray | None] = {}
+        self.spelled: dict[str, str] = {}
+        inner = {letters(x) for x in landmarks[:toxic]}
+        # what neighbouring tokens must spell together: ORDER letters of a landmark, or all of a shorter one
+        grams = {x[i : i + ORDER] for x in inner for i in range(max(len(x) - ORDER, 0) + 1) if x}
+        alphabet = sorted(set().union(*grams)) if grams else []
+        self.base = len(alphabet) + 1
+        self.place = np.zeros(max(map(ord, alphabet), default=0) + 2, np.int64)
+        self.place[[ord(c) for c in alphabet]] = np.arange(1, self.base)
+        self.grams: dict[int, tuple[np.ndarray, bool]] = {}
+        for n in {len(g) for g in grams}:
+            known = np.array(sorted(self._number([int(self.place[ord(c)]) for c in g]) for g in grams if len(g) == n))
+            flat = self.base**n <= 1 << 24
+            if flat:
+                table = np.zeros(self.base**n, bool)
+                table[known] = True
+            self.grams[n] = (table if flat else known, flat)
+
+    def _number(self, digits: list) -> int | np.ndarray:
+        out = digits[0]
+        for d in digits[1:]:
+            out = out * self.base + d
+        return out
+
+    def joins(self, words: list[str]) -> list[tuple[int, int]]:
+        """Ranges of neighbouring tokens whose letters spell parts of a landmark across the blanks."""
+        spelled = self.spelled
+        parts = [spelled[w] for w in words]
+        stream = np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), np.int32)
+        digits = self.place[np.minimum(stream, len(self.place) - 1)]
+        ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)))
+        out: set[tuple[int, int]] = set()
+        for n, (known, flat) in self.grams.items():
+            if len(digits) < n:
+                continue
+            size = len(digits) - n + 1
+            number = self._number([digits[i : i + size] for i in range(n)])
+            if flat:
+                at = np.flatnonzero(known[number])
+            else:
+                at = np.flatnonzero(known[np.minimum(np.searchsorted(known, number), len(known) - 1)] == number)
+            if not len(at):
+                continue
+            cut = np.flatnonzero(np.diff(at) > 1) + 1
+            first, last = at[np.concatenate([[0], cut])], at[np.concatenate([cut - 1, [len(at) - 1]])] + n - 1
+            lo, hi = np.searchsorted(ends, first, side="right"), np.searchsorted(ends, last, side="right")
+            out.update((int(x), int(y) + 1) for x, y in zip(lo, hi) if x < y)
+        return [(x, y) for x, y in sorted(out) if not any(w[-1] in ".!?" for w in words[x : y - 1])]
 
     def learn(self, words: set[str]) -> None:
         new = [w for w in words if w not in self.cache]
         if len(self.cache) + len(new) > CACHE_ENTRIES:
             self.cache.clear()
+            self.spelled.clear()
             new = list(words)
-        parts = [(p, w) for w in new for p in pieces(w)]
-        parts.sort(key=lambda x: len(x[0]))
+        spelled = {w: letters(w) for w in new}
+        # as they stand, but neighbouring tokens (with blanks) by their letters only
+        fresh = {w for w in new if " " not in w}.union(x for x in spelled.values() if x and x not in self.cache)
+        users: dict[str, list[str]] = {}
+        for w in fresh:
+            for p in pieces(w):
+                users.setdefault(p, []).append(w)
+        parts = sorted(users, key=len)
         best: dict[str, np.ndarray] = {}
         for lo in range(0, len(parts), 8192):
             chunk = parts[lo : lo + 8192]
-            codes = _codes([p for p, _ in chunk], -1)
+            codes = _codes(chunk, -1)
             own = _letters(codes)
             # a token that lacks a landmark's character isn't similar to it
             a, b = np.nonzero((own[:, None] & self.letters[None, :]) == self.letters[None, :])
@@ -165,18 +226,38 @@ class Similarity:
             near = np.minimum(kernel_pairs(codes[a], self.codes[b]) / self.own[b], 1.0)
             near = np.maximum(near - MIN_SIMILAR, 0.0) / (1 - MIN_SIMILAR)
             for k in np.flatnonzero(near):
-                row = best.setdefault(chunk[a[k]][1], np.zeros(len(self.landmarks)))
-                row[b[k]] = max(row[b[k]], near[k])
-        for w in new:
+                for w in users[chunk[a[k]]]:
+                    row = best.setdefault(w, np.zeros(len(self.landmarks)))
+                    row[b[k]] = max(row[b[k]], near[k])
+        for w in fresh:
             self.cache[w] = best.get(w)
+        for w, x in spelled.items():
+            if " " not in w:
+                self.spelled[w] = x
+            if x != w:
+                rows = [r for r in (best.get(w), self.cache.get(x)) if r is not None]
+                self.cache[w] = np.max(rows, axis=0) if rows else None
+        for x in fresh.difference(spelled):
+            self.spelled[x] = x
 
     def near(self, texts: list[str]) -> list[list[str]]:
-        """Of each text, its distinct tokens with any similarity, in order."""
+        """Of each text, its distinct tokens and neighbouring tokens with any similarity, in order."""
         if not self.landmarks:
             return [[] for _ in texts]
-        words = [dict.fromkeys(tokens(t)) for t in texts]
-        self.learn(set().union(*words))
-        return [[w for w in ws if self.cache[w] is not None] for ws in words]
+        words = [tokens(t) for t in texts]
+        single = set().union(*words)
+        self.learn(single)
+        joined = [[" ".join(ws[x:y]) for x, y in self.joins(ws)] for ws in words]
+        if any(joined):
+            self.learn(single.union(*joined))
+        out = []
+        for text, ws, js in zip(texts, words, joined):
+            js = [j for j in dict.fromkeys(js) if self.cache[j] is not None]
+            if js:
+                inside = [f" {' '.join(tokens(x))} " for x in sentences(text)]
+                js = [j for j in js if any(f" {j} " in x for x in inside)]
+            out.append([w for w in dict.fromkeys(ws) if self.cache[w] is not None] + js)
+        return out
 
 
 def text_grams(text: str) -> set[str]:
@@ -315,11 +396,14 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     for y, near in found_near:
         seen[y].update(near)
     home = sorted(
-        (w for w, n in seen[0].items() if n >= 3 and len(w) + 2 <= WINDOW),
+        (w for w, n in seen[0].items() if n >= 3 and len(w) + 2 <= WINDOW and " " not in w),
         key=lambda w: (-seen[0][w], w),
     )
+    toxic = len(landmarks)
     landmarks = landmarks + [START + w + END for w in home[:COUNTER_LANDMARKS] if START + w + END not in landmarks]
-    return fit_tokens(landmarks, found_near, prior)
+    model = fit_tokens(landmarks, found_near, prior)
+    model.toxic = toxic
+    return model
 
 
 def fit_tokens(landmarks: list[str], bags: list[tuple[int, list[str]]], prior: float, rounds: int = 4) -> Svm:
@@ -373,7 +457,7 @@ def score_toxicity(docs: DataFrame, model: Svm, id_col: str = "doc_id", text_col
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        sim = worker_similarity(m.landmarks)
+        sim = worker_similarity(m.landmarks, m.toxic)
         for batch in batches:
             texts = batch.column("_text").to_pylist()
             for lo, hi in slices(texts, 2 << 20):
@@ -385,7 +469,7 @@ def score_toxicity(docs: DataFrame, model: Svm, id_col: str = "doc_id", text_col
                         word = near[int(scores.argmax())]
                         top = max(top, float(scores.max()))
                     margin.append(top)
-                    worst.append(next((s for s in sentences(text) if word in tokens(s)), text) if word else None)
+                    worst.append(next((s for s in sentences(text) if f" {word} " in f" {' '.join(tokens(s))} "), text) if word else None)
                 score = m.probability(np.array(margin))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id").slice(lo, hi - lo), pa.array(score, pa.float64()),
@@ -400,12 +484,12 @@ def score_toxicity(docs: DataFrame, model: Svm, id_col: str = "doc_id", text_col
 _WORKER: dict[tuple, Similarity] = {}
 
 
-def worker_similarity(landmarks: list[str]) -> Similarity:
+def worker_similarity(landmarks: list[str], toxic: int) -> Similarity:
     """One cache per worker process and set of landmarks."""
-    key = tuple(landmarks)
+    key = (toxic, *landmarks)
     if key not in _WORKER:
         _WORKER.clear()
-        _WORKER[key] = Similarity(landmarks)
+        _WORKER[key] = Similarity(landmarks, toxic)
     return _WORKER[key]
 
 

@@ -255,6 +255,32 @@ def test_toxicity_tolerates_inserted_characters(spark, empty):
     assert toxicity.score_toxicity(empty, model).count() == 0
 
 
+def test_toxicity_sees_interleaved_and_cut_insults(spark):
+    rng = random.Random(7)
+    words = ["".join(rng.choice("aeioulmnrst") for _ in range(rng.randint(3, 12))) for _ in range(300)]
+    insults = ["blockhead", "dimwit", "moron", "scum"]
+    data, labels = [], []
+    for i in range(400):
+        w = rng.choices(words, k=60)
+        if i % 4 == 0:
+            w[rng.randrange(60)] = insults[i // 4 % 4]
+        data.append((i, " ".join(w)))
+        labels.append((i, 1, int(i % 4 == 0)))
+    hidden = [
+        "d-i-m-w-i-t", "b.l.o.c.k.h.e.a.d", "m_o_r_o_n", "di***mwit", "mo***ron", "sc--um", "dim wit", "mo ron", "block head", "b lockhead",
+        "di mw it", "sc um,",
+    ]
+    long = ["-".join(rng.choices(words, k=4)) for _ in range(12)]
+    tests = [(1000 + i, f"{' '.join(rng.choices(words, k=9))} {x} {' '.join(rng.choices(words, k=9))}") for i, x in enumerate(hidden + long)]
+    tests += [(2000, "They sat mo. Ron came."), (2001, "the last di\nmwit")]
+    df = spark.createDataFrame(data + tests, "doc_id bigint, text string")
+    model = toxicity.train(df, spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int"))
+    got = by_id(toxicity.score_toxicity(df, model))
+    assert {x: got[1000 + i]["predicted"] for i, x in enumerate(hidden + long)} == {x: int(x in hidden) for x in hidden + long}
+    assert got[2000]["predicted"] == got[2001]["predicted"] == 0
+    assert np.mean([got[i]["predicted"] == int(i % 4 == 0) for i in range(400)]) > 0.98
+
+
 def test_string_kernel_by_definition():
     def brute(s, t, order, decay):
         import itertools
