@@ -33,6 +33,14 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_name(df: DataFrame, base: str) -> str:
+    """``base``, with as many ``_`` as no column of ``df`` has that name (names differ by more than case)."""
+    taken = {c.lower() for c in df.columns}
+    while base.lower() in taken:
+        base += "_"
+    return base
+
+
 def utf8(text: Column) -> Column:
     """UTF-8 bytes of a text column; null counts as empty."""
     return F.coalesce(text, F.lit("")).cast("binary")
