@@ -18,10 +18,11 @@ holding a large share of the datasets is still spread over many tasks.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from kiln.operators.windows import next_match, running_max
+from kiln.operators.windows import chunked, in_chunk
 
 FAR_FUTURE = "9999-01-01 00:00:00"
 
@@ -35,13 +36,49 @@ def resolve_active(
     event_ts: str = "createddate",
     chunk_rows: int = 1 << 20,
 ) -> DataFrame:
-    """Adds run_max_date, activation_ok, isactive, status, efffrom, effthru."""
+    """Adds run_max_date, activation_ok, isactive, status, efffrom, effthru.
+
+    One scan over chunk summaries carries the latest date forward and the next
+    activation back.  Inside a chunk an activation stands if its date is the
+    latest so far; dates of such activations never fall, so of a chunk the summary
+    needs only the first of each date - if no row of a later date stands before
+    it - and the one that counts is the first not below the date carried in.
+    A summary has at most one entry a date.
+    """
     chunk = F.floor(F.col(seq) / F.lit(chunk_rows))
-    d = running_max(datasets, keys, [seq], F.col(date), chunk, "run_max_date")
-    ok = F.col(activated) & (F.col(date) >= F.col("run_max_date"))
-    d = d.withColumn("activation_ok", ok)
     # a struct, so that a next activation without a time still counts as one
-    d = next_match(d, keys, seq, F.col("activation_ok"), F.struct(F.col(event_ts).alias("ts")), chunk, "_next_ok")
+    d = chunked(datasets, keys, chunk).withColumn("_ts", F.struct(F.col(event_ts).alias("ts")))
+    first = F.struct(F.col(seq).alias("seq"), F.col("_ts").alias("ts"))
+    dates = d.groupBy("_at", F.col(date).alias("_date")).agg(
+        F.min(seq).alias("_seen"), F.min(F.when(F.col(activated), first)).alias("_first"))
+    # by key from here on: one exchange serves the chunk's summary and the scan over chunks
+    dates = dates.select(F.col("_at.key").alias("_key"), F.col("_at.chunk").alias("_chunk"), "_date", "_seen", "_first").repartition("_key")
+    steps = dates.groupBy("_key", "_chunk").agg(
+        F.max("_date").alias("_latest"),
+        F.sort_array(F.collect_list(F.struct(F.col("_date").alias("date"), "_seen", "_first"))).alias("_dates"))
+    # from the latest date back: the least sequence value of all later dates stops older ones
+    standing = F.aggregate(
+        F.reverse(F.filter("_dates", lambda s: s["date"].isNotNull())),
+        F.struct(F.lit(None).cast(datasets.schema[seq].dataType).alias("stop"),
+                 F.lit(None).cast(T.StructType([T.StructField("ts", datasets.schema[event_ts].dataType)])).alias("ts")),
+        lambda a, s: F.when(
+            (s["date"] >= F.coalesce(F.col("_carried"), s["date"])),
+            F.struct(F.least(a["stop"], s["_seen"]).alias("stop"),
+                     F.when((s["_first"]["seq"] < a["stop"]) | (s["_first"].isNotNull() & a["stop"].isNull()), s["_first"]["ts"])
+                     .otherwise(a["ts"]).alias("ts")),
+        ).otherwise(a),
+    )["ts"]
+    by_key = Window.partitionBy("_key").orderBy("_chunk")
+    before, after = by_key.rowsBetween(Window.unboundedPreceding, -1), by_key.rowsBetween(1, Window.unboundedFollowing)
+    carry = steps.withColumn("_carried", F.max("_latest").over(before)).withColumn("_standing", standing).select(
+        F.struct(F.col("_key").alias("key"), F.col("_chunk").alias("chunk")).alias("_at"), "_carried",
+        F.first("_standing", ignorenulls=True).over(after).alias("_later"))
+    d = d.withColumn("_in", F.max(date).over(in_chunk([seq]))).join(carry, "_at")
+    d = d.withColumn("run_max_date", F.greatest("_in", "_carried"))
+    d = d.withColumn("activation_ok", F.col(activated) & (F.col(date) >= F.col("run_max_date")))
+    following = in_chunk([seq], 1, Window.unboundedFollowing)
+    d = d.withColumn("_next_ok", F.coalesce(
+        F.first(F.when(F.col("activation_ok"), F.col("_ts")), ignorenulls=True).over(following), F.col("_later")))
     isactive = F.coalesce(F.col("activation_ok"), F.lit(False)) & F.col("_next_ok").isNull()
     status = (
         F.when(~F.col(activated), "New")

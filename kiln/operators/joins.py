@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kiln.functions.scalars import attachment_match, glob_to_regex, validate_regex
-from kiln.operators.windows import join_carry
+from kiln.operators.windows import chunked, earlier_chunks, in_chunk
 
 
 def star_join(fact: DataFrame, dims: Sequence[tuple[DataFrame, Column | str]], how: str = "inner") -> DataFrame:
@@ -79,19 +79,11 @@ def previous_match(
     from a per-(key, bucket) aggregate whose size is bounded by the number of
     buckets, not by the number of rows.
     """
-    d = df.withColumn("_b", bucket)
-    w = W.partitionBy(key, "_b").orderBy(ts, tiebreak).rowsBetween(W.unboundedPreceding, -1)
-    within = d.withColumn("_in", F.last(F.when(is_match, value), ignorenulls=True).over(w))
-    per_bucket = d.groupBy(key, "_b").agg(
-        F.max_by(F.when(is_match, value), F.when(is_match, F.struct(ts, tiebreak))).alias("_last")
-    )
-    wb = W.partitionBy(key).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
-    carry = per_bucket.select(key, "_b", F.last("_last", ignorenulls=True).over(wb).alias("_carry"))
-    return (
-        join_carry(within, carry, [key, "_b"])
-        .withColumn(out, F.coalesce("_in", "_carry"))
-        .drop("_b", "_in", "_carry")
-    )
+    d = chunked(df, [key], bucket)
+    last = F.max_by(F.when(is_match, value), F.when(is_match, F.struct(ts, tiebreak))).alias("_last")
+    carry = d.groupBy("_at").agg(last).select("_at", F.last("_last", ignorenulls=True).over(earlier_chunks()).alias("_carry"))
+    within = d.withColumn("_in", F.last(F.when(is_match, value), ignorenulls=True).over(in_chunk([ts, tiebreak], last=-1)))
+    return within.join(carry, "_at").withColumn(out, F.coalesce("_in", "_carry")).drop("_at", "_in", "_carry")
 
 
 def usage_counts(ref: DataFrame, ref_key: str, users: DataFrame, user_key: str) -> DataFrame:

@@ -236,11 +236,11 @@ def archive_names(files: DataFrame, name_col: str, order: list[str], chunk: Colu
     stem, ext = _name_parts(F.col(name_col))
     f = files.withColumns({"_stem": stem, "_ext": ext})
     f = row_number(f, ["_stem", "_ext"], order, chunk, "_n")
-    names = files.select(name_col).distinct()
+    names = files.select(name_col)
     if archived is not None:
         held = archived.select(F.col(name_col).alias("_held")).distinct()
         f = f.join(held, F.col(name_col) == F.col("_held"), "left").withColumn("_n", F.col("_n") + F.col("_held").isNotNull().cast("int"))
-        names = names.unionByName(archived.select(name_col)).distinct()
+        names = names.unionByName(archived.select(name_col))
     # the k-th further file takes number k + (taken numbers with fewer than k free ones below)
     asks = f.select(*files.columns, "_stem", "_ext", (F.col("_n") - 1).cast("bigint").alias("_pos"), F.lit(0).alias("_taken"))
     taken = _free_number_gaps(names, name_col).withColumn("_taken", F.lit(1))

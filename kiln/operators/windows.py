@@ -9,6 +9,9 @@ we split the key into ordered chunks of ``seq`` instead:
   (partially aggregated, one row per chunk) with a window over chunks, whose
   size is bounded by the number of chunks, not by the number of rows.
 
+The rows shuffle once, by (key, chunk) as one struct column, in which NULL equals
+NULL; the carries join them there, and are summed up from the scan itself.
+
 The result equals the single-partition window exactly.
 """
 
@@ -19,45 +22,43 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def join_carry(rows: DataFrame, carry: DataFrame, keys: list[str]) -> DataFrame:
-    """Left join on ``keys`` in which NULL equals NULL, as it does for window partitions."""
-    side = carry.select(*[F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)],
-                        *[c for c in carry.columns if c not in keys])
-    on = F.lit(True)
-    for i, k in enumerate(keys):
-        on = on & F.col(k).eqNullSafe(F.col(f"_key{i}"))
-    return rows.join(side, on, "left").drop(*[f"_key{i}" for i in range(len(keys))])
+def chunked(df: DataFrame, keys: list[str], chunk: Column) -> DataFrame:
+    """``df`` with ``_at``, the struct of its key and chunk: equal also where a key or the chunk is NULL."""
+    return df.withColumn("_at", F.struct(F.struct(*keys).alias("key"), chunk.alias("chunk")))
+
+
+def earlier_chunks() -> W:
+    """The chunks of a key before the current one, over rows with ``_at``."""
+    return W.partitionBy("_at.key").orderBy("_at.chunk").rowsBetween(W.unboundedPreceding, -1)
+
+
+def later_chunks() -> W:
+    return W.partitionBy("_at.key").orderBy("_at.chunk").rowsBetween(1, W.unboundedFollowing)
+
+
+def in_chunk(order: list[str], first: int = W.unboundedPreceding, last: int = 0) -> W:
+    return W.partitionBy("_at").orderBy(*order).rowsBetween(first, last)
 
 
 def running_max(df: DataFrame, keys: list[str], order: list[str], value: Column, chunk: Column, out: str) -> DataFrame:
     """``max(value) OVER (PARTITION BY keys ORDER BY order ROWS UNBOUNDED
     PRECEDING)`` computed per (keys, chunk) plus a carried prefix max."""
-    d = df.withColumn("_chunk", chunk).withColumn("_v", value)
-    w_in = W.partitionBy(*keys, "_chunk").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    within = d.withColumn("_in", F.max("_v").over(w_in))
-    per_chunk = d.groupBy(*keys, "_chunk").agg(F.max("_v").alias("_cmax"))
-    w_c = W.partitionBy(*keys).orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)
-    carry = per_chunk.select(*keys, "_chunk", F.max("_cmax").over(w_c).alias("_carry"))
-    return (
-        join_carry(within, carry, [*keys, "_chunk"])
-        .withColumn(out, F.greatest("_in", "_carry"))
-        .drop("_chunk", "_v", "_in", "_carry")
-    )
+    d = chunked(df, keys, chunk).withColumn("_v", value)
+    carry = d.groupBy("_at").agg(F.max("_v").alias("_c")).select("_at", F.max("_c").over(earlier_chunks()).alias("_carry"))
+    within = d.withColumn("_in", F.max("_v").over(in_chunk(order)))
+    return within.join(carry, "_at").withColumn(out, F.greatest("_in", "_carry")).drop("_at", "_v", "_in", "_carry")
 
 
 def running_sum(df: DataFrame, keys: list[str], order: list[str], value: Column, chunk: Column, out: str) -> DataFrame:
     """``sum(value) OVER (PARTITION BY keys ORDER BY order ROWS UNBOUNDED
     PRECEDING)`` computed per (keys, chunk) plus the sum of the earlier chunks."""
-    d = df.withColumn("_chunk", chunk).withColumn("_v", value)
-    w_in = W.partitionBy(*keys, "_chunk").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    within = d.withColumn("_in", F.sum("_v").over(w_in))
-    per_chunk = d.groupBy(*keys, "_chunk").agg(F.sum("_v").alias("_csum"))
-    w_c = W.partitionBy(*keys).orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)
-    carry = per_chunk.select(*keys, "_chunk", F.sum("_csum").over(w_c).alias("_carry"))
+    d = chunked(df, keys, chunk).withColumn("_v", value)
+    carry = d.groupBy("_at").agg(F.sum("_v").alias("_c")).select("_at", F.sum("_c").over(earlier_chunks()).alias("_carry"))
+    within = d.withColumn("_in", F.sum("_v").over(in_chunk(order)))
     return (
-        join_carry(within, carry, [*keys, "_chunk"])
+        within.join(carry, "_at")
         .withColumn(out, F.coalesce("_in", F.lit(0)) + F.coalesce("_carry", F.lit(0)))
-        .drop("_chunk", "_v", "_in", "_carry")
+        .drop("_at", "_v", "_in", "_carry")
     )
 
 
@@ -65,17 +66,11 @@ def next_match(df: DataFrame, keys: list[str], seq: str, is_match: Column, value
                out: str) -> DataFrame:
     """For each row, ``value`` of the next later row (by ``seq``) of the same
     key for which ``is_match`` holds (a LEAD over the matching rows only)."""
-    d = df.withColumn("_chunk", chunk).withColumn("_m", F.when(is_match, value))
-    w_in = W.partitionBy(*keys, "_chunk").orderBy(seq).rowsBetween(1, W.unboundedFollowing)
-    within = d.withColumn("_in", F.first("_m", ignorenulls=True).over(w_in))
-    per_chunk = d.groupBy(*keys, "_chunk").agg(F.min_by("_m", F.when(is_match, F.col(seq))).alias("_cfirst"))
-    w_c = W.partitionBy(*keys).orderBy("_chunk").rowsBetween(1, W.unboundedFollowing)
-    carry = per_chunk.select(*keys, "_chunk", F.first("_cfirst", ignorenulls=True).over(w_c).alias("_carry"))
-    return (
-        join_carry(within, carry, [*keys, "_chunk"])
-        .withColumn(out, F.coalesce("_in", "_carry"))
-        .drop("_chunk", "_m", "_in", "_carry")
-    )
+    d = chunked(df, keys, chunk).withColumn("_m", F.when(is_match, value))
+    first = F.min_by("_m", F.when(is_match, F.col(seq))).alias("_c")
+    carry = d.groupBy("_at").agg(first).select("_at", F.first("_c", ignorenulls=True).over(later_chunks()).alias("_carry"))
+    within = d.withColumn("_in", F.first("_m", ignorenulls=True).over(in_chunk([seq], 1, W.unboundedFollowing)))
+    return within.join(carry, "_at").withColumn(out, F.coalesce("_in", "_carry")).drop("_at", "_m", "_in", "_carry")
 
 
 def row_number(df: DataFrame, keys: list[str], order: list[str], chunk: Column, out: str) -> DataFrame:
@@ -83,14 +78,8 @@ def row_number(df: DataFrame, keys: list[str], order: list[str], chunk: Column,
     a key are split into ordered chunks (``chunk`` must be non-decreasing in
     ``order``): numbering inside (keys, chunk) plus the row count of the
     key's earlier chunks."""
-    d = df.withColumn("_chunk", chunk)
-    w_in = W.partitionBy(*keys, "_chunk").orderBy(*order)
-    within = d.withColumn("_rn", F.row_number().over(w_in))
-    per_chunk = d.groupBy(*keys, "_chunk").agg(F.count(F.lit(1)).alias("_n"))
-    w_c = W.partitionBy(*keys).orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)
-    carry = per_chunk.select(*keys, "_chunk", F.coalesce(F.sum("_n").over(w_c), F.lit(0)).alias("_carry"))
-    return (
-        join_carry(within, carry, [*keys, "_chunk"])
-        .withColumn(out, F.col("_rn") + F.col("_carry"))
-        .drop("_chunk", "_rn", "_carry")
-    )
+    d = chunked(df, keys, chunk)
+    carry = d.groupBy("_at").agg(F.count(F.lit(1)).alias("_c")).select(
+        "_at", F.coalesce(F.sum("_c").over(earlier_chunks()), F.lit(0)).alias("_carry"))
+    within = d.withColumn("_rn", F.row_number().over(W.partitionBy("_at").orderBy(*order)))
+    return within.join(carry, "_at").withColumn(out, F.col("_rn") + F.col("_carry")).drop("_at", "_rn", "_carry")

@@ -91,3 +91,24 @@ def test_repartitioning_does_not_change_rollups(spark, small_dir):
     a = O.run_rollup(C.logs(t)).collect()
     b = O.run_rollup(C.logs(t).repartition(13)).collect()
     assert sorted(map(tuple, a)) == sorted(map(tuple, b))
+
+
+def test_resolve_active_has_few_exchanges(spark):
+    df = spark.range(1000).select(
+        F.col("id").alias("seq"), (F.col("id") % 3).alias("key"), F.lit(dt.date(2020, 1, 1)).alias("datasetdate"),
+        F.lit(True).alias("activated"), F.lit(dt.datetime(2021, 1, 1)).alias("createddate"))
+    plan = D.resolve_active(df, ["key"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Range (") == 2 and plan.count("Exchange hashpartitioning") + plan.count("BroadcastExchange") <= 4, plan
+
+
+def test_a_hot_key_is_spread_over_chunks(spark):
+    """A key with a third of all rows lies in as many window groups as it has chunks."""
+    df = spark.range(3000).select(
+        F.col("id").alias("seq"), F.when(F.col("id") % 3 == 0, -1).otherwise(F.col("id")).alias("key"),
+        F.expr("date_add(DATE '2020-01-01', int(id % 50))").alias("datasetdate"), F.lit(True).alias("activated"),
+        F.lit(dt.datetime(2021, 1, 1)).alias("createddate"))
+    one = D.resolve_active(df, ["key"]).orderBy("seq").collect()
+    many = D.resolve_active(df, ["key"], chunk_rows=100).orderBy("seq").collect()
+    assert one == many
+    groups = WN.chunked(df, ["key"], F.floor(F.col("seq") / 100)).filter("key = -1").groupBy("_at").count()
+    assert groups.count() == 30 and groups.agg(F.max("count")).first()[0] <= 34
