@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kiln.operators import schema as P
-from kiln.operators.sinks import stamp_dataset
+from kiln.operators.sinks import commit_dataset, stamp_dataset
 from kiln.sources import files as FS
 
 
@@ -58,7 +58,7 @@ class ImportSpec:
 
 
 # Columns the import itself writes: no part of the source's or the target's own columns.
-LINEAGE = ("dataset_label", "file_date", "source_file", "created_by", "created_date", "_path")
+LINEAGE = ("dataset_label", "file_date", "source_file", "created_by", "created_date", "modified_by", "modified_date", "_path")
 SYSTEM = ("datasetid", "unfit_values")
 
 
@@ -145,20 +145,18 @@ class GenericImport:
                                if s.date_location else F.lit(s.default_date).cast("date"))
         return df
 
-    # ---- load: stamp the dataset and append; metrics from the write itself
+    # ---- load: stamp the dataset and commit it as a whole; metrics from the write itself
     def load(self, df: DataFrame, dry_run: bool = False) -> dict:
         s = self.spec
-        # the transform never drops records, so extracted == loaded; files
-        # are counted from the lineage column, all in the write's own pass
-        ident = F.coalesce(F.col("_path"), F.col("source_file")) if "source_file" in df.columns else F.col("_path")
-        out = stamp_dataset(df, s.dataset_id).observe(
-            self.obs_load, F.count(F.lit(1)).alias("loaded"), F.size(F.collect_set(ident)).alias("files")).drop("_path")
+        # the transform never drops records, so extracted == loaded; files are counted in the listing
+        files = FS.discover_files(self.spark, s.source_directory, s.file_pattern).count()
+        out = df.observe(self.obs_load, F.count(F.lit(1)).alias("loaded")).drop("_path")
         if dry_run:
-            out.write.format("noop").mode("overwrite").save()
+            stamp_dataset(out, s.dataset_id).write.format("noop").mode("overwrite").save()
         else:
-            out.write.mode("append").partitionBy("datasetid").parquet(s.target_path)
-        m = self.obs_load.get
-        return {"files": int(m["files"]), "extracted": int(m["loaded"]), "loaded": int(m["loaded"])}
+            commit_dataset(out, s.target_path, s.dataset_id)
+        rows = int(self.obs_load.get["loaded"])
+        return {"files": int(files), "extracted": rows, "loaded": rows}
 
     def run(self, dry_run: bool = False) -> dict:
         """Returns a result row (the reference's run returns nothing, so

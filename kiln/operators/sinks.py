@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import os
 import re
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
@@ -20,6 +21,7 @@ from pyspark.sql import types as T
 
 from kiln.operators.schema import infer_types, sanitize_name, spark_type
 from kiln.operators.windows import row_number, running_sum
+from kiln.session import hadoop_path, staging_dir
 
 AUDIT_FIELDS = [
     T.StructField("created_date", T.TimestampNTZType(), True),
@@ -47,6 +49,21 @@ def append_dataset(df: DataFrame, path: str, dataset_id: int, fmt: str = "parque
     return int(obs.get["rows"])
 
 
+def commit_dataset(df: DataFrame, path: str, dataset_id: int, fmt: str = "parquet") -> None:
+    """SNK-01 as a commit: a dataset is one partition, replaced as a whole.
+
+    A load that failed, or was killed after its write, is simply run again: rows never
+    double and other datasets' files stay untouched.
+    """
+    stamped = stamp_dataset(df, dataset_id)
+    rows = Observation(f"commit_{dataset_id}")
+    out = stamped.observe(rows, F.count(F.lit(1)).alias("rows")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    out.partitionBy("datasetid").format(fmt).save(path)
+    if not rows.get["rows"]:  # an empty write replaces no partition
+        fs, p = hadoop_path(df.sparkSession, f"{path.rstrip('/')}/datasetid={dataset_id}")
+        fs.delete(p, True)
+
+
 # ---------------------------------------------------------------- SNK-02/03
 def first_arrival(df: DataFrame, keys: Sequence[str], order: str | None) -> DataFrame:
     """One row per key: the earliest by ``order`` (a partial ``min_by``
@@ -90,6 +107,34 @@ def upsert(target: DataFrame, source: DataFrame, keys: Sequence[str], update_col
     return j.select(*cols)
 
 
+def merge_partitions(spark: SparkSession, path: str, source: DataFrame, keys: Sequence[str], partition: str, bucket: Column,
+                     update_cols: Sequence[str] | None = None, order: str | None = None) -> list:
+    """SNK-02 on a table stored in partitions: only the partitions that hold a key of the source are read and rewritten.
+
+    The table at ``path`` is partitioned by ``partition``, whose value is ``bucket``, an
+    expression of the keys; so an existing row of a key can be nowhere else.  The
+    touched partitions' values (metadata, not rows) prune the scan and are returned; their merged rows
+    are written aside first and then replace the partitions, so a failed
+    merge leaves either the old table or a complete copy to apply again.  Files of all
+    other partitions are neither read nor changed.
+    """
+    src = source.withColumn(partition, bucket)
+    touched = [r[0] for r in src.select(partition).distinct().collect()]
+    if not touched:
+        return []
+    table = spark.read.parquet(path)
+    hit = F.col(partition).isin([t for t in touched if t is not None])
+    if None in touched:
+        hit = hit | F.col(partition).isNull()
+    merged = upsert(table.filter(hit), src, [*keys, partition], update_cols, order)
+    aside = staging_dir(spark, "merge")
+    merged.write.mode("overwrite").partitionBy(partition).parquet(aside)
+    copy = spark.read.schema(table.schema).parquet(aside)
+    copy.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
+    spark.catalog.refreshByPath(path)
+    return sorted(touched, key=lambda t: (t is None, t))
+
+
 def insert_ignore(target: DataFrame, source: DataFrame, keys: Sequence[str], order: str | None = None) -> DataFrame:
     """SNK-03: rows to append for ``INSERT ... ON CONFLICT DO NOTHING``: the
     first arrival per key that the target does not hold yet (left anti join
@@ -192,11 +237,14 @@ def csv_line(df: DataFrame, quote_cols: Sequence[str] | None = None) -> DataFram
     return df.select(F.concat_ws(",", *parts).alias("csv_line"))
 
 
-def export_csv(df: DataFrame, base: str, name: str, ts: str) -> str:
+WHOLE_TIME = "yyyy-MM-dd HH:mm:ss.SSSSSS"
+
+
+def export_csv(df: DataFrame, base: str, name: str, ts: str, time_format: str = "yyyy-MM-dd HH:mm:ss") -> str:
     """SNK-08: one directory per result set, header + rows."""
     path = os.path.join(base, export_name(name, ts))
     (df.write.mode("errorifexists").option("header", True).option("escape", '"')
-     .option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss").option("timestampFormat", "yyyy-MM-dd HH:mm:ss").csv(path))
+     .option("timestampNTZFormat", time_format).option("timestampFormat", time_format).csv(path))
     return path
 
 
@@ -271,10 +319,46 @@ def purge_preview(df: DataFrame, ts: str, days: int, as_of: str) -> DataFrame:
     return purged.agg(F.count(F.lit(1)).alias("rows_to_purge"), F.min(ts).alias("oldest"), F.max(ts).alias("newest"))
 
 
+def drop_old_partitions(spark: SparkSession, path: str, ts: str, day: str, days: int, as_of: str, archive: str) -> dict:
+    """SNK-10 on a table partitioned by the date ``day`` of ``ts``: old partitions go, kept ones aren't rewritten.
+
+    The old rows are exported as CSV first; a failed export removes nothing.  Partitions before the
+    cutoff's day are removed as folders; only the day in which the cutoff falls is
+    rewritten, by its own rows.  Running it again removes nothing more.
+    Returns the export's path, the removed days and the rewritten one.
+    """
+    table = spark.read.parquet(path)
+    cutoff = spark.range(1).select(F.timestamp_add("DAY", F.lit(-days), F.lit(as_of).cast("timestamp_ntz")).alias("t")).first()["t"]
+    boundary = cutoff.date()
+    kept, old = purge_split(table, ts, days, as_of)
+    pruned = old.filter(F.col(day) <= F.lit(boundary))
+    names = sorted(r[0] for r in table.select(day).filter(F.col(day) <= F.lit(boundary)).distinct().collect())
+    if not names:
+        return {"export": None, "removed": [], "rewritten": None}
+    exported = export_csv(pruned, archive, "purged", cutoff.strftime("%Y%m%d_%H%M%S") + "_" + uuid.uuid4().hex[:8], WHOLE_TIME)
+    rewritten = None
+    if boundary in names and not pruned.filter(F.col(day) == F.lit(boundary)).isEmpty():
+        rest = kept.filter(F.col(day) == F.lit(boundary))
+        if not rest.isEmpty():
+            rewritten = boundary
+            aside = staging_dir(spark, "purge")
+            rest.write.mode("overwrite").partitionBy(day).parquet(aside)
+            spark.read.schema(table.schema).parquet(aside).write.mode("overwrite").option(
+                "partitionOverwriteMode", "dynamic").partitionBy(day).parquet(path)
+        removed = [n for n in names if n < boundary] + ([boundary] if rewritten is None else [])
+    else:
+        removed = [n for n in names if n < boundary]
+    for n in removed:
+        fs, p = hadoop_path(spark, f"{path.rstrip('/')}/{day}={n}")
+        fs.delete(p, True)
+    spark.catalog.refreshByPath(path)
+    return {"export": exported, "removed": removed, "rewritten": rewritten}
+
+
 def purge(df: DataFrame, ts: str, days: int, as_of: str, archive: str, base: str, version: str) -> tuple[str, str]:
     """SNK-10 as a whole: the old rows are exported as CSV under ``archive``,
     then the kept rows are written as a new version of the table under
     ``base``.  Returns both paths; a failed export leaves no new version."""
     kept, old = purge_split(df, ts, days, as_of)
-    exported = export_csv(old, archive, "purged", version)
+    exported = export_csv(old, archive, "purged", version, WHOLE_TIME)
     return exported, write_new_version(kept, base, version)

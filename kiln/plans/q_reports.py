@@ -8,6 +8,7 @@ import os
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from kiln import imports as IM
 from kiln import jobs as JB
 from kiln.operators import feeds as FD
 from kiln.operators import reports as R
@@ -15,7 +16,8 @@ from kiln.operators import sinks as K
 from kiln.plans import common as C
 from kiln.plans.q_streaming import _land_waves
 from kiln.plans.registry import query
-from kiln.session import staging_dir
+from kiln.session import path_exists, staging_dir
+from kiln.sources import files as FS
 from kiln.sources import payloads as PL
 from kiln.tables import register_views
 
@@ -167,23 +169,88 @@ def import_strategy3(spark, d):
 
 
 @query("agg_load_metrics", "SELECT 'Orders_Import' AS config_name, CAST(11 AS BIGINT) AS dataset_id, "
-                           "count(*) AS extracted, count(*) AS loaded, 'Active' AS status FROM orders")
+                           "count(DISTINCT o_orderpriority) AS files, count(*) AS extracted, count(*) AS loaded, 'Active' AS status FROM orders")
 def agg_load_metrics(spark, d):
     src = _land_orders_csv(spark, d)
     target = os.path.join(staging_dir(spark, "import_metrics"), "orders")
     m = JB.GenericImport(spark, _spec(src, target)).run()
-    return JB.metrics_frame(spark, m).drop("files")
+    return JB.metrics_frame(spark, m)
 
 
 @query("dry_run", "SELECT 'Orders_Import' AS config_name, CAST(11 AS BIGINT) AS dataset_id, "
-                  "count(*) AS extracted, count(*) AS loaded, 'DryRun' AS status FROM orders")
+                  "count(DISTINCT o_orderpriority) AS files, count(*) AS extracted, count(*) AS loaded, 'DryRun' AS status FROM orders")
 def dry_run(spark, d):
     src = _land_orders_csv(spark, d)
     target = os.path.join(staging_dir(spark, "import_dry"), "orders")
     m = JB.GenericImport(spark, _spec(src, target)).run(dry_run=True)
-    if os.path.exists(target):
+    if path_exists(spark, target):
         raise RuntimeError("a dry run wrote data")
-    return JB.metrics_frame(spark, m).drop("files")
+    return JB.metrics_frame(spark, m)
+
+
+# ------------------------------------------------------------------ UDF-01: the whole job, killed and run again
+class _KilledAfterWrite(IM.DatasetImport):
+    def after_write(self):
+        raise InterruptedError("killed after the write")
+
+
+def _job_runs(spark, d):
+    """Two datasets of CSV files; the first run of each is killed after its write, the later runs resume and repeat it."""
+    base = staging_dir(spark, "import_job")
+    o = C.T(spark, d).orders
+    waves = [
+        (21, "2026-01-01", ["o_orderkey", "o_totalprice", "o_orderpriority"]),
+        (22, "2026-01-02", ["o_orderpriority", "o_orderstatus", "o_orderkey"]),
+    ]
+    for i, (dataset_id, day, columns) in enumerate(waves):
+        part = o.filter(F.col("o_orderkey") % 2 == i).select(*columns)
+        part.write.mode("append").option("header", True).partitionBy("o_orderpriority").csv(os.path.join(base, "inbox"))
+        spec = JB.ImportSpec(
+            config_name="Orders_Job", source_directory=os.path.join(base, "inbox"), target_path=os.path.join(base, "orders"),
+            file_pattern=r"part-.*\.csv$", label_location="orders", date_location=day, dataset_id=dataset_id, run_ts=f"{day} 12:00:00")
+        folders = (os.path.join(base, "state"), os.path.join(base, "archive"))
+        try:
+            _KilledAfterWrite(spark, spec, *folders).run()
+        except InterruptedError:
+            pass
+        for _ in range(2):
+            job = IM.DatasetImport(spark, spec, *folders)
+            job.run()
+    return base, job
+
+
+@query(
+    "import_job",
+    """SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN CAST(o_totalprice AS DECIMAL(12,2)) END AS o_totalprice,
+       CASE WHEN o_orderkey % 2 = 1 THEN o_orderstatus END AS o_orderstatus, 21 + o_orderkey % 2 AS datasetid FROM orders""",
+)
+def import_job(spark, d):
+    base, job = _job_runs(spark, d)
+    return spark.read.schema(job.target_columns_after()).parquet(os.path.join(base, "orders")).select(
+        F.col("o_orderkey").cast("bigint").alias("o_orderkey"), F.col("o_totalprice").cast("decimal(12,2)").alias("o_totalprice"),
+        "o_orderstatus", F.col("datasetid").cast("bigint").alias("datasetid"))
+
+
+@query(
+    "import_job_ledger",
+    """SELECT 21 + o_orderkey % 2 AS datasetid, count(*) AS loaded, 'orders' AS label,
+       CASE WHEN o_orderkey % 2 = 0 THEN DATE '2026-01-01' ELSE DATE '2026-01-02' END AS datasetdate,
+       o_orderkey % 2 = 1 AS isactive, CASE WHEN o_orderkey % 2 = 1 THEN 'Active' ELSE 'Inactive' END AS status,
+       1 AS events, count(*) AS event_records, 0 AS files_not_archived
+FROM orders GROUP BY o_orderkey % 2""",
+)
+def import_job_ledger(spark, d):
+    base, job = _job_runs(spark, d)
+    led = job.ledger
+    events = led.read("event", IM.EVENTS).groupBy("datasetid").agg(
+        F.count("*").alias("events"), F.sum(F.get_json_object("event_data", "$.records_loaded").cast("bigint")).alias("event_records"))
+    archived = FS.discover_files(spark, os.path.join(base, "archive")).select(F.col("file_name").alias("archive_name"))
+    moves = led.read("archive", IM.FILES + ", archive_name string")
+    left = moves.join(archived.withColumn("there", F.lit(1)), "archive_name", "left").groupBy("datasetid").agg(
+        F.count_if(F.col("there").isNull()).alias("files_not_archived"))
+    loads = led.read("load", "loaded long").select("datasetid", "loaded")
+    return job.datasets().select("datasetid", "label", "datasetdate", "isactive", "status").join(loads, "datasetid").join(
+        events, "datasetid").join(left, "datasetid")
 
 
 # ------------------------------------------------------------------ FEED-10 / SNK-07

@@ -59,6 +59,53 @@ def snk_upsert(spark, d):
     return spark.read.parquet(path)
 
 
+MERGE_BUCKETS = 16
+FOLDER_AND_NAME = r"([^/]*/[^/]*)$"  # a partitioned write uses one file name in several folders
+
+
+@query(
+    "snk_merge",
+    """
+WITH t AS (SELECT c_custkey, c_name, CASE WHEN c_custkey % 7 <> 0 THEN c_nationkey END AS c_nationkey, c_acctbal FROM customer),
+s AS (SELECT c_custkey, 'changed ' || c_name AS c_name, NULL AS c_nationkey, CASE WHEN c_custkey % 5 <> 0 THEN c_acctbal + 1 END AS c_acctbal
+      FROM customer WHERE c_custkey % 16 IN (3, 7) AND c_custkey % 3 = 0
+      UNION ALL SELECT c_custkey + 1600000, c_name, c_nationkey, c_acctbal FROM customer WHERE c_custkey % 16 = 3 AND c_acctbal < 0)
+SELECT COALESCE(t.c_custkey, s.c_custkey) AS c_custkey,
+       CASE WHEN s.c_custkey IS NOT NULL THEN s.c_name ELSE t.c_name END AS c_name,
+       CASE WHEN t.c_custkey IS NOT NULL THEN t.c_nationkey ELSE s.c_nationkey END AS c_nationkey,
+       CASE WHEN s.c_custkey IS NOT NULL THEN s.c_acctbal ELSE t.c_acctbal END AS c_acctbal,
+       COALESCE(t.c_custkey, s.c_custkey) % 16 IN (3, 7) AS rewritten
+FROM t FULL OUTER JOIN s ON t.c_custkey = s.c_custkey""",
+)
+def snk_merge(spark, d):
+    """A merge that touches two of sixteen partitions; ``rewritten``: the row's file is new."""
+    c = C.T(spark, d).customer
+    path = staging_dir(spark, "merge_target")
+    bucket = F.col("c_custkey") % MERGE_BUCKETS
+    held = c.select("c_custkey", "c_name", F.when(F.col("c_custkey") % 7 != 0, F.col("c_nationkey")).alias("c_nationkey"), "c_acctbal",
+                    bucket.alias("bucket"))
+    held.write.mode("overwrite").partitionBy("bucket").parquet(path)
+    before = materialised_files(spark, path)
+    mine = c.filter(bucket.isin(3, 7))
+    changed = mine.filter(F.col("c_custkey") % 3 == 0).select(
+        "c_custkey", F.concat(F.lit("changed "), "c_name").alias("c_name"), F.lit(None).cast("int").alias("c_nationkey"),
+        F.when(F.col("c_custkey") % 5 != 0, F.col("c_acctbal") + 1).alias("c_acctbal"))
+    new = mine.filter((bucket == 3) & (F.col("c_acctbal") < 0)).select(
+        (F.col("c_custkey") + 1600000).alias("c_custkey"), "c_name", "c_nationkey", "c_acctbal")
+    K.merge_partitions(spark, path, changed.unionByName(new), ["c_custkey"], "bucket", bucket, update_cols=["c_name", "c_acctbal"])
+    after = spark.read.parquet(path).withColumn("file", F.regexp_extract("_metadata.file_path", FOLDER_AND_NAME, 1))
+    return after.join(before.withColumn("held", F.lit(True)), "file", "left").select(
+        "c_custkey", "c_name", "c_nationkey", "c_acctbal", F.col("held").isNull().alias("rewritten"))
+
+
+def materialised_files(spark, path):
+    """Folder and name of a stored table's files now, kept apart from later changes of it."""
+    out = staging_dir(spark, "files")
+    spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").load(path).select(
+        F.regexp_extract("path", FOLDER_AND_NAME, 1).alias("file")).write.mode("overwrite").parquet(out)
+    return spark.read.schema("file string").parquet(out)
+
+
 @query(
     "snk_insert_ignore",
     """
@@ -155,6 +202,28 @@ def snk_purge_kept(spark, d):
     return kept
 
 
+@query(
+    "snk_purge_partitions",
+    f"""SELECT *, ts < TIMESTAMP '{EA}' - INTERVAL 468 HOUR AS purged,
+       ts >= TIMESTAMP '{EA}' - INTERVAL 468 HOUR AND CAST(ts AS DATE) > CAST(TIMESTAMP '{EA}' - INTERVAL 468 HOUR AS DATE) AS untouched
+FROM events""",
+)
+def snk_purge_partitions(spark, d):
+    """Retention of 20 days before noon on a table by day: exported rows, and kept ones with whether their file is still the old one."""
+    base = staging_dir(spark, "retention")
+    path = f"{base}/events"
+    C.T(spark, d).events.withColumn("day", F.to_date("ts")).write.partitionBy("day").parquet(path)
+    before = materialised_files(spark, path)
+    as_of = "2024-01-31 12:00:00"
+    done = K.drop_old_partitions(spark, path, "ts", "day", 20, as_of, f"{base}/archive")
+    kept = spark.read.parquet(path).withColumn("file", F.regexp_extract("_metadata.file_path", FOLDER_AND_NAME, 1)).join(
+        before.withColumn("held", F.lit(True)), "file", "left")
+    schema = spark.read.parquet(path).schema
+    old = spark.read.schema(schema).option("header", True).option("escape", '"').csv(done["export"])
+    return kept.drop("file", "day").withColumn("untouched", F.coalesce("held", F.lit(False))).drop("held").withColumn(
+        "purged", F.lit(False)).unionByName(old.drop("day").withColumns({"untouched": F.lit(False), "purged": F.lit(True)}))
+
+
 @query(
     "snk_export_csv",
     C.with_ctes(

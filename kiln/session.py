@@ -116,3 +116,14 @@ def local_path(path: str) -> str | None:
     if path.startswith("file:"):
         return "/" + path[len("file:"):].lstrip("/")
     return None if "://" in path else path
+
+
+def hadoop_path(spark: SparkSession, path: str):
+    """(file system, path) of a location, by the cluster's own file-system layer."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    fs, p = hadoop_path(spark, path)
+    return bool(fs.exists(p))
