@@ -157,5 +157,21 @@ QUEUE_SQL = """queue AS (
   FROM events)"""
 
 
+# ------------------------------------------------------------------ listings held against their files
+FOLDER_AND_NAME = r"([^/]*/[^/]*)$"  # a partitioned write uses one file name in several folders
+
+
+def held_against_files(listed: DataFrame, stored: DataFrame, size: str) -> DataFrame:
+    """Each listed file (``file``: folder and name) with the rows read back from it and its size on storage."""
+    back = stored.select(F.regexp_extract("_metadata.file_path", FOLDER_AND_NAME, 1).alias("file"), F.col("_metadata.file_size").alias("_size"))
+    back = back.groupBy("file").agg(F.count("*").alias("_rows"), F.max("_size").alias("_size"))
+    return listed.join(back, "file", "left").withColumn("_wrong", F.coalesce(F.col(size) != F.col("_size"), F.lit(True)))
+
+
+FILE_SUMS = (
+    F.sum("_rows").alias("records"), (F.count("file") - F.count_distinct("file")).alias("repeated"), F.count_if("_wrong").alias("wrong_size"),
+)
+
+
 def with_ctes(*ctes: str, body: str) -> str:
     return "WITH " + ",\n".join(ctes) + "\n" + body

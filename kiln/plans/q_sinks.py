@@ -60,7 +60,6 @@ def snk_upsert(spark, d):
 
 
 MERGE_BUCKETS = 16
-FOLDER_AND_NAME = r"([^/]*/[^/]*)$"  # a partitioned write uses one file name in several folders
 
 
 @query(
@@ -93,7 +92,7 @@ def snk_merge(spark, d):
     new = mine.filter((bucket == 3) & (F.col("c_acctbal") < 0)).select(
         (F.col("c_custkey") + 1600000).alias("c_custkey"), "c_name", "c_nationkey", "c_acctbal")
     K.merge_partitions(spark, path, changed.unionByName(new), ["c_custkey"], "bucket", bucket, update_cols=["c_name", "c_acctbal"])
-    after = spark.read.parquet(path).withColumn("file", F.regexp_extract("_metadata.file_path", FOLDER_AND_NAME, 1))
+    after = spark.read.parquet(path).withColumn("file", F.regexp_extract("_metadata.file_path", C.FOLDER_AND_NAME, 1))
     return after.join(before.withColumn("held", F.lit(True)), "file", "left").select(
         "c_custkey", "c_name", "c_nationkey", "c_acctbal", F.col("held").isNull().alias("rewritten"))
 
@@ -102,7 +101,7 @@ def materialised_files(spark, path):
     """Folder and name of a stored table's files now, kept apart from later changes of it."""
     out = staging_dir(spark, "files")
     spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").load(path).select(
-        F.regexp_extract("path", FOLDER_AND_NAME, 1).alias("file")).write.mode("overwrite").parquet(out)
+        F.regexp_extract("path", C.FOLDER_AND_NAME, 1).alias("file")).write.mode("overwrite").parquet(out)
     return spark.read.schema("file string").parquet(out)
 
 
@@ -216,7 +215,7 @@ def snk_purge_partitions(spark, d):
     before = materialised_files(spark, path)
     as_of = "2024-01-31 12:00:00"
     done = K.drop_old_partitions(spark, path, "ts", "day", 20, as_of, f"{base}/archive")
-    kept = spark.read.parquet(path).withColumn("file", F.regexp_extract("_metadata.file_path", FOLDER_AND_NAME, 1)).join(
+    kept = spark.read.parquet(path).withColumn("file", F.regexp_extract("_metadata.file_path", C.FOLDER_AND_NAME, 1)).join(
         before.withColumn("held", F.lit(True)), "file", "left")
     schema = spark.read.parquet(path).schema
     old = spark.read.schema(schema).option("header", True).option("escape", '"').csv(done["export"])

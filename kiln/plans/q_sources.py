@@ -85,24 +85,33 @@ def src_xml_records(spark, d):
     return P.convert(df, CUSTOMER_TYPES).select("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment")
 
 
-@query("src_xml_blob", "SELECT count(*) AS records, TRUE AS well_formed, TRUE AS has_records FROM customer")
+@query("src_xml_blob", """SELECT count(*) AS records, 0 AS not_well_formed, 0 AS without_records, 0 AS repeated, 0 AS wrong_size
+FROM customer""")
 def src_xml_blob(spark, d):
+    """Every blob is held against its file: one row a file, of the file's size."""
     path = staging_dir(spark, "xmlblob")
     c = C.T(spark, d).customer
     c.write.mode("overwrite").format("xml").option("rowTag", "customer").option("rootTag", "customers").save(path)
-    blobs = FS.scan_xml_blob(spark, path, row_tag="customer")
-    return blobs.agg(F.sum(F.regexp_count("raw_data", F.lit("<customer>"))).alias("records"),
-                     F.bool_and("well_formed").alias("well_formed"), F.bool_and("has_records").alias("has_records"))
-
-
-@query("src_discover", "SELECT DISTINCT o_orderstatus, TRUE AS has_files, TRUE AS has_bytes FROM orders")
+    blobs = FS.scan_xml_blob(spark, path, row_tag="customer").withColumn("file", F.regexp_extract("_path", C.FOLDER_AND_NAME, 1))
+    listed = FS.discover_files(spark, path, pattern="part-").select(
+        F.regexp_extract("path", C.FOLDER_AND_NAME, 1).alias("file"), F.col("length").alias("size"))
+    return listed.join(blobs, "file", "left").agg(
+        F.sum(F.regexp_count("raw_data", F.lit("<customer>"))).alias("records"),
+        F.count_if(~F.coalesce("well_formed", F.lit(False))).alias("not_well_formed"),
+        F.count_if(~F.coalesce("has_records", F.lit(False))).alias("without_records"),
+        (F.count("file") - F.count_distinct("file")).alias("repeated"),
+        F.count_if(F.octet_length("raw_data") != F.col("size")).alias("wrong_size"))
+
+
+@query("src_discover", """SELECT o_orderstatus, count(*) AS records, 0 AS repeated, 0 AS wrong_size FROM orders GROUP BY o_orderstatus""")
 def src_discover(spark, d):
+    """Every listed file is held against storage: the records read back from it, its size, and that it was listed once."""
     path = staging_dir(spark, "discover")
-    C.T(spark, d).orders.write.mode("overwrite").partitionBy("o_orderstatus").parquet(path)
-    found = FS.discover_files(spark, path, pattern=r"part-[0-9]+")
-    # how many files a folder gets depends on the scan's splits
-    return found.groupBy(F.regexp_extract("path", "o_orderstatus=([^/]*)/", 1).alias("o_orderstatus")).agg(
-        (F.count(F.lit(1)) > 0).alias("has_files"), F.bool_and(F.col("length") > 0).alias("has_bytes"))
+    o = C.T(spark, d).orders
+    o.write.mode("overwrite").partitionBy("o_orderstatus").parquet(path)
+    found = FS.discover_files(spark, path, pattern=r"part-[0-9]+").withColumn("file", F.regexp_extract("path", C.FOLDER_AND_NAME, 1))
+    return C.held_against_files(found, spark.read.schema(o.schema).parquet(path), "length").groupBy(
+        F.regexp_extract("path", "o_orderstatus=([^/]*)/", 1).alias("o_orderstatus")).agg(*C.FILE_SUMS)
 
 
 @query(

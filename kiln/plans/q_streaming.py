@@ -14,28 +14,18 @@ from kiln.operators import opslog as O
 from kiln.plans import common as C
 from kiln.plans.q_sources import ORDER_TYPES
 from kiln.plans.registry import query
-from kiln.session import local_path, staging_dir
+from kiln.plans.common import FILE_SUMS, FOLDER_AND_NAME, held_against_files
+from kiln.session import hadoop_path, staging_dir
 from kiln.streaming import streams as S
 
 
-def _land_waves(df: DataFrame, path: str, wave: str, fmt: str = "parquet", ordered: bool = False, **opts) -> None:
-    """Land ``df`` as one folder per value of ``wave`` (a file stream then
-    sees several files and runs several micro-batches).  With ``ordered``
-    the waves are written in ascending order by separate jobs, so their
-    arrival (modification) order is the wave order; otherwise one
-    partitioned write lands them all in a single pass."""
-    if not ordered:
-        w = df.write.mode("overwrite").partitionBy(wave)
-        for k, o in opts.items():
-            w = w.option(k, o)
-        w.format(fmt).save(path)
-        return
-    values = sorted(r[0] for r in df.select(wave).distinct().collect())
-    for v in values:
-        w = df.filter(F.col(wave) == F.lit(v)).drop(wave).write.mode("overwrite")
-        for k, o in opts.items():
-            w = w.option(k, o)
-        w.format(fmt).save(os.path.join(path, f"{wave}={v}"))
+def _land_waves(df: DataFrame, path: str, wave: str, fmt: str = "parquet", **opts) -> None:
+    """Land ``df`` as one folder per value of ``wave`` in one partitioned
+    write (a file stream then sees several files and runs several micro-batches)."""
+    w = df.write.mode("overwrite").partitionBy(wave)
+    for k, o in opts.items():
+        w = w.option(k, o)
+    w.format(fmt).save(path)
 
 
 def _events_stream(spark, d, name, per_trigger=2):
@@ -65,14 +55,22 @@ def _transitions(e):
 
 
 def _lifecycle_output(spark, d):
+    """At least three micro-batches: the first transitions of all events, then the second ones, and after a restart the third."""
     src = staging_dir(spark, "transitions")
     tr = _transitions(C.T(spark, d).events)
-    # transitions of one event must arrive in order: seq 1 files first
-    _land_waves(tr.withColumn("_wave", F.col("seq")), src, "_wave", ordered=True)
-    stream = spark.readStream.schema(tr.schema).option("recursiveFileLookup", True).parquet(src)
     out, ckpt = staging_dir(spark, "lifecycle_out"), staging_dir(spark, "lifecycle_ckpt")
-    S.run_available(S.event_lifecycle(stream), out, ckpt, mode="update")
-    return S.read_batches(spark, out)
+
+    def run():
+        stream = spark.readStream.schema(tr.schema).option("recursiveFileLookup", True).parquet(src)
+        S.run_available(S.event_lifecycle(stream), out, ckpt, mode="update", rocksdb=True)
+
+    for wave in (1, 2, 3):
+        tr.filter(F.col("seq") == wave).write.mode("overwrite").parquet(os.path.join(src, f"wave_{wave}"))
+        run()  # the state of the runs before is read from the checkpoint
+    batches = S.read_batches(spark, out)
+    if batches.select("batch_id").distinct().count() < 3:
+        raise RuntimeError("the transitions did not come in several micro-batches")
+    return batches
 
 
 @query(
@@ -128,13 +126,6 @@ def str_fanout(spark, d):
     return S.read_batches(spark, out).select("event_id", "subscriber_id")
 
 
-def _final_complete(spark, out):
-    """Complete-mode output: the last micro-batch holds the full result."""
-    b = S.read_batches(spark, out)
-    last = b.agg(F.max("batch_id").alias("_m"))
-    return b.join(last, F.col("batch_id") == F.col("_m")).drop("batch_id", "_m")
-
-
 @query(
     "str_trigger_counts",
     f"SELECT s.subscriber_id, count(*) AS trigger_count, max(e.ts) AS last_triggered "
@@ -147,22 +138,33 @@ def str_trigger_counts(spark, d):
 
 
 # ------------------------------------------------------------------ STR-06/08
-@query(
-    "str_events_per_day",
-    C.with_ctes(
-        C.QUEUE_SQL,
-        body="""SELECT CAST(created_at AS DATE) AS "date", count(*) AS total,
-       count(*) FILTER (WHERE status = 'completed') AS completed, count(*) FILTER (WHERE status = 'failed') AS failed
-FROM queue GROUP BY 1""",
-    ),
-)
+LATE_DAYS = 10
+PER_DAY_SQL = f"""
+, a AS (SELECT max(created_at) AS latest FROM queue WHERE event_id % 10 <> 0),
+m AS (SELECT q.*, q.event_id % 10 = 0 AND CAST(q.created_at AS DATE) + INTERVAL 1 DAY <= a.latest - INTERVAL {LATE_DAYS} DAY AS late
+      FROM queue q, a)
+SELECT CAST(created_at AS DATE) AS "date", count(*) FILTER (WHERE NOT late) AS total,
+       count(*) FILTER (WHERE status = 'completed' AND NOT late) AS completed,
+       count(*) FILTER (WHERE status = 'failed' AND NOT late) AS failed, count(*) FILTER (WHERE late) AS late
+FROM m GROUP BY 1"""
+
+
+@query("str_events_per_day", C.with_ctes(C.QUEUE_SQL, body=PER_DAY_SQL))
 def str_events_per_day(spark, d):
-    ev = _events_stream(spark, d, "perday_src")
+    """Nine tenths of the events arrive first; the rest arrives after a restart, for all days: those beyond the watermark are late."""
+    src = staging_dir(spark, "perday_src")
+    e = C.T(spark, d).events
     et = F.col("event_type")
     status = F.when(et == "purchase", "completed").when(et == "error", "failed").otherwise("other")
     out, ckpt = staging_dir(spark, "perday_out"), staging_dir(spark, "perday_ckpt")
-    S.run_available(S.events_per_day(ev, "ts", status), out, ckpt, mode="complete")
-    return _final_complete(spark, out)
+    for wave, rows in (("first", F.col("event_id") % 10 != 0), ("rest", F.col("event_id") % 10 == 0)):
+        e.filter(rows).write.mode("overwrite").parquet(os.path.join(src, wave))
+        stream = spark.readStream.schema(e.schema).option("recursiveFileLookup", True).parquet(src)
+        S.run_available(S.events_per_day(stream, "ts", status, f"{LATE_DAYS} days"), out, ckpt, mode="update")
+    counted = S.latest_per_key(S.read_batches(spark, out), ["date"], ["batch_id"]).drop("batch_id")
+    arrived = spark.read.schema(e.schema).option("recursiveFileLookup", True).parquet(src).groupBy(
+        F.to_date("ts").alias("date")).agg(F.count("*").alias("arrived"))
+    return counted.join(arrived, "date").select("date", "total", "completed", "failed", (F.col("arrived") - F.col("total")).alias("late"))
 
 
 @query(
@@ -192,20 +194,20 @@ def str_run_rollup(spark, d):
 
 
 # ------------------------------------------------------------------ STR-01/02/07/09
-@query("str_file_events", "SELECT DISTINCT event_type, '.parquet' AS extension, TRUE AS has_bytes FROM events")
+@query("str_file_events", """SELECT event_type, '.parquet' AS extension, count(*) AS records, 0 AS repeated, 0 AS wrong_size
+FROM events GROUP BY event_type""")
 def str_file_events(spark, d):
+    """Every arrival is held against its file: the records read back from it, its size, and that it was announced once."""
     src = staging_dir(spark, "arrivals")
     e = C.T(spark, d).events
     _land_waves(e.withColumn("_wave", F.col("event_type")), src, "_wave")
-    local = local_path(src)
-    if local is not None:  # an in-flight file the watcher must ignore (local landing zones only)
-        with open(os.path.join(local, "notes.tmp"), "w") as f:
-            f.write("partial")
+    fs, p = hadoop_path(spark, os.path.join(src, "notes.tmp"))
+    fs.create(p).close()  # an in-flight file the watcher must ignore
     out, ckpt = staging_dir(spark, "arrivals_out"), staging_dir(spark, "arrivals_ckpt")
     S.run_available(S.file_events(spark, src, include=["*.parquet"]), out, ckpt)
-    arrived = S.read_batches(spark, out)
-    return arrived.groupBy(F.regexp_extract("directory", "_wave=([^/]*)$", 1).alias("event_type"), "extension").agg(
-        F.bool_and(F.col("file_size") > 0).alias("has_bytes"))
+    arrived = S.read_batches(spark, out).withColumn("file", F.regexp_extract("file_path", FOLDER_AND_NAME, 1))
+    return held_against_files(arrived, spark.read.schema(e.schema).option("recursiveFileLookup", True).parquet(src), "file_size").groupBy(
+        F.regexp_extract("directory", "_wave=([^/]*)$", 1).alias("event_type"), "extension").agg(*FILE_SUMS)
 
 
 ORDERS_CSV_SCHEMA = ("o_orderkey string, o_custkey string, o_orderstatus string, o_totalprice string, "

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from kiln.functions.scalars import glob_to_regex
 from kiln.operators.joins import regex_rule_hits
@@ -27,13 +27,17 @@ BINARY_FILE_SCHEMA = "path string, modificationTime timestamp, length long, cont
 
 
 # ---------------------------------------------------------------- plumbing
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
 def run_available(df: DataFrame, out_path: str, checkpoint: str, mode: str = "append",
-                  on_batch: Callable[[DataFrame, int, int], None] | None = None) -> None:
+                  on_batch: Callable[[DataFrame, int, int], None] | None = None, rocksdb: bool = False) -> list:
     """Run a streaming frame over everything available now, then stop.
 
     Each micro-batch is written idempotently to ``out_path/batch_id=<n>``;
     ``on_batch(batch, batch_id, rows)`` gets the row count observed by that
-    same write (no second pass over the batch).
+    same write (no second pass over the batch).  With ``rocksdb`` the query's state
+    lies in the RocksDB store.  Returns the progress of the last micro-batches.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
@@ -43,9 +47,17 @@ def run_available(df: DataFrame, out_path: str, checkpoint: str, mode: str = "ap
         if on_batch is not None:
             on_batch(batch, batch_id, int(obs.get["rows"]))
 
-    q = (df.writeStream.outputMode(mode).option("checkpointLocation", checkpoint)
-         .foreachBatch(write).trigger(availableNow=True).start())
-    q.awaitTermination()
+    spark, key = df.sparkSession, "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    if rocksdb:
+        spark.conf.set(key, ROCKSDB)
+    try:  # a query keeps the store it was started with
+        q = (df.writeStream.outputMode(mode).option("checkpointLocation", checkpoint)
+             .foreachBatch(write).trigger(availableNow=True).start())
+        q.awaitTermination()
+    finally:
+        spark.conf.set(key, before)
+    return q.recentProgress
 
 
 def read_batches(spark: SparkSession, out_path: str) -> DataFrame:
@@ -137,6 +149,7 @@ STATE_OUT_SCHEMA = (
     "event_id long, status string, retry_count int, processed_at timestamp_ntz, completed_at timestamp_ntz, "
     "version long, illegal_action string"
 )
+STATE_COLUMNS = [c.split()[0] for c in STATE_OUT_SCHEMA.split(", ")]
 STATE_SCHEMA = "status string, retry_count int, processed_at timestamp_ntz, completed_at timestamp_ntz, version long"
 
 # The event life cycle (action -> allowed source statuses -> new status).
@@ -152,62 +165,78 @@ TRANSITIONS = {
 TERMINAL = ("completed", "cancelled")
 
 
-def _make_fold(ttl_ms: int | None):
-    def fold(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        """Apply one key's new transitions (ordered by seq) to its state."""
-        if state.hasTimedOut:  # a terminal event past its retention: forget it
-            state.remove()
-            return
-        rows = pd.concat(list(pdfs)).sort_values("seq")
-        if state.exists:
-            status, retries, processed, completed, version = state.get
+class EventLifecycle(StatefulProcessor):
+    """One event's life cycle: typed value state, and a timer that forgets a finished event."""
+
+    def __init__(self, keep_ms: int | None = None, idle_ttl_ms: int | None = None):
+        self.keep_ms, self.idle_ttl_ms = keep_ms, idle_ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("lifecycle", STATE_SCHEMA, self.idle_ttl_ms)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        """Apply one event's new transitions (in order of seq) to its state."""
+        new = pd.concat(list(rows)).sort_values("seq")
+        held = self.state.get()
+        if held is not None:
+            status, retries, processed, completed, version = held
         else:
-            first = rows["retry_count"].iloc[0]
+            first = new["retry_count"].iloc[0]
             status, retries, processed, completed, version = "pending", 0 if pd.isna(first) else int(first), None, None, 0
         out = []
-        for action, ts in zip(rows["action"], rows["ts"]):
-            allowed, new = TRANSITIONS.get(action, (set(), None))
+        for action, ts in zip(new["action"], new["ts"]):
+            allowed, after = TRANSITIONS.get(action, (set(), None))
             ts = None if pd.isna(ts) else ts.to_pydatetime() if hasattr(ts, "to_pydatetime") else ts
             if status not in allowed:
                 out.append((key[0], status, retries, processed, completed, version, action))
                 continue
-            if new == "processing" and processed is None:
+            if after == "processing" and processed is None:
                 processed = ts
-            if new in ("completed", "failed", "cancelled"):
+            if after in ("completed", "failed", "cancelled"):
                 completed = ts
-            if new == "failed":
+            if after == "failed":
                 retries += 1
-            status = new
+            status = after
             version += 1
-        state.update((status, retries, processed, completed, version))
-        if ttl_ms is not None and status in TERMINAL:
-            last = pd.Timestamp(rows["_wts"].max())
-            state.setTimeoutTimestamp(int(last.timestamp() * 1000) + ttl_ms)
+        self.state.update((status, retries, processed, completed, version))
+        if self.keep_ms is not None:
+            for old in list(self.handle.listTimers()):
+                self.handle.deleteTimer(old)
+            if status in TERMINAL:
+                self.handle.registerTimer(int(pd.Timestamp(new["ts"].max()).timestamp() * 1000) + self.keep_ms)
         out.append((key[0], status, retries, processed, completed, version, None))
-        yield pd.DataFrame(out, columns=["event_id", "status", "retry_count", "processed_at", "completed_at", "version",
-                                         "illegal_action"])
+        yield pd.DataFrame(out, columns=STATE_COLUMNS)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.state.clear()
+        return iter([])
 
-    return fold
+    def close(self) -> None:
+        pass
 
 
-def event_lifecycle(transitions: DataFrame, state_ttl_ms: int | None = None, watermark: str | None = None) -> DataFrame:
+def event_lifecycle(transitions: DataFrame, state_ttl_ms: int | None = None, watermark: str | None = None,
+                    idle_ttl_ms: int | None = None) -> DataFrame:
     """STR-03: keyed state over a stream of transitions
     (event_id, seq, action, ts, retry_count) -> state rows in update mode,
     plus one row per illegal transition (``illegal_action`` set), which is
     ignored by the state.
 
-    By default late transitions are always accepted and state is kept (as
-    the reference's queue table keeps every event).  With ``state_ttl_ms``
-    the state of a completed/cancelled event is dropped once the event-time
-    watermark (``watermark`` delay) passes its last transition + TTL, which
-    bounds the state store by the live events."""
+    The state lies in the RocksDB store (``run_available(..., rocksdb=True)``), on disk
+    and in the checkpoint, not in the executor's heap.  By default late transitions are
+    always accepted and state is kept (as the reference's queue table keeps every event).
+    With ``state_ttl_ms`` a timer drops the state of a completed/cancelled event once the
+    event-time watermark (``watermark`` delay) passes its last transition + TTL.  With
+    ``idle_ttl_ms`` the store itself drops any state not updated for so long (processing time)."""
+    if state_ttl_ms is not None and idle_ttl_ms is not None:
+        raise ValueError("give either an event-time retention or an idle time")
     t = transitions.withColumn("_wts", F.col("ts").cast("timestamp"))
-    if state_ttl_ms is None:
-        return t.groupBy("event_id").applyInPandasWithState(
-            _make_fold(None), STATE_OUT_SCHEMA, STATE_SCHEMA, "update", GroupStateTimeout.NoTimeout)
-    t = t.withWatermark("_wts", watermark or "1 hour")
-    return t.groupBy("event_id").applyInPandasWithState(
-        _make_fold(state_ttl_ms), STATE_OUT_SCHEMA, STATE_SCHEMA, "update", GroupStateTimeout.EventTimeTimeout)
+    mode = "None" if idle_ttl_ms is None else "ProcessingTime"
+    if state_ttl_ms is not None:
+        t, mode = t.withWatermark("_wts", watermark or "1 hour"), "EventTime"
+    return t.groupBy("event_id").transformWithStateInPandas(
+        EventLifecycle(state_ttl_ms, idle_ttl_ms), STATE_OUT_SCHEMA, "Update", mode)
 
 
 # ---------------------------------------------------------------- STR-04/05
@@ -234,17 +263,25 @@ def trigger_counts(triggers: DataFrame, ts: str) -> DataFrame:
 
 
 # ---------------------------------------------------------------- STR-06/08
-def events_per_day(events: DataFrame, ts: str, status: Column, watermark: str | None = None) -> DataFrame:
-    """STR-06: per-day totals as a windowed streaming aggregate; with a
-    watermark, late data beyond it is dropped and state is purged."""
-    e = events.withWatermark(ts, watermark) if watermark else events
-    return e.groupBy(F.window(ts, "1 day")).agg(
+def events_per_day(events: DataFrame, ts: str, status: Column, watermark: str) -> DataFrame:
+    """STR-06: per-day totals as a windowed streaming aggregate in update mode.
+
+    A row no later than ``watermark`` behind the latest one changes its day's
+    totals; the state of older days is purged and later rows for them are dropped
+    (counted in the query's progress, see ``dropped_late``)."""
+    timed = events.withColumn(ts, F.col(ts).cast("timestamp"))  # watermarks need an instant
+    return timed.withWatermark(ts, watermark).groupBy(F.window(ts, "1 day")).agg(
         F.count(F.lit(1)).alias("total"),
         F.count_if(status == "completed").alias("completed"),
         F.count_if(status == "failed").alias("failed"),
     ).select(F.col("window.start").cast("date").alias("date"), "total", "completed", "failed")
 
 
+def dropped_late(progress: list) -> int:
+    """Groups of late rows that the watermark dropped, over all micro-batches of a run."""
+    return sum(op["numRowsDroppedByWatermark"] for p in progress for op in p["stateOperators"])
+
+
 def inbox_routing(messages: DataFrame, rules: list[dict], fields: dict[str, str]) -> DataFrame:
     """STR-10: per message, the ids of all matching rules (in rule order)
     and the routing label = the last matching rule (NULL when nothing

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import os
 
 from pyspark.sql import functions as F
@@ -68,8 +69,6 @@ def test_continuous_log_stream(spark):
 def test_event_state_ttl_forgets_finished_events(spark):
     """With a TTL, a cancelled event's state is dropped once the watermark
     passes; a later transition for the same id then starts from pending."""
-    import datetime as dt
-
     src, out, ckpt = staging_dir(spark, "t_src"), staging_dir(spark, "t_out"), staging_dir(spark, "t_ckpt")
     schema = "event_id long, seq long, action string, ts timestamp_ntz, retry_count int"
     t0 = dt.datetime(2024, 1, 1)
@@ -83,8 +82,48 @@ def test_event_state_ttl_forgets_finished_events(spark):
 
         stream = spark.readStream.schema(schema).option("recursiveFileLookup", True).parquet(src)
         S.run_available(S.event_lifecycle(stream, state_ttl_ms=3600 * 1000, watermark="1 hour"), out, ckpt,
-                        mode="update")
+                        mode="update", rocksdb=True)
     final = S.latest_per_key(S.read_batches(spark, out).filter(F.col("illegal_action").isNull()),
                              ["event_id"], ["batch_id", "version"])
     got = {r.event_id: r.status for r in final.collect()}
     assert got == {1: "processing", 2: "processing", 3: "processing"}
+
+
+TRANSITION = "event_id long, seq long, action string, ts timestamp_ntz, retry_count int"
+
+
+def test_one_event_over_several_batches_and_a_restart(spark):
+    """pending -> processing -> failed -> (illegal) -> pending -> processing -> completed, a micro-batch or more each."""
+    src, out, ckpt = staging_dir(spark, "e_src"), staging_dir(spark, "e_out"), staging_dir(spark, "e_ckpt")
+    at = dt.datetime(2026, 1, 1)
+    steps = [("process",), ("fail", "complete"), ("retry",), ("process", "complete")]
+    seq = 0
+    for wave, actions in enumerate(steps):
+        rows = []
+        for a in actions:
+            seq += 1
+            rows.append((7, seq, a, at + dt.timedelta(minutes=seq), 2))
+        spark.createDataFrame(rows, TRANSITION).write.parquet(os.path.join(src, f"w{wave}"))
+        stream = spark.readStream.schema(TRANSITION).option("recursiveFileLookup", True).parquet(src)
+        S.run_available(S.event_lifecycle(stream), out, ckpt, mode="update", rocksdb=True)
+    got = S.read_batches(spark, out)
+    assert got.select("batch_id").distinct().count() >= 4
+    final = S.latest_per_key(got.filter("illegal_action IS NULL"), ["event_id"], ["version"]).first()
+    assert (final.status, final.retry_count, final.version) == ("completed", 3, 5)
+    assert final.processed_at == at + dt.timedelta(minutes=1)  # set once
+    assert final.completed_at == at + dt.timedelta(minutes=6)
+    assert [(r.illegal_action, r.status) for r in got.filter("illegal_action IS NOT NULL").collect()] == [("complete", "failed")]
+
+
+def test_a_late_row_within_the_watermark_counts_and_one_beyond_is_reported(spark):
+    src, out, ckpt = staging_dir(spark, "w_src"), staging_dir(spark, "w_out"), staging_dir(spark, "w_ckpt")
+    schema = "id long, ts timestamp_ntz, status string"
+    progress = []
+    for wave, days in enumerate([(1, 2, 20), (15,), (3,)]):  # the watermark stands ten days before the 20th
+        rows = [(wave, dt.datetime(2026, 1, day, 12), "completed") for day in days]
+        spark.createDataFrame(rows, schema).write.parquet(os.path.join(src, f"w{wave}"))
+        stream = spark.readStream.schema(schema).option("recursiveFileLookup", True).parquet(src)
+        progress.append(S.run_available(S.events_per_day(stream, "ts", F.col("status"), "10 days"), out, ckpt, mode="update"))
+    days = S.latest_per_key(S.read_batches(spark, out), ["date"], ["batch_id"])
+    assert {r.date.day: r.total for r in days.collect()} == {1: 1, 2: 1, 15: 1, 20: 1}
+    assert [S.dropped_late(p) for p in progress] == [0, 0, 1]
