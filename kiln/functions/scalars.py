@@ -170,6 +170,14 @@ def validate_regex(pattern: str | None) -> str | None:
     return None
 
 
+def java_groups(pattern: str) -> int:
+    """Number of groups of a valid Java pattern; of Python's reading of it without a JVM on the driver's side."""
+    session = SparkSession.getActiveSession()
+    if session is None or not hasattr(session, "_jvm"):
+        return re.compile(pattern).groups
+    return session._jvm.java.util.regex.Pattern.compile(pattern).matcher("").groupCount()
+
+
 def regex_test(c, pattern: str, n_groups: int | None = None) -> Column:
     """SCL-13: struct(is_valid, matches, match_text, groups, error) per input.
 
@@ -186,7 +194,7 @@ def regex_test(c, pattern: str, n_groups: int | None = None) -> Column:
             F.lit(err).alias("error"),
         )
     if n_groups is None:
-        n_groups = re.compile(pattern).groups
+        n_groups = java_groups(pattern)
     c = _c(c)
     p = F.lit(pattern)
     matched = F.coalesce(c.rlike(pattern), F.lit(False))

@@ -228,6 +228,11 @@ def parse_manifests(df: DataFrame, json_col: str, keep: list[str] | None = None)
 
 
 # ---------------------------------------------------------------- ART-06
+def _plain_number(digits: Column) -> Column:
+    """Digits without leading zeros: equal as numbers of any length."""
+    return F.regexp_replace(digits, "^0+(?=.)", "")
+
+
 def provenance_chain(df: DataFrame, json_col: str, keep: list[str]) -> DataFrame:
     """ART-06: 'Provenance' entries before 'Notes:' pair up as (date header,
     holder detail); an odd trailing entry is ignored; '[n]' markers are
@@ -252,14 +257,14 @@ def provenance_chain(df: DataFrame, json_col: str, keep: list[str]) -> DataFrame
     foot_pat = r"^\[(\d+)\]\s*(.*)"
     footnotes = F.transform(
         F.filter(notes, lambda e: e.rlike(foot_pat)),
-        lambda e: F.struct(F.regexp_extract(e, foot_pat, 1).cast("int").alias("k"),
+        lambda e: F.struct(_plain_number(F.regexp_extract(e, foot_pat, 1)).alias("k"),
                            F.trim(F.regexp_extract(e, foot_pat, 2)).alias("v")),
     )
     base = df.select(*keep, chain.alias("_chain"), footnotes.alias("_fn"))
     pairs = F.when(F.size("_chain") >= 2, F.sequence(F.lit(0), F.floor((F.size("_chain") - 2) / 2).cast("int")))
     rows = base.select(*keep, "_chain", "_fn", F.explode(pairs).alias("_k"))
     detail = F.element_at("_chain", F.col("_k") * 2 + 2)
-    refs = F.transform(F.regexp_extract_all(detail, F.lit(r"\[(\d+)\]"), 1), lambda r: r.cast("int"))
+    refs = F.transform(F.regexp_extract_all(detail, F.lit(r"\[(\d+)\]"), 1), _plain_number)
     resolved = F.filter(
         F.transform(refs, lambda r: _last(F.filter(F.col("_fn"), lambda f: f["k"] == r))["v"]),
         lambda v: v.isNotNull(),

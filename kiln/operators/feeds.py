@@ -294,8 +294,8 @@ def latest_non_null(df: DataFrame, key: str, ts: list[str], col: str) -> DataFra
 
 
 def enrich_symbols(df: DataFrame, ticker: str, dim: DataFrame, dim_key: str) -> DataFrame:
-    """MKT-02: ticker -> symbol attributes; unknown tickers dropped.  The
-    dimension goes through a size-checked broadcast."""
+    """MKT-02: ticker -> symbol attributes; unknown tickers dropped;
+    the planner picks the join by the sizes."""
     return df.join(dim, F.col(ticker) == F.col(dim_key), "inner")
 
 

@@ -56,8 +56,9 @@ def text_refusal(sql: str | None, template: bool = False) -> str | None:
     return None if re.match(r"\s*SELECT\b", text, re.IGNORECASE) else "the query is not a SELECT"
 
 
-def _plan_nodes(gateway, root):
-    """Every plan and expression node of a parsed statement, those of CTEs and subqueries included."""
+def _plan_nodes(gateway, root, views: frozenset[str]):
+    """Every plan and expression node of a parsed statement, those of CTEs and subqueries included, with
+    the relation names that are known where it stands."""
 
     def items(seq):
         return [seq.apply(i) for i in range(seq.size())]
@@ -65,15 +66,25 @@ def _plan_nodes(gateway, root):
     def is_a(node, name):
         return is_instance_of(gateway, node, f"org.apache.spark.sql.catalyst.{name}")
 
-    todo = [root]
+    todo = [(root, views)]
     while todo:
-        node = todo.pop()
-        yield node, is_a
-        todo += items(node.children()) + items(node.innerChildren())
+        node, known = todo.pop()
+        yield node, is_a, known
+        if node.getClass().getSimpleName() == "UnresolvedWith":
+            # a CTE sees the ones before it (a recursive one itself), the query behind them sees all; nobody outside does
+            ctes = [node.cteRelations().apply(i) for i in range(node.cteRelations().size())]
+            for cte in ctes:
+                name = cte._1().lower()
+                todo.append((cte._2(), known | {name} if node.allowRecursion() else known))
+                known = known | {name}
+            todo += [(child, known) for child in items(node.children())]
+            continue
+        below = items(node.children()) + items(node.innerChildren())
         if is_a(node, "plans.QueryPlan"):
-            todo += items(node.expressions())
+            below += items(node.expressions())
         elif is_a(node, "expressions.PlanExpression"):
-            todo.append(node.plan())
+            below.append(node.plan())
+        todo += [(n, known) for n in below]
 
 
 def plan_refusal(spark: SparkSession, sql: str) -> str | None:
@@ -84,25 +95,23 @@ def plan_refusal(spark: SparkSession, sql: str) -> str | None:
     the query (``format.`path```, catalog tables), table functions other than
     generators, names made at run time, and calls into the JVM.
     """
-    views = {t.name.lower() for t in spark.catalog.listTables() if t.isTemporary}
-    relations = []
-    for node, is_a in _plan_nodes(spark.sparkContext._gateway, spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)):
+    views = frozenset(t.name.lower() for t in spark.catalog.listTables() if t.isTemporary)
+    parsed = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
+    for node, is_a, known in _plan_nodes(spark.sparkContext._gateway, parsed, views):
         kind = node.getClass().getSimpleName()
         if is_a(node, "plans.logical.Command") or is_a(node, "plans.logical.ParsedStatement"):
             return f"{kind} is not a query"
         if kind in ("CompoundBody", "ScriptTransformation", "InsertIntoDir", "RelationTimeTravel") or "UnresolvedIdentifier" in kind:
             return f"{kind} may not be used"
-        if kind == "UnresolvedWith":
-            ctes = node.cteRelations()
-            views |= {ctes.apply(i)._1().lower() for i in range(ctes.size())}
-        elif kind == "UnresolvedRelation":
-            relations.append(node.multipartIdentifier().mkString("."))
+        if kind == "UnresolvedRelation":
+            name = node.multipartIdentifier().mkString(".")
+            if name.lower() not in known:
+                return f"{name} is not a registered view"
         elif kind in ("UnresolvedTableValuedFunction", "UnresolvedFunction"):
             name = (node.name() if kind == "UnresolvedTableValuedFunction" else node.nameParts()).mkString(".").lower()
             if (name not in GENERATORS) if kind == "UnresolvedTableValuedFunction" else name.split(".")[-1] in JVM_FUNCTIONS:
                 return f"the function {name} may not be used"
-    unknown = [r for r in relations if r.lower() not in views]
-    return f"{unknown[0]} is not a registered view" if unknown else None
+    return None
 
 
 def run_select(spark: SparkSession, sql: str, template: bool = False) -> DataFrame:

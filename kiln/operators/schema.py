@@ -282,14 +282,22 @@ def optional_filters(df: DataFrame, **preds: Column | None) -> DataFrame:
     return df if not given else df.filter(reduce(lambda a, b: a & b, given))
 
 
-def patch(target: DataFrame, changes: DataFrame, key: str) -> DataFrame:
-    """Partial update: a non-NULL change overwrites, NULL keeps the target."""
-    ch = changes.select(key, *[F.col(c).alias(f"_new_{c}") for c in changes.columns if c != key])
+def patch(target: DataFrame, changes: DataFrame, key: str, order: str | None = None) -> DataFrame:
+    """Partial update: a non-NULL change overwrites, NULL keeps the target.
+
+    Several changes of one key apply one after another by ``order``, so each column
+    takes its last value that isn't NULL; without an order they fail the job, as the
+    result would depend on chance.
+    """
+    cols = [c for c in changes.columns if c not in (key, order)]
+    if order is not None:
+        ch = changes.groupBy(key).agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), F.col(order))).alias(f"_new_{c}") for c in cols])
+    else:
+        ch = changes.groupBy(key).agg(F.count("*").alias("_n"), *[F.max(c).alias(f"_new_{c}") for c in cols])
+        several = F.raise_error(F.concat(F.lit("several changes of key "), F.col(key).cast("string")))
+        ch = ch.select(key, *[F.when(F.col("_n") > 1, several).otherwise(F.col(f"_new_{c}")).cast(changes.schema[c].dataType).alias(f"_new_{c}") for c in cols])
     j = target.join(ch, key, "left")
-    cols = [
-        F.coalesce(F.col(f"_new_{c}").cast(target.schema[c].dataType), F.col(c)).alias(c)
-        if c in changes.columns and c != key
-        else F.col(c)
+    return j.select(*[
+        F.coalesce(F.col(f"_new_{c}").cast(target.schema[c].dataType), F.col(c)).alias(c) if c in cols else F.col(c)
         for c in target.columns
-    ]
-    return j.select(*cols)
+    ])

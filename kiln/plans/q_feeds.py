@@ -404,17 +404,18 @@ def mkt_latest(spark, d):
 @query(
     "mkt_enrich",
     """
-SELECT e.event_id, e.user_id, c.c_name AS symbol_name, n.n_name AS region
-FROM events e JOIN customer c ON e.user_id = c.c_custkey JOIN nation n ON c.c_nationkey = n.n_nationkey
-WHERE c.c_mktsegment = 'BUILDING'""",
+SELECT e.event_id, e.symbol, c.c_name AS symbol_name, n.n_name AS region
+FROM (SELECT event_id, CASE WHEN event_id % 11 = 0 THEN NULL WHEN event_id % 13 = 0 THEN -user_id ELSE user_id END AS symbol FROM events) e
+JOIN customer c ON e.symbol = c.c_custkey JOIN nation n ON c.c_nationkey = n.n_nationkey""",
 )
 def mkt_enrich(spark, d):
     t = C.TW(spark, d)
-    dim = t.customer.filter(F.col("c_mktsegment") == "BUILDING").join(
-        t.nation, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", F.col("c_name").alias("symbol_name"),
-                                                                       F.col("n_name").alias("region"))
-    j = FD.enrich_symbols(t.events.select("event_id", "user_id"), "user_id", dim, "c_custkey")
-    return j.select("event_id", "user_id", "symbol_name", "region")
+    dim = t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey")).select(
+        "c_custkey", F.col("c_name").alias("symbol_name"), F.col("n_name").alias("region"))
+    # some prices have no ticker, some one that no symbol has
+    ticker = F.when(F.col("event_id") % 11 == 0, None).when(F.col("event_id") % 13 == 0, -F.col("user_id")).otherwise(F.col("user_id"))
+    j = FD.enrich_symbols(t.events.select("event_id", ticker.alias("symbol")), "symbol", dim, "c_custkey")
+    return j.select("event_id", "symbol", "symbol_name", "region")
 
 
 OHLC_SQL = """SELECT {keys}, CAST(arg_min(value, (ts, event_id)) AS DECIMAL(18,6)) AS open,

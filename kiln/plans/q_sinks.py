@@ -152,8 +152,11 @@ def snk_add_column(spark, d):
     path = staging_dir(spark, "table")
     c.write.mode("overwrite").parquet(path)
     spark.sql(f"CREATE TABLE {name} USING parquet LOCATION '{path}'")
-    K.add_columns(spark, name, ["Source System", "c_name", "2024 flag"])
-    return spark.table(name)
+    try:
+        K.add_columns(spark, name, ["Source System", "c_name", "2024 flag"])
+        return spark.read.schema(spark.table(name).schema).parquet(path)
+    finally:
+        spark.sql(f"DROP TABLE {name}")  # its files stay under the path
 
 
 @query(

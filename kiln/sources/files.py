@@ -45,6 +45,11 @@ def _csv_names(header: str) -> list[str]:
     return [f"_c{i}" if not n else f"{n}{i}" if lowered.count(n.lower()) > 1 else n for i, n in enumerate(names)]
 
 
+def _as_glob(uri: str) -> str:
+    """A file of ``_metadata`` as a path to read: Spark reports paths percent-encoded and takes them as glob patterns."""
+    return re.sub(r"([\[\]{}*?\\])", r"\\\1", unquote(uri))
+
+
 def csv_layouts(spark: SparkSession, path: str, pattern: str | None = None) -> dict[tuple[str, ...], list[str]]:
     """The files of every header: {column names: file paths}.
 
@@ -61,7 +66,10 @@ def csv_layouts(spark: SparkSession, path: str, pattern: str | None = None) -> d
     found = first.groupBy("_path").agg(F.min_by("value", "_pos").alias("header")).collect()
     layouts: dict[tuple[str, ...], list[str]] = {}
     for r in sorted(found, key=lambda r: r["_path"]):
-        layouts.setdefault(tuple(_csv_names(r["header"])), []).append(r["_path"])
+        names = _csv_names(r["header"])
+        if r["header"].count('"') % 2:  # a quoted name goes on in the next line: the reader itself finds its end
+            names = spark.read.option("header", True).option("multiLine", True).csv(_as_glob(r["_path"])).columns
+        layouts.setdefault(tuple(names), []).append(r["_path"])
     return layouts
 
 
@@ -86,8 +94,7 @@ def scan_csv(spark: SparkSession, path: str, pattern: str | None = None, schema:
     scans = []
     for names, files in sorted(layouts.items()):
         columns = T.StructType([T.StructField(n, T.StringType()) for n in names])
-        # Spark reports paths percent-encoded and takes them as glob patterns
-        paths = [re.sub(r"([\[\]{}*?\\])", r"\\\1", unquote(f)) for f in files]
+        paths = [_as_glob(f) for f in files]
         scans.append(_with_lineage(r.schema(columns).csv(paths), None))
     united = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), scans)
     order = [c for c in united.columns if c not in ("_file", "_path", "_pos")]
