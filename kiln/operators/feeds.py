@@ -3,19 +3,20 @@
 Each feed transform takes the records of landed payloads (a VARIANT column
 ``record``, see ``sources.payloads.extract_path``) and returns the typed
 target rows.  A row whose required field is missing or unparseable is
-dropped from the output and kept by ``rejects`` instead of failing the
-batch.  Columns are typed to the target tables (DECIMAL(p, s) as declared).
+dropped from the output and kept as a reject instead of failing the
+batch; ``split_feed`` writes both sides in one pass.  Columns are typed to the target tables (DECIMAL(p, s) as declared).
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from kiln.functions.scalars import first_truthy, parse_date, parse_numeric, term_days
-from kiln.sources.payloads import RECORD, field
+from kiln.functions.scalars import first_truthy, has_java_suffix, parse_date, parse_numeric, term_days
+from kiln.sources.payloads import RECORD, element_texts, field, node_text, open_records, opened
 
 D104 = "decimal(10,4)"
 D152 = "decimal(15,2)"
@@ -24,56 +25,116 @@ D186 = "decimal(18,6)"
 D202 = "decimal(20,2)"
 
 
+# The fields each feed reads.
+FIELDS = {
+    "reference_rates": ("type", "effectiveDate", "percentRate", "volumeInBillions", "percentile1", "percentile25", "percentile75",
+                        "percentile99", "targetRangeFrom", "targetRangeTo"),
+    "soma": ("asOfDate", "securityType", "cusip", "securityDescription", "maturityDate", "parValue", "currentFaceValue"),
+    "repo": ("operationDate", "operationType", "operationId", "maturityDate", "termCalenderDays", "auctionStatus", "totalAmtSubmitted",
+             "totalAmtAccepted"),
+    "mbs": ("operationDate", "operationType", "cusip", "securityDescription", "settlementDate", "maturityDate", "operationAmount",
+            "totalAmtAccepted"),
+    "fx_swaps": ("swapDate", "operationDate", "counterparty", "currencyCode", "currency", "maturityDate", "usdAmount",
+                 "foreignCurrencyAmount", "exchangeRate"),
+    "sec_lending": ("operationDate", "operationType", "cusip", "securityDescription", "loanDate", "returnDate", "totalParAmtAccepted",
+                    "parAmount", "feeRate", "operationStatus"),
+    "treasury": ("operationDate", "operationType", "cusip", "securityDescription", "issueDate", "maturityDate", "couponRate",
+                 "securityTerm", "operationAmount", "totalAmtSubmitted", "totalAmtAccepted", "highPrice", "lowPrice", "stopOutRate"),
+    "guide_sheets": ("secType", "cusip", "issueDate", "maturityDate", "percentCouponRate", "settlementPrice", "accruedInterest"),
+}
+# The date fields of the feeds; text there that is no date makes a record a reject, a blank is NULL.
+DATE_FIELDS = {
+    "soma": ("asOfDate", "maturityDate"),
+    "repo": ("operationDate", "maturityDate"),
+    "mbs": ("operationDate", "settlementDate", "maturityDate"),
+    "fx_swaps": ("swapDate", "operationDate", "maturityDate"),
+    "sec_lending": ("operationDate", "loanDate", "returnDate"),
+    "treasury": ("operationDate", "issueDate", "maturityDate"),
+    "guide_sheets": ("issueDate", "maturityDate"),
+}
+BAD_DATE, NO_DATE = "unparseable date", "missing or unparseable date"
+
+
+def _text(name: str) -> Column:
+    return F.col(RECORD)["f"][name]
+
+
 def _date(name: str) -> Column:
-    return parse_date(field(name))
+    return parse_date(_text(name))
 
 
 def _num(name: str, dtype: str) -> Column:
-    return field(name, dtype)
+    text = F.when(~has_java_suffix(_text(name)), _text(name))
+    return text.try_cast("decimal(38,10)").try_cast(dtype) if dtype == "int" else text.try_cast(dtype)
 
 
 def _keep_valid(df: DataFrame, required: Column) -> DataFrame:
     return df.filter(F.coalesce(required, F.lit(False)))
 
 
-def rejects(records: DataFrame, required: Column, reason: str) -> DataFrame:
-    """The side output: records a transform skipped, with the reason."""
-    return records.filter(~F.coalesce(required, F.lit(False))).select(
-        F.to_json(F.col(RECORD)).alias("raw_record"), F.lit(reason).alias("reason")
-    )
+def feed_records(payloads: DataFrame, json_col: str, path: str, feed: str) -> DataFrame:
+    """The records of a feed's landed documents, each parsed once."""
+    return open_records(payloads, json_col, path, FIELDS[feed])
 
 
-# The date fields of the feeds; text there that is no date makes a record a reject, a blank is NULL.
-DATE_FIELDS = {
-    "soma": ("asOfDate", "maturityDate"),
-    "repo": ("operationDate", "maturityDate"),
-    "mbs": ("operationDate", "settlementDate", "maturityDate"),
-    "fx_swaps": ("swapDate", "operationDate", "maturityDate"),
-    "sec_lending": ("operationDate", "loanDate", "returnDate"),
-    "treasury": ("operationDate", "issueDate", "maturityDate"),
-    "guide_sheets": ("issueDate", "maturityDate"),
-}
+def _opened(records: DataFrame, feed: str) -> DataFrame:
+    """Records as ``feed_records`` gives them; those of ``extract_path`` (VARIANT) are turned into them."""
+    if not isinstance(records.schema[RECORD].dataType, T.VariantType):
+        return records
+    fields = F.struct(*[field(n).alias(n) for n in FIELDS[feed]])
+    return records.select(*[c for c in records.columns if c != RECORD],
+                          F.struct(F.to_json(F.col(RECORD)).alias("raw"), fields.alias("f")).alias(RECORD))
 
 
 def _dates_sound(feed: str) -> Column:
     """No date field of the record holds text that isn't a date."""
     def sound(name: str) -> Column:
-        text = field(name)
-        return (F.coalesce(text, F.lit("")) == "") | parse_date(text).isNotNull()
+        return (F.coalesce(_text(name), F.lit("")) == "") | _date(name).isNotNull()
 
     return reduce(lambda a, b: a & b, [sound(n) for n in DATE_FIELDS[feed]])
 
 
+def _outcome(records: DataFrame, feed: str, sound: Column, reason: str, columns: list[Column], both: bool) -> DataFrame:
+    """The typed rows of the sound records; with ``both`` all records as (outcome, row, raw_record, reason)."""
+    rows = _opened(records, feed)
+    ok = F.coalesce(sound, F.lit(False))
+    if not both:
+        return rows.filter(ok).select(*columns)
+    return rows.select(
+        F.when(ok, "accepted").otherwise("rejected").alias("outcome"), F.when(ok, F.struct(*columns)).alias("row"),
+        F.when(~ok, F.col(RECORD)["raw"]).alias("raw_record"), F.when(~ok, F.lit(reason)).alias("reason"))
+
+
+def split_feed(transform, records: DataFrame, out: str) -> dict:
+    """One pass over a feed: a single write, partitioned by outcome, holds the typed rows and the rejects.
+
+    Returns the counts, observed by the write; ``accepted_rows`` and ``rejected_rows`` read the two sides.
+    """
+    counts = Observation()
+    rows = transform(records, both=True).observe(
+        counts, F.count_if(F.col("outcome") == "accepted").alias("accepted"), F.count_if(F.col("outcome") == "rejected").alias("rejected"))
+    rows.write.mode("overwrite").partitionBy("outcome").parquet(out)
+    return dict(counts.get)
+
+
+def accepted_rows(split: DataFrame) -> DataFrame:
+    return split.filter(F.col("outcome") == "accepted").select("row.*")
+
+
+def rejected_rows(split: DataFrame) -> DataFrame:
+    return split.filter(F.col("outcome") == "rejected").select("raw_record", "reason")
+
+
 def date_rejects(records: DataFrame, feed: str) -> DataFrame:
     """The records of a feed that its transform skips for an unparseable date."""
-    return rejects(records, _dates_sound(feed), "unparseable date")
+    return rejected_rows(_outcome(records, feed, _dates_sound(feed), BAD_DATE, [F.lit(None).alias("none")], True))
 
 
 # ---------------------------------------------------------------- FEED-01..10
-def reference_rates(records: DataFrame) -> DataFrame:
+def reference_rates(records: DataFrame, both: bool = False) -> DataFrame:
     """FEED-01: rows without an effective date are skipped."""
-    out = records.select(
-        field("type").alias("rate_type"),
+    return _outcome(records, "reference_rates", _date("effectiveDate").isNotNull(), NO_DATE, [
+        _text("type").alias("rate_type"),
         _date("effectiveDate").alias("effective_date"),
         _num("percentRate", D104).alias("rate_percent"),
         _num("volumeInBillions", D152).alias("volume_billions"),
@@ -83,136 +144,134 @@ def reference_rates(records: DataFrame) -> DataFrame:
         _num("percentile99", D104).alias("percentile_99"),
         _num("targetRangeFrom", D104).alias("target_range_from"),
         _num("targetRangeTo", D104).alias("target_range_to"),
-    )
-    return _keep_valid(out, F.col("effective_date").isNotNull())
+    ], both)
 
 
-def soma_holdings(records: DataFrame) -> DataFrame:
+def soma_holdings(records: DataFrame, both: bool = False) -> DataFrame:
     """FEED-02: par / face values arrive as text with thousands commas."""
-    return records.filter(_dates_sound("soma")).select(
+    return _outcome(records, "soma", _dates_sound("soma"), BAD_DATE, [
         _date("asOfDate").alias("as_of_date"),
-        field("securityType").alias("security_type"),
-        field("cusip").alias("cusip"),
-        field("securityDescription").alias("security_description"),
+        _text("securityType").alias("security_type"),
+        _text("cusip").alias("cusip"),
+        _text("securityDescription").alias("security_description"),
         _date("maturityDate").alias("maturity_date"),
-        parse_numeric(field("parValue")).cast(D202).alias("par_value"),
-        parse_numeric(field("currentFaceValue")).cast(D202).alias("current_face_value"),
-    )
+        parse_numeric(_text("parValue")).cast(D202).alias("par_value"),
+        parse_numeric(_text("currentFaceValue")).cast(D202).alias("current_face_value"),
+    ], both)
 
 
-def repo_operations(records: DataFrame) -> DataFrame:
+def repo_operations(records: DataFrame, both: bool = False) -> DataFrame:
     """FEED-03: repo and reverse repo; type lower-cased without spaces."""
-    return records.filter(_dates_sound("repo")).select(
+    return _outcome(records, "repo", _dates_sound("repo"), BAD_DATE, [
         _date("operationDate").alias("operation_date"),
-        F.replace(F.lower(F.coalesce(field("operationType"), F.lit(""))), F.lit(" "), F.lit("")).alias("operation_type"),
-        field("operationId").alias("operation_id"),
+        F.replace(F.lower(F.coalesce(_text("operationType"), F.lit(""))), F.lit(" "), F.lit("")).alias("operation_type"),
+        _text("operationId").alias("operation_id"),
         _date("maturityDate").alias("maturity_date"),
         _num("termCalenderDays", "int").alias("term_days"),
-        field("auctionStatus").alias("operation_status"),
+        _text("auctionStatus").alias("operation_status"),
         _num("totalAmtSubmitted", D202).alias("amount_submitted"),
         _num("totalAmtAccepted", D202).alias("amount_accepted"),
         F.lit(None).cast(D104).alias("award_rate"),
-    )
+    ], both)
 
 
-def agency_mbs(records: DataFrame) -> DataFrame:
+def agency_mbs(records: DataFrame, both: bool = False) -> DataFrame:
     """FEED-04."""
-    return records.filter(_dates_sound("mbs")).select(
+    return _outcome(records, "mbs", _dates_sound("mbs"), BAD_DATE, [
         _date("operationDate").alias("operation_date"),
-        field("operationType").alias("operation_type"),
-        field("cusip").alias("cusip"),
-        field("securityDescription").alias("security_description"),
+        _text("operationType").alias("operation_type"),
+        _text("cusip").alias("cusip"),
+        _text("securityDescription").alias("security_description"),
         _date("settlementDate").alias("settlement_date"),
         _date("maturityDate").alias("maturity_date"),
         _num("operationAmount", D202).alias("operation_amount"),
         _num("totalAmtAccepted", D202).alias("total_accepted"),
-    )
+    ], both)
 
 
-def fx_swaps(records: DataFrame) -> DataFrame:
+def fx_swaps(records: DataFrame, both: bool = False) -> DataFrame:
     """FEED-05: swap date falls back to the operation date, currency code to
     currency; term days = maturity - swap."""
-    swap = parse_date(first_truthy(field("swapDate"), field("operationDate")))
+    swap = parse_date(first_truthy(_text("swapDate"), _text("operationDate")))
     mat = _date("maturityDate")
-    return records.filter(_dates_sound("fx_swaps")).select(
+    return _outcome(records, "fx_swaps", _dates_sound("fx_swaps"), BAD_DATE, [
         swap.alias("swap_date"),
-        field("counterparty").alias("counterparty"),
-        first_truthy(field("currencyCode"), field("currency")).alias("currency_code"),
+        _text("counterparty").alias("counterparty"),
+        first_truthy(_text("currencyCode"), _text("currency")).alias("currency_code"),
         mat.alias("maturity_date"),
         term_days(mat, swap).alias("term_days"),
         _num("usdAmount", D202).alias("usd_amount"),
         _num("foreignCurrencyAmount", D202).alias("foreign_currency_amount"),
         _num("exchangeRate", D156).alias("exchange_rate"),
-    )
+    ], both)
 
 
-def securities_lending(records: DataFrame) -> DataFrame:
+def securities_lending(records: DataFrame, both: bool = False) -> DataFrame:
     """FEED-06: term days = return - loan; par amount falls back (0 falls
     through, as Python's ``or`` does)."""
     loan, ret = _date("loanDate"), _date("returnDate")
-    return records.filter(_dates_sound("sec_lending")).select(
+    return _outcome(records, "sec_lending", _dates_sound("sec_lending"), BAD_DATE, [
         _date("operationDate").alias("operation_date"),
-        field("operationType").alias("operation_type"),
-        field("cusip").alias("cusip"),
-        field("securityDescription").alias("security_description"),
+        _text("operationType").alias("operation_type"),
+        _text("cusip").alias("cusip"),
+        _text("securityDescription").alias("security_description"),
         loan.alias("loan_date"),
         ret.alias("return_date"),
         term_days(ret, loan).alias("term_days"),
-        first_truthy(field("totalParAmtAccepted", "double"), field("parAmount", "double")).cast(D202).alias("par_amount"),
+        first_truthy(_num("totalParAmtAccepted", "double"), _num("parAmount", "double")).cast(D202).alias("par_amount"),
         _num("feeRate", D104).alias("fee_rate"),
-        field("operationStatus").alias("operation_status"),
-    )
+        _text("operationStatus").alias("operation_status"),
+    ], both)
 
 
-def treasury_operations(records: DataFrame) -> DataFrame:
+def treasury_operations(records: DataFrame, both: bool = False) -> DataFrame:
     """FEED-07: 14 typed columns."""
-    return records.filter(_dates_sound("treasury")).select(
+    return _outcome(records, "treasury", _dates_sound("treasury"), BAD_DATE, [
         _date("operationDate").alias("operation_date"),
-        field("operationType").alias("operation_type"),
-        field("cusip").alias("cusip"),
-        field("securityDescription").alias("security_description"),
+        _text("operationType").alias("operation_type"),
+        _text("cusip").alias("cusip"),
+        _text("securityDescription").alias("security_description"),
         _date("issueDate").alias("issue_date"),
         _date("maturityDate").alias("maturity_date"),
         _num("couponRate", D104).alias("coupon_rate"),
-        field("securityTerm").alias("security_term"),
+        _text("securityTerm").alias("security_term"),
         _num("operationAmount", D202).alias("operation_amount"),
         _num("totalAmtSubmitted", D202).alias("total_submitted"),
         _num("totalAmtAccepted", D202).alias("total_accepted"),
         _num("highPrice", D156).alias("high_price"),
         _num("lowPrice", D156).alias("low_price"),
         _num("stopOutRate", D104).alias("stop_out_rate"),
-    )
+    ], both)
 
 
-def guide_sheets(payloads: DataFrame, json_col: str, path: str = "guidesheet.si") -> DataFrame:
+def guide_sheets(payloads: DataFrame, json_col: str, path: str = "guidesheet.si", both: bool = False) -> DataFrame:
     """FEED-08: only the FIRST object at ``path`` of each document is used;
     its header fields repeat on every element of its ``details``; a document
     whose first object has no publication date yields nothing."""
-    # staged projections: each document is parsed once, its first object
-    # extracted once, then its fields read
-    docs = payloads.select(F.try_variant_get(F.try_parse_json(F.col(json_col)), "$." + path, "variant").alias("_node"))
-    node = F.col("_node")
-    firsts = docs.select(F.coalesce(F.try_variant_get(node, "$[0]", "variant"), node).alias("_first"))
-    first = F.col("_first")
-    pub_txt = F.try_variant_get(first, "$.reportWeeksFromDate", "string")
-    head = firsts.select(
-        pub_txt.alias("_pub"),
-        F.coalesce(F.try_variant_get(first, "$.title", "string"), F.lit("SI")).alias("guide_type"),
-        F.coalesce(F.try_variant_get(first, "$.details", "array<variant>"), F.array().cast("array<variant>")).alias("_d"),
-    ).filter(F.coalesce(F.col("_pub"), F.lit("")) != "")
-    rows = head.select(parse_date("_pub").alias("publication_date"), "guide_type", F.explode("_d").alias(RECORD))
-    rows = rows.filter(F.col("publication_date").isNotNull() & _dates_sound("guide_sheets"))
-    return rows.select(
-        "publication_date",
-        "guide_type",
-        field("secType").alias("security_type"),
-        field("cusip").alias("cusip"),
+    nodes = payloads.select(node_text(json_col, path).alias("_node"))
+    heads = nodes.select(F.from_json(F.get(element_texts("_node"), F.lit(0)),
+                                     "struct<reportWeeksFromDate: string, title: string, details: string>").alias("_h"))
+    listed = F.startswith(F.ltrim(F.col("_h.details")), F.lit("["))
+    details = F.when(listed, element_texts(F.col("_h.details"))).otherwise(F.array().cast("array<string>"))
+    rows = heads.select(
+        parse_date(F.col("_h.reportWeeksFromDate")).alias("publication_date"), F.coalesce("_h.title", F.lit("SI")).alias("guide_type"),
+        F.explode(opened(details, FIELDS["guide_sheets"])).alias(RECORD))
+    sound = F.col("publication_date").isNotNull() & _dates_sound("guide_sheets")
+    return _outcome(rows, "guide_sheets", sound, NO_DATE, [
+        F.col("publication_date"),
+        F.col("guide_type"),
+        _text("secType").alias("security_type"),
+        _text("cusip").alias("cusip"),
         _date("issueDate").alias("issue_date"),
         _date("maturityDate").alias("maturity_date"),
         _num("percentCouponRate", D104).alias("coupon_rate"),
         _num("settlementPrice", D156).alias("settlement_price"),
         _num("accruedInterest", D156).alias("accrued_interest"),
-    )
+    ], both)
+
+
+def _variant_date(name: str) -> Column:
+    return parse_date(field(name))
 
 
 def counterparties(records: DataFrame) -> DataFrame:
@@ -262,8 +321,8 @@ def crypto_ohlc(records: DataFrame) -> DataFrame:
     out = records.select(
         field("symbol").alias("symbol"),
         field("coin_id").alias("coin_id"),
-        _date("price_date").alias("price_date"),
-        *[_num(c, D186).alias(c) for c in ("open", "high", "low", "close")],
+        _variant_date("price_date").alias("price_date"),
+        *[field(c, D186).alias(c) for c in ("open", "high", "low", "close")],
     )
     return _keep_valid(out, F.col("symbol").isNotNull() & (F.col("symbol") != "") & F.col("price_date").isNotNull())
 
@@ -271,10 +330,10 @@ def crypto_ohlc(records: DataFrame) -> DataFrame:
 def prices(records: DataFrame, attributes: list[str], with_volume: bool = True) -> DataFrame:
     """FEED-13: commodities / US indexes / global indexes / sector ETFs: one
     parametrised transform, the attribute columns differ per feed."""
-    cols = [field("symbol").alias("symbol"), *[field(a).alias(a) for a in attributes], _date("price_date").alias("price_date")]
-    cols += [_num(c, D186).alias(c) for c in ("open", "high", "low", "close")]
+    cols = [field("symbol").alias("symbol"), *[field(a).alias(a) for a in attributes], _variant_date("price_date").alias("price_date")]
+    cols += [field(c, D186).alias(c) for c in ("open", "high", "low", "close")]
     if with_volume:
-        cols.append(_num("volume", "bigint").alias("volume"))
+        cols.append(field("volume", "bigint").alias("volume"))
     out = records.select(*cols)
     return _keep_valid(out, F.col("symbol").isNotNull() & (F.col("symbol") != "") & F.col("price_date").isNotNull())
 

@@ -168,9 +168,10 @@ def held_against_files(listed: DataFrame, stored: DataFrame, size: str) -> DataF
     return listed.join(back, "file", "left").withColumn("_wrong", F.coalesce(F.col(size) != F.col("_size"), F.lit(True)))
 
 
-FILE_SUMS = (
-    F.sum("_rows").alias("records"), (F.count("file") - F.count_distinct("file")).alias("repeated"), F.count_if("_wrong").alias("wrong_size"),
-)
+def file_sums() -> list:
+    """Records read back, files listed more than once, and files whose size is wrong or unknown."""
+    return [F.sum("_rows").alias("records"), (F.count("file") - F.count_distinct("file")).alias("repeated"),
+            F.count_if("_wrong").alias("wrong_size")]
 
 
 def with_ctes(*ctes: str, body: str) -> str:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from kiln.operators import feeds as FD
 from kiln.plans import common as C
 from kiln.plans.registry import query
+from kiln.session import staging_dir
 from kiln.sources import payloads as PL
 
 
@@ -33,18 +34,7 @@ def _records(df, root):
 
 
 # ------------------------------------------------------------------ FEED-01
-@query(
-    "feed_reference_rates",
-    """
-SELECT event_type AS rate_type, CAST(ts AS DATE) AS effective_date,
-       CAST(round(value, 2) AS DECIMAL(10,4)) AS rate_percent, CAST(round(value * 10) AS DECIMAL(15,2)) AS volume_billions,
-       CAST(round(value - 1, 2) AS DECIMAL(10,4)) AS percentile_1, CAST(round(value - 0.25, 2) AS DECIMAL(10,4)) AS percentile_25,
-       CAST(round(value + 0.25, 2) AS DECIMAL(10,4)) AS percentile_75, CAST(round(value + 1, 2) AS DECIMAL(10,4)) AS percentile_99,
-       CASE WHEN event_type = 'view' THEN CAST(5.25 AS DECIMAL(10,4)) END AS target_range_from,
-       CASE WHEN event_type = 'view' THEN CAST(5.5 AS DECIMAL(10,4)) END AS target_range_to
-FROM events WHERE event_id % 11 <> 0""",
-)
-def feed_reference_rates(spark, d):
+def _reference_rates_payloads(spark, d):
     e = C.TW(spark, d).events
     v = F.col("value")
     view = F.col("event_type") == "view"
@@ -61,7 +51,22 @@ def feed_reference_rates(spark, d):
         F.when(view, F.lit(5.25)).alias("targetRangeFrom"),
         F.when(view, F.lit(5.5)).alias("targetRangeTo"),
     )
-    return FD.reference_rates(_records(e.select(payload.alias("payload")), "refRates"))
+    return e.withColumn("payload", payload)
+
+
+@query(
+    "feed_reference_rates",
+    """
+SELECT event_type AS rate_type, CAST(ts AS DATE) AS effective_date,
+       CAST(round(value, 2) AS DECIMAL(10,4)) AS rate_percent, CAST(round(value * 10) AS DECIMAL(15,2)) AS volume_billions,
+       CAST(round(value - 1, 2) AS DECIMAL(10,4)) AS percentile_1, CAST(round(value - 0.25, 2) AS DECIMAL(10,4)) AS percentile_25,
+       CAST(round(value + 0.25, 2) AS DECIMAL(10,4)) AS percentile_75, CAST(round(value + 1, 2) AS DECIMAL(10,4)) AS percentile_99,
+       CASE WHEN event_type = 'view' THEN CAST(5.25 AS DECIMAL(10,4)) END AS target_range_from,
+       CASE WHEN event_type = 'view' THEN CAST(5.5 AS DECIMAL(10,4)) END AS target_range_to
+FROM events WHERE event_id % 11 <> 0""",
+)
+def feed_reference_rates(spark, d):
+    return FD.reference_rates(FD.feed_records(_reference_rates_payloads(spark, d), "payload", "refRates", "reference_rates"))
 
 
 # ------------------------------------------------------------------ FEED-02
@@ -90,7 +95,7 @@ def _soma_records(spark, d):
         F.format_number("l_extendedprice", 2).alias("parValue"),
         F.format_number(F.col("l_extendedprice") - F.col("l_quantity"), 2).alias("currentFaceValue"),
     )
-    return _records(li.select(payload.alias("payload")), "soma.holdings")
+    return FD.feed_records(li.select(payload.alias("payload")), "payload", "soma.holdings", "soma")
 
 
 @query(
@@ -104,17 +109,7 @@ def feed_soma_rejects(spark, d):
 
 
 # ------------------------------------------------------------------ FEED-03
-@query(
-    "feed_repo",
-    """
-SELECT CAST(o_orderdate AS DATE) AS operation_date,
-       replace(lower(CASE WHEN o_orderstatus = 'O' THEN 'Reverse Repo' ELSE 'Repo ' || o_orderpriority END), ' ', '') AS operation_type,
-       'RP' || o_orderkey AS operation_id, CAST(o_orderdate + INTERVAL 7 DAY AS DATE) AS maturity_date, 7 AS term_days,
-       o_orderstatus AS operation_status, CAST(o_totalprice AS DECIMAL(20,2)) AS amount_submitted,
-       CAST(o_totalprice - 100 AS DECIMAL(20,2)) AS amount_accepted, CAST(NULL AS DECIMAL(10,4)) AS award_rate
-FROM orders""",
-)
-def feed_repo(spark, d):
+def _repo_payloads(spark, d):
     o = C.TW(spark, d).orders
     payload = _doc(
         "repo.operations",
@@ -128,7 +123,21 @@ def feed_repo(spark, d):
         F.col("o_totalprice").alias("totalAmtSubmitted"),
         (F.col("o_totalprice") - 100).alias("totalAmtAccepted"),
     )
-    return FD.repo_operations(_records(o.select(payload.alias("payload")), "repo.operations"))
+    return o.withColumn("payload", payload)
+
+
+@query(
+    "feed_repo",
+    """
+SELECT CAST(o_orderdate AS DATE) AS operation_date,
+       replace(lower(CASE WHEN o_orderstatus = 'O' THEN 'Reverse Repo' ELSE 'Repo ' || o_orderpriority END), ' ', '') AS operation_type,
+       'RP' || o_orderkey AS operation_id, CAST(o_orderdate + INTERVAL 7 DAY AS DATE) AS maturity_date, 7 AS term_days,
+       o_orderstatus AS operation_status, CAST(o_totalprice AS DECIMAL(20,2)) AS amount_submitted,
+       CAST(o_totalprice - 100 AS DECIMAL(20,2)) AS amount_accepted, CAST(NULL AS DECIMAL(10,4)) AS award_rate
+FROM orders""",
+)
+def feed_repo(spark, d):
+    return FD.repo_operations(FD.feed_records(_repo_payloads(spark, d), "payload", "repo.operations", "repo"))
 
 
 def _lines_parts(t):
@@ -137,16 +146,7 @@ def _lines_parts(t):
 
 
 # ------------------------------------------------------------------ FEED-04
-@query(
-    "feed_mbs",
-    """
-SELECT CAST(l_shipdate AS DATE) AS operation_date, CASE WHEN l_returnflag = 'R' THEN 'Sale' ELSE 'Purchase' END AS operation_type,
-       lpad(CAST(l_partkey AS VARCHAR), 9, '0') AS cusip, p_name AS security_description,
-       CAST(l_shipdate + INTERVAL 2 DAY AS DATE) AS settlement_date, CAST(l_shipdate + INTERVAL 365 DAY AS DATE) AS maturity_date,
-       CAST(l_extendedprice AS DECIMAL(20,2)) AS operation_amount, CAST(l_extendedprice - l_quantity AS DECIMAL(20,2)) AS total_accepted
-FROM lineitem JOIN part ON l_partkey = p_partkey""",
-)
-def feed_mbs(spark, d):
+def _mbs_payloads(spark, d):
     j = _lines_parts(C.TW(spark, d))
     payload = _doc(
         "ambs.auctions",
@@ -159,23 +159,24 @@ def feed_mbs(spark, d):
         F.col("l_extendedprice").alias("operationAmount"),
         (F.col("l_extendedprice") - F.col("l_quantity")).alias("totalAmtAccepted"),
     )
-    return FD.agency_mbs(_records(j.select(payload.alias("payload")), "ambs.auctions"))
+    return j.withColumn("payload", payload)
 
 
-# ------------------------------------------------------------------ FEED-07
 @query(
-    "feed_treasury",
+    "feed_mbs",
     """
-SELECT CAST(l_shipdate AS DATE) AS operation_date, 'Outright ' || l_linestatus AS operation_type,
+SELECT CAST(l_shipdate AS DATE) AS operation_date, CASE WHEN l_returnflag = 'R' THEN 'Sale' ELSE 'Purchase' END AS operation_type,
        lpad(CAST(l_partkey AS VARCHAR), 9, '0') AS cusip, p_name AS security_description,
-       CAST(l_shipdate - INTERVAL 30 DAY AS DATE) AS issue_date, CAST(l_shipdate + INTERVAL 3650 DAY AS DATE) AS maturity_date,
-       CAST(l_discount AS DECIMAL(10,4)) AS coupon_rate, p_type AS security_term,
-       CAST(l_extendedprice AS DECIMAL(20,2)) AS operation_amount, CAST(l_extendedprice + l_quantity AS DECIMAL(20,2)) AS total_submitted,
-       CAST(l_extendedprice - l_quantity AS DECIMAL(20,2)) AS total_accepted, CAST(l_quantity + 0.5 AS DECIMAL(15,6)) AS high_price,
-       CAST(l_quantity AS DECIMAL(15,6)) AS low_price, CAST(l_tax AS DECIMAL(10,4)) AS stop_out_rate
+       CAST(l_shipdate + INTERVAL 2 DAY AS DATE) AS settlement_date, CAST(l_shipdate + INTERVAL 365 DAY AS DATE) AS maturity_date,
+       CAST(l_extendedprice AS DECIMAL(20,2)) AS operation_amount, CAST(l_extendedprice - l_quantity AS DECIMAL(20,2)) AS total_accepted
 FROM lineitem JOIN part ON l_partkey = p_partkey""",
 )
-def feed_treasury(spark, d):
+def feed_mbs(spark, d):
+    return FD.agency_mbs(FD.feed_records(_mbs_payloads(spark, d), "payload", "ambs.auctions", "mbs"))
+
+
+# ------------------------------------------------------------------ FEED-07
+def _treasury_payloads(spark, d):
     j = _lines_parts(C.TW(spark, d))
     payload = _doc(
         "treasury.auctions",
@@ -194,7 +195,23 @@ def feed_treasury(spark, d):
         F.col("l_quantity").alias("lowPrice"),
         F.col("l_tax").alias("stopOutRate"),
     )
-    return FD.treasury_operations(_records(j.select(payload.alias("payload")), "treasury.auctions"))
+    return j.withColumn("payload", payload)
+
+
+@query(
+    "feed_treasury",
+    """
+SELECT CAST(l_shipdate AS DATE) AS operation_date, 'Outright ' || l_linestatus AS operation_type,
+       lpad(CAST(l_partkey AS VARCHAR), 9, '0') AS cusip, p_name AS security_description,
+       CAST(l_shipdate - INTERVAL 30 DAY AS DATE) AS issue_date, CAST(l_shipdate + INTERVAL 3650 DAY AS DATE) AS maturity_date,
+       CAST(l_discount AS DECIMAL(10,4)) AS coupon_rate, p_type AS security_term,
+       CAST(l_extendedprice AS DECIMAL(20,2)) AS operation_amount, CAST(l_extendedprice + l_quantity AS DECIMAL(20,2)) AS total_submitted,
+       CAST(l_extendedprice - l_quantity AS DECIMAL(20,2)) AS total_accepted, CAST(l_quantity + 0.5 AS DECIMAL(15,6)) AS high_price,
+       CAST(l_quantity AS DECIMAL(15,6)) AS low_price, CAST(l_tax AS DECIMAL(10,4)) AS stop_out_rate
+FROM lineitem JOIN part ON l_partkey = p_partkey""",
+)
+def feed_treasury(spark, d):
+    return FD.treasury_operations(FD.feed_records(_treasury_payloads(spark, d), "payload", "treasury.auctions", "treasury"))
 
 
 def _order_lines(t):
@@ -205,19 +222,7 @@ def _order_lines(t):
 
 
 # ------------------------------------------------------------------ FEED-05
-@query(
-    "feed_fx_swaps",
-    """
-SELECT COALESCE(CASE WHEN o_orderstatus = 'P' THEN NULL ELSE CAST(o_orderdate AS DATE) END,
-                CAST(o_orderdate + INTERVAL 1 DAY AS DATE)) AS swap_date,
-       c_name AS counterparty, 'C' || lpad(CAST(n_nationkey AS VARCHAR), 2, '0') AS currency_code, CAST(l_shipdate AS DATE) AS maturity_date,
-       CAST(date_diff('day', COALESCE(CASE WHEN o_orderstatus = 'P' THEN NULL ELSE CAST(o_orderdate AS DATE) END,
-                                 CAST(o_orderdate + INTERVAL 1 DAY AS DATE)), CAST(l_shipdate AS DATE)) AS INTEGER) AS term_days,
-       CAST(l_extendedprice AS DECIMAL(20,2)) AS usd_amount, CAST(l_extendedprice + 1000 AS DECIMAL(20,2)) AS foreign_currency_amount,
-       CAST(1 + l_discount AS DECIMAL(15,6)) AS exchange_rate
-FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey""",
-)
-def feed_fx_swaps(spark, d):
+def _fx_swaps_payloads(spark, d):
     t = C.TW(spark, d)
     dims = t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "c_name", "n_nationkey")
     j = _order_lines(t).join(dims, F.col("o_custkey") == F.col("c_custkey"))
@@ -235,21 +240,27 @@ def feed_fx_swaps(spark, d):
         (F.col("l_extendedprice") + 1000).alias("foreignCurrencyAmount"),
         (F.lit(1) + F.col("l_discount")).alias("exchangeRate"),
     )
-    return FD.fx_swaps(_records(j.select(payload.alias("payload")), "fxSwaps.operations"))
+    return j.withColumn("payload", payload)
 
 
-# ------------------------------------------------------------------ FEED-06
 @query(
-    "feed_sec_lending",
+    "feed_fx_swaps",
     """
-SELECT CAST(o_orderdate AS DATE) AS operation_date, 'Lending' AS operation_type, lpad(CAST(l_partkey AS VARCHAR), 9, '0') AS cusip,
-       'part ' || l_partkey AS security_description, CAST(o_orderdate AS DATE) AS loan_date, CAST(l_shipdate AS DATE) AS return_date,
-       CAST(date_diff('day', CAST(o_orderdate AS DATE), CAST(l_shipdate AS DATE)) AS INTEGER) AS term_days,
-       CAST(CASE WHEN l_returnflag = 'A' THEN l_extendedprice - l_quantity ELSE l_extendedprice END AS DECIMAL(20,2)) AS par_amount,
-       CAST(l_tax AS DECIMAL(10,4)) AS fee_rate, o_orderstatus AS operation_status
-FROM lineitem JOIN orders ON l_orderkey = o_orderkey""",
+SELECT COALESCE(CASE WHEN o_orderstatus = 'P' THEN NULL ELSE CAST(o_orderdate AS DATE) END,
+                CAST(o_orderdate + INTERVAL 1 DAY AS DATE)) AS swap_date,
+       c_name AS counterparty, 'C' || lpad(CAST(n_nationkey AS VARCHAR), 2, '0') AS currency_code, CAST(l_shipdate AS DATE) AS maturity_date,
+       CAST(date_diff('day', COALESCE(CASE WHEN o_orderstatus = 'P' THEN NULL ELSE CAST(o_orderdate AS DATE) END,
+                                 CAST(o_orderdate + INTERVAL 1 DAY AS DATE)), CAST(l_shipdate AS DATE)) AS INTEGER) AS term_days,
+       CAST(l_extendedprice AS DECIMAL(20,2)) AS usd_amount, CAST(l_extendedprice + 1000 AS DECIMAL(20,2)) AS foreign_currency_amount,
+       CAST(1 + l_discount AS DECIMAL(15,6)) AS exchange_rate
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey""",
 )
-def feed_sec_lending(spark, d):
+def feed_fx_swaps(spark, d):
+    return FD.fx_swaps(FD.feed_records(_fx_swaps_payloads(spark, d), "payload", "fxSwaps.operations", "fx_swaps"))
+
+
+# ------------------------------------------------------------------ FEED-06
+def _sec_lending_payloads(spark, d):
     j = _order_lines(C.TW(spark, d))
     payload = _doc(
         "seclending.operations",
@@ -264,22 +275,25 @@ def feed_sec_lending(spark, d):
         F.col("l_tax").alias("feeRate"),
         F.col("o_orderstatus").alias("operationStatus"),
     )
-    return FD.securities_lending(_records(j.select(payload.alias("payload")), "seclending.operations"))
+    return j.withColumn("payload", payload)
 
 
-# ------------------------------------------------------------------ FEED-08
 @query(
-    "feed_guide_sheets",
+    "feed_sec_lending",
     """
-SELECT CAST(o_orderdate AS DATE) AS publication_date, o_orderpriority AS guide_type, sec_type AS security_type,
-       lpad(CAST(l_partkey AS VARCHAR), 9, '0') || suffix AS cusip, CAST(l_shipdate AS DATE) AS issue_date,
-       CAST(l_shipdate + INTERVAL 3650 DAY AS DATE) AS maturity_date, CAST(l_discount AS DECIMAL(10,4)) AS coupon_rate,
-       CAST(l_quantity AS DECIMAL(15,6)) AS settlement_price, CAST(l_tax AS DECIMAL(15,6)) AS accrued_interest
-FROM lineitem JOIN orders ON l_orderkey = o_orderkey,
-     (VALUES ('Note', ''), ('Bond', 'B')) s(sec_type, suffix)
-WHERE o_orderstatus <> 'P'""",
+SELECT CAST(o_orderdate AS DATE) AS operation_date, 'Lending' AS operation_type, lpad(CAST(l_partkey AS VARCHAR), 9, '0') AS cusip,
+       'part ' || l_partkey AS security_description, CAST(o_orderdate AS DATE) AS loan_date, CAST(l_shipdate AS DATE) AS return_date,
+       CAST(date_diff('day', CAST(o_orderdate AS DATE), CAST(l_shipdate AS DATE)) AS INTEGER) AS term_days,
+       CAST(CASE WHEN l_returnflag = 'A' THEN l_extendedprice - l_quantity ELSE l_extendedprice END AS DECIMAL(20,2)) AS par_amount,
+       CAST(l_tax AS DECIMAL(10,4)) AS fee_rate, o_orderstatus AS operation_status
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey""",
 )
-def feed_guide_sheets(spark, d):
+def feed_sec_lending(spark, d):
+    return FD.securities_lending(FD.feed_records(_sec_lending_payloads(spark, d), "payload", "seclending.operations", "sec_lending"))
+
+
+# ------------------------------------------------------------------ FEED-08
+def _guide_sheets_payloads(spark, d):
     j = _order_lines(C.TW(spark, d))
 
     def detail(sec, suffix):
@@ -303,7 +317,98 @@ def feed_guide_sheets(spark, d):
         F.array(detail("Bill", "X")).alias("details"),
     )
     payload = F.to_json(F.struct(F.struct(F.array(first, ignored).alias("si")).alias("guidesheet")))
-    return FD.guide_sheets(j.select(payload.alias("payload")), "payload")
+    return j.withColumn("payload", payload)
+
+
+@query(
+    "feed_guide_sheets",
+    """
+SELECT CAST(o_orderdate AS DATE) AS publication_date, o_orderpriority AS guide_type, sec_type AS security_type,
+       lpad(CAST(l_partkey AS VARCHAR), 9, '0') || suffix AS cusip, CAST(l_shipdate AS DATE) AS issue_date,
+       CAST(l_shipdate + INTERVAL 3650 DAY AS DATE) AS maturity_date, CAST(l_discount AS DECIMAL(10,4)) AS coupon_rate,
+       CAST(l_quantity AS DECIMAL(15,6)) AS settlement_price, CAST(l_tax AS DECIMAL(15,6)) AS accrued_interest
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey,
+     (VALUES ('Note', ''), ('Bond', 'B')) s(sec_type, suffix)
+WHERE o_orderstatus <> 'P'""",
+)
+def feed_guide_sheets(spark, d):
+    return FD.guide_sheets(_guide_sheets_payloads(spark, d), "payload")
+
+
+# ------------------------------------------------------------------ FEED-01..08: rows and rejects in one pass
+def _damaged(payloads, key, field):
+    """The payloads; of every 31st key the date field holds text that names the key."""
+    bad = F.regexp_replace("payload", F.lit(f'"{field}":"[^"]*"'), F.concat(F.lit(f'"{field}":"n/a '), key.cast("string"), F.lit('"')))
+    return payloads.withColumn("payload", F.when(key % 31 == 0, bad).otherwise(F.col("payload")))
+
+
+def _rejects(spark, payloads, transform, root, feed, field, key):
+    """The feed split in one write; its rejects, and one row with the number of rows accepted beside them."""
+    damaged = _damaged(payloads, key, field)
+    records = damaged if root is None else FD.feed_records(damaged, "payload", root, feed)
+    out = staging_dir(spark, f"feed_{feed}")
+    counts = FD.split_feed(transform, records, out)
+    split = spark.read.parquet(out)
+    accepted = FD.accepted_rows(split).agg(F.count("*").alias("rows"))
+    rejected = FD.rejected_rows(split).select(
+        F.get_json_object("raw_record", f"$.{field}").alias("bad_text"), "reason", F.lit(1).cast("long").alias("rows"))
+    same = F.when(F.col("rows") == counts["accepted"], "accepted, as observed").otherwise("accepted, not as observed")
+    return rejected.unionByName(accepted.select(F.lit(None).cast("string").alias("bad_text"), same.alias("reason"), "rows"))
+
+
+def _rejects_sql(source, key, reason=FD.BAD_DATE, ok="TRUE", copies=1):
+    return f"""
+SELECT 'n/a ' || {key} AS bad_text, '{reason}' AS reason, CAST(1 AS BIGINT) AS rows FROM {source}, range({copies}) WHERE {key} % 31 = 0
+UNION ALL SELECT NULL, 'accepted, as observed', count(*) FROM {source}, range({copies}) WHERE {key} % 31 <> 0 AND {ok}"""
+
+
+LINES = "lineitem JOIN orders ON l_orderkey = o_orderkey"
+
+
+@query("feed_reference_rates_rejects", """
+SELECT CASE WHEN event_id % 31 = 0 THEN 'n/a ' || event_id ELSE '' END AS bad_text, 'missing or unparseable date' AS reason,
+       CAST(1 AS BIGINT) AS rows FROM events WHERE event_id % 31 = 0 OR event_id % 11 = 0
+UNION ALL SELECT NULL, 'accepted, as observed', count(*) FROM events WHERE event_id % 31 <> 0 AND event_id % 11 <> 0""")
+def feed_reference_rates_rejects(spark, d):
+    return _rejects(spark, _reference_rates_payloads(spark, d), FD.reference_rates, "refRates", "reference_rates", "effectiveDate", F.col("event_id"))
+
+
+@query("feed_repo_rejects", _rejects_sql("orders", "o_orderkey"))
+def feed_repo_rejects(spark, d):
+    return _rejects(spark, _repo_payloads(spark, d), FD.repo_operations, "repo.operations", "repo", "operationDate", F.col("o_orderkey"))
+
+
+@query("feed_mbs_rejects", _rejects_sql("lineitem JOIN part ON l_partkey = p_partkey", "l_orderkey"))
+def feed_mbs_rejects(spark, d):
+    return _rejects(spark, _mbs_payloads(spark, d), FD.agency_mbs, "ambs.auctions", "mbs", "settlementDate", F.col("l_orderkey"))
+
+
+@query("feed_fx_swaps_rejects", _rejects_sql(f"{LINES} JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey", "l_orderkey"))
+def feed_fx_swaps_rejects(spark, d):
+    return _rejects(spark, _fx_swaps_payloads(spark, d), FD.fx_swaps, "fxSwaps.operations", "fx_swaps", "maturityDate", F.col("l_orderkey"))
+
+
+@query("feed_sec_lending_rejects", _rejects_sql(LINES, "l_orderkey"))
+def feed_sec_lending_rejects(spark, d):
+    return _rejects(spark, _sec_lending_payloads(spark, d), FD.securities_lending, "seclending.operations", "sec_lending", "returnDate", F.col("l_orderkey"))
+
+
+@query("feed_treasury_rejects", _rejects_sql("lineitem JOIN part ON l_partkey = p_partkey", "l_orderkey"))
+def feed_treasury_rejects(spark, d):
+    return _rejects(spark, _treasury_payloads(spark, d), FD.treasury_operations, "treasury.auctions", "treasury", "issueDate", F.col("l_orderkey"))
+
+
+@query("feed_guide_sheets_rejects", """
+SELECT CASE WHEN l_orderkey % 31 = 0 THEN 'n/a ' || l_orderkey ELSE strftime(l_shipdate, '%Y-%m-%d') END AS bad_text,
+       'missing or unparseable date' AS reason, CAST(1 AS BIGINT) AS rows
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey, range(2) WHERE l_orderkey % 31 = 0 OR o_orderstatus = 'P'
+UNION ALL SELECT NULL, 'accepted, as observed', count(*) FROM lineitem JOIN orders ON l_orderkey = o_orderkey, range(2)
+WHERE l_orderkey % 31 <> 0 AND o_orderstatus <> 'P'""")
+def feed_guide_sheets_rejects(spark, d):
+    def transform(payloads, both):
+        return FD.guide_sheets(payloads, "payload", both=both)
+
+    return _rejects(spark, _guide_sheets_payloads(spark, d), transform, None, "guide_sheets", "issueDate", F.col("l_orderkey"))
 
 
 # ------------------------------------------------------------------ FEED-09

@@ -111,7 +111,7 @@ def src_discover(spark, d):
     o.write.mode("overwrite").partitionBy("o_orderstatus").parquet(path)
     found = FS.discover_files(spark, path, pattern=r"part-[0-9]+").withColumn("file", F.regexp_extract("path", C.FOLDER_AND_NAME, 1))
     return C.held_against_files(found, spark.read.schema(o.schema).parquet(path), "length").groupBy(
-        F.regexp_extract("path", "o_orderstatus=([^/]*)/", 1).alias("o_orderstatus")).agg(*C.FILE_SUMS)
+        F.regexp_extract("path", "o_orderstatus=([^/]*)/", 1).alias("o_orderstatus")).agg(*C.file_sums())
 
 
 @query(

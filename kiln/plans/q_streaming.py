@@ -14,7 +14,7 @@ from kiln.operators import opslog as O
 from kiln.plans import common as C
 from kiln.plans.q_sources import ORDER_TYPES
 from kiln.plans.registry import query
-from kiln.plans.common import FILE_SUMS, FOLDER_AND_NAME, held_against_files
+from kiln.plans.common import FOLDER_AND_NAME, file_sums, held_against_files
 from kiln.session import hadoop_path, staging_dir
 from kiln.streaming import streams as S
 
@@ -207,7 +207,7 @@ def str_file_events(spark, d):
     S.run_available(S.file_events(spark, src, include=["*.parquet"]), out, ckpt)
     arrived = S.read_batches(spark, out).withColumn("file", F.regexp_extract("file_path", FOLDER_AND_NAME, 1))
     return held_against_files(arrived, spark.read.schema(e.schema).option("recursiveFileLookup", True).parquet(src), "file_size").groupBy(
-        F.regexp_extract("directory", "_wave=([^/]*)$", 1).alias("event_type"), "extension").agg(*FILE_SUMS)
+        F.regexp_extract("directory", "_wave=([^/]*)$", 1).alias("event_type"), "extension").agg(*file_sums())
 
 
 ORDERS_CSV_SCHEMA = ("o_orderkey string, o_custkey string, o_orderstatus string, o_totalprice string, "

@@ -45,6 +45,41 @@ def extract_path(df: DataFrame, json_col: str, path: str, keep: list[str] | None
     return node.select(*keep, F.explode(records_at(F.col("_node"))).alias(RECORD))
 
 
+def node_text(json_col, path: str) -> Column:
+    """The JSON text at the dotted ``path`` of a document; NULL if it isn't there or the document can't be parsed."""
+    parts = [p for p in path.split(".") if p]
+    schema = "string"
+    for name in reversed(parts):
+        schema = f"struct<`{name}`: {schema}>"
+    node = F.from_json(_c(json_col), schema)
+    for name in parts:
+        node = node[name]
+    return node
+
+
+def element_texts(text) -> Column:
+    """The JSON texts of a list's elements; an object or scalar is a list of one, a missing node an empty one."""
+    t = _c(text)
+    one, none = F.array(t), F.array().cast("array<string>")
+    return F.when(t.isNull(), none).when(F.startswith(F.ltrim(t), F.lit("[")), F.coalesce(F.from_json(t, "array<string>"), one)).otherwise(one)
+
+
+def opened(texts: Column, names: tuple[str, ...]) -> Column:
+    """Each record's own text (``raw``) and its named fields as text (``f``), parsed once."""
+    schema = "struct<" + ", ".join(f"`{n}`: string" for n in names) + ">"
+    return F.transform(texts, lambda r: F.struct(r.alias("raw"), F.from_json(r, schema).alias("f")))
+
+
+def open_records(df: DataFrame, json_col: str, path: str, names: tuple[str, ...], keep: list[str] | None = None) -> DataFrame:
+    """SRC-08 for records with known fields: one row per record found at ``path`` (not empty).
+
+    The fields are read where the list is exploded, so neither a filter on them nor their
+    conversion parses the record again."""
+    keep = keep or []
+    node = df.select(*keep, node_text(json_col, path).alias("_node"))
+    return node.select(*keep, F.explode(opened(element_texts("_node"), names)).alias(RECORD))
+
+
 def field(name: str, dtype: str = "string", rec: str = RECORD) -> Column:
     """Typed field of a record; a value that cannot be cast is NULL."""
     return F.try_variant_get(F.col(rec), path_to_jsonpath(name), dtype)
