@@ -41,6 +41,17 @@ def free_name(df: DataFrame, base: str) -> str:
     return base
 
 
+def row_key(docs: DataFrame, text_col: str = "text") -> Column:
+    """A name (sha256) of each row over all its columns, nulls included: rows of one name are the same row again."""
+    rest = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns) if c != text_col]
+    return F.sha2(F.to_json(F.struct(*rest, F.sha2(F.col(text_col).cast("binary"), 256).alias("t"))), 256)
+
+
+def packed(docs: DataFrame, **columns: Column) -> DataFrame:
+    """``docs`` as one struct column ``row`` beside the given ones, so that no column of ``docs`` can clash with a working one."""
+    return docs.select(F.struct("*").alias("row"), *[c.alias(n) for n, c in columns.items()])
+
+
 def utf8(text: Column) -> Column:
     """UTF-8 bytes of a text column; null counts as empty."""
     return F.coalesce(text, F.lit("")).cast("binary")

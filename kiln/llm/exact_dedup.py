@@ -29,7 +29,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kiln.llm.common import WHITESPACE_CLASS, materialise
+from kiln.llm.common import WHITESPACE_CLASS, materialise, packed
 
 HASHES = 2
 CELLS_PER_ROW = 16
@@ -139,14 +139,14 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     dropped = materialise(named.where("not kept").select("_key").distinct(), "exact-dropped")
     # a dropped row with the key of the row that stays is the same row again
     again = materialise(dropped.join(named.where("kept"), "_key", "left_semi"), "exact-again")
-    keyed = docs.withColumn("_key", F.concat_ws(
+    keyed = packed(docs, _key=F.concat_ws(
         "/", F.sha2(normalised(F.col(text_col)).cast("binary"), 256), F.length(F.coalesce(F.col(text_col), F.lit(""))).cast("long"),
         F.coalesce(F.col(id_col).cast("string"), F.lit("")),
     ))
     out = without(keyed, "_key", dropped)
     if not again.isEmpty():
         out = out.unionByName(keyed.join(again, "_key", "left_semi").dropDuplicates(["_key"]))
-    return out.drop("_key")
+    return out.select("row.*")
 
 
 def without(rows: DataFrame, key: str, dropped: DataFrame) -> DataFrame:
@@ -177,6 +177,11 @@ def _flag(rows: DataFrame, column: str, cells: int, bitmaps: DataFrame) -> DataF
     return out.select(*(F.col(f"`{c}`") for c in rows.columns), maybe.alias("_maybe"))
 
 
+def flagged(rows: DataFrame, column: str, keys: DataFrame, out: str) -> DataFrame:
+    """``rows`` with ``out``: false only where the value is none of ``keys``."""
+    return _flag(rows, column, *bitmap_of(keys, column)).withColumnRenamed("_maybe", out)
+
+
 def in_bitmap(rows: DataFrame, column: str, cells: int, bitmaps: DataFrame) -> DataFrame:
     """The rows whose value may be among the keys (all that are, and a few others)."""
     return _flag(rows, column, cells, bitmaps).where("_maybe").drop("_maybe")

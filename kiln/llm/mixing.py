@@ -44,7 +44,8 @@ EPS = 1e-9
 BROADCAST_SOURCES = 100_000
 
 
-def _per_source(plan: DataFrame, sources: int) -> DataFrame:
+def per_source(plan: DataFrame, sources: int) -> DataFrame:
+    """``plan``, one row a source, to be joined; broadcast up to ``BROADCAST_SOURCES`` sources."""
     return F.broadcast(plan) if sources <= BROADCAST_SOURCES else plan
 
 
@@ -177,7 +178,7 @@ def cube_sample(units: DataFrame, block: int = BLOCK) -> DataFrame:
         last = max(blocks.values()) == 1
         spark = units.sparkSession
         per = spark.createDataFrame(list(blocks.items()), "src int, _blocks int")
-        dealt = units.join(_per_source(per, len(blocks)), "src").withColumn("_block", F.pmod(F.xxhash64("h", F.lit(level)), F.col("_blocks")))
+        dealt = units.join(per_source(per, len(blocks)), "src").withColumn("_block", F.pmod(F.xxhash64("h", F.lit(level)), F.col("_blocks")))
         schema = dealt.schema
         flown = dealt.groupBy("src", "_block").applyInPandas(_fly_block(last, level), schema).drop("_block", "_blocks")
         flown = materialise(flown, f"cube-{level}")
@@ -200,7 +201,7 @@ def mix_sources(
     max_repeats: float = MAX_REPEATS,
     block: int = BLOCK,
 ) -> DataFrame:
-    """doc_id, size, source_size, target, taken (words, repeats counted) and repeats of every row."""
+    """doc_id, source, size, source_size, target, taken (words, repeats counted) and repeats of every row."""
     slim = materialise(word_sizes(docs, id_col, text_col, source_col), "mix-sizes")
     spark = docs.sparkSession
     # one row per source: the mix's own configuration, not the corpus
@@ -221,8 +222,8 @@ def mix_sources(
             T.StructField("ratio", T.DoubleType()),
         ]),
     )
-    units = slim.join(_per_source(plan, len(totals)), F.col("source").eqNullSafe(F.col("_source"))).select(
-        "src", "doc_id", "size", "source_size", "target",
+    units = slim.join(per_source(plan, len(totals)), F.col("source").eqNullSafe(F.col("_source"))).select(
+        "src", "doc_id", "source", "size", "source_size", "target",
         F.floor(F.col("ratio") + EPS).alias("whole"),
         F.greatest(F.lit(0.0), F.col("ratio") - F.floor(F.col("ratio") + EPS)).alias("prob"),
         F.xxhash64("doc_id", F.lit("mix")).alias("h"),
@@ -230,5 +231,5 @@ def mix_sources(
     drawn = cube_sample(units, block)
     repeats = F.col("whole") + F.round("prob").cast("long")
     return drawn.select(
-        "doc_id", "size", "source_size", "target", (F.col("size") * repeats).alias("taken"), repeats.alias("repeats")
+        "doc_id", "source", "size", "source_size", "target", (F.col("size") * repeats).alias("taken"), repeats.alias("repeats")
     )

@@ -11,9 +11,8 @@ is ``THRESHOLD`` or more.
    first d minima.  From the full length the prefixes are shortened until
    1 - (1 - THRESHOLD^d)^TREES reaches ``RECALL``.
 3. Nodes with several sets are the candidates.  A pair belongs to the first
-   tree in which it meets, so it is counted once; pairs of which the signatures
-   agree in less than ``SKETCH`` (over six standard deviations below the
-   threshold) are left out.  Large nodes are cut into blocks, and each pair of
+   tree in which it meets, so it is counted once; pairs whose signatures
+   agree in ``SIGMAS`` standard deviations less than the threshold are left out.  Large nodes are cut into blocks, and each pair of
    blocks is a group of its own: a task never holds more than two blocks.
 4. Only sets with candidate pairs are read again and shipped, and every pair is
    verified exactly.  A task returns counts and a spanning forest for its
@@ -46,7 +45,7 @@ THRESHOLD = 0.8
 TREES = 24
 MAX_DEPTH = 8
 RECALL = 0.99999
-SKETCH = 0.55
+SIGMAS = 6
 BLOCK_SETS = 2048
 BLOCK_SHINGLES = 2_000_000
 
@@ -54,11 +53,18 @@ BLOCK_SHINGLES = 2_000_000
 def depth_for(threshold: float, trees: int, recall: float, most: int = MAX_DEPTH) -> int:
     """Shorten the prefix until pairs at the threshold meet in some tree with the target recall."""
     depth = most
-    while depth > 1 and 1 - (1 - threshold**depth) ** trees < recall:
+    while depth and 1 - (1 - threshold**depth) ** trees < recall:
         depth -= 1
+    if not depth:
+        raise ValueError(f"{trees} trees can't reach the recall {recall} at the threshold {threshold}")
     return depth
 
 
+def sketch_for(threshold: float, minima: int) -> float:
+    """The least share of equal minima of a pair at the threshold, but for ``SIGMAS`` standard deviations."""
+    return max(0.0, threshold - SIGMAS * (threshold * (1 - threshold) / minima) ** 0.5)
+
+
 def shingle_sets(texts: list[bytes], width: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes of all texts, text by text and sorted, and their number per text."""
     words, counts = word_hashes(texts)
@@ -286,19 +292,25 @@ def _shingle_rows(docs: DataFrame, chosen: DataFrame, width: int) -> DataFrame:
     return found.join(chosen.select("sid"), "sid", "left_semi").dropDuplicates(["sid"])
 
 
+def _distinct_sets(docs: DataFrame, id_col: str, text_col: str, minima: int, width: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The texts, the rows (doc_id, sid, n, sig) and the distinct sets (sid, no, copies, doc_id, n, sig)."""
+    slim = docs.select(F.col(id_col).alias("doc_id"), utf8(F.col(text_col)).alias("b"))
+    rows = materialise(_sketches(slim, minima, width), "near-rows")
+    sets = rows.groupBy("sid").agg(
+        F.count("*").alias("copies"), F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sig").alias("sig")
+    )
+    return slim, rows, materialise(sets.withColumn("no", F.monotonically_increasing_id()), "near-sets")
+
+
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD,
-    width: int = SHINGLE, trees: int = TREES, recall: float = RECALL, sketch: float = SKETCH,
+    width: int = SHINGLE, trees: int = TREES, recall: float = RECALL,
 ) -> DataFrame:
     """doc_id, class_id, class_size, copies (documents with the same set) and n_links of every document."""
     depth = depth_for(threshold, trees, recall)
-    slim = docs.select(F.col(id_col).alias("doc_id"), utf8(F.col(text_col)).alias("b"))
-    rows = materialise(_sketches(slim, trees * depth, width), "near-rows")
+    sketch = sketch_for(threshold, trees * depth)
+    slim, rows, sets = _distinct_sets(docs, id_col, text_col, trees * depth, width)
     total = rows.count()
-    sets = rows.groupBy("sid").agg(
-        F.count("*").alias("copies"), F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sig").alias("sig")
-    )
-    sets = materialise(sets.withColumn("no", F.monotonically_increasing_id()), "near-sets")
     members = materialise(_members(sets.where("n > 0"), trees, depth, sketch), "near-members")
     wanted = members.select("no").distinct()
     chosen = materialise(sets.join(wanted, "no", "left_semi").select("sid", "no", "doc_id", "copies", "sig"), "near-chosen")
@@ -324,3 +336,118 @@ def near_duplicates(
     return skew_join(rows.select("doc_id", "sid"), per_set, "sid", "rows_", total).select(
         "doc_id", "class_id", "class_size", "copies", "n_links"
     )
+
+
+# ---- classes without counting links: no group of near copies meets itself as a whole
+STAR_SETS = 1024
+
+
+def _verify_stars(pairs: DataFrame, full: DataFrame, threshold: float) -> DataFrame:
+    """The (no, lead) pairs with Jaccard similarity of at least ``threshold``, exactly.
+
+    A task holds one leader and at most about ``STAR_SETS`` of its sets.
+    """
+    sizes = materialise(pairs.groupBy("lead").agg(F.count("*").alias("sets")).withColumn("parts", F.ceil(F.col("sets") / STAR_SETS).cast("int")), "near-leads")
+    dealt = skew_join(pairs, sizes, "lead", "sets", pairs.count()).select(
+        "lead", F.pmod(F.xxhash64("no"), F.col("parts")).cast("int").alias("part"), "no")
+    leads = sizes.select("lead", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("lead").alias("no"))
+    shipped = dealt.unionByName(leads).join(full.select("no", "shingles"), "no")
+
+    def run(table: pa.Table) -> pa.Table:
+        nos, lead = table["no"].to_numpy(), table["lead"][0].as_py()
+        sets = [np.frombuffer(b, np.uint64) for b in table["shingles"].to_pylist()]
+        own = sets[int(np.flatnonzero(nos == lead)[0])]
+        size = np.array([len(x) for x in sets])
+        flat = np.concatenate(sets)
+        hit = own[np.minimum(np.searchsorted(own, flat), len(own) - 1)] == flat
+        common = np.add.reduceat(hit.astype(np.int64), np.cumsum(size) - size)
+        near = (common >= threshold * (size + len(own) - common) - 1e-9) & (nos != lead)
+        return table.filter(pa.array(near)).select(["no", "lead"])
+
+    return shipped.groupBy("lead", "part").applyInArrow(run, "no bigint, lead bigint")
+
+
+def _strays(nodes: DataFrame, label: DataFrame) -> DataFrame:
+    """node, tree, block, stray, label, no: sets of nodes that hold several classes.
+
+    Only pairs of different classes are left to check.  A node's sets lie in blocks, once each;
+    its strays - sets outside its largest class - are sent to all its blocks.
+    """
+    known = nodes.join(label, "no")
+    per_class = known.groupBy("node", "tree", "label").agg(F.count("*").alias("n"))
+    mixed = per_class.groupBy("node").agg(
+        F.max_by("label", F.struct("n", "label")).alias("main"), F.sum("n").alias("members"), F.min("label").alias("a"), F.max("label").alias("z")
+    ).where("a < z").withColumn("blocks", F.ceil(F.col("members") / BLOCK_SETS).cast("int")).select("node", "main", "members", "blocks")
+    mixed = materialise(mixed, "near-mixed")
+    dealt = skew_join(known, mixed, "node", "members", known.count())
+    dealt = dealt.withColumn("stray", F.col("label") != F.col("main")).withColumn("own", F.pmod(F.xxhash64("no"), F.col("blocks")).cast("int"))
+    to = F.when(F.col("stray"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("own"))
+    return dealt.withColumn("block", F.explode(to)).select("node", "tree", "block", "stray", "label", "no")
+
+
+def _across(sig: np.ndarray, label: np.ndarray, stray: np.ndarray, tree: int, depth: int, sketch: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Strips of strays and their candidate pairs with all sets of another class."""
+    cols = np.arange(len(label))
+    for part in _strips(np.flatnonzero(stray)):
+        yield part, new_pairs(sig, tree, depth, part, cols, sketch) & (label[part][:, None] != label[None, :])
+
+
+def near_classes(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD,
+    width: int = SHINGLE, trees: int = TREES, recall: float = RECALL,
+) -> DataFrame:
+    """doc_id and class_id of every row, as ``near_duplicates`` has them, without the number of links.
+
+    Every set is verified against the first set of each of its nodes.  What that connects needs no
+    further check, however large the group; then only sets of one node in different classes are
+    compared.  So a group of near copies is shipped in proportion to its size.
+    """
+    depth = depth_for(threshold, trees, recall)
+    sketch = sketch_for(threshold, trees * depth)
+    slim, rows, sets = _distinct_sets(docs, id_col, text_col, trees * depth, width)
+    total = rows.count()
+    nodes = _nodes(sets.where("n > 0"), trees, depth)
+    leads = materialise(nodes.groupBy("node").agg(F.min("no").alias("lead"), F.count("*").alias("members")).where("members > 1"), "near-nodes")
+    # a set's row holds the names of all its nodes, so that signatures and texts stay where they are
+    met = materialise(skew_join(nodes.select("node", "tree", "no"), leads, "node", "members", trees * sets.count()), "near-met")
+    pairs = materialise(met.where("no <> lead").select("no", "lead").distinct(), "near-stars")
+    wanted = met.select("no").distinct()
+    chosen = materialise(sets.join(wanted, "no", "left_semi").select("sid", "no", "doc_id", "sig"), "near-chosen")
+    shingles = _shingle_rows(slim, chosen.select("sid", "doc_id"), width)
+    full = materialise(chosen.select("sid", "no", "sig").join(shingles, "sid").drop("sid"), "near-full")
+    first = materialise(_verify_stars(pairs, full, threshold).select(F.col("no").alias("u"), F.col("lead").alias("v")), "near-links")
+    roots = materialise(connected_components(first), "near-roots")
+    label = chosen.select("no").join(roots.select(F.col("node").alias("no"), "root"), "no", "left").select("no", F.coalesce("root", "no").alias("label"))
+    strays = materialise(_strays(met.select("node", "tree", "no"), label), "near-strays")
+
+    def needed(table: pa.Table) -> pa.Table:
+        use = np.zeros(table.num_rows, bool)
+        stray, tree = table["stray"].to_numpy(zero_copy_only=False), table["tree"][0].as_py()
+        for part, hit in _across(_unpack(table["sig"]), table["label"].to_numpy(), stray, tree, depth, sketch):
+            use[part[hit.any(axis=1)]] = True
+            use |= hit.any(axis=0)
+        return table.filter(pa.array(use)).select(["node", "tree", "block", "stray", "label", "no"])
+
+    layout = "node bigint, tree int, block int, stray boolean, label bigint, no bigint"
+    open_ = materialise(strays.join(full.select("no", "sig"), "no").groupBy("node", "block").applyInArrow(needed, layout), "near-open")
+
+    def verify(table: pa.Table) -> pa.Table:
+        nos, label_ = table["no"].to_numpy(), table["label"].to_numpy()
+        stray, tree = table["stray"].to_numpy(zero_copy_only=False), table["tree"][0].as_py()
+        parts = [np.frombuffer(b, np.uint64) for b in table["shingles"].to_pylist()]
+        edges: set[tuple[int, int]] = set()  # one a pair of classes: at most the pairs of classes that meet here
+        for part, hit in _across(_unpack(table["sig"]), label_, stray, tree, depth, sketch):
+            hit = linked(parts, part, np.arange(len(nos)), hit, threshold)
+            i, j = np.nonzero(hit)
+            edges.update(zip(label_[part[i]].tolist(), label_[j].tolist()))
+        u, v = zip(*sorted(edges)) if edges else ((), ())
+        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+
+    second = open_.join(full, "no").groupBy("node", "block").applyInArrow(verify, "u bigint, v bigint")
+    roots = materialise(connected_components(first.unionByName(second)), "near-roots")
+    named = sets.select("sid", "no", "copies", "doc_id").join(roots.select(F.col("node").alias("no"), "root"), "no", "left").select(
+        "sid", "copies", "doc_id", F.coalesce("root", "no").alias("root"))
+    named = materialise(named, "near-named")
+    classes = named.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("sets"))
+    per_set = skew_join(named.drop("doc_id"), classes, "root", "sets", sets.count()).select("sid", "class_id", F.col("copies").alias("rows_"))
+    return skew_join(rows.select("doc_id", "sid"), per_set, "sid", "rows_", total).select("doc_id", "class_id")

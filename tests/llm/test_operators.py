@@ -334,7 +334,7 @@ def test_flight_keeps_totals():
 
 
 # 8 -----------------------------------------------------------------------
-def brute_near(texts: dict) -> dict:
+def brute_near(texts: dict, threshold: float = 0.8) -> dict:
     sets = {}
     for i, t in texts.items():
         w = t.encode().split()
@@ -351,7 +351,7 @@ def brute_near(texts: dict) -> dict:
     for k, a in enumerate(ids):
         for b in ids[k + 1 :]:
             both = len(sets[a] & sets[b])
-            if sets[a] == sets[b] or both >= 0.8 * (len(sets[a]) + len(sets[b]) - both) - 1e-12 and both:
+            if sets[a] == sets[b] or both >= threshold * (len(sets[a]) + len(sets[b]) - both) - 1e-12 and both:
                 links[a] += 1
                 links[b] += 1
                 x, y = find(a), find(b)
@@ -372,8 +372,36 @@ def test_near_duplicates(spark, docs, rows, empty, block, monkeypatch):
     got = by_id(near_join.near_duplicates(df))
     want = brute_near({r[0]: r[1] or "" for r in [*rows, *extra]})
     assert {i: (r["class_id"], r["n_links"]) for i, r in got.items()} == want
+    monkeypatch.setattr(near_join, "STAR_SETS", block)
+    classes = by_id(near_join.near_classes(df))
+    assert {i: r["class_id"] for i, r in classes.items()} == {i: c for i, (c, _) in want.items()}
     if block == 3:
         assert near_join.near_duplicates(empty).count() == 0
+        assert near_join.near_classes(empty).count() == 0
+
+
+@pytest.mark.parametrize("threshold", [0.5, 0.7])
+def test_near_duplicates_below_the_production_threshold(spark, threshold):
+    rng = random.Random(11)
+    texts = []
+    for k in range(40):  # chains of ever less similar texts
+        w = [f"w{k}x{i}" for i in range(rng.randint(40, 120))]
+        for _ in range(5):
+            texts.append(" ".join(w))
+            at = rng.randrange(len(w) - 6)
+            w[at : at + rng.randint(0, 5)] = [f"n{rng.random()}"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    want = brute_near(dict(enumerate(texts)), threshold)
+    got = by_id(near_join.near_duplicates(df, threshold=threshold))
+    assert {i: (r["class_id"], r["n_links"]) for i, r in got.items()} == want
+    assert sum(n for _, n in want.values()) > 200
+    classes = by_id(near_join.near_classes(df, threshold=threshold))
+    assert {i: r["class_id"] for i, r in classes.items()} == {i: c for i, (c, _) in want.items()}
+
+
+def test_a_recall_out_of_reach_is_refused():
+    with pytest.raises(ValueError):
+        near_join.depth_for(0.1, 24, 0.99999)
 
 
 def test_components(spark):
