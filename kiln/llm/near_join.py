@@ -1,4 +1,4 @@
-"""N-gram Jaccard join by a MinHash LSH forest (operator 8).
+"""N-gram Jaccard join by MinHash LSH over many trees (operator 8).
 
 Texts are sets of shingles (``SHINGLE`` consecutive words; a shorter text is one
 shingle).  Two documents are linked when the Jaccard similarity of their sets
@@ -6,10 +6,10 @@ is ``THRESHOLD`` or more.
 
 1. Texts with equal sets are copies; from here on each set counts once, with
    the number of its documents.
-2. Each set gets ``TREES`` signatures of up to ``MAX_DEPTH`` minima.  Sorted, a
-   tree's signatures are a prefix trie; sets below one node of depth d share the
-   first d minima.  From the full length the prefixes are shortened until
-   1 - (1 - THRESHOLD^d)^TREES reaches ``RECALL``.
+2. Each set gets a signature of ``TREES`` prefixes of minima; sets that share a
+   tree's prefix meet in a node.  The prefixes' length, one for all sets, is the greatest up to
+   ``MAX_DEPTH`` with which 1 - (1 - THRESHOLD^d)^TREES reaches ``RECALL``.  (A full LSH
+   forest would shorten the prefix set by set.)
 3. Nodes with several sets are the candidates.  A pair belongs to the first
    tree in which it meets, so it is counted once; pairs whose signatures
    agree in ``SIGMAS`` standard deviations less than the threshold are left out.  Large nodes are cut into blocks, and each pair of
@@ -17,7 +17,8 @@ is ``THRESHOLD`` or more.
 4. Only sets with candidate pairs are read again and shipped, and every pair is
    verified exactly.  A task returns counts and a spanning forest for its
    sets, never the pairs themselves.
-5. Classes are the connected components of the links.
+5. Classes are the connected components of the links.  ``near_classes`` finds them
+   without counting links, in proportion to the sizes of the nodes.
 
 Edge cases: null and empty texts have no shingles and equal sets, so they are
 copies of each other; texts of any length are used whole; ties and repeated rows
