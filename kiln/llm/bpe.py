@@ -125,7 +125,7 @@ _BUILT: dict[tuple, ByteBpe] = {}
 
 def worker_bpe(tokens: list[bytes], pattern: str) -> ByteBpe:
     """One encoder per worker process and vocabulary."""
-    key = (pattern, len(tokens), hash(tokens[-1]) if tokens else 0)
+    key = (pattern, hashlib.sha256(b"".join(struct.pack("<I", len(t)) + t for t in tokens)).digest())
     if key not in _BUILT:
         _BUILT[key] = ByteBpe(tokens, pattern)
     return _BUILT[key]

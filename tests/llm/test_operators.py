@@ -158,6 +158,13 @@ def test_bpe_equals_tiktoken(docs, rows, empty):
     assert bpe.encode_documents(empty, RANKS, public_tokenizers.PATTERN).count() == 0
 
 
+def test_vocabularies_of_one_size_are_kept_apart():
+    single = [bytes([b]) for b in range(256)]
+    one, two = (bpe.worker_bpe(single + [pair, b"zz"], r"\S+|\s+") for pair in (b"ab", b"ba"))
+    assert one is not two and bpe.worker_bpe(single + [b"ab", b"zz"], r"\S+|\s+") is one
+    assert len(one.encode(["ab"])[0]) == 4 and len(two.encode(["ab"])[0]) == 8
+
+
 # 4 -----------------------------------------------------------------------
 def brute_quality(t: str) -> tuple:
     w = re.findall(r"[^\x20\x09-\x0D]+", t)
