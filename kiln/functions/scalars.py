@@ -208,6 +208,16 @@ def regex_test(c, pattern: str, n_groups: int | None = None) -> Column:
     )
 
 
+def regex_tests(c, patterns: dict[int, str]) -> Column:
+    """SCL-13 for several patterns: an array of struct(pattern_id, result), one per pattern,
+    so that a table is read once however many patterns there are."""
+    fields = ("is_valid", "matches", "error")
+    tests = {k: regex_test(c, p, 0) for k, p in patterns.items()}
+    return F.array(*[
+        F.struct(F.lit(k).alias("pattern_id"), F.struct(*[r[f].alias(f) for f in fields]).alias("result")) for k, r in tests.items()
+    ])
+
+
 def glob_to_regex(glob: str) -> str:
     """Translate a shell glob into an anchored Java regex (fnmatch rules)."""
     out, i, n = [], 0, len(glob)

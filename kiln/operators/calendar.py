@@ -1,19 +1,16 @@
 """Business calendar (CAL-*).
 
 The calendar is generated with ``sequence`` + ``explode`` for a date range;
-its size is one row per day (bounded by the range, never by the facts), so
-joining it to a fact table goes through a size-checked broadcast.
+its size is one row per day (bounded by the range, never by the facts); the
+planner picks its join to a fact table from the sizes.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from kiln.operators.joins import previous_match
-
-# Calendar bounded to ~150 years of days: always safe to broadcast.
-
 
 def federal_holiday_name(d: Column) -> Column:
     """US federal holidays by rule (observed-date shifts are not applied,
@@ -52,30 +49,32 @@ def holidays_in(days: DataFrame, col: str = "calendar_date") -> DataFrame:
     )
 
 
-def business_calendar(days: DataFrame, holidays: DataFrame) -> DataFrame:
+def business_calendar(days: DataFrame, holidays: DataFrame | None = None) -> DataFrame:
     """CAL-01: day name, day number (0 = Sunday), holiday flag, business day
     (Mon-Fri and not a holiday) and the previous business date.
 
-    ``holidays`` (holiday_date, holiday_name) is a small table; the previous
-    business date is a "latest earlier match" computed per year with a
-    carry-in from earlier years (no single-partition window).
+    ``holidays`` (holiday_date, holiday_name) is a small table; without one the
+    rule-based holidays count, found in each day's own row.  ``days`` is read once:
+    the previous business date is a window over the calendar, which has
+    one row a day however many facts there are.
     """
-    h = holidays.select("holiday_date", "holiday_name").dropDuplicates(["holiday_date"])
-    c = days.join(h, F.col("calendar_date") == F.col("holiday_date"), "left")
-    dow = F.dayofweek("calendar_date") - 1
+    if holidays is None:
+        c = days.select("calendar_date", federal_holiday_name(F.col("calendar_date")).alias("holiday_name"))
+        holiday = F.col("holiday_name").isNotNull()
+    else:
+        h = holidays.select("holiday_date", "holiday_name").dropDuplicates(["holiday_date"])
+        c = days.join(h, F.col("calendar_date") == F.col("holiday_date"), "left")
+        holiday = F.col("holiday_date").isNotNull()
     c = c.select(
         "calendar_date",
         F.date_format("calendar_date", "EEEE").alias("day_name"),
-        dow.alias("day_number"),
-        F.col("holiday_date").isNotNull().alias("is_holiday"),
+        (F.dayofweek("calendar_date") - 1).alias("day_number"),
+        holiday.alias("is_holiday"),
         "holiday_name",
     ).withColumn("is_business_day", (F.col("day_number").between(1, 5)) & ~F.col("is_holiday"))
-    c = c.withColumn("_k", F.lit(0))
-    out = previous_match(
-        c, "_k", "calendar_date", "calendar_date", F.col("is_business_day"), F.col("calendar_date"),
-        "previous_business_date", F.year("calendar_date"),
-    )
-    return out.drop("_k")
+    earlier = W.partitionBy(F.lit(0)).orderBy("calendar_date").rowsBetween(W.unboundedPreceding, -1)
+    business = F.when(F.col("is_business_day"), F.col("calendar_date"))
+    return c.withColumn("previous_business_date", F.max(business).over(earlier))
 
 
 def attach_calendar(fact: DataFrame, date_col: Column, calendar: DataFrame) -> DataFrame:

@@ -273,20 +273,12 @@ def date_range(df: DataFrame, col: str, where: Column | None = None) -> DataFram
     return df.agg(F.min(col).alias("min_date"), F.max(col).alias("max_date"), F.count(F.lit(1)).alias("row_count"))
 
 
-def holiday_stats(holidays: DataFrame, as_of: str, col: str = "holiday_date") -> DataFrame:
-    d = F.lit(as_of).cast("date")
-    return holidays.agg(
-        F.count(F.lit(1)).alias("total"),
-        F.count_if(F.col(col) >= d).alias("upcoming"),
-        F.count_if(F.col(col) < d).alias("past"),
-    )
-
-
-def pattern_summary(tested: DataFrame, result: str = "result") -> DataFrame:
+def pattern_summary(tested: DataFrame, result: str = "result", by: list[str] | None = None) -> DataFrame:
+    """AGG-18: sums of the test results, over all rows or per ``by``."""
     r = F.col(result)
     n = F.count(F.lit(1))
     m = F.count_if(r["matches"])
-    return tested.agg(
+    return tested.groupBy(*(by or [])).agg(
         n.alias("total"),
         m.alias("matches"),
         (n - m).alias("non_matches"),

@@ -354,23 +354,14 @@ def agg_date_range(spark, d):
     return O.date_range(e, "d", F.col("event_type") == "purchase")
 
 
-PATTERNS = [
+PATTERNS = {
     # fixed values: the pattern set tested against the conversation texts
-    (1, "[a-z]+@mail[0-9]+[.]example[.]com"),
-    (2, "^(Et|La|Le) ([a-zé]+)"),
-    (3, "(the|and) ([a-z]+)"),
-    (4, "([a-z"),
-    (5, ""),
-]
-
-
-def _pattern_tests(t):
-    conv = t.conversations
-    parts = None
-    for pid, pat in PATTERNS:
-        p = conv.select(F.lit(pid).alias("pattern_id"), "conv_id", "turn", S.regex_test(F.col("text"), pat, 2).alias("result"))
-        parts = p if parts is None else parts.unionByName(p)
-    return parts
+    1: "[a-z]+@mail[0-9]+[.]example[.]com",
+    2: "^(Et|La|Le) ([a-zé]+)",
+    3: "(the|and) ([a-z]+)",
+    4: "([a-z",
+    5: "",
+}
 
 
 @query(
@@ -388,18 +379,8 @@ SELECT pattern_id, count(*) AS total, count(*) FILTER (WHERE m) AS matches, coun
 FROM tests GROUP BY pattern_id""",
 )
 def agg_pattern_summary(spark, d):
-    tests = _pattern_tests(C.T(spark, d))
-    r = F.col("result")
-    n = F.count(F.lit(1))
-    m = F.count_if(r["matches"])
-    return tests.groupBy("pattern_id").agg(
-        n.alias("total"),
-        m.alias("matches"),
-        (n - m).alias("non_matches"),
-        F.round(m * F.lit(100).cast(T.DecimalType(20, 0)) / n, 1).cast(T.DecimalType(10, 1)).alias("match_rate"),
-        F.bool_or(r["error"].isNotNull()).alias("has_errors"),
-        F.bool_and(r["is_valid"]).alias("all_valid"),
-    )
+    tests = C.T(spark, d).conversations.select(F.inline(S.regex_tests("text", PATTERNS)))
+    return O.pattern_summary(tests, by=["pattern_id"])
 
 
 @query(

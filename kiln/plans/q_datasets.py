@@ -120,8 +120,7 @@ def _days(t):
 
 
 def _calendar(t):
-    days = _days(t)
-    return K.business_calendar(days, K.holidays_in(days))
+    return K.business_calendar(_days(t))
 
 
 @query("cal_business", C.with_ctes(CAL_SQL, body="SELECT * FROM cal"))

@@ -597,8 +597,8 @@ FROM events""",
 )
 def src_melt(spark, d):
     e = C.TW(spark, d).events
-    # a wide price panel: one row per tick, columns <field>|<ticker> for every
-    # ticker (the distinct tickers are a handful of values)
+    # a wide price panel: one row per tick, columns <field>|<ticker> for every ticker; the
+    # tickers are its schema, which the driver has to know, and not rows
     tickers = sorted(r[0] for r in e.select("event_type").distinct().collect())
     cols = []
     for tk in tickers:

@@ -113,14 +113,21 @@ def melt_panel(df: DataFrame, id_cols: list[str], value_cols: list[str], sep: st
     """SRC-12: a wide price panel whose columns are ``<field><sep><ticker>``
     -> long rows (ids..., ticker, one column per field).
 
-    ``unpivot`` then ``groupBy().pivot()`` with the field list given, so the
-    pivot needs no extra pass to discover its values.
+    Every row yields its tickers by itself (``inline``), so nothing is shuffled and repeated
+    ids stay rows of their own; a field that a ticker has no column for is NULL.
     """
-    long = df.unpivot(id_cols, value_cols, "_fc", "_v")
-    parts = F.split(F.col("_fc"), "\\" + sep if sep in ".|*+?()[]{}^$\\" else sep, 2)
-    long = long.select(*id_cols, parts.getItem(0).alias("_field"), parts.getItem(1).alias("ticker"), "_v")
-    fields = sorted({c.split(sep, 1)[0] for c in value_cols})
-    return long.groupBy(*id_cols, "ticker").pivot("_field", fields).agg(F.first("_v", ignorenulls=True))
+    dtype = dict(df.dtypes)
+    parts = {c: c.split(sep, 1) for c in value_cols}
+    fields = sorted({f for f, _ in parts.values()})
+    kind = {f: next(dtype[c] for c in value_cols if parts[c][0] == f) for f in fields}
+    column = {(t, f): c for c, (f, t) in parts.items()}
+    rows = [
+        F.struct(F.lit(t).alias("ticker"), *[
+            (F.col(f"`{column[t, f]}`") if (t, f) in column else F.lit(None)).cast(kind[f]).alias(f) for f in fields
+        ])
+        for t in sorted({t for t, _ in column})
+    ]
+    return df.select(*id_cols, F.inline(F.array(*rows)))
 
 
 def flatten_search(df: DataFrame, json_col: str) -> DataFrame:

@@ -72,3 +72,40 @@ def test_csv_header_with_a_quoted_line_break(spark, tmp_path):
     assert set(got.columns) == {"id", "long\nname", "other", "_file", "_path", "_pos"}
     rows = got.select("id", F.col("`long\nname`").alias("n"), "other").collect()
     assert sorted((r["id"], r["n"], r["other"]) for r in rows) == [("1", "x", None), ("2", None, "y")]
+
+
+def _operators(df) -> str:
+    return df._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_calendar_and_patterns_read_their_table_once(spark, tmp_path):
+    from kiln.functions import scalars as S
+    from kiln.operators import calendar as K
+    from kiln.operators import opslog as O
+
+    spark.range(1).select(F.explode(F.expr("sequence(date'2024-12-20', date'2025-01-03')")).alias("calendar_date")).write.parquet(f"{tmp_path}/days")
+    days = spark.read.parquet(f"{tmp_path}/days")
+    ruled = K.business_calendar(days)
+    assert _operators(ruled).count("FileScan") == 1
+    listed = K.business_calendar(days, K.holidays_in(days))
+    assert sorted(map(str, ruled.select(sorted(ruled.columns)).collect())) == sorted(map(str, listed.select(sorted(ruled.columns)).collect()))
+    previous = {str(r.calendar_date): str(r.previous_business_date) for r in ruled.collect()}
+    assert previous["2024-12-20"] == "None" and previous["2024-12-26"] == "2024-12-24"
+    assert previous["2024-12-30"] == "2024-12-27" and previous["2025-01-02"] == "2024-12-31"
+
+    spark.createDataFrame([("ab",), ("cd",), (None,)], "text string").write.parquet(f"{tmp_path}/texts")
+    texts = spark.read.parquet(f"{tmp_path}/texts")
+    found = O.pattern_summary(texts.select(F.inline(S.regex_tests("text", {1: "a(.)", 2: "(", 3: r"\p{L}+"}))), by=["pattern_id"])
+    assert _operators(found).count("FileScan") == 1
+    got = {r.pattern_id: (r.total, r.matches, r.non_matches, float(r.match_rate), r.has_errors, r.all_valid) for r in found.collect()}
+    assert got == {1: (3, 1, 2, 33.3, False, True), 2: (3, 0, 3, 0.0, True, False), 3: (3, 2, 1, 66.7, False, True)}
+
+
+def test_melted_panels_keep_repeated_ids_and_missing_fields(spark):
+    from kiln.sources import payloads as PL
+
+    wide = spark.createDataFrame([(1, 1.0, 2.0, 5), (1, 3.0, None, 6)], "id int, `open|A.B` double, `open|C` double, `volume|C` int")
+    long = PL.melt_panel(wide, ["id"], wide.columns[1:])
+    assert "Exchange" not in _operators(long) and long.dtypes[2:] == [("open", "double"), ("volume", "int")]
+    assert sorted(map(tuple, long.collect()), key=str) == sorted(
+        [(1, "A.B", 1.0, None), (1, "C", 2.0, 5), (1, "A.B", 3.0, None), (1, "C", None, 6)], key=str)
