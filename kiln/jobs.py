@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 from kiln.operators import schema as P
 from kiln.operators.sinks import commit_dataset, stamp_dataset
 from kiln.sources import files as FS
+from kiln.sources.workbooks import column_names
 
 
 class Job(Protocol):
@@ -83,7 +84,7 @@ class GenericImport:
             kw["row_tag"] = s.row_tag
         df = FS.read(spark or self.spark, s.file_type, s.source_directory, **kw)
         if s.file_type == "xlsx":
-            cols = sorted({r[0] for r in df.select(F.explode(F.map_keys("record"))).distinct().collect()})
+            cols = column_names(spark or self.spark, s.source_directory, s.file_pattern)
             df = FS.widen(df, cols).withColumnsRenamed({"file_name": "_file", "file_path": "_path", "row_number": "_pos"})
         elif s.file_type.endswith("_blob"):
             df = df.withColumnRenamed("source_file", "_file").withColumn("_pos", F.lit(0).cast("long"))

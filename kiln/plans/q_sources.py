@@ -14,6 +14,7 @@ from kiln.plans import common as C
 from kiln.plans.registry import query
 from kiln.session import staging_dir
 from kiln.sources import files as FS
+from kiln.sources import workbooks as WB
 
 ORDER_TYPES = {
     "o_orderkey": "bigint", "o_custkey": "bigint", "o_totalprice": "double", "o_orderdate": "timestamp_ntz",
@@ -145,38 +146,24 @@ def src_logs(spark, d):
     return FS.scan_json_logs(spark, path)
 
 
-def _xlsx_writer(base: str, columns: list[str]):
-    """mapInPandas function: each task lands its rows as one workbook in the
-    (POSIX-mounted) landing zone and reports the file and row count."""
-
-    def write(it):
-        from pyspark import TaskContext
-
-        rows = []
-        for pdf in it:
-            rows.extend(pdf[columns].astype(object).where(pdf[columns].notna(), None).values.tolist())
-        if not rows:
-            return
-        pid = TaskContext.get().partitionId()
-        path = f"{base}/customers_{pid:05d}.xlsx"
-        with open(path, "wb") as f:
-            f.write(FS.xlsx_bytes(columns, rows))
-        yield pd.DataFrame({"path": [path], "n": [len(rows)]})
-
-    return write
-
-
 @query("src_xlsx", "SELECT * FROM customer")
 def src_xlsx(spark, d):
-    from kiln.session import local_path
-
+    """Workbooks written by the data source and read as records by their headers."""
     path = staging_dir(spark, "xlsx")
-    base = local_path(path)
-    if base is None:
-        raise RuntimeError("landing workbooks needs a POSIX-mounted landing zone")
     c = C.T(spark, d).customer
-    cols = c.columns
-    text = c.select(*[F.col(x).cast("string").alias(x) for x in cols])
-    text.mapInPandas(_xlsx_writer(base, cols), "path string, n long").write.format("noop").mode("overwrite").save()
-    recs = FS.scan_xlsx(spark, path)
-    return P.convert(FS.widen(recs, cols).select(*cols), CUSTOMER_TYPES).select(*cols)
+    WB.write_workbooks(c, path)
+    return P.convert(FS.widen(FS.scan_xlsx(spark, path), c.columns).select(*c.columns), CUSTOMER_TYPES).select(*c.columns)
+
+
+@query("src_workbooks", """
+SELECT CAST(p_partkey AS VARCHAR) AS p_partkey, p_name, p_brand || chr(1) || '_x0041_ <&> ' || p_type AS marked,
+       CASE WHEN p_size % 2 = 0 THEN CAST(p_size AS VARCHAR) END AS even_size FROM part""")
+def src_workbooks(spark, d):
+    """UDF-02: the workbook source as a reader that a user plugs in; texts come back as they were, NULL included."""
+    path = staging_dir(spark, "workbooks")
+    size = F.col("p_size")
+    WB.write_workbooks(C.T(spark, d).part.select(
+        "p_partkey", "p_name", F.concat("p_brand", F.lit("\x01_x0041_ <&> "), "p_type").alias("marked"),
+        F.when(size % 2 == 0, size).alias("even_size")), path)
+    FS.register_reader("workbooks", WB.scan_workbooks)
+    return FS.read(spark, "workbooks", path).drop("file_path", "row_number", "file_name")

@@ -328,29 +328,11 @@ def with_first_record_value(df: DataFrame, column: str, out: str, file_col: str
     return df.join(firsts, file_col, "left")
 
 
-def xlsx_bytes(header: list[str], rows: list[list[object]]) -> bytes:
-    """A minimal one-sheet workbook (inline strings) for landing test data."""
-
-    def esc(v: object) -> str:
-        return (str(v).replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;"))
-
-    def col(i: int) -> str:
-        s = ""
-        i += 1
-        while i:
-            i, r = divmod(i - 1, 26)
-            s = chr(65 + r) + s
-        return s
-
-    xml_rows = []
-    for rn, r in enumerate([header, *rows], start=1):
-        cells = "".join(
-            f'<c r="{col(i)}{rn}" t="inlineStr"><is><t>{esc(v)}</t></is></c>' for i, v in enumerate(r) if v is not None
-        )
-        xml_rows.append(f'<row r="{rn}">{cells}</row>')
+def xlsx_parts() -> tuple[str, str, dict[str, str]]:
+    """Begin and end of a minimal workbook's only sheet, and its other parts."""
     main = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
     rel = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
-    files = {
+    others = {
         "[Content_Types].xml": (
             '<?xml version="1.0" encoding="UTF-8"?><Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types">'
             '<Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/>'
@@ -373,10 +355,32 @@ def xlsx_bytes(header: list[str], rows: list[list[object]]) -> bytes:
             '<Relationship Id="rId1" Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/worksheet" Target="worksheets/sheet1.xml"/>'
             "</Relationships>"
         ),
-        "xl/worksheets/sheet1.xml": (
-            f'<?xml version="1.0" encoding="UTF-8"?><worksheet xmlns="{main}"><sheetData>{"".join(xml_rows)}</sheetData></worksheet>'
-        ),
     }
+    return f'<?xml version="1.0" encoding="UTF-8"?><worksheet xmlns="{main}"><sheetData>', "</sheetData></worksheet>", others
+
+
+def xlsx_bytes(header: list[str], rows: list[list[object]]) -> bytes:
+    """A minimal one-sheet workbook (inline strings) for landing test data."""
+
+    def esc(v: object) -> str:
+        return (str(v).replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;"))
+
+    def col(i: int) -> str:
+        s = ""
+        i += 1
+        while i:
+            i, r = divmod(i - 1, 26)
+            s = chr(65 + r) + s
+        return s
+
+    xml_rows = []
+    for rn, r in enumerate([header, *rows], start=1):
+        cells = "".join(
+            f'<c r="{col(i)}{rn}" t="inlineStr"><is><t>{esc(v)}</t></is></c>' for i, v in enumerate(r) if v is not None
+        )
+        xml_rows.append(f'<row r="{rn}">{cells}</row>')
+    begin, end, files = xlsx_parts()
+    files["xl/worksheets/sheet1.xml"] = begin + "".join(xml_rows) + end
     buf = io.BytesIO()
     with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as z:
         for name, text in files.items():
