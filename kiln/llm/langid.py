@@ -1,11 +1,12 @@
 """Language identification of mixed-language text (operator 5).
 
-Words are runs of letters.  A word's script (by its first letter's code-point
+Words are runs of letters and of the marks combined with them (vowel signs, points,
+accents), beginning with a letter.  A word's script (by its first letter's code-point
 range) narrows the languages to those that use that script in training;
 every remaining language gets the word's log-likelihood ratio from letter
 trigrams and the whole word (both hashed).  Viterbi over the words, with a
 penalty for each switch, labels spans; the document's language is the one with
-the most letters, its score that language's share of the letters.
+the most letters and marks, its score that language's share of them.
 
 Training counts are summed by Spark over labelled rows: at most about
 ``MAX_LABELLED`` documents, shared equally among the languages and chosen by a
@@ -19,6 +20,7 @@ rows every text is ``und``; other columns are ignored.
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -55,14 +57,15 @@ _SCRIPT_OF = np.array([SCRIPT_NAMES.index(name) for _, name in SCRIPTS])
 _TABLES: list[np.ndarray] = []
 
 
-def _char_tables() -> tuple[np.ndarray, np.ndarray]:
-    """Of every code point: is it a letter; its lower case where that is one character."""
+def _char_tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of every code point: is it a letter; its lower case where that is one character; is it a combining mark."""
     if not _TABLES:
         points = [chr(c) if not 0xD800 <= c < 0xE000 else " " for c in range(0x110000)]
         lower = [c.lower() for c in points]
         _TABLES.append(np.array([c.isalpha() for c in points]))
         _TABLES.append(np.array([ord(b) if len(b) == 1 else ord(a) for a, b in zip(points, lower)], np.uint32))
-    return _TABLES[0], _TABLES[1]
+        _TABLES.append(np.array([unicodedata.category(c) in ("Mn", "Mc") for c in points]))
+    return _TABLES[0], _TABLES[1], _TABLES[2]
 
 
 def _scramble(x: np.ndarray) -> np.ndarray:
@@ -84,16 +87,24 @@ class Words:
 
 
 def find_words(texts: list[str]) -> Words:
-    alpha, lower = _char_tables()
+    alpha, lower, mark = _char_tables()
     lengths = np.array([len(t) + 1 for t in texts], np.int64)
     codes = np.frombuffer(("\x00".join(texts) + "\x00").encode("utf-32-le", "surrogatepass"), np.uint32)
-    letter = np.concatenate([[False], alpha[codes], [False]])
-    edge = np.flatnonzero(letter[1:] != letter[:-1])
+    letter = alpha[codes]
+    run = np.concatenate([[False], letter | mark[codes], [False]])
+    edge = np.flatnonzero(run[1:] != run[:-1])
     begin, end = edge[::2], edge[1::2]
+    letters = np.append(np.flatnonzero(letter), len(codes))
+    begin = letters[np.searchsorted(letters, begin)]  # marks before the first letter belong to no word
+    begin, end = begin[begin < end], end[begin < end]
+    step = np.zeros(len(codes) + 1, np.int8)
+    step[begin] = 1
+    step[end] -= 1
+    inside_word = np.cumsum(step[:-1], dtype=np.int8) > 0
     offsets = np.cumsum(lengths) - lengths
     doc = np.searchsorted(offsets, begin, side="right") - 1
-    low = np.concatenate([[0], np.where(letter[1:-1], lower[codes], 0), [0]]).astype(np.uint64)
-    at = np.flatnonzero(letter[1:-1])  # positions of letters
+    low = np.concatenate([[0], np.where(inside_word, lower[codes], 0), [0]]).astype(np.uint64)
+    at = np.flatnonzero(inside_word)  # positions of letters and their marks
     tri = _scramble(low[at] * np.uint64(0x1F123BB5) + low[at + 1] * np.uint64(0x5851F42D4C957F2D) + low[at + 2] * np.uint64(0x14057B7EF767814F))
     length = end - begin
     first = np.cumsum(length) - length
