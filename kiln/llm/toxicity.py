@@ -82,10 +82,16 @@ def pieces(token: str) -> list[str]:
     return [marked[i : i + WINDOW] for i in range(0, len(marked) - WINDOW // 2, WINDOW // 2)]
 
 
+def _flat(strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The character codes of all strings, one after the other, and their lengths."""
+    codes = np.frombuffer("".join(strings).encode("utf-32-le", "surrogatepass"), np.int32)
+    return codes, np.fromiter(map(len, strings), np.int64, len(strings))
+
+
 def _codes(strings: list[str], blank: int) -> np.ndarray:
-    out = np.full((len(strings), max(map(len, strings), default=0)), blank, np.int32)
-    for i, s in enumerate(strings):
-        out[i, : len(s)] = np.frombuffer(s.encode("utf-32-le", "surrogatepass"), np.int32)
+    codes, size = _flat(strings)
+    out = np.full((len(strings), int(size.max(initial=0))), blank, np.int32)
+    out[np.arange(out.shape[1]) < size[:, None]] = codes
     return out
 
 
@@ -115,10 +121,14 @@ def kernel(words: list[str], others: list[str]) -> np.ndarray:
     return kernel_pairs(s[a], t[b]).reshape(len(words), len(others))
 
 
-def _letters(codes: np.ndarray) -> np.ndarray:
-    """A 64-bit set of each row's characters (by code modulo 64); blanks are negative."""
-    bits = np.where(codes >= 0, np.uint64(1) << (codes % 64).astype(np.uint64), np.uint64(0))
-    return np.bitwise_or.reduce(bits, axis=1) if codes.shape[1] else np.zeros(len(codes), np.uint64)
+def _letters(strings: list[str]) -> np.ndarray:
+    """A 64-bit set of each string's characters (by code modulo 64)."""
+    codes, size = _flat(strings)
+    out = np.zeros(len(strings), np.uint64)
+    some = size > 0
+    if some.any():
+        out[some] = np.bitwise_or.reduceat(np.uint64(1) << (codes % 64).astype(np.uint64), (np.cumsum(size) - size)[some])
+    return out
 
 
 @dataclass
@@ -150,7 +160,7 @@ class Similarity:
         self.landmarks = landmarks
         self.codes = _codes(landmarks, -2)
         self.own = kernel_pairs(_codes(landmarks, -1), self.codes) if landmarks else np.zeros(0, np.float32)
-        self.letters = _letters(self.codes)
+        self.letters = _letters(landmarks)
         self.cache: dict[str, np.ndarray | None] = {}
         self.spelled: dict[str, str] = {}
         inner = {letters(x) for x in landmarks[:toxic]}
@@ -175,19 +185,25 @@ class Similarity:
             out = out * self.base + d
         return out
 
-    def joins(self, words: list[str]) -> list[tuple[int, int]]:
-        """Ranges of neighbouring tokens whose letters spell parts of a landmark across the blanks."""
+    def joins(self, texts: list[list[str]]) -> list[list[tuple[int, int]]]:
+        """Of each text's tokens, ranges of neighbours whose letters spell parts of a landmark across the blanks."""
         spelled = self.spelled
-        parts = [spelled[w] for w in words]
-        stream = np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), np.int32)
+        words: list[str] = []
+        parts: list[str] = []
+        for ws in texts:
+            words += ws
+            words.append(" ")
+            parts += [spelled[w] for w in ws]
+            parts.append("\0")  # no letter: nothing is spelled across texts
+        stream, size = _flat(parts)
         digits = self.place[np.minimum(stream, len(self.place) - 1)]
-        ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)))
-        out: set[tuple[int, int]] = set()
+        ends = np.cumsum(size)
+        found: set[tuple[int, int]] = set()
         for n, (known, flat) in self.grams.items():
             if len(digits) < n:
                 continue
-            size = len(digits) - n + 1
-            number = self._number([digits[i : i + size] for i in range(n)])
+            width = len(digits) - n + 1
+            number = self._number([digits[i : i + width] for i in range(n)])
             if flat:
                 at = np.flatnonzero(known[number])
             else:
@@ -197,40 +213,28 @@ class Similarity:
             cut = np.flatnonzero(np.diff(at) > 1) + 1
             first, last = at[np.concatenate([[0], cut])], at[np.concatenate([cut - 1, [len(at) - 1]])] + n - 1
             lo, hi = np.searchsorted(ends, first, side="right"), np.searchsorted(ends, last, side="right")
-            out.update((int(x), int(y) + 1) for x, y in zip(lo, hi) if x < y)
-        return [(x, y) for x, y in sorted(out) if not any(w[-1] in ".!?" for w in words[x : y - 1])]
+            several = lo < hi
+            found.update(zip(lo[several].tolist(), (hi[several] + 1).tolist()))
+        starts = np.cumsum([0, *(len(ws) + 1 for ws in texts)])
+        out: list[list[tuple[int, int]]] = [[] for _ in texts]
+        for x, y in sorted(found):
+            if not any(w[-1] in ".!?" for w in words[x : y - 1]):
+                k = int(np.searchsorted(starts, x, side="right")) - 1
+                out[k].append((x - int(starts[k]), y - int(starts[k])))
+        return out
 
-    def learn(self, words: set[str]) -> None:
+    def learn(self, words: set[str], kept: set[str] = frozenset()) -> None:
+        """Remember the similarities of ``words``; those of ``kept`` stay too."""
         new = [w for w in words if w not in self.cache]
         if len(self.cache) + len(new) > CACHE_ENTRIES:
             self.cache.clear()
             self.spelled.clear()
-            new = list(words)
+            new = list(words | kept)
         spelled = {w: letters(w) for w in new}
         # as they stand, but neighbouring tokens (with blanks) by their letters only
         fresh = {w for w in new if " " not in w}.union(x for x in spelled.values() if x and x not in self.cache)
-        users: dict[str, list[str]] = {}
-        for w in fresh:
-            for p in pieces(w):
-                users.setdefault(p, []).append(w)
-        parts = sorted(users, key=len)
-        best: dict[str, np.ndarray] = {}
-        for lo in range(0, len(parts), 8192):
-            chunk = parts[lo : lo + 8192]
-            codes = _codes(chunk, -1)
-            own = _letters(codes)
-            # a token that lacks a landmark's character isn't similar to it
-            a, b = np.nonzero((own[:, None] & self.letters[None, :]) == self.letters[None, :])
-            if not len(a):
-                continue
-            near = np.minimum(kernel_pairs(codes[a], self.codes[b]) / self.own[b], 1.0)
-            near = np.maximum(near - MIN_SIMILAR, 0.0) / (1 - MIN_SIMILAR)
-            for k in np.flatnonzero(near):
-                for w in users[chunk[a[k]]]:
-                    row = best.setdefault(w, np.zeros(len(self.landmarks)))
-                    row[b[k]] = max(row[b[k]], near[k])
-        for w in fresh:
-            self.cache[w] = best.get(w)
+        best = self._best(fresh)
+        self.cache.update((w, best.get(w)) for w in fresh)
         for w, x in spelled.items():
             if " " not in w:
                 self.spelled[w] = x
@@ -240,6 +244,31 @@ class Similarity:
         for x in fresh.difference(spelled):
             self.spelled[x] = x
 
+    def _best(self, words: set[str]) -> dict[str, np.ndarray]:
+        """The graded similarities of the words that have any."""
+        parts, users = [], []
+        for w in words:
+            mine = pieces(w)
+            parts += mine
+            users += [w] * len(mine)
+        own = _letters(parts)
+        # a token that lacks a landmark's character isn't similar to it
+        holds = np.zeros(len(parts), bool)
+        for x in np.unique(self.letters):
+            holds |= (own & x) == x
+        use = np.flatnonzero(holds)
+        use = use[np.argsort([len(parts[i]) for i in use], kind="stable")]
+        best: dict[str, np.ndarray] = {}
+        for lo in range(0, len(use), 8192):
+            chunk = use[lo : lo + 8192]
+            a, b = np.nonzero((own[chunk][:, None] & self.letters[None, :]) == self.letters[None, :])
+            near = np.minimum(kernel_pairs(_codes([parts[i] for i in chunk], -1)[a], self.codes[b]) / self.own[b], 1.0)
+            near = np.maximum(near - MIN_SIMILAR, 0.0) / (1 - MIN_SIMILAR)
+            for k in np.flatnonzero(near):
+                row = best.setdefault(users[chunk[a[k]]], np.zeros(len(self.landmarks)))
+                row[b[k]] = max(row[b[k]], near[k])
+        return best
+
     def near(self, texts: list[str]) -> list[list[str]]:
         """Of each text, its distinct tokens and neighbouring tokens with any similarity, in order."""
         if not self.landmarks:
@@ -247,16 +276,16 @@ class Similarity:
         words = [tokens(t) for t in texts]
         single = set().union(*words)
         self.learn(single)
-        joined = [[" ".join(ws[x:y]) for x, y in self.joins(ws)] for ws in words]
-        if any(joined):
-            self.learn(single.union(*joined))
+        joined = [[" ".join(ws[x:y]) for x, y in js] for ws, js in zip(words, self.joins(words))]
+        self.learn(set().union(*joined), single)
+        hits = {w for w in single if self.cache[w] is not None}
         out = []
         for text, ws, js in zip(texts, words, joined):
             js = [j for j in dict.fromkeys(js) if self.cache[j] is not None]
             if js:
                 inside = [f" {' '.join(tokens(x))} " for x in sentences(text)]
                 js = [j for j in js if any(f" {j} " in x for x in inside)]
-            out.append([w for w in dict.fromkeys(ws) if self.cache[w] is not None] + js)
+            out.append(list(dict.fromkeys(w for w in ws if w in hits)) + js)
         return out
 
 

@@ -542,3 +542,25 @@ def test_held_out_rows(spark):
     df = spark.createDataFrame([(i,) for i in range(50)], "doc_id bigint")
     got = {r[0]: (r[1], r[2]) for r in df.select("doc_id", langid.held_out(df.doc_id), toxicity.held_out(df.doc_id)).collect()}
     assert got == {i: (zlib.crc32(str(i).encode()) % 4 == 2, zlib.crc32(str(i).encode()) % 5 == 0) for i in range(50)}
+
+
+def test_words_keep_their_combining_marks():
+    from kiln.llm.langid import find_words
+
+    texts = ["नमस्ते दुनिया यहाँ", "́́ été ́a", "", "́ 12", "plain words", "வணக்கம் שָׁלוֹם"]
+    w = find_words(texts)
+    got = [[texts[d][s : s + n] for e, s, n in zip(w.doc, w.start, w.length) if e == d] for d in range(len(texts))]
+    assert got == [texts[0].split(), ["été", "a"], [], [], ["plain", "words"], texts[5].split()]
+
+
+def test_toxicity_joins_stay_inside_their_text():
+    from kiln.llm.toxicity import Similarity, _codes, _letters
+
+    sim = Similarity(["^idiot", "^loser"], 2)
+    texts = [["you", "id", "iot"], ["id"], ["iot", "los", "er"], [], ["los.", "er"]]
+    sim.learn({w for t in texts for w in t})
+    together = sim.joins(texts)
+    assert together == [[r for one in sim.joins([t]) for r in one] for t in texts]
+    assert together[0] == [(1, 3)] and together[2] == [(1, 3)] and not together[1] and not together[3] and not together[4]
+    assert _codes(["ab", "", "c"], -1).tolist() == [[97, 98], [-1, -1], [99, -1]]
+    assert _letters(["ab", ""]).tolist() == [(1 << 33) | (1 << 34), 0] and len(_codes([], -1)) == 0
