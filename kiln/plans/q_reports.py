@@ -236,7 +236,7 @@ def import_job(spark, d):
     """SELECT 21 + o_orderkey % 2 AS datasetid, count(*) AS loaded, 'orders' AS label,
        CASE WHEN o_orderkey % 2 = 0 THEN DATE '2026-01-01' ELSE DATE '2026-01-02' END AS datasetdate,
        o_orderkey % 2 = 1 AS isactive, CASE WHEN o_orderkey % 2 = 1 THEN 'Active' ELSE 'Inactive' END AS status,
-       1 AS events, count(*) AS event_records, 0 AS files_not_archived
+       CAST(1 AS BIGINT) AS events, count(*) AS event_records, CAST(0 AS BIGINT) AS files_not_archived
 FROM orders GROUP BY o_orderkey % 2""",
 )
 def import_job_ledger(spark, d):
