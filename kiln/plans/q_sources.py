@@ -104,7 +104,7 @@ def src_xml_blob(spark, d):
         F.count_if(F.octet_length("raw_data") != F.col("size")).alias("wrong_size"))
 
 
-@query("src_discover", """SELECT o_orderstatus, count(*) AS records, 0 AS repeated, 0 AS wrong_size FROM orders GROUP BY o_orderstatus""")
+@query("src_discover", """SELECT o_orderstatus, count(*) AS records, CAST(0 AS BIGINT) AS repeated, CAST(0 AS BIGINT) AS wrong_size FROM orders GROUP BY o_orderstatus""")
 def src_discover(spark, d):
     """Every listed file is held against storage: the records read back from it, its size, and that it was listed once."""
     path = staging_dir(spark, "discover")
