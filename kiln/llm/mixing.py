@@ -10,12 +10,14 @@ times, and once more with inclusion probability frac(ratio).  That last part
 is drawn by the cube method: the fractional probabilities move along the null
 space of the balancing constraints (number of documents, number of words), so
 both totals stay exact, until they are 0 or 1.  The flight runs in blocks of
-about ``BLOCK`` documents chosen by a hash of the id; each block leaves at most
+about ``BLOCK`` documents chosen by a hash of the row; each block leaves at most
 two fractional documents, which meet in the next round's blocks, until one
 block per source is left.  Only then is the small landing problem solved, by
 the outcome nearest to the word target.
 
-Every choice is driven by hashes of doc_id, so reruns agree.
+Every choice is driven by hashes of doc_id, source and text, so reruns agree.
+Rows equal in all three are told apart by a number, 1 to their count, so that rows of one
+id (or of none), however many, spread over all blocks of their source.
 
 Edge cases: null text has size 0; a source of size 0 has target 0 and is
 taken 0 times; null is a source of its own; an empty table gives no rows;
@@ -30,11 +32,12 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kiln.llm.common import materialise, utf8
+from kiln.llm.exact_dedup import flagged
 
 WEIGHTS = (1.0, 2.0, 3.0)
 MAX_REPEATS = 3.0
@@ -50,20 +53,43 @@ def per_source(plan: DataFrame, sources: int) -> DataFrame:
 
 
 def word_sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """doc_id, source and number of words of every row."""
+    """doc_id, source, number of words and hash (of id, source and text, null or not) of every row."""
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), utf8(F.col(text_col)).alias("b"))
+    # a hash skips nulls, so they are marked
+    h = F.xxhash64("doc_id", F.col("doc_id").isNull(), "source", F.col("source").isNull(), "b")
+    slim = slim.withColumn("h", h)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             size = pa.array([len(x.as_py().split()) for x in batch.column("b")], type=pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("source"), size], names=["doc_id", "source", "size"]
+                [batch.column("doc_id"), batch.column("source"), size, batch.column("h")], names=["doc_id", "source", "size", "h"]
             )
 
-    schema = T.StructType([*slim.schema.fields[:2], T.StructField("size", T.LongType())])
+    schema = T.StructType([*slim.schema.fields[:2], T.StructField("size", T.LongType()), T.StructField("h", T.LongType())])
     return slim.mapInArrow(count, schema)
 
 
+def numbered(slim: DataFrame) -> DataFrame:
+    """``slim`` (h, no, ...; written) with rows of one ``h`` told apart: their numbers, 1 to their count, join the hash.
+
+    Rows are numbered inside the ranges of ``no`` that one task wrote, behind the earlier ranges' counts, so no task
+    gets all rows of a hash.  Rows whose hash can't repeat stay where they are.
+    """
+    repeated = materialise(slim.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "mix-same")
+    if repeated.isEmpty():
+        return slim.drop("no")
+    told = materialise(flagged(slim.withColumn("range", F.shiftright("no", 33)), "h", repeated, "maybe"), "mix-told")
+    maybe = told.where("maybe")
+    ranges = maybe.groupBy("h", "range").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("h").orderBy("range").rowsBetween(Window.unboundedPreceding, -1))
+    ranges = ranges.select("h", "range", F.coalesce(before, F.lit(0)).alias("before"))
+    inside = maybe.withColumn("copy", F.row_number().over(Window.partitionBy("h", "range").orderBy("no")))
+    apart = inside.join(ranges, ["h", "range"]).withColumn("h", F.xxhash64("h", F.col("copy") + F.col("before")))
+    columns = [c for c in slim.columns if c != "no"]
+    return told.where("not maybe").select(columns).unionByName(apart.select(columns))
+
+
 def share_targets(sizes: list[int], weights: list[float], total: float, max_repeats: float = MAX_REPEATS) -> list[float]:
     """Targets of the sources: ``total`` by weight, stopped at ``max_repeats * size``, the excess reshared."""
     target = [0.0] * len(sizes)
@@ -202,7 +228,8 @@ def mix_sources(
     block: int = BLOCK,
 ) -> DataFrame:
     """doc_id, source, size, source_size, target, taken (words, repeats counted) and repeats of every row."""
-    slim = materialise(word_sizes(docs, id_col, text_col, source_col), "mix-sizes")
+    slim = word_sizes(docs, id_col, text_col, source_col).withColumn("no", F.monotonically_increasing_id())
+    slim = materialise(slim, "mix-sizes")
     spark = docs.sparkSession
     # one row per source: the mix's own configuration, not the corpus
     totals = slim.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()
@@ -222,11 +249,11 @@ def mix_sources(
             T.StructField("ratio", T.DoubleType()),
         ]),
     )
-    units = slim.join(per_source(plan, len(totals)), F.col("source").eqNullSafe(F.col("_source"))).select(
+    units = numbered(slim).join(per_source(plan, len(totals)), F.col("source").eqNullSafe(F.col("_source"))).select(
         "src", "doc_id", "source", "size", "source_size", "target",
         F.floor(F.col("ratio") + EPS).alias("whole"),
         F.greatest(F.lit(0.0), F.col("ratio") - F.floor(F.col("ratio") + EPS)).alias("prob"),
-        F.xxhash64("doc_id", F.lit("mix")).alias("h"),
+        "h",
     )
     drawn = cube_sample(units, block)
     repeats = F.col("whole") + F.round("prob").cast("long")

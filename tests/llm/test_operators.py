@@ -15,10 +15,12 @@ import pytest
 
 import public_tokenizers
 import tiktoken
+from pyspark.sql import functions as F
 
 from kiln.llm import (
     bpe, chat, components, exact_dedup, langid, licenses, mixing, near_join, quality, suffix_dedup, toxicity,
 )
+from kiln.llm.common import materialise
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, n_words string, ids int"
@@ -332,6 +334,48 @@ def test_mix_hits_targets(spark, empty):
     assert mixing.mix_sources(empty).count() == 0
 
 
+def test_mix_spreads_rows_of_one_id(spark):
+    """A third of the rows without an id, a third the same row again: all blocks get their share, reruns agree."""
+    rng = random.Random(8)
+    data = [(None, " ".join("w" * rng.randint(1, 30)), "a") for _ in range(1500)]
+    data += [(None, "the same text again", "a")] * 1500 + [(7, "three more words", None)] * 1000 + [(7, "other", None), (None, None, None), (None, "", None)]
+    data += [(i, " ".join("w" * rng.randint(1, 30)), rng.choice("bc")) for i in range(600)]
+    schema = "doc_id bigint, text string, source string"
+    df = spark.createDataFrame(data, schema).repartition(6)
+
+    def hashes(frame):
+        slim = mixing.word_sizes(frame).withColumn("no", F.monotonically_increasing_id())
+        return mixing.numbered(materialise(slim, "mix-test")).select("source", "h")
+
+    found = hashes(df)
+    assert sorted(r.h for r in found.collect()) == sorted(r.h for r in hashes(spark.createDataFrame(data[::-1], schema).repartition(3)).collect())
+    assert found.select("h").distinct().count() == len(data)
+    per = [r["count"] for r in found.where("source = 'a'").groupBy(F.pmod(F.xxhash64("h", F.lit(0)), F.lit(12))).count().collect()]
+    assert len(per) == 12 and max(per) < 2 * 3000 / 12
+    got = mixing.mix_sources(df, block=256).collect()
+    size, taken, counts = collections.Counter(), collections.Counter(), collections.Counter()
+    for _, t, s in data:
+        size[s] += len((t or "").split())
+        counts[s] += 1
+    for r in got:
+        taken[r["source"]] += r["taken"]
+        counts[r["source"]] -= 1
+        assert 0 <= r["taken"] <= 3 * r["size"] and r["repeats"] * r["size"] == r["taken"]
+    assert not any(counts.values())
+    # the level at which the stopped targets add up to all words, by bisection
+    weight = {s: 1 + i % 3 for i, s in enumerate(sorted(size, key=lambda s: (s is None, s or "")))}
+    low, high = 0.0, 3.0 * sum(size.values())
+    for _ in range(200):
+        mid = (low + high) / 2
+        low, high = (mid, high) if sum(min(3 * size[s], mid * weight[s]) for s in size) < sum(size.values()) else (low, mid)
+    for s in size:
+        want = min(3 * size[s], low * weight[s])
+        assert abs(taken[s] - want) <= 60 and all(abs(r["target"] - want) < 1e-3 for r in got if r["source"] == s)
+    again = mixing.mix_sources(df.repartition(3), block=256).collect()
+    order = lambda r: (str(r["doc_id"]), str(r["source"]), *r[2:])
+    assert sorted(got, key=order) == sorted(again, key=order)
+
+
 def test_flight_keeps_totals():
     rng = np.random.default_rng(1)
     size, prob = rng.integers(0, 50, 500), np.full(500, 0.37)
