@@ -120,7 +120,7 @@ def set_ids(shingles: np.ndarray, counts: np.ndarray) -> list[bytes]:
 
 
 def _sketches(docs: DataFrame, minima: int, width: int) -> DataFrame:
-    """doc_id, sid (the set's name), n (shingles) and sig of every document."""
+    """doc_id, hash (of the text), sid (the set's name), n (shingles) and sig of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -128,13 +128,13 @@ def _sketches(docs: DataFrame, minima: int, width: int) -> DataFrame:
                 s, n = shingle_sets(data, width)
                 sig = signatures(s, n, minima)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(lo, hi - lo), pa.array(set_ids(s, n), pa.binary()),
+                    [batch.column("doc_id").slice(lo, hi - lo), batch.column("hash").slice(lo, hi - lo), pa.array(set_ids(s, n), pa.binary()),
                      pa.array(n, pa.int64()), pa.array([r.tobytes() for r in sig], pa.binary())],
-                    names=["doc_id", "sid", "n", "sig"],
+                    names=["doc_id", "hash", "sid", "n", "sig"],
                 )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"doc_id {kind}, sid binary, n bigint, sig binary")
+    return docs.mapInArrow(run, f"doc_id {kind}, hash bigint, sid binary, n bigint, sig binary")
 
 
 def _nodes(sets: DataFrame, trees: int, depth: int) -> DataFrame:
@@ -273,10 +273,14 @@ def _verify(members: DataFrame, sets: DataFrame, depth: int, sketch: float, thre
 
 
 def _shingle_rows(docs: DataFrame, chosen: DataFrame, width: int) -> DataFrame:
-    """sid and shingles (sorted, 64-bit) of the chosen sets, read again from one document of each."""
-    cells, bitmap = bitmap_of(chosen, "doc_id")
-    near = in_bitmap(docs, "doc_id", cells, bitmap)
-    texts = near.join(chosen, near["doc_id"].eqNullSafe(chosen["doc_id"])).select("b")
+    """sid and shingles (sorted, 64-bit) of the chosen sets, read again from one document of each.
+
+    A document is named by its id and its text's hash (a struct: null ids are equal), so texts without an id
+    meet only their own set.
+    """
+    cells, bitmap = bitmap_of(chosen, "rep")
+    near = in_bitmap(docs.select(F.struct("doc_id", "hash").alias("rep"), "b"), "rep", cells, bitmap)
+    texts = near.join(chosen.select("rep"), "rep").select("b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -288,17 +292,18 @@ def _shingle_rows(docs: DataFrame, chosen: DataFrame, width: int) -> DataFrame:
                     names=["sid", "shingles"],
                 )
 
-    # rows that share a doc_id may bring other sets, or one set twice
+    # rows that share id and text bring one set several times, texts of equal hash may bring others
     found = texts.mapInArrow(run, "sid binary, shingles binary")
     return found.join(chosen.select("sid"), "sid", "left_semi").dropDuplicates(["sid"])
 
 
 def _distinct_sets(docs: DataFrame, id_col: str, text_col: str, minima: int, width: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The texts, the rows (doc_id, sid, n, sig) and the distinct sets (sid, no, copies, doc_id, n, sig)."""
-    slim = docs.select(F.col(id_col).alias("doc_id"), utf8(F.col(text_col)).alias("b"))
+    """The texts, the rows (doc_id, hash, sid, n, sig) and the distinct sets (sid, no, copies, doc_id, rep, n, sig)."""
+    slim = docs.select(F.col(id_col).alias("doc_id"), utf8(F.col(text_col)).alias("b")).withColumn("hash", F.xxhash64("b"))
     rows = materialise(_sketches(slim, minima, width), "near-rows")
     sets = rows.groupBy("sid").agg(
-        F.count("*").alias("copies"), F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sig").alias("sig")
+        F.count("*").alias("copies"), F.min("doc_id").alias("doc_id"), F.max(F.struct("doc_id", "hash")).alias("rep"),
+        F.first("n").alias("n"), F.first("sig").alias("sig"),
     )
     return slim, rows, materialise(sets.withColumn("no", F.monotonically_increasing_id()), "near-sets")
 
@@ -314,8 +319,8 @@ def near_duplicates(
     total = rows.count()
     members = materialise(_members(sets.where("n > 0"), trees, depth, sketch), "near-members")
     wanted = members.select("no").distinct()
-    chosen = materialise(sets.join(wanted, "no", "left_semi").select("sid", "no", "doc_id", "copies", "sig"), "near-chosen")
-    shingles = _shingle_rows(slim, chosen.select("sid", "doc_id"), width)
+    chosen = materialise(sets.join(wanted, "no", "left_semi").select("sid", "no", "rep", "copies", "sig"), "near-chosen")
+    shingles = _shingle_rows(slim, chosen.select("sid", "rep"), width)
     full = chosen.select("sid", "no", "copies", "sig").join(shingles, "sid").drop("sid")
     found = materialise(_verify(members, full, depth, sketch, threshold), "near-links")
     roots = materialise(
@@ -413,8 +418,8 @@ def near_classes(
     met = materialise(skew_join(nodes.select("node", "tree", "no"), leads, "node", "members", trees * sets.count()), "near-met")
     pairs = materialise(met.where("no <> lead").select("no", "lead").distinct(), "near-stars")
     wanted = met.select("no").distinct()
-    chosen = materialise(sets.join(wanted, "no", "left_semi").select("sid", "no", "doc_id", "sig"), "near-chosen")
-    shingles = _shingle_rows(slim, chosen.select("sid", "doc_id"), width)
+    chosen = materialise(sets.join(wanted, "no", "left_semi").select("sid", "no", "rep", "sig"), "near-chosen")
+    shingles = _shingle_rows(slim, chosen.select("sid", "rep"), width)
     full = materialise(chosen.select("sid", "no", "sig").join(shingles, "sid").drop("sid"), "near-full")
     first = materialise(_verify_stars(pairs, full, threshold).select(F.col("no").alias("u"), F.col("lead").alias("v")), "near-links")
     roots = materialise(connected_components(first), "near-roots")

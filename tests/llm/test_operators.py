@@ -450,6 +450,31 @@ def test_near_duplicates_below_the_production_threshold(spark, threshold):
     assert {i: r["class_id"] for i, r in classes.items()} == {i: c for i, (c, _) in want.items()}
 
 
+def test_near_duplicates_without_ids(spark):
+    """Most rows have no id or share one: links and classes are those of their texts."""
+    rng = random.Random(13)
+    texts = []
+    for k in range(15):
+        w = [f"w{k}x{i}" for i in range(90)]
+        for _ in range(4):
+            texts.append(" ".join(w))
+            w[rng.randrange(90)] = f"n{rng.random()}"
+    texts += [texts[0]] * 30 + ["", None]
+    ids = [None if i % 3 else 7 for i in range(len(texts))]
+    ids[59] = 3
+    df = spark.createDataFrame(list(zip(ids, texts)), "doc_id bigint, text string").repartition(3)
+    want = brute_near({i: t or "" for i, t in enumerate(texts)})
+    name = {}
+    for i, (c, _) in want.items():
+        name[c] = min((x for x in (name.get(c), ids[i]) if x is not None), default=None)
+    size = collections.Counter(c for c, _ in want.values())
+    expected = collections.Counter((ids[i], name[c], size[c], n) for i, (c, n) in want.items())
+    got = near_join.near_duplicates(df).collect()
+    assert collections.Counter((r["doc_id"], r["class_id"], r["class_size"], r["n_links"]) for r in got) == expected
+    classes = near_join.near_classes(df).collect()
+    assert collections.Counter(tuple(r) for r in classes) == collections.Counter((ids[i], name[c]) for i, (c, _) in want.items())
+
+
 def test_a_recall_out_of_reach_is_refused():
     with pytest.raises(ValueError):
         near_join.depth_for(0.1, 24, 0.99999)
