@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kiln.operators.windows import chunked, in_chunk
+from kiln.operators.windows import after_in_chunk, chunked, in_chunk
 
 FAR_FUTURE = "9999-01-01 00:00:00"
 
@@ -69,16 +69,16 @@ def resolve_active(
         ).otherwise(a),
     )["ts"]
     by_key = Window.partitionBy("_key").orderBy("_chunk")
-    before, after = by_key.rowsBetween(Window.unboundedPreceding, -1), by_key.rowsBetween(1, Window.unboundedFollowing)
+    before = by_key.rowsBetween(Window.unboundedPreceding, -1)
+    after = Window.partitionBy("_key").orderBy(F.desc("_chunk")).rowsBetween(Window.unboundedPreceding, -1)
     carry = steps.withColumn("_carried", F.max("_latest").over(before)).withColumn("_standing", standing).select(
         F.struct(F.col("_key").alias("key"), F.col("_chunk").alias("chunk")).alias("_at"), "_carried",
-        F.first("_standing", ignorenulls=True).over(after).alias("_later"))
-    d = d.withColumn("_in", F.max(date).over(in_chunk([seq]))).join(carry, "_at")
+        F.last("_standing", ignorenulls=True).over(after).alias("_later"))
+    d = d.withColumns({"_in": F.max(date).over(in_chunk([seq])), "_nth": F.row_number().over(in_chunk([seq]))}).join(carry, "_at")
     d = d.withColumn("run_max_date", F.greatest("_in", "_carried"))
     d = d.withColumn("activation_ok", F.col(activated) & (F.col(date) >= F.col("run_max_date")))
-    following = in_chunk([seq], 1, Window.unboundedFollowing)
     d = d.withColumn("_next_ok", F.coalesce(
-        F.first(F.when(F.col("activation_ok"), F.col("_ts")), ignorenulls=True).over(following), F.col("_later")))
+        F.last(F.when(F.col("activation_ok"), F.col("_ts")), ignorenulls=True).over(after_in_chunk("_nth")), F.col("_later")))
     isactive = F.coalesce(F.col("activation_ok"), F.lit(False)) & F.col("_next_ok").isNull()
     status = (
         F.when(~F.col(activated), "New")

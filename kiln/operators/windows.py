@@ -33,11 +33,18 @@ def earlier_chunks() -> W:
 
 
 def later_chunks() -> W:
-    return W.partitionBy("_at.key").orderBy("_at.chunk").rowsBetween(1, W.unboundedFollowing)
+    """The chunks of a key after the current one, the nearest last: a frame that ends at the
+    last row is filled anew for every row, one that begins at the first row grows by one."""
+    return W.partitionBy("_at.key").orderBy(F.desc("_at.chunk")).rowsBetween(W.unboundedPreceding, -1)
 
 
-def in_chunk(order: list[str], first: int = W.unboundedPreceding, last: int = 0) -> W:
-    return W.partitionBy("_at").orderBy(*order).rowsBetween(first, last)
+def in_chunk(order: list[str], last: int = 0) -> W:
+    return W.partitionBy("_at").orderBy(*order).rowsBetween(W.unboundedPreceding, last)
+
+
+def after_in_chunk(nth: str) -> W:
+    """The rows of a chunk after the current one, the nearest last, by their number in it."""
+    return W.partitionBy("_at").orderBy(F.desc(nth)).rowsBetween(W.unboundedPreceding, -1)
 
 
 def running_max(df: DataFrame, keys: list[str], order: list[str], value: Column, chunk: Column, out: str) -> DataFrame:
@@ -68,9 +75,10 @@ def next_match(df: DataFrame, keys: list[str], seq: str, is_match: Column, value
     key for which ``is_match`` holds (a LEAD over the matching rows only)."""
     d = chunked(df, keys, chunk).withColumn("_m", F.when(is_match, value))
     first = F.min_by("_m", F.when(is_match, F.col(seq))).alias("_c")
-    carry = d.groupBy("_at").agg(first).select("_at", F.first("_c", ignorenulls=True).over(later_chunks()).alias("_carry"))
-    within = d.withColumn("_in", F.first("_m", ignorenulls=True).over(in_chunk([seq], 1, W.unboundedFollowing)))
-    return within.join(carry, "_at").withColumn(out, F.coalesce("_in", "_carry")).drop("_at", "_m", "_in", "_carry")
+    carry = d.groupBy("_at").agg(first).select("_at", F.last("_c", ignorenulls=True).over(later_chunks()).alias("_carry"))
+    within = d.withColumn("_nth", F.row_number().over(in_chunk([seq])))
+    within = within.withColumn("_in", F.last("_m", ignorenulls=True).over(after_in_chunk("_nth")))
+    return within.join(carry, "_at").withColumn(out, F.coalesce("_in", "_carry")).drop("_at", "_m", "_nth", "_in", "_carry")
 
 
 def row_number(df: DataFrame, keys: list[str], order: list[str], chunk: Column, out: str) -> DataFrame:

@@ -112,3 +112,13 @@ def test_a_hot_key_is_spread_over_chunks(spark):
     assert one == many
     groups = WN.chunked(df, ["key"], F.floor(F.col("seq") / 100)).filter("key = -1").groupBy("_at").count()
     assert groups.count() == 30 and groups.agg(F.max("count")).first()[0] <= 34
+
+
+def test_no_window_fills_its_frame_anew_for_every_row(spark):
+    """A frame that ends at the last row costs the square of its rows (a chunk of a key holds many)."""
+    df = spark.range(10).selectExpr("id AS seq", "id % 2 AS key", "date'2024-01-01' AS datasetdate", "id % 3 <> 0 AS activated",
+                                    "timestamp_ntz'2024-01-01 00:00:00' AS createddate")
+    for got in (D.resolve_active(df, ["key"]),
+                WN.next_match(df, ["key"], "seq", F.col("activated"), F.col("seq"), F.floor(F.col("seq") / 4), "next")):
+        plan = got._jdf.queryExecution().optimizedPlan().toString()
+        assert "windowspecdefinition" in plan and "unboundedfollowing" not in plan
