@@ -12,9 +12,10 @@ from __future__ import annotations
 
 import os
 from collections.abc import Callable, Iterator
+from datetime import UTC
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -150,7 +151,7 @@ STATE_OUT_SCHEMA = (
     "version long, illegal_action string"
 )
 STATE_COLUMNS = [c.split()[0] for c in STATE_OUT_SCHEMA.split(", ")]
-STATE_SCHEMA = "status string, retry_count int, processed_at timestamp_ntz, completed_at timestamp_ntz, version long"
+STATE_ROW = Row(*STATE_COLUMNS)
 
 # The event life cycle (action -> allowed source statuses -> new status).
 TRANSITIONS = {
@@ -163,53 +164,98 @@ TRANSITIONS = {
 
 
 TERMINAL = ("completed", "cancelled")
+STATE_BUCKETS = 1024
+
+
+STATE_COLUMNS_HELD = pa.schema([
+    ("event_id", pa.int64()), ("status", pa.string()), ("retry_count", pa.int32()), ("processed_at", pa.timestamp("us")),
+    ("completed_at", pa.timestamp("us")), ("version", pa.int64()), ("touched", pa.int64()), ("deadline", pa.int64())])
 
 
 class EventLifecycle(StatefulProcessor):
-    """One event's life cycle: typed value state, and a timer that forgets a finished event."""
+    """The life cycles of a bucket of events: one typed table of them as state, and a timer that forgets finished ones.
+
+    A call between worker and store costs as much as hundreds of transitions, so a bucket's events share the calls."""
 
     def __init__(self, keep_ms: int | None = None, idle_ttl_ms: int | None = None):
         self.keep_ms, self.idle_ttl_ms = keep_ms, idle_ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("lifecycle", STATE_SCHEMA, self.idle_ttl_ms)
+        self.state = handle.getValueState("lifecycles", "events binary", self.idle_ttl_ms)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        """Apply one event's new transitions (in order of seq) to its state."""
-        new = pd.concat(list(rows)).sort_values("seq")
+    def _load(self) -> dict:
+        """{event: (status, retries, processed, completed, version, time of the last update, deadline)}"""
         held = self.state.get()
-        if held is not None:
-            status, retries, processed, completed, version = held
-        else:
-            first = new["retry_count"].iloc[0]
-            status, retries, processed, completed, version = "pending", 0 if pd.isna(first) else int(first), None, None, 0
-        out = []
-        for action, ts in zip(new["action"], new["ts"]):
-            allowed, after = TRANSITIONS.get(action, (set(), None))
-            ts = None if pd.isna(ts) else ts.to_pydatetime() if hasattr(ts, "to_pydatetime") else ts
-            if status not in allowed:
-                out.append((key[0], status, retries, processed, completed, version, action))
-                continue
-            if after == "processing" and processed is None:
-                processed = ts
-            if after in ("completed", "failed", "cancelled"):
-                completed = ts
-            if after == "failed":
-                retries += 1
-            status = after
-            version += 1
-        self.state.update((status, retries, processed, completed, version))
+        if held is None:
+            return {}
+        columns = [c.to_pylist() for c in pa.ipc.open_stream(held[0]).read_all().columns]
+        return dict(zip(columns[0], zip(*columns[1:])))
+
+    def _store(self, events: dict) -> None:
+        if not events:
+            self.state.clear()
+            return
+        columns = [list(events), *(list(c) for c in zip(*events.values()))]
+        batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, STATE_COLUMNS_HELD.types)], schema=STATE_COLUMNS_HELD)
+        out = pa.BufferOutputStream()
+        with pa.ipc.new_stream(out, STATE_COLUMNS_HELD) as w:
+            w.write_batch(batch)
+        self.state.update((out.getvalue().to_pybytes(),))
+
+    def _set_timer(self, events: dict) -> None:
+        """One timer a bucket, at the earliest deadline."""
+        for old in list(self.handle.listTimers()):
+            self.handle.deleteTimer(old)
+        deadlines = [e[6] for e in events.values() if e[6] is not None]
+        if deadlines:
+            self.handle.registerTimer(min(deadlines))
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        """Apply the new transitions of each of the bucket's events (in order of seq) to its state."""
+        new: dict = {}
+        for r in rows:
+            new.setdefault(r["event_id"], []).append(r)
+        events, now = self._load(), 0
+        if self.idle_ttl_ms is not None:
+            now = timerValues.getCurrentProcessingTimeInMs()
+            events = {k: e for k, e in events.items() if e[5] + self.idle_ttl_ms > now}
+        for event_id, transitions in new.items():
+            transitions.sort(key=lambda r: (r["seq"] is None, r["seq"]))
+            if event_id in events:
+                status, retries, processed, completed, version = events[event_id][:5]
+            else:
+                status, retries, processed, completed, version = "pending", transitions[0]["retry_count"] or 0, None, None, 0
+            for r in transitions:
+                action, ts = r["action"], r["ts"]
+                allowed, after = TRANSITIONS.get(action, (set(), None))
+                if status not in allowed:
+                    yield STATE_ROW(event_id, status, retries, processed, completed, version, action)
+                    continue
+                if after == "processing" and processed is None:
+                    processed = ts
+                if after in ("completed", "failed", "cancelled"):
+                    completed = ts
+                if after == "failed":
+                    retries += 1
+                status = after
+                version += 1
+            deadline = None
+            if self.keep_ms is not None and status in TERMINAL:
+                last = max(r["ts"] for r in transitions if r["ts"] is not None)
+                deadline = int(last.replace(tzinfo=UTC).timestamp() * 1000) + self.keep_ms
+            events[event_id] = (status, retries, processed, completed, version, now, deadline)
+            yield STATE_ROW(event_id, status, retries, processed, completed, version, None)
+        self._store(events)
         if self.keep_ms is not None:
-            for old in list(self.handle.listTimers()):
-                self.handle.deleteTimer(old)
-            if status in TERMINAL:
-                self.handle.registerTimer(int(pd.Timestamp(new["ts"].max()).timestamp() * 1000) + self.keep_ms)
-        out.append((key[0], status, retries, processed, completed, version, None))
-        yield pd.DataFrame(out, columns=STATE_COLUMNS)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.state.clear()
+            self._set_timer(events)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        at = expiredTimerInfo.getExpiryTimeInMs()
+        passed = max(at, timerValues.getCurrentWatermarkInMs() - 1)
+        events = {k: e for k, e in self._load().items() if e[6] is None or e[6] > passed}
+        self._store(events)
+        self._set_timer(events)
         return iter([])
 
     def close(self) -> None:
@@ -217,7 +263,7 @@ class EventLifecycle(StatefulProcessor):
 
 
 def event_lifecycle(transitions: DataFrame, state_ttl_ms: int | None = None, watermark: str | None = None,
-                    idle_ttl_ms: int | None = None) -> DataFrame:
+                    idle_ttl_ms: int | None = None, buckets: int = STATE_BUCKETS) -> DataFrame:
     """STR-03: keyed state over a stream of transitions
     (event_id, seq, action, ts, retry_count) -> state rows in update mode,
     plus one row per illegal transition (``illegal_action`` set), which is
@@ -228,14 +274,17 @@ def event_lifecycle(transitions: DataFrame, state_ttl_ms: int | None = None, wat
     always accepted and state is kept (as the reference's queue table keeps every event).
     With ``state_ttl_ms`` a timer drops the state of a completed/cancelled event once the
     event-time watermark (``watermark`` delay) passes its last transition + TTL.  With
-    ``idle_ttl_ms`` the store itself drops any state not updated for so long (processing time)."""
+    ``idle_ttl_ms`` any state not updated for so long (processing time) is dropped.
+
+    Events are dealt by the hash of their id to ``buckets`` state entries; a micro-batch reads and
+    writes the entries that its events are in, whole.  The number belongs to the checkpoint."""
     if state_ttl_ms is not None and idle_ttl_ms is not None:
         raise ValueError("give either an event-time retention or an idle time")
     t = transitions.withColumn("_wts", F.col("ts").cast("timestamp"))
     mode = "None" if idle_ttl_ms is None else "ProcessingTime"
     if state_ttl_ms is not None:
         t, mode = t.withWatermark("_wts", watermark or "1 hour"), "EventTime"
-    return t.groupBy("event_id").transformWithStateInPandas(
+    return t.withColumn("_bucket", F.pmod(F.xxhash64("event_id"), F.lit(buckets))).groupBy("_bucket").transformWithState(
         EventLifecycle(state_ttl_ms, idle_ttl_ms), STATE_OUT_SCHEMA, "Update", mode)
 
 

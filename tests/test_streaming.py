@@ -127,3 +127,37 @@ def test_a_late_row_within_the_watermark_counts_and_one_beyond_is_reported(spark
     days = S.latest_per_key(S.read_batches(spark, out), ["date"], ["batch_id"])
     assert {r.date.day: r.total for r in days.collect()} == {1: 1, 2: 1, 15: 1, 20: 1}
     assert [S.dropped_late(p) for p in progress] == [0, 0, 1]
+
+
+def test_events_of_a_bucket_share_the_calls_to_the_store(spark):
+    """A key a visit costs milliseconds for every event; many events a visit, none of which sees another's state."""
+    src, out, ckpt = staging_dir(spark, "b_src"), staging_dir(spark, "b_out"), staging_dir(spark, "b_ckpt")
+    at = dt.datetime(2026, 1, 1)
+    for wave, action in enumerate(("process", "complete", "retry")):
+        rows = [(i, wave, action, at + dt.timedelta(seconds=wave), i % 3) for i in range(200) if i % 2 == 0 or wave == 0]
+        rows += [(None, wave, action, None, None)] if wave < 2 else []
+        spark.createDataFrame(rows, TRANSITION).write.parquet(os.path.join(src, f"w{wave}"))
+        stream = spark.readStream.schema(TRANSITION).option("recursiveFileLookup", True).parquet(src)
+        progress = S.run_available(S.event_lifecycle(stream, buckets=4), out, ckpt, mode="update", rocksdb=True)
+    assert progress[-1]["stateOperators"][0]["numRowsTotal"] <= 4
+    got = S.read_batches(spark, out)
+    final = S.latest_per_key(got.filter("illegal_action IS NULL"), ["event_id"], ["version", "batch_id"])
+    state = {r.event_id: (r.status, r.retry_count, r.processed_at, r.completed_at, r.version) for r in final.collect()}
+    assert state == {None: ("completed", 0, None, None, 2)} | {
+        i: ("processing", i % 3, at, None, 1) if i % 2 else ("completed", i % 3, at, at + dt.timedelta(seconds=1), 2) for i in range(200)}
+    bad = got.filter("illegal_action IS NOT NULL").collect()
+    assert sorted((r.event_id, r.status, r.illegal_action) for r in bad) == [(i, "completed", "retry") for i in range(0, 200, 2)]
+
+
+def test_one_timer_of_a_bucket_forgets_each_event_in_its_time(spark):
+    src, out, ckpt = staging_dir(spark, "k_src"), staging_dir(spark, "k_out"), staging_dir(spark, "k_ckpt")
+    at = dt.datetime(2024, 1, 1)
+    waves = [[(1, 1, "cancel", at, 0), (2, 1, "cancel", at + dt.timedelta(hours=30), 0), (3, 1, "process", at, 0)],
+             [(4, 1, "process", at + dt.timedelta(hours=20), 0)], [(5, 1, "process", at + dt.timedelta(hours=24), 0)],
+             [(i, 2, "process", at + dt.timedelta(hours=31), 0) for i in (1, 2, 3)]]
+    for i, rows in enumerate(waves):
+        spark.createDataFrame(rows, TRANSITION).write.parquet(os.path.join(src, f"w={i}"))
+        stream = spark.readStream.schema(TRANSITION).option("recursiveFileLookup", True).parquet(src)
+        S.run_available(S.event_lifecycle(stream, 3600 * 1000, "1 hour", buckets=1), out, ckpt, mode="update", rocksdb=True)
+    bad = S.read_batches(spark, out).filter("illegal_action IS NOT NULL").collect()
+    assert sorted((r.event_id, r.status) for r in bad) == [(2, "cancelled"), (3, "processing")]  # event 1 was forgotten
