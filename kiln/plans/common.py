@@ -27,6 +27,11 @@ def TW(spark: SparkSession, sf_dir: str) -> Tables:
     return Tables(spark, sf_dir)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The rows of a table of few bytes over all tasks, for work that costs milliseconds a row."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 # ------------------------------------------------------------------ logs
 def logs(t: Tables) -> DataFrame:
     """Log entries: one per event."""

@@ -20,7 +20,7 @@ def _js(c):
 
 
 def _manifests(t):
-    p = t.part
+    p = C.spread(t.part)  # a million parts are a few MB, one or two tasks
     pk = F.col("p_partkey").cast("string")
     w1 = F.split("p_name", " ")[0]
     w2 = F.try_element_at(F.split("p_name", " "), F.lit(2))
