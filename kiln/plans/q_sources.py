@@ -35,21 +35,31 @@ def src_csv(spark, d):
     return _typed_orders(FS.scan_csv(spark, path, pattern=r"part-"))
 
 
-def _json_arrays(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Join the JSON lines of one partition into one JSON array (one file
-    per partition; a partition is bounded by the input split size)."""
-    lines: list[str] = []
-    for pdf in it:
-        lines.extend(pdf["line"].tolist())
-    if lines:
-        yield pd.DataFrame({"value": ["[" + ",".join(lines) + "]"]})
+# records of a landed file that can't be split: such files are read whole or by one task
+FILE_ROWS = 20_000
+
+
+def _json_arrays(most: int):
+    """Joins the JSON lines of a partition into JSON arrays of at most ``most`` records."""
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        lines: list[str] = []
+        for pdf in it:
+            lines.extend(pdf["line"].tolist())
+            while len(lines) >= most:
+                yield pd.DataFrame({"value": ["[" + ",".join(lines[:most]) + "]"]})
+                del lines[:most]
+        if lines:
+            yield pd.DataFrame({"value": ["[" + ",".join(lines) + "]"]})
+
+    return run
 
 
 def _land_json_arrays(spark, df, name):
+    """One array a file."""
     path = staging_dir(spark, name)
     lines = df.select(F.to_json(F.struct(*[F.col(c) for c in df.columns]),
                                 {"timestampFormat": "yyyy-MM-dd HH:mm:ss"}).alias("line"))
-    lines.mapInPandas(_json_arrays, "value string").write.mode("overwrite").text(path)
+    lines.mapInPandas(_json_arrays(FILE_ROWS), "value string").write.mode("overwrite").option("maxRecordsPerFile", 1).text(path)
     return path
 
 
@@ -92,7 +102,8 @@ def src_xml_blob(spark, d):
     """Every blob is held against its file: one row a file, of the file's size."""
     path = staging_dir(spark, "xmlblob")
     c = C.T(spark, d).customer
-    c.write.mode("overwrite").format("xml").option("rowTag", "customer").option("rootTag", "customers").save(path)
+    (c.write.mode("overwrite").format("xml").option("rowTag", "customer").option("rootTag", "customers")
+     .option("maxRecordsPerFile", FILE_ROWS).save(path))
     blobs = FS.scan_xml_blob(spark, path, row_tag="customer").withColumn("file", F.regexp_extract("_path", C.FOLDER_AND_NAME, 1))
     listed = FS.discover_files(spark, path, pattern="part-").select(
         F.regexp_extract("path", C.FOLDER_AND_NAME, 1).alias("file"), F.col("length").alias("size"))
@@ -151,7 +162,7 @@ def src_xlsx(spark, d):
     """Workbooks written by the data source and read as records by their headers."""
     path = staging_dir(spark, "xlsx")
     c = C.T(spark, d).customer
-    WB.write_workbooks(c, path)
+    WB.write_workbooks(c, path, max_rows=FILE_ROWS)
     return P.convert(FS.widen(FS.scan_xlsx(spark, path), c.columns).select(*c.columns), CUSTOMER_TYPES).select(*c.columns)
 
 

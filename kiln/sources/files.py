@@ -145,12 +145,18 @@ def scan_xml_blob(spark: SparkSession, path: str, row_tag: str | None = None, pa
     fails the job) and holds at least one ``row_tag`` record; the load
     keeps it as a blob otherwise."""
     b = scan_blob(spark, path, pattern)
-    fields = (f"`{row_tag}`: array<string>, " if row_tag else "") + "_bad: string"
-    probe = F.from_xml(F.col("raw_data"), f"struct<{fields}>",
-                       {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
-    b = b.withColumn("_probe", probe)
+
+    def probe(fields: str):
+        return F.from_xml(F.col("raw_data"), f"struct<{fields}_bad: string>",
+                          {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
+
+    # one text, not a list: the parser copies the list for every record
+    b = b.withColumn("_probe", probe(f"`{row_tag}`: string, " if row_tag else ""))
     ok = F.col("_probe._bad").isNull() & F.col("raw_data").isNotNull() & (F.trim("raw_data") != "")
-    has = ok & (F.coalesce(F.size(F.col(f"_probe.`{row_tag}`")), F.lit(0)) > 0) if row_tag else ok
+    has = ok
+    if row_tag:  # the last record stands there; it may be empty, then all are listed
+        listed = F.coalesce(F.size(probe(f"`{row_tag}`: array<string>, ")[row_tag]), F.lit(0)) > 0
+        has = ok & F.when(F.col("_probe")[row_tag].isNotNull(), True).otherwise(listed)
     return b.withColumns({"well_formed": ok, "has_records": has}).drop("_probe")
 
 
@@ -225,8 +231,8 @@ def _cell_text(c, shared: list[str]) -> str | None:
     return v.text
 
 
-def read_xlsx_bytes(data: bytes) -> list[list[str | None]]:
-    """Rows of the active sheet of one workbook (stdlib zip + XML only)."""
+def xlsx_rows(data: bytes) -> Iterator[list[str | None]]:
+    """Rows of the active sheet of one workbook (stdlib zip + XML only), one after the other: a sheet is never held whole."""
     with zipfile.ZipFile(io.BytesIO(data)) as z:
         names = set(z.namelist())
         shared: list[str] = []
@@ -246,34 +252,48 @@ def read_xlsx_bytes(data: bytes) -> list[list[str | None]]:
                 if r.get("Id") == rid:
                     t = r.get("Target").lstrip("/")
                     target = t if t.startswith("xl/") else "xl/" + t
-        sheet = ET.fromstring(z.read(target))
-        rows = []
-        for row in sheet.iter(_NS + "row"):
-            vals: dict[int, str | None] = {}
-            for i, c in enumerate(row.iter(_NS + "c")):
-                idx = _col_index(c.get("r")) if c.get("r") else i
-                vals[idx] = _cell_text(c, shared)
-            width = max(vals) + 1 if vals else 0
-            rows.append([vals.get(i) for i in range(width)])
-        return rows
+        with z.open(target) as sheet:
+            data_node = None
+            for event, x in ET.iterparse(sheet, ("start", "end")):
+                if event == "start":
+                    data_node = x if x.tag == _NS + "sheetData" else data_node
+                elif x.tag == _NS + "row":
+                    vals: dict[int, str | None] = {}
+                    for i, c in enumerate(x.iter(_NS + "c")):
+                        vals[_col_index(c.get("r")) if c.get("r") else i] = _cell_text(c, shared)
+                    yield [vals.get(i) for i in range(max(vals) + 1 if vals else 0)]
+                    if data_node is not None:
+                        data_node.clear()  # rows already read
+
+
+def read_xlsx_bytes(data: bytes) -> list[list[str | None]]:
+    """All rows of the active sheet of one workbook."""
+    return list(xlsx_rows(data))
+
+
+XLSX_BATCH_ROWS = 10_000
 
 
 def _xlsx_records(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in it:
-        out_f, out_n, out_r = [], [], []
         for path, content in zip(pdf["path"], pdf["content"]):
-            rows = read_xlsx_bytes(bytes(content))
-            if not rows:
+            rows = xlsx_rows(bytes(content))
+            first = next(rows, None)
+            if first is None:
                 continue
-            header = [(h if h not in (None, "") else f"column_{i}") for i, h in enumerate(rows[0])]
-            for n, r in enumerate(rows[1:], start=1):
+            header = [(h if h not in (None, "") else f"column_{i}") for i, h in enumerate(first)]
+            out_n, out_r = [], []
+            for n, r in enumerate(rows, start=1):
                 rec = {header[i]: (r[i] if i < len(r) else None) for i in range(len(header))}
                 if all(v in (None, "") for v in rec.values()):
                     continue
-                out_f.append(path)
                 out_n.append(n)
                 out_r.append(rec)
-        yield pd.DataFrame({"file_path": out_f, "row_number": out_n, "record": out_r})
+                if len(out_n) == XLSX_BATCH_ROWS:
+                    yield pd.DataFrame({"file_path": path, "row_number": out_n, "record": out_r})
+                    out_n, out_r = [], []
+            if out_n:
+                yield pd.DataFrame({"file_path": path, "row_number": out_n, "record": out_r})
 
 
 def scan_xlsx(spark: SparkSession, path: str, pattern: str | None = None) -> DataFrame:

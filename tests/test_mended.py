@@ -109,3 +109,47 @@ def test_melted_panels_keep_repeated_ids_and_missing_fields(spark):
     assert "Exchange" not in _operators(long) and long.dtypes[2:] == [("open", "double"), ("volume", "int")]
     assert sorted(map(tuple, long.collect()), key=str) == sorted(
         [(1, "A.B", 1.0, None), (1, "C", 2.0, 5), (1, "A.B", 3.0, None), (1, "C", None, 6)], key=str)
+
+
+def test_xml_probe_holds_no_list_of_records(spark, tmp_path):
+    for k, text in enumerate(("<a><c>1</c><c/></a>", "<a><b>1</b></a>", "<a><c>1</b></a>", "<a><c><x>1</x></c></a>")):
+        with open(os.path.join(tmp_path, f"{k}.xml"), "w") as f:
+            f.write(text)
+    got = FS.scan_xml_blob(spark, str(tmp_path), "c").orderBy("source_file")
+    assert [(r.well_formed, r.has_records) for r in got.collect()] == [(True, True), (True, False), (False, False), (True, True)]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "from_xml(StructField(c,StringType" in plan
+
+
+def test_landed_files_hold_a_bounded_number_of_records(spark, tmp_path, monkeypatch):
+    from kiln.plans import q_sources as Q
+
+    monkeypatch.setattr(Q, "FILE_ROWS", 30)
+    spark.range(100).selectExpr("id AS o_orderkey", "id AS o_custkey", "'O' AS o_orderstatus", "1.5D AS o_totalprice",
+                                "timestamp_ntz'2024-01-01 00:00:00' AS o_orderdate", "'1' AS o_orderpriority").coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
+    spark.range(100).selectExpr("id AS c_custkey", "'n' AS c_name", "1 AS c_nationkey", "1.5D AS c_acctbal", "'m' AS c_mktsegment").coalesce(
+        1).write.parquet(f"{tmp_path}/customer.parquet")
+    landed = []
+    monkeypatch.setattr(Q, "staging_dir", lambda spark, name: landed.append(f"{tmp_path}/{name}") or landed[-1])
+    assert Q.src_json_records(spark, str(tmp_path)).count() == Q.src_xlsx(spark, str(tmp_path)).count() == 100
+    assert Q.src_json_blob(spark, str(tmp_path)).first()["n_records"] == Q.src_xml_blob(spark, str(tmp_path)).first()["records"] == 100
+    for path in landed:
+        assert len([f for f in os.listdir(path) if f.startswith("part-")]) == 4, path
+
+
+def test_a_workbook_is_read_row_by_row():
+    import itertools
+    import tracemalloc
+
+    data = FS.xlsx_bytes(["a", "b"], [[i, "x" * 20] for i in range(30_000)])
+    tracemalloc.start()
+    assert len(list(itertools.islice(FS.xlsx_rows(data), 5))) == 5 and sum(1 for _ in FS.xlsx_rows(data)) == 30_001
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 8 << 20
+
+
+def test_manifests_of_a_small_table_are_parsed_by_many_tasks(spark):
+    from kiln.plans import q_artwork as Q
+
+    assert Q.art_exhibitions(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() > 1
