@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kiln.functions.scalars import first_truthy, has_java_suffix, parse_date, parse_numeric, term_days
-from kiln.sources.payloads import RECORD, element_texts, field, node_text, open_records, opened
+from kiln.sources.payloads import RECORD, element_texts, field, fits, node_of, node_text, open_records, opened, text_at, text_fields, typed_doc
 
 D104 = "decimal(10,4)"
 D152 = "decimal(15,2)"
@@ -44,6 +44,7 @@ FIELDS = {
 }
 # The date fields of the feeds; text there that is no date makes a record a reject, a blank is NULL.
 DATE_FIELDS = {
+    "reference_rates": ("effectiveDate",),
     "soma": ("asOfDate", "maturityDate"),
     "repo": ("operationDate", "maturityDate"),
     "mbs": ("operationDate", "settlementDate", "maturityDate"),
@@ -52,6 +53,7 @@ DATE_FIELDS = {
     "treasury": ("operationDate", "issueDate", "maturityDate"),
     "guide_sheets": ("issueDate", "maturityDate"),
 }
+WRITERS = "spark.sql.maxConcurrentOutputFileWriters"
 BAD_DATE, NO_DATE = "unparseable date", "missing or unparseable date"
 
 
@@ -60,7 +62,17 @@ def _text(name: str) -> Column:
 
 
 def _date(name: str) -> Column:
-    return parse_date(_text(name))
+    return F.col(RECORD)["d"][name]
+
+
+def iso_date(text: Column) -> Column:
+    """``parse_date``; ten characters of the common form are cast, which costs a fraction of a formatter's parse."""
+    return F.when(F.rlike(text, F.lit(r"\A(?!0000)[0-9]{4}-[0-9]{2}-[0-9]{2}\z")), text.try_cast("date")).otherwise(parse_date(text))
+
+
+def _dates(feed: str):
+    """The feed's date fields as dates, of a record's text fields."""
+    return lambda f: F.struct(*[iso_date(f[n]).alias(n) for n in DATE_FIELDS[feed]])
 
 
 def _num(name: str, dtype: str) -> Column:
@@ -74,7 +86,7 @@ def _keep_valid(df: DataFrame, required: Column) -> DataFrame:
 
 def feed_records(payloads: DataFrame, json_col: str, path: str, feed: str) -> DataFrame:
     """The records of a feed's landed documents, each parsed once."""
-    return open_records(payloads, json_col, path, FIELDS[feed])
+    return open_records(payloads, json_col, path, FIELDS[feed], _dates(feed), lambda r: ~_dates_sound(feed, r))
 
 
 def _opened(records: DataFrame, feed: str) -> DataFrame:
@@ -83,14 +95,19 @@ def _opened(records: DataFrame, feed: str) -> DataFrame:
         return records
     fields = F.struct(*[field(n).alias(n) for n in FIELDS[feed]])
     return records.select(*[c for c in records.columns if c != RECORD],
-                          F.struct(F.to_json(F.col(RECORD)).alias("raw"), fields.alias("f")).alias(RECORD))
+                          F.struct(F.to_json(F.col(RECORD)).alias("raw"), fields.alias("f")).alias(RECORD)).withColumn(
+        RECORD, F.struct(f"{RECORD}.raw", f"{RECORD}.f", _dates(feed)(F.col(RECORD)["f"]).alias("d")))
+
 
+def _dates_sound(feed: str, record: Column | None = None) -> Column:
+    """No date field of the record holds text that isn't a date; a reference rate has a date."""
+    record = F.col(RECORD) if record is None else record
 
-def _dates_sound(feed: str) -> Column:
-    """No date field of the record holds text that isn't a date."""
     def sound(name: str) -> Column:
-        return (F.coalesce(_text(name), F.lit("")) == "") | _date(name).isNotNull()
+        return (F.coalesce(record["f"][name], F.lit("")) == "") | record["d"][name].isNotNull()
 
+    if feed == "reference_rates":
+        return record["d"]["effectiveDate"].isNotNull()
     return reduce(lambda a, b: a & b, [sound(n) for n in DATE_FIELDS[feed]])
 
 
@@ -113,7 +130,14 @@ def split_feed(transform, records: DataFrame, out: str) -> dict:
     counts = Observation()
     rows = transform(records, both=True).observe(
         counts, F.count_if(F.col("outcome") == "accepted").alias("accepted"), F.count_if(F.col("outcome") == "rejected").alias("rejected"))
-    rows.write.mode("overwrite").partitionBy("outcome").parquet(out)
+    # a writer for each outcome is open at once, so that no task sorts its rows by outcome
+    conf = rows.sparkSession.conf
+    writers = conf.get(WRITERS, None)
+    conf.set(WRITERS, "2")
+    try:
+        rows.write.mode("overwrite").partitionBy("outcome").parquet(out)
+    finally:
+        conf.unset(WRITERS) if writers is None else conf.set(WRITERS, writers)
     return dict(counts.get)
 
 
@@ -133,7 +157,7 @@ def date_rejects(records: DataFrame, feed: str) -> DataFrame:
 # ---------------------------------------------------------------- FEED-01..10
 def reference_rates(records: DataFrame, both: bool = False) -> DataFrame:
     """FEED-01: rows without an effective date are skipped."""
-    return _outcome(records, "reference_rates", _date("effectiveDate").isNotNull(), NO_DATE, [
+    return _outcome(records, "reference_rates", _dates_sound("reference_rates"), NO_DATE, [
         _text("type").alias("rate_type"),
         _date("effectiveDate").alias("effective_date"),
         _num("percentRate", D104).alias("rate_percent"),
@@ -192,7 +216,7 @@ def agency_mbs(records: DataFrame, both: bool = False) -> DataFrame:
 def fx_swaps(records: DataFrame, both: bool = False) -> DataFrame:
     """FEED-05: swap date falls back to the operation date, currency code to
     currency; term days = maturity - swap."""
-    swap = parse_date(first_truthy(_text("swapDate"), _text("operationDate")))
+    swap = F.when(_text("swapDate") != "", _date("swapDate")).otherwise(_date("operationDate"))
     mat = _date("maturityDate")
     return _outcome(records, "fx_swaps", _dates_sound("fx_swaps"), BAD_DATE, [
         swap.alias("swap_date"),
@@ -248,14 +272,30 @@ def guide_sheets(payloads: DataFrame, json_col: str, path: str = "guidesheet.si"
     """FEED-08: only the FIRST object at ``path`` of each document is used;
     its header fields repeat on every element of its ``details``; a document
     whose first object has no publication date yields nothing."""
-    nodes = payloads.select(node_text(json_col, path).alias("_node"))
-    heads = nodes.select(F.from_json(F.get(element_texts("_node"), F.lit(0)),
-                                     "struct<reportWeeksFromDate: string, title: string, details: string>").alias("_h"))
-    listed = F.startswith(F.ltrim(F.col("_h.details")), F.lit("["))
-    details = F.when(listed, element_texts(F.col("_h.details"))).otherwise(F.array().cast("array<string>"))
-    rows = heads.select(
-        parse_date(F.col("_h.reportWeeksFromDate")).alias("publication_date"), F.coalesce("_h.title", F.lit("SI")).alias("guide_type"),
-        F.explode(opened(details, FIELDS["guide_sheets"])).alias(RECORD))
+    names = FIELDS["guide_sheets"]
+    docs = payloads.select(F.col(json_col).alias("_text"), typed_doc(
+        json_col, path, f"struct<reportWeeksFromDate: string, title: string, details: array<{text_fields(names)}>>").alias("_doc"))
+    docs = docs.withColumn("_published", iso_date(F.get(node_of(F.col("_doc"), path), F.lit(0))["reportWeeksFromDate"]))
+
+    # the header's fields are made with the records, so that a filter on them can't move below the parsing
+    def rows_of(header, published, details):
+        return opened(details, _dates("guide_sheets"), published.alias("publication_date"), F.coalesce(header["title"], F.lit("SI")).alias("guide_type"))
+
+    def texts_of(header):
+        listed = F.startswith(F.ltrim(header["details"]), F.lit("["))
+        return F.when(listed, element_texts(header["details"])).otherwise(F.array().cast("array<string>"))
+
+    first = F.from_json(F.get(element_texts(node_text("_text", path)), F.lit(0)), "struct<reportWeeksFromDate: string, title: string, details: string>")
+    head = F.get(node_of(F.col("_doc"), path), F.lit(0))
+    found = F.when(fits(F.col("_doc")), rows_of(head, F.col("_published"), head["details"])).otherwise(F.flatten(F.transform(
+        F.array(first), lambda h: rows_of(h, iso_date(h["reportWeeksFromDate"]), F.transform(texts_of(h), lambda r: F.from_json(r, text_fields(names)))))))
+    def sound_in(record):
+        return record["publication_date"].isNotNull() & _dates_sound("guide_sheets", record)
+
+    raw = text_at(typed_doc("_text", path, "struct<details: array<string>>"), lambda d: F.get(node_of(d, path), F.lit(0))["details"],
+                  F.element_at(F.transform(F.array(first), texts_of), 1))
+    rows = docs.select("_text", F.posexplode(found).alias("_at", "_r")).select(
+        F.struct(F.when(~sound_in(F.col("_r")), raw).alias("raw"), "_r.f", "_r.d").alias(RECORD), "_r.publication_date", "_r.guide_type")
     sound = F.col("publication_date").isNotNull() & _dates_sound("guide_sheets")
     return _outcome(rows, "guide_sheets", sound, NO_DATE, [
         F.col("publication_date"),

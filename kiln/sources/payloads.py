@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 RECORD = "record"
+UNFIT = "_unfit"  # holds a document's text if a part of it contradicts its types
 
 
 def _c(c) -> Column:
@@ -64,20 +65,58 @@ def element_texts(text) -> Column:
     return F.when(t.isNull(), none).when(F.startswith(F.ltrim(t), F.lit("[")), F.coalesce(F.from_json(t, "array<string>"), one)).otherwise(one)
 
 
-def opened(texts: Column, names: tuple[str, ...]) -> Column:
-    """Each record's own text (``raw``) and its named fields as text (``f``), parsed once."""
-    schema = "struct<" + ", ".join(f"`{n}`: string" for n in names) + ">"
-    return F.transform(texts, lambda r: F.struct(r.alias("raw"), F.from_json(r, schema).alias("f")))
+def typed_doc(json_col, path: str, element: str) -> Column:
+    """A document parsed once, the node at ``path`` as a list of ``element``; see ``fits`` and ``node_of``."""
+    parts = [p for p in path.split(".") if p]
+    schema = f"array<{element}>"
+    for name in reversed(parts[1:]):
+        schema = f"struct<`{name}`: {schema}>"
+    return F.from_json(_c(json_col), f"struct<`{parts[0]}`: {schema}, `{UNFIT}`: string>", {
+        "columnNameOfCorruptRecord": UNFIT, "allowNonNumericNumbers": "false"})  # NaN is left to the parse step by step
+
+
+def fits(doc: Column) -> Column:
+    """Whether nothing in the document contradicted the types of ``typed_doc``."""
+    return doc.isNotNull() & doc[UNFIT].isNull()
+
+
+def node_of(doc: Column, path: str) -> Column:
+    for name in [p for p in path.split(".") if p]:
+        doc = doc[name]
+    return doc
+
+
+def text_fields(names: tuple[str, ...]) -> str:
+    return "struct<" + ", ".join(f"`{n}`: string" for n in names) + ">"
+
+
+def opened(fields: Column, derive, *more: Column) -> Column:
+    """Each record as its named fields (``f``) and what ``derive`` makes of them (``d``), both made once."""
+    return F.transform(fields, lambda f: F.struct(*more, f.alias("f"), derive(f).alias("d")))
+
+
+def text_at(doc: Column, listed, texts: Column) -> Column:
+    """The text of element ``_at`` of what ``listed`` takes from ``doc``; of ``texts`` if the document doesn't fit its types."""
+    return F.get(F.get(F.transform(F.array(doc), lambda d: F.when(fits(d), listed(d)).otherwise(texts)), F.lit(0)), F.col("_at"))
 
 
-def open_records(df: DataFrame, json_col: str, path: str, names: tuple[str, ...], keep: list[str] | None = None) -> DataFrame:
+def open_records(df: DataFrame, json_col: str, path: str, names: tuple[str, ...], derive, cut, keep: list[str] | None = None) -> DataFrame:
     """SRC-08 for records with known fields: one row per record found at ``path`` (not empty).
 
-    The fields are read where the list is exploded, so neither a filter on them nor their
-    conversion parses the record again."""
+    The record's named fields are text (``f``); ``derive`` adds columns made of them (``d``).  Both are
+    made where the list is exploded, so neither a filter on them nor a projection makes them again.
+    A document whose node is a list of objects is parsed once; in any other, step by step, an
+    object or scalar is a list of one.  ``raw`` is the record's own text; it is cut out again, and only
+    where ``cut`` of the record holds, else NULL."""
     keep = keep or []
-    node = df.select(*keep, node_text(json_col, path).alias("_node"))
-    return node.select(*keep, F.explode(opened(element_texts("_node"), names)).alias(RECORD))
+    docs = df.select(*keep, _c(json_col).alias("_text"), typed_doc(json_col, path, text_fields(names)).alias("_doc"))
+    texts = element_texts(node_text("_text", path))
+    doc = F.col("_doc")
+    found = F.when(fits(doc), opened(node_of(doc, path), derive)).otherwise(
+        opened(F.transform(texts, lambda r: F.from_json(r, text_fields(names))), derive))
+    raw = F.when(cut(F.col("_r")), text_at(typed_doc("_text", path, "string"), lambda d: node_of(d, path), texts))
+    return docs.select(*keep, "_text", F.posexplode(found).alias("_at", "_r")).select(
+        *keep, F.struct(raw.alias("raw"), "_r.f", "_r.d").alias(RECORD))
 
 
 def field(name: str, dtype: str = "string", rec: str = RECORD) -> Column:
