@@ -7,10 +7,13 @@ boosted trees trained on ``labels.quality`` and flattened into numpy node
 arrays.  Scores are monotonic in chosen features: more symbols, more repeated
 lines or more repeated words never raise a score.
 
-The trees are fitted on at most ``MAX_LABELLED`` labelled rows (those with the
-smallest hashes of doc_id); everything else covers all rows.  A document is
-kept when its score reaches the threshold: 0.5, or lower where 0.5 would
-reject more than ``MAX_GOOD_LOSS`` of the good training documents.
+The trees are fitted on all labelled rows: bin edges and threshold are exact
+order statistics of all of them, and a level of a tree is one Spark job that
+adds up gradients by node, feature and bin where the rows lie.  The sums are
+of whole numbers, so that they do not depend on the order or the number of
+tasks; only they reach the driver.  A document is kept when its score reaches
+the threshold: 0.5, or lower where 0.5 would reject more than
+``MAX_GOOD_LOSS`` of the good training documents.
 
 Edge cases: null and empty texts have no words and fail the base rule; texts
 of any length are counted whole; equal rows get equal results; without labels
@@ -19,25 +22,26 @@ of both classes the base rule alone decides; other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from itertools import count
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kiln.llm.bpe import cut
-from kiln.llm.common import WHITESPACE
+from kiln.llm.common import WHITESPACE, materialise
 
 WINDOW = 8
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
-MAX_LABELLED = 20_000
 MAX_GOOD_LOSS = 0.002
+BINS = 48  # of a feature in training
+TASK_ROWS = 50_000  # labelled rows worth a task of their own in a training job
 
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 # more than the contract's counts, for the trees only
@@ -153,70 +157,126 @@ class Trees:
         return 1 / (1 + np.exp(-(self.bias + self.value[node].sum(axis=1))))
 
 
-def fit_trees(
-    x: np.ndarray, y: np.ndarray, monotone: tuple[int, ...] = MONOTONE, trees: int = 40, depth: int = 3,
-    bins: int = 48, rate: float = 0.3, l2: float = 1.0, least: int = 15,
+# nodes, roots, open nodes, bias -> whole-number sums of gradient, hessian and rows by open node, feature and bin
+Sums = Callable[[np.ndarray, list[int], list[int], float], np.ndarray]
+# gradients as whole numbers: a slice of SLICE rows adds up exactly in a double, all slices in 64 bits
+UNIT, SLICE = float(1 << 36), 1 << 16
+
+
+def level_sums(
+    binned: np.ndarray, y: np.ndarray, nodes: np.ndarray, roots: list[int], opened: list[int], bias: float, depth: int, width: int,
+) -> np.ndarray:
+    """The ``Sums`` of some rows; the last root's tree is the one being grown."""
+    feature, at_most, left, right = nodes[:, :4].astype(np.int64).T
+    slot_of = np.full(len(nodes), -1)
+    slot_of[opened] = np.arange(len(opened))
+    total = np.zeros((len(opened), binned.shape[1], width, 3), np.int64)
+    for start in range(0, len(y), SLICE):
+        x = binned[start:start + SLICE]
+        raw, row = np.full(len(x), bias), np.arange(len(x))
+        for root in roots:
+            node = np.full(len(x), root)
+            for _ in range(depth):
+                node = np.where(x[row, feature[node]] <= at_most[node], left[node], right[node])
+            raw += nodes[node, 4]  # 0 in the tree being grown
+        inside = np.flatnonzero(slot_of[node] >= 0)
+        p = 1 / (1 + np.exp(-raw[inside]))
+        g, h = np.rint((p - y[start:start + SLICE][inside]) * UNIT), np.rint(p * (1 - p) * UNIT)
+        base = slot_of[node[inside]] * width
+        for j in range(x.shape[1]):
+            at = base + x[inside, j]
+            for k, weights in enumerate((g, h, None)):
+                total[:, j, :, k] += np.bincount(at, weights, len(opened) * width).astype(np.int64).reshape(len(opened), width)
+    return total
+
+
+def grow_trees(
+    edges: list[np.ndarray], positive: float, sums: Sums, monotone: tuple[int, ...] = MONOTONE, trees: int = 40, depth: int = 3,
+    rate: float = 0.3, l2: float = 1.0, least: int = 15,
 ) -> Trees:
-    """Boosted trees for the logistic loss on quantile histograms.
+    """Boosted trees for the logistic loss on histograms, level by level.
 
-    A split on a constrained feature must order its children's values, and the
-    middle of the two bounds everything grown below them.
+    ``edges``: the upper ends of each feature's bins but the last; ``positive``:
+    the share of the class 1.  A split on a constrained feature must order its
+    children's values, and the middle of the two bounds everything grown below
+    them.
     """
-    edges = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, bins + 1)[1:-1])) for j in range(x.shape[1])]
-    binned = np.column_stack([np.searchsorted(e, x[:, j], side="left") for j, e in enumerate(edges)])
-    rate0 = min(max(y.mean(), 1e-3), 1 - 1e-3)
+    rate0 = min(max(positive, 1e-3), 1 - 1e-3)
     bias = float(np.log(rate0 / (1 - rate0)))
-    raw = np.full(len(y), bias)
-    nodes: list[list[float]] = []  # feature, cut, left, right, value
-    roots = []
+    nodes: list[list[float]] = []  # feature, last bin to the left, left, right, value; a leaf points to itself
+    roots: list[int] = []
     for _ in range(trees):
-        p = 1 / (1 + np.exp(-raw))
-        g, h = p - y, p * (1 - p)
         roots.append(len(nodes))
-        nodes.append([0, np.inf, len(nodes), len(nodes), 0.0])
-        grow = [(len(nodes) - 1, np.arange(len(y)), -np.inf, np.inf, 0)]
-        while grow:
-            at, rows, low, high, level = grow.pop()
-            sg, sh = g[rows].sum(), h[rows].sum()
-            best = (1e-6, 0, 0, 0.0, 0.0)
-            for j in range(x.shape[1]) if level < depth else ():
-                k = len(edges[j]) + 1
-                hg = np.cumsum(np.bincount(binned[rows, j], g[rows], k))[:-1]
-                hh = np.cumsum(np.bincount(binned[rows, j], h[rows], k))[:-1]
-                hn = np.cumsum(np.bincount(binned[rows, j], minlength=k))[:-1]
-                vl = np.clip(-hg / (hh + l2), low, high)
-                vr = np.clip(-(sg - hg) / (sh - hh + l2), low, high)
-                gain = -(hg * vl + 0.5 * (hh + l2) * vl**2) - ((sg - hg) * vr + 0.5 * (sh - hh + l2) * vr**2)
-                v0 = np.clip(-sg / (sh + l2), low, high)
-                gain = gain + (sg * v0 + 0.5 * (sh + l2) * v0**2)
-                ok = (hn >= least) & (len(rows) - hn >= least) & (monotone[j] * (vr - vl) >= 0)
-                if ok.any():
-                    c = int(np.argmax(np.where(ok, gain, -np.inf)))
-                    if gain[c] > best[0]:
-                        best = (float(gain[c]), j, c, float(vl[c]), float(vr[c]))
-            if best[0] <= 1e-6 or level >= depth:
-                nodes[at][4] = rate * float(np.clip(-sg / (sh + l2), low, high))
-                raw[rows] += nodes[at][4]
-                continue
-            _, j, c, vl, vr = best
-            mid = (vl + vr) / 2
-            bounds = [(low, high), (low, high)]
-            if monotone[j] > 0:
-                bounds = [(low, mid), (mid, high)]
-            elif monotone[j] < 0:
-                bounds = [(mid, high), (low, mid)]
-            a, b = len(nodes), len(nodes) + 1
-            nodes[at][:4] = [j, float(edges[j][c]), a, b]
-            nodes += [[0, np.inf, a, a, 0.0], [0, np.inf, b, b, 0.0]]
-            side = binned[rows, j] <= c
-            grow += [(a, rows[side], *bounds[0], level + 1), (b, rows[~side], *bounds[1], level + 1)]
+        nodes.append([0, 0, len(nodes), len(nodes), 0.0])
+        level = [(roots[-1], -np.inf, np.inf)]
+        grown: list[tuple[int, float]] = []
+        for deep in range(depth):
+            if not level:
+                break
+            found = sums(np.array(nodes, float), roots, [at for at, _, _ in level], bias)
+            below = []
+            for (at, low, high), hist in zip(level, found):
+                sg, sh, rows = hist[0].sum(axis=0) / np.array([UNIT, UNIT, 1])
+                best = (1e-6, 0, 0, 0.0, 0.0, 0.0, 0.0)
+                for j in range(len(edges)):
+                    to = np.cumsum(hist[j, :len(edges[j]) + 1], axis=0)[:-1]
+                    hg, hh, hn = to[:, 0] / UNIT, to[:, 1] / UNIT, to[:, 2]
+                    vl = np.clip(-hg / (hh + l2), low, high)
+                    vr = np.clip(-(sg - hg) / (sh - hh + l2), low, high)
+                    gain = -(hg * vl + 0.5 * (hh + l2) * vl**2) - ((sg - hg) * vr + 0.5 * (sh - hh + l2) * vr**2)
+                    v0 = np.clip(-sg / (sh + l2), low, high)
+                    gain = gain + (sg * v0 + 0.5 * (sh + l2) * v0**2)
+                    ok = (hn >= least) & (rows - hn >= least) & (monotone[j] * (vr - vl) >= 0)
+                    if ok.any():
+                        c = int(np.argmax(np.where(ok, gain, -np.inf)))
+                        if gain[c] > best[0]:
+                            best = (float(gain[c]), j, c, float(vl[c]), float(vr[c]), float(hg[c]), float(hh[c]))
+                if best[0] <= 1e-6:
+                    grown.append((at, rate * float(np.clip(-sg / (sh + l2), low, high))))
+                    continue
+                _, j, c, vl, vr, gl, hl = best
+                mid = (vl + vr) / 2
+                bounds = [(low, high), (low, high)]
+                if monotone[j] > 0:
+                    bounds = [(low, mid), (mid, high)]
+                elif monotone[j] < 0:
+                    bounds = [(mid, high), (low, mid)]
+                for child, (lo, hi), cg, ch in zip((len(nodes), len(nodes) + 1), bounds, (gl, sg - gl), (hl, sh - hl)):
+                    nodes.append([0, 0, child, child, 0.0])
+                    if deep + 1 < depth:
+                        below.append((child, lo, hi))
+                    else:
+                        grown.append((child, rate * float(np.clip(-cg / (ch + l2), lo, hi))))
+                nodes[at][:4] = [j, c, len(nodes) - 2, len(nodes) - 1]
+            level = below
+        for at, value in grown:
+            nodes[at][4] = value
     arr = np.array(nodes, float)
+    ends = [edges[int(j)][int(c)] if left != at else np.inf for at, (j, c, left, _, _) in enumerate(nodes)]
     return Trees(
-        arr[:, 0].astype(np.int32), arr[:, 1], arr[:, 2].astype(np.int32), arr[:, 3].astype(np.int32), arr[:, 4],
+        arr[:, 0].astype(np.int32), np.array(ends), arr[:, 2].astype(np.int32), arr[:, 3].astype(np.int32), arr[:, 4],
         np.array(roots, np.int32), depth, bias,
     )
 
 
+def into_bins(x: np.ndarray, edges: list[np.ndarray]) -> np.ndarray:
+    return np.column_stack([np.searchsorted(e, x[:, j], side="left") for j, e in enumerate(edges)])
+
+
+def fit_trees(
+    x: np.ndarray, y: np.ndarray, monotone: tuple[int, ...] = MONOTONE, trees: int = 40, depth: int = 3,
+    bins: int = BINS, rate: float = 0.3, l2: float = 1.0, least: int = 15,
+) -> Trees:
+    """``grow_trees`` on quantile histograms of rows at hand."""
+    edges = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, bins + 1)[1:-1])) for j in range(x.shape[1])]
+    binned = into_bins(x, edges)
+
+    def sums(nodes: np.ndarray, roots: list[int], opened: list[int], bias: float) -> np.ndarray:
+        return level_sums(binned, y, nodes, roots, opened, bias, depth, bins)
+
+    return grow_trees(edges, float(y.mean()), sums, monotone, trees, depth, rate, l2, least)
+
+
 _STAT_TYPES = ", ".join(f"{k} bigint" for k in (*BASE, *EXTRA))
 
 
@@ -238,28 +298,101 @@ def _stats_frame(docs: DataFrame, extra: list[str], text_col: str) -> DataFrame:
     return slim.mapInArrow(run, schema)
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = MAX_LABELLED) -> Trees | None:
-    """Trees from at most ``most`` labelled rows; None without rows of both classes."""
-    sample = (
-        labels.where("quality is not null and doc_id is not null")
-        .select(F.col("doc_id").alias("_label_id"), F.col("quality").cast("int").alias("_quality"))
-        .orderBy(F.xxhash64("_label_id"), "_label_id", "_quality").limit(most)
-    )
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_body")).join(
-        F.broadcast(sample), F.col("_id") == F.col("_label_id")
-    )
-    got = (
-        _stats_frame(rows, ["_label_id", "_quality"], "_body")
-        .orderBy(F.xxhash64("_label_id"), "_label_id", *BASE).limit(most).toPandas()
-    )
-    s = {k: got[k].to_numpy(np.int64) for k in (*BASE, *EXTRA)}
-    fine = ~base_failed(s)
-    x, y = features(s)[fine], got["_quality"].to_numpy(float)[fine]
-    if len(y) == 0 or y.min() == y.max():
+def at_ranks(values: DataFrame, wanted: dict[int, list[int]]) -> dict[tuple[int, int], float]:
+    """The numbers at the given ranks (0: least) of each ``part`` of ``values`` (part int, value double), exactly.
+
+    Counts of equal numbers are sorted over all tasks; the driver gets each
+    task's count of each part and the numbers asked for.
+    """
+    spark = values.sparkSession
+    counts = values.groupBy("part", "value").agg(F.count(F.lit(1)).alias("n"))
+    counts = materialise(counts.repartitionByRange("part", "value").withColumn("at", F.spark_partition_id()), "ranks")
+    places, before = [], {}
+    for r in sorted(counts.groupBy("part", "at").agg(F.sum("n").alias("n")).collect()):
+        start = before.get(r["part"], 0)
+        before[r["part"]] = start + r["n"]
+        places += [(r["part"], r["at"], k, k - start) for k in set(wanted[r["part"]]) if start <= k < start + r["n"]]
+    upto = F.sum("n").over(Window.partitionBy("part", "at").orderBy("value").rowsBetween(Window.unboundedPreceding, 0))
+    asked = spark.createDataFrame(places, "part int, at int, rank long, here long")
+    found = counts.withColumn("upto", upto).join(F.broadcast(asked), ["part", "at"])
+    found = found.where("here >= upto - n and here < upto")
+    return {(r["part"], r["rank"]): r["value"] for r in found.select("part", "rank", "value").collect()}
+
+
+def quantile_edges(rows: DataFrame, n: int, bins: int = BINS) -> list[np.ndarray]:
+    """Distinct quantiles of the columns ``FEATURES`` over all ``n`` rows, between ranks as ``np.quantile`` has them."""
+    place = np.linspace(0, 1, bins + 1)[1:-1] * (n - 1)
+    low = np.floor(place).astype(int)
+    high, t = np.minimum(low + 1, n - 1), place - low
+    each = F.array(*[F.struct(F.lit(j).alias("part"), F.col(f).alias("value")) for j, f in enumerate(FEATURES)])
+    ranks = np.union1d(low, high).tolist()
+    at = at_ranks(rows.select(F.inline(each)), dict.fromkeys(range(len(FEATURES)), ranks))
+    edges = []
+    for j in range(len(FEATURES)):
+        a, b = (np.array([at[j, k] for k in side.tolist()]) for side in (low, high))
+        edges.append(np.unique(np.where(t < 0.5, a + (b - a) * t, b - (b - a) * (1 - t))))
+    return edges
+
+
+def _numbers(batch: pa.RecordBatch, names: tuple[str, ...]) -> np.ndarray:
+    return np.column_stack([batch.column(c).to_numpy(zero_copy_only=False) for c in names])
+
+
+def train(stats: DataFrame, labels: DataFrame, id_col: str = "_doc_id") -> Trees | None:
+    """Trees from the statistics of all labelled rows; None without rows of both classes."""
+    marks = labels.where("quality is not null and doc_id is not null").select(
+        F.col("doc_id").alias("_label_id"), F.col("quality").cast("int").alias("_quality"))
+    labelled = stats.join(marks, F.col(id_col) == F.col("_label_id")).select("_quality", *BASE, *EXTRA)
+    named = T.StructType([T.StructField("y", T.IntegerType()), *(T.StructField(f, T.DoubleType()) for f in FEATURES)])
+
+    def passed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            s = {k: batch.column(k).to_numpy(zero_copy_only=False) for k in (*BASE, *EXTRA)}
+            fine = ~base_failed(s)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("_quality").filter(pa.array(fine)), *(pa.array(c[fine]) for c in features(s).T)], names=named.names)
+
+    rows = materialise(labelled.mapInArrow(passed, named), "quality")
+    n, least, most, share, good = rows.agg(F.count("y"), F.min("y"), F.max("y"), F.avg("y"), F.count_if(F.col("y") == 1)).first()
+    if n == 0 or least == most:
         return None
-    trees = fit_trees(x, y)
-    good = np.sort(trees.score(x[y == 1]))
-    trees.threshold = float(min(0.5, good[int(MAX_GOOD_LOSS * len(good))]))
+    edges = quantile_edges(rows, n)
+    small = T.StructType([T.StructField("y", T.IntegerType()), *(T.StructField(f, T.ByteType()) for f in FEATURES)])
+
+    def binned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = into_bins(_numbers(batch, FEATURES), edges).astype(np.int8)
+            yield pa.RecordBatch.from_arrays([batch.column("y"), *(pa.array(c) for c in x.T)], names=small.names)
+
+    tasks = min(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1 + n // TASK_ROWS)
+    low = materialise(rows.repartition(tasks).mapInArrow(binned, small), "quality-bins")
+    depth, shape = 3, (-1, len(FEATURES), BINS, 3)
+
+    def sums(nodes: np.ndarray, roots: list[int], opened: list[int], bias: float) -> np.ndarray:
+        def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = None
+            for batch in batches:
+                y = batch.column("y").to_numpy(zero_copy_only=False)
+                part = level_sums(_numbers(batch, FEATURES), y, nodes, roots, opened, bias, depth, BINS)
+                total = part if total is None else total + part
+            if total is not None:
+                yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["sums"])
+
+        parts = low.mapInArrow(add_up, "sums binary").collect()
+        return sum(np.frombuffer(r["sums"], np.int64) for r in parts).reshape(shape)
+
+    trees = grow_trees(edges, float(share), sums, depth=depth)
+    if good:
+        scores = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("value", T.DoubleType())])
+
+        def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                score = trees.score(_numbers(batch, FEATURES))
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(score), np.int32)), pa.array(score)], names=scores.names)
+
+        rank = int(MAX_GOOD_LOSS * good)
+        of_good = rows.where("y = 1").select(*FEATURES).mapInArrow(scored, scores)
+        trees.threshold = float(min(0.5, at_ranks(of_good, {0: [rank]})[0, rank]))
     return trees
 
 
@@ -272,8 +405,8 @@ def judge(s: dict[str, np.ndarray], trees: Trees | None) -> tuple[np.ndarray, np
 
 def quality_report(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, the base counts, base_failed, score and kept of every row."""
-    trees = train(docs, labels, id_col, text_col)
-    stats = _stats_frame(docs.withColumn("_doc_id", F.col(id_col)), ["_doc_id"], text_col)
+    stats = materialise(_stats_frame(docs.withColumn("_doc_id", F.col(id_col)), ["_doc_id"], text_col), "quality-stats")
+    trees = train(stats, labels)
     id_type = stats.schema["_doc_id"].dataType
     schema = T.StructType([
         T.StructField("doc_id", id_type), *(T.StructField(k, T.LongType()) for k in BASE),
@@ -295,7 +428,7 @@ def quality_report(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
 
 def quality_filter(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that are kept, with all their columns; nothing is shuffled."""
-    trees = train(docs, labels, id_col, text_col)
+    trees = train(_stats_frame(docs.select(F.col(id_col).alias("_doc_id"), text_col), ["_doc_id"], text_col), labels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -202,6 +202,38 @@ def test_trees_are_monotonic_and_learn():
         assert (np.diff(trees.score(grid).reshape(50, 21), axis=1) <= 1e-12).all()
 
 
+def test_trees_learn_from_every_labelled_row(spark):
+    from pyspark.sql import Window
+
+    # of 20,300 labelled rows, the 300 of the largest hashes alone are of class 0
+    nth = F.row_number().over(Window.orderBy(F.xxhash64("id")))
+    marked = spark.range(20_300).select(F.col("id").alias("doc_id"), (nth <= 20_000).cast("int").alias("quality")).cache()
+    words = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(25)), lambda i: F.concat(F.lit("w"), F.col("doc_id") + i)), " ")
+    docs = marked.select("doc_id", F.when(F.col("quality") == 1, words).otherwise(F.concat(words, F.lit(" # # # #"))).alias("text"))
+    got = quality.quality_report(docs, marked).join(marked, "doc_id").groupBy("quality").agg(F.min("score"), F.max("score"), F.min("kept"), F.max("kept"))
+    (_, _, high0, _, any0), (_, low1, _, all1, _) = sorted(got.collect())
+    assert high0 < 0.1 and not any0 and low1 > 0.9 and all1
+
+
+def test_edges_and_sums_over_tasks_equal_those_of_rows_at_hand(spark, monkeypatch):
+    monkeypatch.setattr(quality, "TASK_ROWS", 300)
+    rng = np.random.default_rng(4)
+    texts = [" ".join(rng.choice(["a", "Bee", "sea,", "#", "word"], int(rng.integers(18, 60)))) for _ in range(1500)]
+    marks = [(i, int(t.count("#") < 0.2 * len(t.split()) or i % 9 == 0), 0) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(5)
+    labels = spark.createDataFrame(marks, "doc_id bigint, quality int, toxic int")
+    trees = quality.train(quality._stats_frame(docs, ["doc_id"], "text"), labels, "doc_id")
+    s = quality.statistics(texts)
+    fine = ~quality.base_failed(s)
+    x, y = quality.features(s)[fine], np.array([m[1] for m in marks], float)[fine]
+    want = quality.fit_trees(x, y)
+    assert 0 < y.mean() < 1 and len(y) > 600
+    for name in ("feature", "cut", "left", "right", "value", "roots"):
+        assert np.array_equal(getattr(trees, name), getattr(want, name)), name
+    good = np.sort(want.score(x[y == 1]))
+    assert trees.threshold == min(0.5, good[int(quality.MAX_GOOD_LOSS * len(good))])
+
+
 # 5 -----------------------------------------------------------------------
 def test_language_spans(spark, empty):
     rng = random.Random(5)
